@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fringeline.llm.jaccard_join import near_duplicates
 from fringeline.llm.substring_dedup import dedup_windows
 
 
@@ -15,7 +16,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}
