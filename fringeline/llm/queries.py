@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fringeline.llm.jaccard_join import near_duplicates
+from fringeline.llm.language_id import fold, identify, learn
+from fringeline.llm.sentencepiece_codec import encoded_and_checked
 from fringeline.llm.substring_dedup import dedup_windows
 
 
+#: Where the public vocabulary is, on the driver and on every executor.
+VOCAB_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,8 +27,20 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_checked(table(spark, sf_dir, "documents"), model_file=VOCAB_FILE)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+    models = learn(docs.where(~F.col("held_out")), vocab_file=VOCAB_FILE)
+    return identify(docs.drop("lang"), models, vocab_file=VOCAB_FILE).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
