@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeline.llm import quality
+from fringeline.llm.decontamination import contaminated
 from fringeline.llm.jaccard_join import near_duplicates
 from fringeline.llm.language_id import fold, identify, learn
 from fringeline.llm.sentencepiece_codec import encoded_and_checked
+from fringeline.llm.sharding import shards
+from fringeline.llm.shared import written
 from fringeline.llm.substring_dedup import dedup_windows
+from fringeline.llm.top_k import top_k
 
 
 #: Where the public vocabulary is, on the driver and on every executor.
@@ -27,10 +32,33 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels of folds 1 to 4 of five (fold 4 calibrates); a document with several labels counts once for each."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(quality.with_statistics(docs), "stats").withColumn("fold", F.coalesce(fold("doc_id", 5), F.lit(0)))
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label"))
+    learned = rows.where("fold <> 0").join(labels, "doc_id").select("stats", "label", (F.col("fold") == 4).alias("calibrate"))
+    model = quality.fit(learned)
+    scored = quality.score(rows, model)
+    return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_and_checked(table(spark, sf_dir, "documents"), model_file=VOCAB_FILE)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     models = learn(docs.where(~F.col("held_out")), vocab_file=VOCAB_FILE)
@@ -40,7 +68,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_decontamination": op3_decontamination,
+    "op5_quality": op5_quality,
+    "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_top_k": op8_top_k,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
