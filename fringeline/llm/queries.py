@@ -9,6 +9,7 @@ from fringeline.llm import quality
 from fringeline.llm.decontamination import contaminated
 from fringeline.llm.jaccard_join import near_duplicates
 from fringeline.llm.language_id import fold, identify, learn
+from fringeline.llm.lm_scoring import scores
 from fringeline.llm.sentencepiece_codec import encoded_and_checked
 from fringeline.llm.sharding import shards
 from fringeline.llm.shared import written
@@ -59,6 +60,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     models = learn(docs.where(~F.col("held_out")), vocab_file=VOCAB_FILE)
@@ -73,6 +78,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_top_k": op8_top_k,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
