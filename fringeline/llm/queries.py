@@ -10,6 +10,7 @@ from fringeline.llm.decontamination import contaminated
 from fringeline.llm.jaccard_join import near_duplicates
 from fringeline.llm.language_id import fold, identify, learn
 from fringeline.llm.lm_scoring import scores
+from fringeline.llm.personal_data import personal_spans
 from fringeline.llm.sentencepiece_codec import encoded_and_checked
 from fringeline.llm.sharding import shards
 from fringeline.llm.shared import written
@@ -37,6 +38,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labels of folds 1 to 4 of five (fold 4 calibrates); a document with several labels counts once for each."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
+    "op4_personal_data": op4_personal_data,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
