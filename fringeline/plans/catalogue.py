@@ -1,4 +1,6 @@
 """Catalogue of registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from fringeline.plans import correlation, files, signals
+
+QUERIES = correlation.QUERIES | signals.QUERIES | files.QUERIES
+ORACLE_SQL = correlation.ORACLE_SQL | signals.ORACLE_SQL | files.ORACLE_SQL
