@@ -26,7 +26,7 @@ from fringeline.llm.words import U64, Words, mix, words_of
 LAST = np.iinfo(np.int64).max
 #: Segments of a band, as a part of its smallest size; finer sketches have more, the last one for each shingle.
 DENSITY = (0.7, 2.8, 0)
-ROWS = "doc_id long, n_shingles long, class_id long, segments array<long>, shingles array<long>"
+ROWS = "doc_id long, n_shingles long, class_id long, segments array<long>, shingles array<long>, bits binary"
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +89,40 @@ def sketches(rows: np.ndarray, first: np.ndarray, s: np.ndarray, n: int, d: int)
     return out
 
 
+def bit_sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set, two to four for each shingle; the halves of a sketch XOR to the next smaller one."""
+    size = 64 << max(0, int(2 * len(s) - 1).bit_length() - 6)
+    odd = np.bincount((mix(s ^ U64(0x94D049BB133111EB)) & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class BitSketches:
+    """Bit sketches of documents, by their sizes; differences() is the Hamming distance of each pair's."""
+
+    def __init__(self, bits: list[bytes]):
+        size = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.level = np.frexp(size.astype(float))[1].astype(np.int64)
+        self.place = np.zeros(len(bits), np.int64)
+        self.own, self.half = {}, {}
+        for level in np.unique(self.level).tolist():
+            rows = np.flatnonzero(self.level == level)
+            self.place[rows] = np.arange(len(rows))
+            m = np.frombuffer(b"".join(bits[i] for i in rows.tolist()), U64).reshape(len(rows), -1)
+            self.own[level] = m
+            self.half[level] = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+
+    def differences(self, a: np.ndarray, b: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """At most the symmetric difference of the pair's sets; 0 where the sketches' sizes are far apart."""
+        out = np.zeros(len(a), np.int64)
+        for step, left, right in ((0, self.own, self.own), (1, self.half, self.own), (-1, self.own, self.half)):
+            for level in self.own:
+                rows = np.flatnonzero((self.level[a] == level) & (self.level[b] == level - step))
+                for i in range(0, len(rows), block):
+                    r = rows[i : i + block]
+                    out[r] = np.bitwise_count(left[level][self.place[a[r]]] ^ right[level - step][self.place[b[r]]]).sum(1)
+        return out
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
     """Documents linked where the Jaccard similarity of their sets of word shingles is at least n/d.
 
@@ -185,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int,
         take = np.repeat(has, size)
         valid = table["doc_id"].is_valid().to_numpy()
         own = np.where(b.classes == LAST, b.ids, b.classes)
-        return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_shingles": pa.array(size, pa.int64()), "class_id": pa.array(own, pa.int64(), mask=~valid), "segments": listed(cut, word), "shingles": listed(np.concatenate([[0], np.cumsum(size * has)]), b.s[take])})
+        return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_shingles": pa.array(size, pa.int64()), "class_id": pa.array(own, pa.int64(), mask=~valid), "segments": listed(cut, word), "shingles": listed(np.concatenate([[0], np.cumsum(size * has)]), b.s[take]), "bits": pa.array([bit_sketch(b.s[b.first[i] : b.first[i + 1]]) if has[i] else None for i in range(table.num_rows)], pa.binary())})
 
     asked = texts.groupBy("t").applyInArrow(sets, X.ASK)
     classes = X.answers(asked, 0, [U64, U64, np.int64], least_of)
@@ -193,88 +227,109 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int,
     shared = X.answers(tried, 1, [U64, bool], is_shared)
     rows = written(texts.groupBy("t").cogroup(classes.unionByName(shared).groupBy("t")).applyInArrow(kept, ROWS), "sets")
 
-    sets_by_id = rows.where(F.size("segments") > 0).select("doc_id", "shingles")
+    some = rows.where(F.size("segments") > 0)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets reach the similarity."""
-        left = sets_by_id.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-        right = sets_by_id.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(left, "a").join(right, "b").withColumn("i", both).where(F.col("i") * d >= (F.size("x") + F.size("y") - F.col("i")) * n).select("a", "b")
 
-    words = rows.where(F.size("segments") > 0)
-    best = written(stars(words), "pairs")
+        side = lambda name, col: some.select(F.col("doc_id").alias(name), F.col("shingles").alias(col))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+        return both.where(F.col("i") * d >= (F.size("x") + F.size("y") - F.col("i")) * n).select("a", "b")
+
+    best = written(stars(some), "pairs")
     found = written(verified(best), "links")
     roots = written(components(found), "roots")
-    rest = written(crossing(words.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left"), best), "pairs")
+    rest = written(crossing(some.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left"), best, n, d), "pairs")
     links = found.unionByName(verified(rest))
     root = components(links)
     return rows.select("doc_id", "n_shingles", "class_id").join(root.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 
 
-def packed_words(words: DataFrame, ranges: int, label: str) -> DataFrame:
-    """Segment words with doc_id and label, packed by key range."""
+def packed_words(words: DataFrame, ranges: int) -> DataFrame:
+    """Segment words with doc_id, mark and n_shingles, packed by key range."""
 
     def pack(batches):
         for batch in batches:
             lists = batch.column("segments")
             size = lists.value_lengths().to_numpy(zero_copy_only=False)
             keys = lists.flatten().to_numpy().view(U64)
-            ids, mark = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size) for c in ("doc_id", "mark"))
             order = np.argsort(keys)
-            yield from X.pack(0, keys[order], [ids[order].astype(np.int64), mark[order].astype(np.int64)], ranges).to_batches()
+            beside = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), size)[order] for c in ("doc_id", "mark", "n_shingles")]
+            yield from X.pack(0, keys[order], beside, ranges).to_batches()
 
-    return words.select("doc_id", "segments", F.col(label).alias("mark")).mapInArrow(pack, X.ASK)
+    return words.select("doc_id", "segments", "mark", "n_shingles").mapInArrow(pack, X.ASK)
 
 
-def ranges_of(words: DataFrame, per_range: int = 2_000_000) -> int:
+def ranges_of(words: DataFrame, per_range: int = 500_000) -> int:
     return max(1, -(-(words.agg(F.sum(F.size("segments"))).first()[0] or 0) // per_range))
 
 
-def grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id and mark in the order of the words, and where each group of equal words starts."""
-    _, _, (keys, ids, mark) = X.unpack(table, [U64, np.int64, np.int64])
+def grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, mark and size in the order of the words, and where each group of equal words starts."""
+    _, _, (keys, ids, mark, size) = X.unpack(table, [U64, np.int64, np.int64, np.int64])
     order = np.lexsort((ids, keys))
-    return ids[order], mark[order], np.append(np.flatnonzero(X.group_starts(keys[order])), len(keys))
+    return ids[order], mark[order], size[order], np.append(np.flatnonzero(X.group_starts(keys[order])), len(keys))
 
 
 def stars(words: DataFrame) -> DataFrame:
     """For each document the smaller one that is the smallest in most of its groups of equal words: pairs (a, b), a > b."""
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        ids, _, start = grouped(table)
+        ids, _, _, start = grouped(table)
         low = np.repeat(ids[start[:-1]], np.diff(start))
         a, b = ids[ids > low], low[ids > low]
         order = np.lexsort((b, a))
         at = np.flatnonzero(X.group_starts(a[order], b[order])) if len(a) else np.zeros(0, np.int64)
         return pa.table({"a": a[order][at], "b": b[order][at], "n": pa.array(np.diff(at, append=len(a)), pa.int64())})
 
-    pairs = packed_words(words, ranges_of(words), "doc_id").groupBy("p").applyInArrow(work, "a long, b long, n long")
+    pairs = packed_words(words.withColumn("mark", F.col("doc_id")), ranges_of(words)).groupBy("p").applyInArrow(work, "a long, b long, n long")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
 
 
-def crossing(words: DataFrame, known: DataFrame, block: int = 1024) -> DataFrame:
-    """Pairs (a, b), a > b, that share a word, lie in different components (root), and are not known yet.
+def crossing(words: DataFrame, known: DataFrame, n: int, d: int, block: int = 1024) -> DataFrame:
+    """Pairs (a, b), a > b, that share a word, lie in different components (root), and may reach the similarity.
 
-    Groups whose members are in one component give nothing; so what is made grows with the pairs still in doubt.
+    Groups whose members are in one component give nothing, and groups of the same members are taken once.  Of the
+    other groups' pairs the bit sketches drop those that are too different, so what leaves a task grows with the
+    pairs still in doubt.  Known pairs are left out.
     """
 
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        ids, mark, start = grouped(table)
-        low, high = (f.reduceat(mark, start[:-1]) if len(mark) else mark for f in (np.minimum, np.maximum))
-        made, waiting = np.zeros((0, 2), np.int64), []
-        for g in np.flatnonzero(low != high).tolist():
-            x, m = ids[start[g] : start[g + 1]], mark[start[g] : start[g + 1]]
+    def work(key: tuple, table: pa.Table, sketches: pa.Table) -> pa.Table:
+        ids, mark, size, start = grouped(table)
+        if not len(ids):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        docs, local = np.unique(ids, return_inverse=True)
+        sketch_of = dict(zip(sketches["doc_id"].to_pylist(), sketches["bits"].to_pylist(), strict=True))
+        bits = BitSketches([sketch_of[i] for i in docs.tolist()])
+        sizes = np.zeros(len(docs), np.int64)
+        sizes[local] = size
+        total = len(docs)
+
+        def doubtful(parts: list[np.ndarray]) -> np.ndarray:
+            code = np.unique(np.concatenate(parts))
+            p, q = np.divmod(code, total)
+            return code[(d + n) * bits.differences(p, q) <= (d - n) * (sizes[p] + sizes[q])]
+
+        mixed = np.flatnonzero(np.minimum.reduceat(mark, start[:-1]) != np.maximum.reduceat(mark, start[:-1]))
+        members = np.stack([np.add.reduceat(mix(ids.astype(U64) + U64(c)), start[:-1])[mixed] for c in (3, 5)], 1)
+        mixed = mixed[np.unique(members, axis=0, return_index=True)[1]]
+        made, waiting, count = [np.zeros(0, np.int64)], [], 0
+        for g in mixed.tolist():
+            x, m, s = (c[start[g] : start[g + 1]] for c in (local, mark, size))
             for i in range(0, len(x), block):
-                for j in range(i, len(x), block):
-                    p, q = np.nonzero(m[i : i + block, None] != m[None, j : j + block])
-                    p, q = x[i + p], x[j + q]
-                    waiting.append(np.stack([np.maximum(p, q), np.minimum(p, q)], 1)[p != q])
-                    if sum(map(len, waiting)) > 2_000_000:
-                        made, waiting = np.unique(np.concatenate([made, *waiting]), axis=0), []
-        made = np.unique(np.concatenate([made, *waiting]), axis=0)
-        return pa.table({"a": pa.array(made[:, 0], pa.int64()), "b": pa.array(made[:, 1], pa.int64())})
-
-    marked = words.withColumn("root", F.coalesce("root", "doc_id"))
-    pairs = packed_words(marked, ranges_of(words), "root").groupBy("p").applyInArrow(work, "a long, b long")
+                for j in range(0, i + 1, block):
+                    u, v = s[i : i + block, None], s[None, j : j + block]
+                    p, q = np.nonzero((m[i : i + block, None] != m[None, j : j + block]) & (x[i : i + block, None] > x[None, j : j + block]) & (u * d >= v * n) & (v * d >= u * n))
+                    waiting.append(x[i + p] * total + x[j + q])
+                    count += len(p)
+                    if count > 2_000_000:
+                        made, waiting, count = [*made, doubtful(waiting)], [], 0
+        p, q = np.divmod(doubtful([*made, *waiting]), total)
+        return pa.table({"a": pa.array(docs[p], pa.int64()), "b": pa.array(docs[q], pa.int64())})
+
+    marked = words.withColumn("mark", F.coalesce("root", "doc_id"))
+    ranges = ranges_of(words)
+    place = lambda w: F.shiftright(F.shiftrightunsigned(w, 32) * ranges, 32).cast("int")  # noqa: E731  as X.pack() deals them
+    bits = words.select("doc_id", "bits", F.explode(F.array_distinct(F.transform("segments", place))).alias("p"))
+    pairs = packed_words(marked, ranges).groupBy("p").cogroup(bits.groupBy("p")).applyInArrow(work, "a long, b long")
     return pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
