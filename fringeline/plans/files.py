@@ -1,2 +1,48 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries that go through binary files: written from a table, read by the data sources, compared."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fringeline.operators.correlate import accumulated
+from fringeline.plans.correlation import streams
+from fringeline.sources import results, vdif
+
+
+def _file(name: str) -> str:
+    """A file of this machine; these sources read files that the driver and all executors see."""
+    return os.path.join(tempfile.mkdtemp(prefix="fringeline-"), name)
+
+
+def vdif_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors quantised to two bits, written as frames, read and unpacked: samples and the sum of levels of each."""
+    path = _file("frames.vdif")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id")
+    with open(path, "wb") as f:
+        for r in rows.toLocalIterator():
+            q = np.clip(np.floor(np.array(r.embedding) * 4 + 2), 0, 3).astype(np.uint32)
+            f.write(vdif.frame(q, bits=2, seconds=r.vec_id // 1000, frame_num=r.vec_id % 1000, epoch=30, station_code=r.vec_id % 4))
+    levels = F.udf(lambda body: int(vdif.unpack(bytes(body), 2).sum()), "int")
+    got = vdif.read_frames(spark, [path], frames_per_partition="500")
+    return got.select((F.col("seconds") * 1000 + F.col("frame_num")).cast("long").alias("vec_id"), (F.octet_length("payload") * 4).cast("int").alias("n"), levels("payload").alias("total"))
+
+
+def swin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visibilities written as binary records and read again: the largest coefficient of each."""
+    acc = accumulated(streams(spark, sf_dir))
+    v = F.array_sort(F.collect_list(F.struct("k", "re", "im")))
+    vis = acc.groupBy("acc", "channel", "sp0", "sp1").agg(v.alias("v")).selectExpr("acc", "channel", "sp0 div 2 st0", "sp0 % 2 pol0", "sp1 div 2 st1", "sp1 % 2 pol1", "v.re re", "v.im im")
+    path = _file("records.swin")
+    results.write_swin(vis, path, mjd=57350, start=0.0, period=1.0)
+    got = results.read_swin(spark, path, 64)
+    size = F.array_max(F.transform(F.arrays_zip("re", "im"), lambda z: F.hypot(z["re"], z["im"])))
+    return got.select(F.floor("seconds").cast("int").alias("acc"), "st0", "st1", "pols", F.round(size.cast("double"), 1).alias("peak"))
+
+
+QUERIES = {f.__name__: f for f in (vdif_roundtrip, swin_roundtrip)}
+ORACLE_SQL: dict[str, str] = {}

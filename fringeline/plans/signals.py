@@ -96,7 +96,8 @@ def stream_tumbling_vis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power of each station in windows of a day, by the streaming facade run to the end of the table."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).cast("int").alias("st"), "value")
+    instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))")
+    rows = stream.select(instant.alias("ts"), (F.col("user_id") % 4).cast("int").alias("st"), "value")
     return tumbling_power(rows).select(F.floor((F.unix_micros("start") - F.lit(1704067200000000)) / 86400e6).cast("long").alias("block"), "st", "n", (F.round("power", 2) + 0.0).alias("power"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The SWIN record header, little-endian.
-SWIN = struct.Struct("<4siiidiii2sid3d")
+SWIN = "<4siiidiii2sid3d"
 SYNC = b"\x00\xff\x00\xff"
 
 
@@ -32,7 +32,7 @@ def swin_order(vis: DataFrame) -> list[Column]:
 
 
 def swin_record(mjd: int, seconds: float, st0: int, st1: int, band: int, pols: str, re: np.ndarray, im: np.ndarray, *, conjugate: bool = False, divide: float = 1.0) -> bytes:
-    head = SWIN.pack(SYNC, 1, 256 * (st0 + 1) + st1 + 1, mjd, seconds, 0, 0, band, pols.encode(), 0, 1.0, 0.0, 0.0, 0.0)
+    head = struct.pack(SWIN, SYNC, 1, 256 * (st0 + 1) + st1 + 1, mjd, seconds, 0, 0, band, pols.encode(), 0, 1.0, 0.0, 0.0, 0.0)
     body = np.empty(2 * len(re), "<f4")
     body[0::2], body[1::2] = np.asarray(re) / divide, np.asarray(im) / divide * (-1 if conjugate else 1)
     return head + body.tobytes()
@@ -60,7 +60,7 @@ class SwinReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.n = options["path"].removeprefix("file:"), int(options["coefficients"])
         self.per = int(options.get("records_per_partition", 10_000))
-        self.size = SWIN.size + 8 * self.n
+        self.size = struct.calcsize(SWIN) + 8 * self.n
 
     def partitions(self) -> list[InputPartition]:
         import os
@@ -73,10 +73,10 @@ class SwinReader(DataSourceReader):
             f.seek(part.first * self.size)
             for _ in range(part.count):
                 raw = f.read(self.size)
-                sync, version, number, mjd, seconds, config, source, band, pols, *_ = SWIN.unpack_from(raw)
+                sync, version, number, mjd, seconds, config, source, band, pols, *_ = struct.unpack_from(SWIN, raw)
                 if sync != SYNC:
                     raise ValueError("no record here")
-                v = np.frombuffer(raw, "<f4", 2 * self.n, SWIN.size)
+                v = np.frombuffer(raw, "<f4", 2 * self.n, struct.calcsize(SWIN))
                 yield (mjd, seconds, number // 256 - 1, number % 256 - 1, band, pols.decode(), v[0::2].tolist(), v[1::2].tolist())
 
 
