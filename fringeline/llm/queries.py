@@ -87,4 +87,26 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL of the operators that SQL can express whole; the others are tested against brute force in tests/llm.
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+OP1_SQL = f"""WITH w AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) i FROM w WHERE len(ws) >= 50)),
+least AS (SELECT k, min(doc_id) m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + o i FROM (SELECT win.doc_id, win.i, unnest(range(0, 50)) o FROM win JOIN least ON win.k = least.k AND least.m < win.doc_id)),
+pos AS (SELECT doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) i FROM w),
+kept AS (SELECT pos.doc_id, count(gone.i) n, string_agg(CASE WHEN gone.i IS NULL THEN word END, ' ' ORDER BY pos.i) s FROM pos LEFT JOIN gone ON pos.doc_id = gone.doc_id AND pos.i = gone.i GROUP BY pos.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(s, '')) kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP2_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(LOWER_SQL)} ws FROM documents),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) i FROM w WHERE len(ws) >= 5) UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) c FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b ON a.k = b.k GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT common.a, common.b, i = x.c + y.c - i same FROM common JOIN n x ON common.a = x.doc_id JOIN n y ON common.b = y.doc_id WHERE 100 * i >= 75 * (x.c + y.c - i)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT w.doc_id, CAST(coalesce(n.c, 0) AS BIGINT) n_shingles, coalesce((SELECT min(b) FROM links WHERE same AND a = w.doc_id), w.doc_id) class_id, coalesce((SELECT min(b) FROM reach WHERE a = w.doc_id), w.doc_id) component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id"""
+OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT vec_id, unnest(q) x, unnest(range(0, len(q))) d FROM v),
+s AS (SELECT a.vec_id query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) score FROM t a JOIN t b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY a.vec_id, b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10"""
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op8_top_k": OP8_SQL}
