@@ -24,8 +24,8 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is determined; null texts and texts without a letter go."""
     models = learn(docs, vocab_file=VOCAB_FILE)
-    known = identify(docs, models, vocab_file=VOCAB_FILE)
-    return known.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    known = identify(docs, models, vocab_file=VOCAB_FILE, pred_column="__lang", score_column="__score")
+    return known.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,14 +137,14 @@ def learn(labelled: DataFrame, *, vocab_file: str, per_language: int = PER_LANGU
     return {r["lang"]: np.frombuffer(r["prob"]) for r in sorted(fits)}
 
 
-def identify(docs: DataFrame, models: dict[str, np.ndarray], *, vocab_file: str, batch: int = BATCH) -> DataFrame:
-    """docs with lang_pred and score, the posterior of that language (0 to 1) under equal priors.
+def identify(docs: DataFrame, models: dict[str, np.ndarray], *, vocab_file: str, batch: int = BATCH, pred_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
+    """docs with the predicted language and its score, the posterior of that language (0 to 1) under equal priors.
 
     A null text, or one without a letter, is `und` with score 0, as is every text if no language was learned.  Ties
-    go to the first language by name.  Other columns pass through; those named lang_pred or score are replaced.
+    go to the first language by name.  Other columns pass through; those named like the two new ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = docs.drop(pred_column, score_column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_column, T.StringType()), T.StructField(score_column, T.DoubleType())])
     names = sorted(models)
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], *, vocab_file: str,
                 posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 pred = np.where(known, np.array(names, object)[best], pred)
                 score = np.where(known, posterior, score)
-            yield from part.append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(score)).to_batches()
+            yield from part.append_column(pred_column, pa.array(pred, pa.string())).append_column(score_column, pa.array(score)).to_batches()
 
     return docs.mapInArrow(work, schema)
 

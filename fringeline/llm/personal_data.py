@@ -86,7 +86,7 @@ def long_digits(match: Column, low: int, high: int) -> Column:
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """docs with base and extra: arrays of (start, rank, end), of extra ones also the votes and features."""
+    """docs with __base and __extra: arrays of (start, rank, end), of extra ones also the votes and features."""
     names = {"email": (EMAIL, "@"), "ip": (IP, "."), "digits": (DIGITS, None), "phone": (PHONE, "+"), "local": (LOCAL_PHONE, None), "secret": (SECRET, None), "name": (NAME, None)}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cols = [c.alias(f"__{k}_{side}") for k, (pattern, guard) in names.items() for side, c in zip("pm", found(text, pattern, guard), strict=True)]
@@ -106,11 +106,11 @@ def spans_of(docs: DataFrame) -> DataFrame:
         "secret": F.col("__secret"),
         "name": F.col("__name"),
     }
-    based = raw.withColumn("base", base)
-    company = F.when(F.size("base") > 0, 1).otherwise(0)
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    based = raw.withColumn("__base", base)
+    company = F.when(F.size("__base") > 0, 1).otherwise(0)
+    free = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     extra = F.concat(*(F.transform(F.filter(c, free), candidate(k, company)) for k, c in more.items()))
-    return based.select(*docs.columns, "base", extra.alias("extra"))
+    return based.select(*docs.columns, "__base", extra.alias("__extra"))
 
 
 def candidate(kind: str, company: Column):
@@ -164,7 +164,7 @@ def features(pattern: np.ndarray) -> np.ndarray:
 
 def classifier(extra: DataFrame, steps: int = 400) -> list[float]:
     """Weights of the span classifier, from the counts of the candidates' patterns (a bounded number)."""
-    rows = extra.select(F.explode("extra").alias("x")).groupBy(*(F.col(f"x.{c}").alias(c) for c in PATTERN)).count().collect()
+    rows = extra.select(F.explode("__extra").alias("x")).groupBy(*(F.col(f"x.{c}").alias(c) for c in PATTERN)).count().collect()
     if not rows:
         return []
     rows = sorted(tuple(r) for r in rows)
@@ -193,7 +193,7 @@ def accepted(weight: list[float]) -> Column:
 
     if not weight:
         return F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return F.transform(F.filter("extra", lambda x: logit(x) >= math.log(1.0)), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+    return F.transform(F.filter("__extra", lambda x: logit(x) >= math.log(1.0)), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
 
 
 def listed(spans: Column) -> Column:
@@ -211,17 +211,17 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(spans_of(rows).drop("text"), "spans")
     weight = classifier(rows)
-    of_rank = lambda i: F.size(F.filter("base", lambda b: b["rank"] == i)).cast("long")
+    of_rank = lambda i: F.size(F.filter("__base", lambda b: b["rank"] == i)).cast("long")
     count = [of_rank(i).alias(f"n_{KINDS[i]}") for i in range(4)]
-    every = F.array_sort(F.concat("base", accepted(weight)))
-    return rows.select("doc_id", *count, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
+    every = F.array_sort(F.concat("__base", accepted(weight)))
+    return rows.select("doc_id", *count, F.sha2(listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs, all columns, with each span of the text (overlapping ones together) replaced by its first kind in angle brackets."""
     docs_ = docs.withColumn("text", F.col("text").cast("string"))
     weight = classifier(spans_of(docs_.select("text")))
-    rows = spans_of(docs_).withColumn("__spans", F.array_sort(F.concat("base", accepted(weight))))
+    rows = spans_of(docs_).withColumn("__spans", F.array_sort(F.concat("__base", accepted(weight))))
     kinds = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     done = F.aggregate(
         "__spans",
