@@ -128,6 +128,15 @@ def delays_from_im(text: str, sources: list[str] | None = None) -> list[tuple]:
     return out
 
 
+def sources_from_im(text: str) -> dict[str, int]:
+    """Numbers of the pointing sources, in the order of their first scans."""
+    out: dict[str, int] = {}
+    for k, v in key_values(text):
+        if k.endswith("POINTING SRC"):
+            out.setdefault(v, len(out))
+    return out
+
+
 def stations_from_input(text: str) -> dict[str, dict]:
     """Names, numbers and clock polynomials of the telescope table."""
     out: dict[str, dict] = {}

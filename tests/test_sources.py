@@ -96,4 +96,5 @@ def test_importers():
     assert E.bands_from_input("FREQ (MHZ) 0: 100.0\nBW (MHZ) 0: 32.0\nSIDEBAND 0: L\n") == [(0, 100e6, 32e6, "L")]
     assert E.correlation_from_input("INT TIME (SEC): 0.5\nSTART MJD: 57350\n") == {"period": 0.5, "mjd_start": 57350.0}
     im = "INTERVAL (SECS): 120\nSCAN 0 POINTING SRC: QSO\nSCAN 0 POLY 0 MJD: 57350\nSCAN 0 POLY 0 SEC: 60\nSRC 0 ANT 0 DELAY (us): 1.0 2.0 3.0\n"
+    assert E.sources_from_im(im) == {"QSO": 0}
     assert E.delays_from_im(im) == [(57350, 60.0, 180.0, "QSO", 0, [1.0, 2.0, 3.0])]
