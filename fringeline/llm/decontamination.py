@@ -25,7 +25,7 @@ WINDOW = 13
 #: Tokens of a window that must not be placeholders.
 LITERALS = 6
 #: Benchmark texts are taken in blocks of at most about so many bytes; each block is one pass over the texts.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 BATCH = 8 << 20
 NUMBER, UNIT, NAME = 1, 2, 3
 # Number words and units of measure.
