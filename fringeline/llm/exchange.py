@@ -34,14 +34,60 @@ def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(key, F.lit(buckets)).cast("int").alias("t"))
 
 
-def pack(t: int, keys: np.ndarray, parts: list[np.ndarray], ranges: int) -> pa.Table:
-    """One row for each key range that has keys; keys are sorted, parts run beside them."""
+def ranges_in(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key ranges of sorted keys, and where the keys of each start and end; work and memory follow the keys, not the ranges."""
     p = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    cut = np.searchsorted(p, np.arange(ranges + 1, dtype=np.uint64))
-    used = np.flatnonzero(np.diff(cut))
-    body = [b"".join([keys[cut[i] : cut[i + 1]].tobytes(), *(x[cut[i] : cut[i + 1]].tobytes() for x in parts)]) for i in used]
+    cut = np.flatnonzero(group_starts(p))
+    return p[cut].astype(np.int64), np.append(cut, len(keys))
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers in as many bytes each as nearly all of them need; the few larger ones follow whole."""
+    values = values.astype(np.uint64)
+    n = len(values)
+    width = max(1, -(-int(np.partition(values, n - 1 - n // 256)[n - 1 - n // 256]).bit_length() // 8)) if n else 1
+    mark = np.uint64(2 ** (8 * width) - 1)
+    small = np.minimum(values, mark).astype("<u8")
+    large = values[values >= mark].astype("<u8") if width < 8 else values[:0]
+    return bytes([width]) + small.view(np.uint8).reshape(n, 8)[:, :width].tobytes() + large.tobytes()
+
+
+def unsqueeze(raw: bytes | pa.Buffer, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """The n integers that start at a byte, and the byte after them."""
+    data = np.frombuffer(raw, np.uint8)
+    width = int(data[at])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = data[at + 1 : at + 1 + n * width].reshape(n, width)
+    values = out.view("<u8").ravel().astype(np.uint64)
+    at += 1 + n * width
+    if width < 8:
+        large = np.flatnonzero(values == np.uint64(2 ** (8 * width) - 1))
+        values[large] = np.frombuffer(data[at : at + 8 * len(large)].tobytes(), "<u8")
+        at += 8 * len(large)
+    return values, at
+
+
+def pack(t: int, keys: np.ndarray, parts: list[np.ndarray], ranges: int, *, tight: bool = False) -> pa.Table:
+    """One row for each key range that has keys; keys are sorted, parts run beside them.  tight: steps of keys and parts squeezed."""
+    used, cut = ranges_in(keys, ranges)
+    if tight:
+        body = [b"".join([squeeze(np.diff(keys[cut[i] : cut[i + 1]], prepend=np.uint64(0))), *(squeeze(x[cut[i] : cut[i + 1]]) for x in parts)]) for i in range(len(used))]
+    else:
+        body = [b"".join([keys[cut[i] : cut[i + 1]].tobytes(), *(x[cut[i] : cut[i + 1]].tobytes() for x in parts)]) for i in range(len(used))]
     n = len(used)
-    return pa.table({"p": pa.array(used, pa.int32()), "t": pa.array(np.full(n, t), pa.int32()), "n": pa.array(np.diff(cut)[used], pa.int64()), "body": pa.array(body, pa.binary())})
+    return pa.table({"p": pa.array(used, pa.int32()), "t": pa.array(np.full(n, t), pa.int32()), "n": pa.array(np.diff(cut), pa.int64()), "body": pa.array(body, pa.binary())})
+
+
+def unpack_tight(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """As unpack(), of rows that were packed tight; all columns are 64-bit."""
+    t, n = table["t"].to_numpy(), table["n"].to_numpy()
+    cols: list[list[np.ndarray]] = [[] for _ in range(columns)]
+    for size, body in zip(n.tolist(), table["body"], strict=True):
+        raw, at = body.as_buffer(), 0
+        for i, col in enumerate(cols):
+            values, at = unsqueeze(raw, size, at)
+            col.append(np.cumsum(values, dtype=np.uint64) if i == 0 else values)
+    return t, n, [np.concatenate(c) if c else np.zeros(0, np.uint64) for c in cols]
 
 
 def unpack(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -70,19 +116,21 @@ def answers(asked: DataFrame, kind: int, kinds: list[type], answer: Callable[[li
     return asked.groupBy("p").applyInArrow(work, REPLY)
 
 
-def replies_of(replies: pa.Table, kind: int, keys: np.ndarray, ranges: int, dtype: type) -> np.ndarray:
-    """The answers to a bucket's sorted keys, in their order."""
-    p = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    counts = np.bincount(p.astype(np.int64), minlength=ranges)
+def replies_of(replies: pa.Table, kind: int, keys: np.ndarray, ranges: int, dtype: type | None) -> np.ndarray:
+    """The answers to a bucket's sorted keys, in their order; dtype None: squeezed integers."""
+    used, cut = ranges_in(keys, ranges)
     of = {}
     for k, q, body in zip(replies["kind"].to_pylist(), replies["p"].to_pylist(), replies["body"].to_pylist(), strict=True):
         if k == kind:
             of[q] = body
     out = []
-    for q in np.flatnonzero(counts).tolist():
+    for q, n in zip(used.tolist(), np.diff(cut).tolist(), strict=True):
+        if dtype is None:
+            out.append(unsqueeze(of[q], n)[0].astype(np.int64))
+            continue
         raw = np.frombuffer(of[q], np.uint8)
-        out.append(np.unpackbits(raw, count=int(counts[q])).astype(bool) if dtype is bool else raw.view(dtype))
-    return np.concatenate(out) if out else np.zeros(0, dtype)
+        out.append(np.unpackbits(raw, count=n).astype(bool) if dtype is bool else raw.view(dtype))
+    return np.concatenate(out) if out else np.zeros(0, dtype or np.int64)
 
 
 def group_starts(*cols: np.ndarray) -> np.ndarray:

@@ -74,9 +74,9 @@ class Counts:
 
     def __init__(self, t: Tokens, replies: pa.Table, ranges: int):
         self.n, self.types, self.texts = _totals(replies)
-        one = X.replies_of(replies, UNIGRAM, t.unigrams, ranges, np.int64)
+        one = X.replies_of(replies, UNIGRAM, t.unigrams, ranges, None)
         self.own = one[t.at]
-        self.pair = X.replies_of(replies, BIGRAM, t.pairs, ranges, np.uint32)[t.pair_at].astype(np.int64)
+        self.pair = X.replies_of(replies, BIGRAM, t.pairs, ranges, None)[t.pair_at]
         self.context = np.concatenate([[0], self.own[:-1]])
         self.context[t.start] = self.texts
 
@@ -119,20 +119,20 @@ def scores(docs: DataFrame, *, folds: int = 7, held: int = 2, bucket_bytes: int
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         t = Tokens(table, folds, held)
         here = key[0].as_py()
-        one = X.pack(here, t.unigrams, [t.uses], buckets)
-        two = X.pack(here, t.pairs, [t.pair_uses.astype(np.uint32)], buckets)
+        one = X.pack(here, t.unigrams, [t.uses], buckets, tight=True)
+        two = X.pack(here, t.pairs, [t.pair_uses], buckets, tight=True)
         two = two.set_column(0, "p", pa.array(two["p"].to_numpy() + buckets, pa.int32()))
         return pa.concat_tables([one, two])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         p = key[0].as_py()
         kind, p = divmod(p, buckets)
-        t, n, (keys, uses) = X.unpack(table, [U64, np.uint32 if kind else np.int64])
+        t, n, (keys, uses) = X.unpack_tight(table, 2)
         _, place = np.unique(keys, return_inverse=True)
         total = np.bincount(place, uses).astype(np.int64)
-        out = total[place].astype(np.uint32 if kind else np.int64)
+        out = total[place]
         ends = np.cumsum(n)
-        body = [out[e - s : e].tobytes() for e, s in zip(ends.tolist(), n.tolist(), strict=True)]
+        body = [X.squeeze(out[e - s : e]) for e, s in zip(ends.tolist(), n.tolist(), strict=True)]
         ts = t.tolist()
         if not kind:
             end = int(total[place[keys == END][0]]) if (keys == END).any() else 0
@@ -144,7 +144,9 @@ def scores(docs: DataFrame, *, folds: int = 7, held: int = 2, bucket_bytes: int
 
     def to_all(batches: Iterator[pa.RecordBatch], kind: int, make) -> Iterator[pa.RecordBatch]:
         body = make(list(batches))
-        yield pa.RecordBatch.from_pydict({"t": pa.array(range(buckets), pa.int32()), "kind": pa.array([kind] * buckets, pa.int32()), "p": pa.array([0] * buckets, pa.int32()), "body": pa.array([body] * buckets, pa.binary())})
+        for low in range(0, buckets, 4096):
+            n = min(4096, buckets - low)
+            yield pa.RecordBatch.from_pydict({"t": pa.array(range(low, low + n), pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "p": pa.array([0] * n, pa.int32()), "body": pa.array([body] * n, pa.binary())})
 
     def sum_totals(batches: list[pa.RecordBatch]) -> bytes:
         rows = [np.frombuffer(x, np.int64) for b in batches for x in b.column("body").to_pylist()]
