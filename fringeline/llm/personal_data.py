@@ -42,11 +42,9 @@ LABELERS = ("form", "cue", "mark", "company")
 LEFT = 24
 
 
-def found(text: Column, pattern: str, guard: str | None) -> tuple[Column, Column]:
-    """Pieces between matches and the matches; one empty piece if the text can't hold any."""
-    if guard is None:
-        return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    can = F.contains(text, F.lit(guard))
+def found(text: Column, pattern: str, guard: str) -> tuple[Column, Column]:
+    """Pieces between matches and the matches; one empty piece if the guard, which every match holds, is not in the text."""
+    can = F.regexp_like(text, F.lit(guard)) if len(guard) > 1 else F.contains(text, F.lit(guard))
     return F.when(can, F.split(text, pattern, -1)).otherwise(F.array(F.lit(""))), F.when(can, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
@@ -87,7 +85,7 @@ def long_digits(match: Column, low: int, high: int) -> Column:
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """docs with __base and __extra: arrays of (start, rank, end), of extra ones also the votes and features."""
-    names = {"email": (EMAIL, "@"), "ip": (IP, "."), "digits": (DIGITS, None), "phone": (PHONE, "+"), "local": (LOCAL_PHONE, None), "secret": (SECRET, None), "name": (NAME, None)}
+    names = {"email": (EMAIL, "@"), "ip": (IP, r"[0-9]\.[0-9]"), "digits": (DIGITS, "[0-9][\\x20-]?[0-9]"), "phone": (PHONE, "+"), "local": (LOCAL_PHONE, "[0-9]{3}[ .-][0-9]{4}"), "secret": (SECRET, SECRET), "name": (NAME, NAME)}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cols = [c.alias(f"__{k}_{side}") for k, (pattern, guard) in names.items() for side, c in zip("pm", found(text, pattern, guard), strict=True)]
     raw = docs.select("*", *cols).select(*docs.columns, *(placed(f"__{k}_p", f"__{k}_m").alias(f"__{k}") for k in names))
