@@ -133,27 +133,34 @@ def scores(docs: DataFrame, *, folds: int = 7, held: int = 2, bucket_bytes: int
         out = total[place]
         ends = np.cumsum(n)
         body = [X.squeeze(out[e - s : e]) for e, s in zip(ends.tolist(), n.tolist(), strict=True)]
-        ts = t.tolist()
-        if not kind:
-            end = int(total[place[keys == END][0]]) if (keys == END).any() else 0
-            body.append(np.array([total.sum(), (total > 0).sum(), end]).tobytes())
-            ts.append(-1)
-        return pa.table({"t": pa.array(ts, pa.int32()), "kind": pa.array([kind] * len(ts), pa.int32()), "p": pa.array([p] * len(ts), pa.int32()), "body": pa.array(body, pa.binary())})
-
-    replies = texts.groupBy("t").applyInArrow(ask, X.ASK).groupBy("p").applyInArrow(answer, X.REPLY)
-
-    def to_all(batches: Iterator[pa.RecordBatch], kind: int, make) -> Iterator[pa.RecordBatch]:
-        body = make(list(batches))
+        return pa.table({"t": pa.array(t, pa.int32()), "kind": pa.array([kind] * len(t), pa.int32()), "p": pa.array([p] * len(t), pa.int32()), "body": pa.array(body, pa.binary())})
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        """Training tokens, types and texts of a range of unigrams."""
+        n = types = texts = 0
+        if key[0].as_py() < buckets:
+            _, _, (keys, uses) = X.unpack_tight(table, 2)
+            n, texts = int(uses.sum()), int(uses[keys == END].sum())
+            types = len(np.unique(keys[uses > 0]))
+        return pa.table({"zero": pa.array([0], pa.int32()), "n": pa.array([n], pa.int64()), "types": pa.array([types], pa.int64()), "texts": pa.array([texts], pa.int64())})
+
+    asked = texts.groupBy("t").applyInArrow(ask, X.ASK)
+    replies = asked.groupBy("p").applyInArrow(answer, X.REPLY)
+
+    def to_all(kind: int, body: bytes) -> Iterator[pa.RecordBatch]:
+        """The same small body for every bucket."""
         for low in range(0, buckets, 4096):
             n = min(4096, buckets - low)
             yield pa.RecordBatch.from_pydict({"t": pa.array(range(low, low + n), pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "p": pa.array([0] * n, pa.int32()), "body": pa.array([body] * n, pa.binary())})
 
-    def sum_totals(batches: list[pa.RecordBatch]) -> bytes:
-        rows = [np.frombuffer(x, np.int64) for b in batches for x in b.column("body").to_pylist()]
-        return np.sum(rows, axis=0, dtype=np.int64).tobytes() if rows else np.zeros(3, np.int64).tobytes()
+    def tell_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield from to_all(TOTALS, np.array([b.column(c)[0].as_py() for c in ("n", "types", "texts")]).tobytes())
 
-    totals = replies.where("t = -1").coalesce(1).mapInArrow(lambda rows: to_all(rows, TOTALS, sum_totals), X.REPLY)
-    known = replies.where("t >= 0").unionByName(totals)
+    ranges = asked.groupBy("p").applyInArrow(total, "zero int, n long, types long, texts long")
+    totals = ranges.groupBy("zero").agg(*(F.sum(c).alias(c) for c in ("n", "types", "texts"))).mapInArrow(tell_totals, X.REPLY)
+    known = replies.unionByName(totals)
 
     def binned(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
         t = Tokens(table, folds, held)
@@ -166,14 +173,13 @@ def scores(docs: DataFrame, *, folds: int = 7, held: int = 2, bucket_bytes: int
     cells = texts.groupBy("t").cogroup(known.groupBy("t")).applyInArrow(binned, "cell long, n long, types long")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.max("types").alias("types"))
 
-    def weigh(batches: list[pa.RecordBatch]) -> bytes:
-        rows = pa.Table.from_batches(batches) if batches else None
-        if rows is None or not rows.num_rows:
-            return np.tile([0.0, 0.0, 1.0], (CLASSES, 1)).tobytes()
-        rows = rows.sort_by("cell")
-        return learned(rows["cell"].to_numpy(), rows["n"].to_numpy().astype(float), 1 / (rows["types"][0].as_py() + 1)).tobytes()
+    def weigh(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by("cell")
+        even = 1 / (rows["types"][0].as_py() + 1)
+        return pa.Table.from_batches(to_all(WEIGHTS, learned(rows["cell"].to_numpy(), rows["n"].to_numpy().astype(float), even).tobytes()))
 
-    weights = cells.coalesce(1).mapInArrow(lambda rows: to_all(rows, WEIGHTS, weigh), X.REPLY)
+    # the cells are a bounded number, whatever the corpus, and come together in one task
+    weights = cells.withColumn("zero", F.pmod("cell", F.lit(1))).groupBy("zero").applyInArrow(weigh, X.REPLY)
 
     def scored(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
         t = Tokens(table, folds, held)
