@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from fringeline.llm.lattice import SPACE, Lattice, Vocabulary, in_cells, vocabulary
 
 #: Code points of a batch of texts, and of a word that is merged by the heap.
-BATCH = 12 << 20
+BATCH = 6 << 20
 LONG = 48
 MARK = ord(SPACE)
 NONE = np.iinfo(np.int64).max
