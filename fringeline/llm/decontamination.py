@@ -3,8 +3,9 @@
 Words are freed of outer punctuation and lower-cased; numbers, units and names (capitalised inside a sentence)
 become typed placeholders, and what stood there is the slot's value.  Windows of such template tokens are
 hashed and joined with those of the benchmark.  The windows of a text that match an item at the same distance
-form one alignment, which counts if the values correspond one to one: equal slots of the item are equal in
-the text and different ones differ.  With the same values it is an exact copy, otherwise re-parameterised.
+form one alignment.  With the same values it is an exact copy; with other values it is re-parameterised if they
+correspond one to one: equal slots of the item are equal in the text and different ones differ.  Where they don't,
+those of its windows that have the same values are still an exact copy.
 """
 
 from __future__ import annotations
@@ -122,6 +123,11 @@ class Index:
             pairs = np.unique(np.stack([here, there], 1), axis=0) if not exact else None
             if exact or len(pairs) == len(np.unique(here)) == len(np.unique(there)):
                 yield int(doc[a]), int(item[a]), exact, len(covered), int(t.word[covered[0]])
+                continue
+            same = [np.arange(p, p + q) for p, q in zip(i[a:b].tolist(), n[a:b].tolist(), strict=True) if (t.value[p : p + q] == self.value[p - shift[a] : p - shift[a] + q]).all()]
+            if same:
+                covered = np.unique(np.concatenate(same))
+                yield int(doc[a]), int(item[a]), True, len(covered), int(t.word[covered[0]])
 
 
 def indices(benchmark: DataFrame, *, window: int, literals: int, block_bytes: int) -> Iterator[Index]:

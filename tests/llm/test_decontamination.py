@@ -36,3 +36,13 @@ def test_empty_tables(spark):
     assert contaminated(empty(spark), bench(spark, [ITEM])).collect() == []
     assert contaminated(table(spark), spark.createDataFrame([], "item_id long, text string")).collect() == []
     assert clean(empty(spark), bench(spark, [ITEM])).columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_exact_stretches_of_inconsistent_alignments(spark):
+    long = "In the morning Anna buys 3 apples at the old market near the river and walks back home to bake a large cake for the whole class; later Anna sells 8 slices of it"
+    once = long.replace("later Anna", "later Maria")
+    merged = long.replace("3 apples", "8 apples")
+    df = table(spark, ["x. " + once, "x. " + merged, CLASH] + ["f"] * 8)
+    got = {(r.doc_id, r.item_id, r.kind, r.n_tokens, r.first_word) for r in contaminated(df, bench(spark, [long, ITEM])).collect()}
+    assert got == {(0, 0, "exact", 28, 1), (1, 0, "exact", 28, 7)}
+    assert {r.doc_id for r in clean(df, bench(spark, [long, ITEM])).collect()}.isdisjoint({0, 1})
