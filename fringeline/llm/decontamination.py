@@ -1,8 +1,8 @@
 """Texts that hold benchmark questions, also with other numbers, names or units.
 
 Words are freed of outer punctuation and lower-cased; numbers, units and names (capitalised inside a sentence)
-become typed placeholders, and what stood there is the slot's value.  Windows of such template tokens are
-hashed and joined with those of the benchmark.  The windows of a text that match an item at the same distance
+become typed placeholders, and what stood there is the slot's value.  Windows of such template tokens, and of the
+words themselves, are hashed and joined with those of the benchmark.  The windows of a text that match an item at the same distance
 form one alignment.  With the same values it is an exact copy; with other values it is re-parameterised if they
 correspond one to one: equal slots of the item are equal in the text and different ones differ.  Where they don't,
 those of its windows that have the same values are still an exact copy.
@@ -23,12 +23,15 @@ from fringeline.llm.sentencepiece_codec import in_batches
 from fringeline.llm.words import U64, Words, mix, words_of
 
 WINDOW = 13
-#: Tokens of a window that must not be placeholders.
+#: Tokens of a window that must not be placeholders if it is to match with other values.
 LITERALS = 6
 #: Benchmark texts are taken in blocks of at most about so many bytes; each block is one pass over the texts.
 BLOCK_BYTES = 8 << 20
 BATCH = 8 << 20
 NUMBER, UNIT, NAME = 1, 2, 3
+#: Base of the window hashes, and its inverse.
+UP = U64(0x9E3779B97F4A7C15)
+DOWN = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Number words and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half third quarter"
 UNITS = "mm cm m km metre metres meter meters kilometre kilometres kilometer kilometers inch inches foot feet yard yards mile miles g mg kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces l ml litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years mph kph dollar dollars cent cents euro euros percent degrees"
@@ -68,66 +71,94 @@ class Tokens:
         self.kind[(a >= 48) & (a <= 57)] = NUMBER
         self.code = np.where(self.kind > 0, mix(self.kind.astype(U64) + U64(77)), self.value)
         self.first = np.searchsorted(self.doc, np.arange(len(w.first)))
+        self.power = np.concatenate([np.ones(1, U64), np.cumprod(np.full(len(start), UP))])
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window inside one text."""
-        n = len(self.code)
-        i = np.arange(max(n - size + 1, 0))
-        i = i[self.doc[i] == self.doc[i + size - 1]]
-        h = np.full(len(i), size, U64)
-        for k in range(size):
-            h = h * U64(0x9E3779B97F4A7C15) + self.code[i + k]
-        return i, mix(h)
+    def windows(self, size: int) -> np.ndarray:
+        """First token of each window inside one text."""
+        i = np.arange(max(len(self.code) - size + 1, 0))
+        return i[self.doc[i] == self.doc[i + size - 1]]
+
+    def sums(self, code: np.ndarray) -> np.ndarray:
+        """Running sums of these codes, each times its place's power, for hashes()."""
+        return np.concatenate([np.zeros(1, U64), np.cumsum(code * np.cumprod(np.full(len(code), DOWN)))])
+
+    def hashes(self, sums: np.ndarray, i: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the window at each i, whatever its place."""
+        return mix((sums[i + size] - sums[i]) * self.power[i + 1] + U64(size))
+
+
+class Windows:
+    """Hashes of items' windows, to look up."""
+
+    def __init__(self, h: np.ndarray, i: np.ndarray, item: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        self.h, self.i, self.item = h[order], i[order], item[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[h >> U64(44)] = True
+
+    def find(self, i: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows i of hashes h that are here, with the item and the item's window, for each such item."""
+        maybe = self.sieve[h >> U64(44)]
+        i, h = i[maybe], h[maybe]
+        low, high = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        count = high - low
+        low = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(i, count), self.item[low], self.i[low]
 
 
 class Index:
-    """Template windows of benchmark items; an item shorter than a window is one window of its own length."""
+    """Windows of benchmark items, by their words and as templates; an item shorter than a window is one window of its own length."""
 
     def __init__(self, items: list, texts: list[str], window: int, literals: int):
         self.items = items
         t = Tokens(pa.array(texts, pa.string()))
-        self.kind, self.value, self.first = t.kind, t.value, t.first
+        self.value = t.value
         size = np.diff(t.first)
         plain = np.concatenate([[0], np.cumsum(t.kind == 0)])
+        words, template = t.sums(t.value), t.sums(t.code)
         self.by_size = {}
         for n in sorted({window, *size[(size > 0) & (size < window)].tolist()}):
-            i, h = t.windows(n)
-            good = (plain[i + n] - plain[i] >= min(literals, n)) & ((size[t.doc[i]] == n) if n < window else True)
-            i, h = i[good], h[good]
-            order = np.argsort(h, kind="stable")
-            i, h = i[order], h[order]
-            sieve = np.zeros(1 << 20, bool)
-            sieve[h >> U64(44)] = True
-            self.by_size[n] = (h, i, t.doc[i], sieve)
+            i = t.windows(n)
+            i = i[size[t.doc[i]] == n] if n < window else i
+            good = i[plain[i + n] - plain[i] >= min(literals, n)]
+            self.by_size[n] = Windows(t.hashes(words, i, n), i, t.doc[i]), Windows(t.hashes(template, good, n), good, t.doc[good])
 
     def alignments(self, t: Tokens) -> Iterator[tuple[int, int, bool, int, int]]:
-        """(text, item, exact, tokens, first token) of each consistent alignment."""
+        """(text, item, exact, tokens, first token) of each copy and each consistent alignment."""
         found = []
-        for n, (own, at, item, sieve) in self.by_size.items():
-            i, h = t.windows(n)
-            maybe = sieve[h >> U64(44)]
-            i, h = i[maybe], h[maybe]
-            low, high = np.searchsorted(own, h, "left"), np.searchsorted(own, h, "right")
-            count = high - low
-            i, low = np.repeat(i, count), np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.append((t.doc[i], item[low], i - at[low], i, np.full(len(i), n)))
-        doc, item, shift, i, n = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
-        order = np.lexsort((i, shift, item, doc))
-        doc, item, shift, i, n = (x[order] for x in (doc, item, shift, i, n))
-        cut = np.append(np.flatnonzero(X.group_starts(doc, item, shift)), len(doc))
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            covered = np.unique(np.concatenate([np.arange(p, p + q) for p, q in zip(i[a:b].tolist(), n[a:b].tolist(), strict=True)]))
-            slot = covered[t.kind[covered] > 0]
-            here, there = t.value[slot], self.value[slot - shift[a]]
-            exact = bool((here == there).all())
-            pairs = np.unique(np.stack([here, there], 1), axis=0) if not exact else None
-            if exact or len(pairs) == len(np.unique(here)) == len(np.unique(there)):
-                yield int(doc[a]), int(item[a]), exact, len(covered), int(t.word[covered[0]])
-                continue
-            same = [np.arange(p, p + q) for p, q in zip(i[a:b].tolist(), n[a:b].tolist(), strict=True) if (t.value[p : p + q] == self.value[p - shift[a] : p - shift[a] + q]).all()]
-            if same:
-                covered = np.unique(np.concatenate(same))
-                yield int(doc[a]), int(item[a]), True, len(covered), int(t.word[covered[0]])
+        words, template = t.sums(t.value), t.sums(t.code)
+        for n, own in self.by_size.items():
+            at = t.windows(n)
+            for other, sums in enumerate((words, template)):
+                i, item, there = own[other].find(at, t.hashes(sums, at, n))
+                found.append((t.doc[i], item, i - there, i, np.full(len(i), other), np.full(len(i), n)))
+        doc, item, shift, i, other, n = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 6
+        order = np.lexsort((other, i, shift, item, doc))
+        order = order[X.group_starts(doc[order], item[order], shift[order], i[order])]
+        doc, item, shift, i, other, n = (x[order] for x in (doc, item, shift, i, other, n))
+        if not len(doc):
+            return
+        new = X.group_starts(doc, item, shift)
+        cut = np.append(np.flatnonzero(new), len(doc))
+        step = np.where(np.append(new[1:], True), n, np.minimum(n, np.diff(i, append=0)))
+        copied, size = np.maximum.reduceat(other, cut[:-1]) == 0, np.add.reduceat(step, cut[:-1])
+        for a, b, exact, count in zip(cut[:-1].tolist(), cut[1:].tolist(), copied.tolist(), size.tolist(), strict=True):
+            start = a
+            if not exact:
+                at, words = covered(i[a:b], n[a:b]), np.flatnonzero(other[a:b] == 0) + a
+                slot = at[t.kind[at] > 0]
+                here, there = t.value[slot], self.value[slot - shift[a]]
+                pairs = np.unique(np.stack([here, there], 1), axis=0)
+                if not len(pairs) == len(np.unique(here)) == len(np.unique(there)):
+                    if not len(words):
+                        continue
+                    exact, count, start = True, len(covered(i[words], n[words])), words[0]
+            yield int(doc[a]), int(item[a]), exact, count, int(t.word[i[start]])
+
+
+def covered(i: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Tokens of the windows at i of sizes n."""
+    return np.unique(np.repeat(i, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
 def indices(benchmark: DataFrame, *, window: int, literals: int, block_bytes: int) -> Iterator[Index]:
@@ -144,7 +175,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
     A pair has one row, for its longest alignment (first by place, exact first).  Null and empty texts on either side
     match nothing; repeated rows give repeated results; columns but doc_id, text and item_id, text are ignored; an
-    empty benchmark gives no rows.  Windows with fewer than `literals` plain words match nothing.
+    empty benchmark gives no rows.  Windows with fewer than `literals` plain words
+    match copies only.
     """
     schema = "doc_id long, item_id long, kind string, n_tokens long, first_word long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -46,3 +46,10 @@ def test_exact_stretches_of_inconsistent_alignments(spark):
     got = {(r.doc_id, r.item_id, r.kind, r.n_tokens, r.first_word) for r in contaminated(df, bench(spark, [long, ITEM])).collect()}
     assert got == {(0, 0, "exact", 28, 1), (1, 0, "exact", 28, 7)}
     assert {r.doc_id for r in clean(df, bench(spark, [long, ITEM])).collect()}.isdisjoint({0, 1})
+
+
+def test_items_with_few_plain_words(spark):
+    items = ["How many days in March?", "Compute 12 plus 30", "12 30 45 60 75 90 105 120 135 150 165 180 195 210 225", "Ask Anna, Bob, Cleo, Dora, Emil and Finn about 7 miles"]
+    texts = [f"so. {x} there" for x in items] + ["Compute 14 plus 30"]
+    got = {(r.doc_id, r.item_id): r.kind for r in contaminated(table(spark, texts + ["f"] * 8), bench(spark, items)).collect() if r.doc_id is not None}
+    assert got == {(i, i): "exact" for i in range(4)}
