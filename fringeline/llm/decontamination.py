@@ -1,7 +1,8 @@
 """Texts that hold benchmark questions, also with other numbers, names or units.
 
 Words are freed of outer punctuation and lower-cased; numbers, units and names (capitalised inside a sentence)
-become typed placeholders, and what stood there is the slot's value.  Windows of such template tokens, and of the
+become typed placeholders, and what stood there is the slot's value.  A capitalised word that begins a line, or an
+item's window, is read both as a name and as none.  Windows of such template tokens, and of the
 words themselves, are hashed and joined with those of the benchmark.  The windows of a text that match an item at the same distance
 form one alignment.  With the same values it is an exact copy; with other values it is re-parameterised if they
 correspond one to one: equal slots of the item are equal in the text and different ones differ.  Where they don't,
@@ -35,10 +36,35 @@ DOWN = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Number words and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half third quarter"
 UNITS = "mm cm m km metre metres meter meters kilometre kilometres kilometer kilometers inch inches foot feet yard yards mile miles g mg kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces l ml litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years mph kph dollar dollars cent cents euro euros percent degrees"
+#: The lower case of each character that keeps its length, by code point.
+LOWER = np.array([ord(low) if len(low := chr(c).lower()) == 1 and len(low.encode("utf-8", "replace")) == len(chr(c).encode("utf-8", "replace")) else c for c in range(1 << 16)], np.uint16)
+
+
+def lower(data: np.ndarray) -> None:
+    """Makes the letters of UTF-8 bytes lower-case, in place."""
+    data[(data >= 65) & (data <= 90)] |= 32
+    for lead, mask, more in ((0xC0, 0xE0, 1), (0xE0, 0xF0, 2)):
+        at = np.flatnonzero((data & mask) == lead)
+        at = at[at < len(data) - more]
+        for k in range(1, more + 1):
+            at = at[(data[at + k] & 0xC0) == 0x80]
+        code = (data[at] & (0xFF ^ mask)).astype(np.uint16)
+        for k in range(1, more + 1):
+            code = (code << 6) | (data[at + k] & 63)
+        low = LOWER[code]
+        at, low = at[low != code], low[low != code]
+        for k in range(more, 0, -1):
+            data[at + k] = 0x80 | (low & 63)
+            low = low >> 6
+        data[at] = lead | low
 
 
 class Tokens:
-    """Template tokens of all texts: kind (0 a literal), hash of the bare lower-case word, template code, text, and word index."""
+    """Template tokens of all texts: kind (0 a literal), hash of the bare lower-case word, template code, text, and word index.
+
+    Whether a capitalised word is a name can be read in two ways: one that begins a line is a name in `code`, and a
+    literal, as at a sentence's begin, in `by_line`; `broken` marks where they differ.
+    """
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray):
         w = words_of(texts)
@@ -55,13 +81,15 @@ class Tokens:
         stop = np.isin(data[w.end - 1], np.frombuffer(b".!?:;\"')]", np.uint8)) if len(w) else np.zeros(0, bool)
         inner = np.zeros(len(w), bool)  # not at a text's or a sentence's begin
         inner[1:] = (doc[1:] == doc[:-1]) & ~stop[:-1]
+        breaks = np.searchsorted(np.flatnonzero((data >= 10) & (data <= 13)), w.start)
+        line = np.diff(breaks, prepend=0) > 0
         some = start < end
         start, end, self.doc = start[some], end[some], doc[some]
         self.word = np.flatnonzero(some) - w.first[self.doc]
         a, b = data[start], data[np.minimum(start + 1, len(data) - 1)]
-        name = inner[some] & (a >= 65) & (a <= 90) & (b >= 97) & (b <= 122) & (end - start > 1)
-        upper = (data >= 65) & (data <= 90)
-        data[upper] |= 32
+        self.capital = (a >= 65) & (a <= 90) & (b >= 97) & (b <= 122) & (end - start > 1)
+        name = inner[some] & self.capital
+        lower(data)
         self.value = Words(data, start, end, w.first).hashes()
         self.kind = np.zeros(len(start), np.int8)
         self.kind[name] = NAME
@@ -70,7 +98,10 @@ class Tokens:
             self.kind[np.isin(self.value, one)] = kind
         self.kind[(a >= 48) & (a <= 57)] = NUMBER
         self.code = np.where(self.kind > 0, mix(self.kind.astype(U64) + U64(77)), self.value)
+        self.broken = (self.kind == NAME) & line[some]
+        self.by_line = np.where(self.broken, self.value, self.code)
         self.first = np.searchsorted(self.doc, np.arange(len(w.first)))
+        self.lines = np.concatenate([[0], np.cumsum(self.broken)])
         self.power = np.concatenate([np.ones(1, U64), np.cumprod(np.full(len(start), UP))])
 
     def windows(self, size: int) -> np.ndarray:
@@ -78,13 +109,17 @@ class Tokens:
         i = np.arange(max(len(self.code) - size + 1, 0))
         return i[self.doc[i] == self.doc[i + size - 1]]
 
+    def wrapped(self, i: np.ndarray, size: int) -> np.ndarray:
+        """The windows that can be read in two ways."""
+        return i[self.lines[i + size] > self.lines[i]]
+
     def sums(self, code: np.ndarray) -> np.ndarray:
-        """Running sums of these codes, each times its place's power, for hashes()."""
+        """Running sums of codes, each times its place's power, for hashes()."""
         return np.concatenate([np.zeros(1, U64), np.cumsum(code * np.cumprod(np.full(len(code), DOWN)))])
 
-    def hashes(self, sums: np.ndarray, i: np.ndarray, size: int) -> np.ndarray:
-        """Hash of the window at each i, whatever its place."""
-        return mix((sums[i + size] - sums[i]) * self.power[i + 1] + U64(size))
+    def hashes(self, sums: np.ndarray, i: np.ndarray, size: int, change: np.ndarray | U64 = U64(0)) -> np.ndarray:
+        """Hash of the window at each i, whatever its place; change is added to the code of its first token."""
+        return mix((sums[i + size] - sums[i]) * self.power[i + 1] + change + U64(size))
 
 
 class Windows:
@@ -114,22 +149,31 @@ class Index:
         t = Tokens(pa.array(texts, pa.string()))
         self.value = t.value
         size = np.diff(t.first)
-        plain = np.concatenate([[0], np.cumsum(t.kind == 0)])
-        words, template = t.sums(t.value), t.sums(t.code)
+        words = t.sums(t.value)
+        readings = [(code, t.sums(code), np.concatenate([[0], np.cumsum(code == t.value)])) for code in (t.code, t.by_line)]
+        name = mix(np.array([NAME + 77], U64))[0]
         self.by_size = {}
         for n in sorted({window, *size[(size > 0) & (size < window)].tolist()}):
             i = t.windows(n)
             i = i[size[t.doc[i]] == n] if n < window else i
-            good = i[plain[i + n] - plain[i] >= min(literals, n)]
-            self.by_size[n] = Windows(t.hashes(words, i, n), i, t.doc[i]), Windows(t.hashes(template, good, n), good, t.doc[good])
+            at, h = [], []
+            for own, (code, sums, plain) in zip((i, t.wrapped(i, n)), readings, strict=True):
+                good = own[plain[own + n] - plain[own] >= min(literals, n)]
+                # What stands before the first word isn't the item's own: it is also taken as a name, or as none.
+                turned = good[t.capital[good] & ((code[good] == name) | (t.kind[good] == 0))]
+                change = np.where(code[turned] == name, t.value[turned], name) - code[turned]
+                at += [good, turned]
+                h += [t.hashes(sums, good, n), t.hashes(sums, turned, n, change)]
+            at, h = np.concatenate(at), np.concatenate(h)
+            self.by_size[n] = Windows(t.hashes(words, i, n), i, t.doc[i]), Windows(h, at, t.doc[at])
 
     def alignments(self, t: Tokens) -> Iterator[tuple[int, int, bool, int, int]]:
         """(text, item, exact, tokens, first token) of each copy and each consistent alignment."""
         found = []
-        words, template = t.sums(t.value), t.sums(t.code)
+        words, template, by_line = (t.sums(code) for code in (t.value, t.code, t.by_line))
         for n, own in self.by_size.items():
-            at = t.windows(n)
-            for other, sums in enumerate((words, template)):
+            every = t.windows(n)
+            for other, sums, at in ((0, words, every), (1, template, every), (1, by_line, t.wrapped(every, n))):
                 i, item, there = own[other].find(at, t.hashes(sums, at, n))
                 found.append((t.doc[i], item, i - there, i, np.full(len(i), other), np.full(len(i), n)))
         doc, item, shift, i, other, n = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 6

@@ -1,4 +1,6 @@
-from fringeline.llm.decontamination import clean, contaminated
+import numpy as np
+
+from fringeline.llm.decontamination import clean, contaminated, lower
 
 from .cases import SCHEMA, empty, table
 
@@ -53,3 +55,25 @@ def test_items_with_few_plain_words(spark):
     texts = [f"so. {x} there" for x in items] + ["Compute 14 plus 30"]
     got = {(r.doc_id, r.item_id): r.kind for r in contaminated(table(spark, texts + ["f"] * 8), bench(spark, items)).collect() if r.doc_id is not None}
     assert got == {(i, i): "exact" for i in range(4)}
+
+
+def test_copies_in_other_case_and_place(spark):
+    items = ["How many small red apples are left in the old box?", ITEM, "Señora Íñigo Ñuñez of Ávila asks Ömer and Zoë about Łódź", "How many small red apples are left after 9 days?"]
+    texts = ["Problem " + items[0], "Problem\n" + items[0], ITEM.upper(), ITEM.lower(), items[2].upper(), items[2].lower()]
+    changed = ["Problem " + items[3].replace("9", "7"), "Problem\n" + items[3].replace("9", "7"), CHANGED.replace(" Denver", "\nDenver")]
+    got = {(r.doc_id, r.item_id): r.kind for r in contaminated(table(spark, texts + changed + ["f"] * 8), bench(spark, items)).collect() if r.doc_id is not None}
+    assert got == {(k, i): "exact" for k, i in enumerate((0, 0, 1, 1, 2, 2))} | {(k, i): "reparameterised" for k, i in ((6, 3), (7, 3), (8, 1))}
+
+
+def test_upper_cased_copy_is_required(spark):
+    items = ["seven small words make this whole item", "seven small words make this whole item", ITEM, None]
+    df = table(spark, ["x seven small, words make this (whole) item y", ITEM.upper(), None, "", "z" * 5000] + ["f"] * 8)
+    assert {(r.doc_id, r.item_id) for r in contaminated(df, bench(spark, items), block_bytes=50).collect() if r.doc_id is not None} == {(0, 0), (0, 1), (1, 2)}
+
+
+def test_lower_case_is_that_of_python():
+    text = "".join(c for c in map(chr, range(0x20, 0x10000)) if not 0xD800 <= ord(c) < 0xE000)
+    want = "".join(x if len(x := c.lower()) == 1 and len(x.encode()) == len(c.encode()) else c for c in text)
+    data = np.frombuffer(text.encode(), np.uint8).copy()
+    lower(data)
+    assert data.tobytes().decode() == want
