@@ -17,15 +17,12 @@ from fringeline.llm.queries import VOCAB_FILE
 from fringeline.llm.sentencepiece_codec import encode
 from fringeline.llm.shared import written
 
-#: Least posterior of a document's language.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is determined; null texts and texts without a letter go."""
     models = learn(docs, vocab_file=VOCAB_FILE)
     known = identify(docs, models, vocab_file=VOCAB_FILE, pred_column="__lang", score_column="__score")
-    return known.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    return known.where(F.col("__lang") != UNDETERMINED).select(docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,16 @@ def test_stages_against_plain_rules(spark, tmp_path):
     assert got == {i: model.encode(t) for i, t in kept}
 
 
+def test_texts_of_words_of_several_languages_stay(spark, tmp_path):
+    shared = "radio metro hotel"
+    rows = [(100 * k + i, f"{own} {shared} {own}", lang, "s", 0) for k, (lang, own) in enumerate((("de", "und nicht auch"), ("en", "the which with"), ("es", "los pero como"))) for i in range(30)]
+    rows += [(1000, shared, None, "s", 0), (1001, "12 34", None, "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    models = corpus_pipeline.learn(df, vocab_file=queries.VOCAB_FILE)
+    assert corpus_pipeline.identify(df, models, vocab_file=queries.VOCAB_FILE).where("doc_id = 1000").first()["score"] < 0.5
+    assert {r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()} == {r[0] for r in rows} - {1001}
+
+
 def test_columns_between_stages():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
