@@ -207,10 +207,10 @@ def covered(i: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def indices(benchmark: DataFrame, *, window: int, literals: int, block_bytes: int) -> Iterator[Index]:
     """The benchmark in blocks of bounded size, by a hash of item_id."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     for b in range(blocks):
-        own = sorted(rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())
+        own = sorted(rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
         yield Index([r["item_id"] for r in own], [r["text"] for r in own], window, literals)
 
 
@@ -218,7 +218,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     """Alignments of texts with items: doc_id, item_id, kind (exact or reparameterised), n_tokens, first_word.
 
     A pair has one row, for its longest alignment (first by place, exact first).  Null and empty texts on either side
-    match nothing; repeated rows give repeated results; columns but doc_id, text and item_id, text are ignored; an
+    match nothing; an item with a null id is one like others, reported with a null item_id; repeated rows give repeated
+    results; columns but doc_id, text and item_id, text are ignored; an
     empty benchmark gives no rows.  Windows with fewer than `literals` plain words
     match copies only.
     """

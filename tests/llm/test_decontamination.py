@@ -77,3 +77,10 @@ def test_lower_case_is_that_of_python():
     data = np.frombuffer(text.encode(), np.uint8).copy()
     lower(data)
     assert data.tobytes().decode() == want
+
+
+def test_items_with_a_null_id(spark):
+    items = spark.createDataFrame([(None, ITEM), (None, "seven small words make this whole item"), (3, "another item that has no copy here"), (None, None)], "item_id long, text string")
+    df = table(spark, ["a " + ITEM, "x seven small words make this whole item", "clean text"] + ["f"] * 8)
+    assert {(r.doc_id, r.item_id, r.kind) for r in contaminated(df, items).collect() if r.doc_id is not None} == {(0, None, "exact"), (1, None, "exact")}
+    assert {r.doc_id for r in clean(df, items, block_bytes=50).collect()} == {None, *range(2, 11)}
