@@ -123,15 +123,8 @@ class BitSketches:
         return out
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
-    """Documents linked where the Jaccard similarity of their sets of word shingles is at least n/d.
-
-    A-Z count as a-z.  Returns for each input row: doc_id, n_shingles, class_id (smallest doc_id with the same set)
-    and component_id (smallest doc_id reachable by links, itself included).  A text of fewer words than a shingle
-    has one shingle of all of them; null and empty texts have none and link with nothing.  Rows of one doc_id are
-    one document, which has the links of each of its texts; rows with a null doc_id link with nothing, and their
-    class_id and component_id are null.  Extra columns are ignored.  An empty table gives an empty one.
-    """
+def set_rows(docs: DataFrame, shingle: int, similarity: tuple[int, int], bucket_bytes: int) -> DataFrame:
+    """ROWS, written: each input row's class, and of rows that stand for a class and may have a partner the set and sketches."""
     n, d = similarity
     buckets = X.bucket_count(docs, bucket_bytes)
     texts = X.in_buckets(docs, buckets)
@@ -225,26 +218,47 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int,
     classes = X.answers(asked, 0, [U64, U64, np.int64], least_of)
     tried = texts.groupBy("t").cogroup(classes.groupBy("t")).applyInArrow(segments, X.ASK)
     shared = X.answers(tried, 1, [U64, bool], is_shared)
-    rows = written(texts.groupBy("t").cogroup(classes.unionByName(shared).groupBy("t")).applyInArrow(kept, ROWS), "sets")
-
-    some = rows.where(F.size("segments") > 0)
+    return written(texts.groupBy("t").cogroup(classes.unionByName(shared).groupBy("t")).applyInArrow(kept, ROWS), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sets reach the similarity."""
 
-        side = lambda name, col: some.select(F.col("doc_id").alias(name), F.col("shingles").alias(col))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-        return both.where(F.col("i") * d >= (F.size("x") + F.size("y") - F.col("i")) * n).select("a", "b")
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
+    """Documents linked where the Jaccard similarity of their sets of word shingles is at least n/d.
 
+    A-Z count as a-z.  Returns for each input row: doc_id, n_shingles, class_id (smallest doc_id with the same set)
+    and component_id (smallest doc_id reachable by links, itself included).  A text of fewer words than a shingle
+    has one shingle of all of them; null and empty texts have none and link with nothing.  Rows of one doc_id are
+    one document, which has the links of each of its texts; rows with a null doc_id link with nothing, and their
+    class_id and component_id are null.  Extra columns are ignored.  An empty table gives an empty one.
+    """
+    n, d = similarity
+    rows = set_rows(docs, shingle, similarity, bucket_bytes)
+    some = rows.where(F.size("segments") > 0)
     best = written(stars(some), "pairs")
-    found = written(verified(best), "links")
+    found = written(verified(some, best, n, d), "links")
     roots = written(components(found), "roots")
     rest = written(crossing(some.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left"), best, n, d), "pairs")
-    links = found.unionByName(verified(rest))
+    links = found.unionByName(verified(some, rest, n, d))
     root = components(links)
     return rows.select("doc_id", "n_shingles", "class_id").join(root.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 
 
+def links(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
+    """Every link (a, b), a > b, between documents that stand for their class (class_id = doc_id) in near_duplicates()."""
+    n, d = similarity
+    rows = set_rows(docs, shingle, similarity, bucket_bytes)
+    some = rows.where(F.size("segments") > 0)
+    pairs = written(crossing(some.withColumn("root", F.col("doc_id")), some.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), n, d), "pairs")
+    return verified(some, pairs, n, d).distinct()
+
+
+def verified(some: DataFrame, pairs: DataFrame, n: int, d: int) -> DataFrame:
+    """Pairs (a, b) whose sets reach the similarity."""
+
+    side = lambda name, col: some.select(F.col("doc_id").alias(name), F.col("shingles").alias(col))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("i") * d >= (F.size("x") + F.size("y") - F.col("i")) * n).select("a", "b")
+
+
 def packed_words(words: DataFrame, ranges: int) -> DataFrame:
     """Segment words with doc_id, mark and n_shingles, packed by key range."""
 

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 
 from fringeline.llm.components import components
-from fringeline.llm.jaccard_join import BitSketches, bit_sketch, near_duplicates, sketches
+from fringeline.llm.jaccard_join import BitSketches, bit_sketch, links, near_duplicates, sketches
 
-from .cases import LOWER, empty, table, words
+from .cases import LOWER, empty, made_texts, table, words
 
 
 def shingles(text, size=5):
@@ -70,3 +70,13 @@ def test_components_of_chains_and_stars(spark):
 
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_every_link_between_classes(spark):
+    texts = made_texts() + [" ".join(f"v{i}" for i in range(a, a + 60)) for a in (0, 1, 2, 4, 7, 12, 19)]
+    df = table(spark, texts)
+    stand = {r.doc_id for r in near_duplicates(df).collect() if r.doc_id is not None and r.doc_id == r.class_id}
+    sets = {i: shingles(texts[i]) for i in stand}
+    want = {(i, j) for i, a in sets.items() for j, b in sets.items() if i > j and a and b and 4 * len(a & b) >= 3 * len(a | b)}
+    got = [tuple(r) for r in links(df, bucket_bytes=5000).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 12
