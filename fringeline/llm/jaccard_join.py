@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int,
     found = written(verified(some, best, n, d), "links")
     roots = written(components(found), "roots")
     rest = written(crossing(some.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left"), best, n, d), "pairs")
-    links = found.unionByName(verified(some, rest, n, d))
+    links = found.unionByName(verified(some, rest, n, d)).unionByName(same_id(rows))
     root = components(links)
     return rows.select("doc_id", "n_shingles", "class_id").join(root.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 
@@ -259,6 +259,12 @@ def verified(some: DataFrame, pairs: DataFrame, n: int, d: int) -> DataFrame:
     return both.where(F.col("i") * d >= (F.size("x") + F.size("y") - F.col("i")) * n).select("a", "b")
 
 
+def same_id(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows of one doc_id that have different sets."""
+    least = rows.where("class_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("most"))
+    return rows.select("doc_id", F.col("class_id").alias("a")).join(least.where("b < most").select("doc_id", "b"), "doc_id").where("a > b").select("a", "b").distinct()
+
+
 def packed_words(words: DataFrame, ranges: int) -> DataFrame:
     """Segment words with doc_id, mark and n_shingles, packed by key range."""
 
@@ -313,19 +319,23 @@ def crossing(words: DataFrame, known: DataFrame, n: int, d: int, block: int = 10
         if not len(ids):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         docs, local = np.unique(ids, return_inverse=True)
-        sketch_of = dict(zip(sketches["doc_id"].to_pylist(), sketches["bits"].to_pylist(), strict=True))
-        bits = BitSketches([sketch_of[i] for i in docs.tolist()])
-        sizes = np.zeros(len(docs), np.int64)
-        sizes[local] = size
+        sketch_of: dict[int, set[bytes]] = {}
+        for i, b in zip(sketches["doc_id"].to_pylist(), sketches["bits"].to_pylist(), strict=True):
+            sketch_of.setdefault(i, set()).add(b)
+        bits = BitSketches([min(sketch_of[i]) for i in docs.tolist()])
+        sizes, least = np.zeros(len(docs), np.int64), np.full(len(docs), LAST)
+        np.maximum.at(sizes, local, size)
+        np.minimum.at(least, local, size)
+        several = (sizes > least) | np.fromiter((len(sketch_of[i]) > 1 for i in docs.tolist()), bool, len(docs))  # ids of different texts: no filter
         total = len(docs)
 
         def doubtful(parts: list[np.ndarray]) -> np.ndarray:
             code = np.unique(np.concatenate(parts))
             p, q = np.divmod(code, total)
-            return code[(d + n) * bits.differences(p, q) <= (d - n) * (sizes[p] + sizes[q])]
+            return code[several[p] | several[q] | ((d + n) * bits.differences(p, q) <= (d - n) * (sizes[p] + sizes[q]))]
 
         mixed = np.flatnonzero(np.minimum.reduceat(mark, start[:-1]) != np.maximum.reduceat(mark, start[:-1]))
-        members = np.stack([np.add.reduceat(mix(ids.astype(U64) + U64(c)), start[:-1])[mixed] for c in (3, 5)], 1)
+        members = np.stack([np.add.reduceat(mix(mix(ids.astype(U64) + U64(c)) + size.astype(U64)), start[:-1])[mixed] for c in (3, 5)], 1)
         mixed = mixed[np.unique(members, axis=0, return_index=True)[1]]
         made, waiting, count = [np.zeros(0, np.int64)], [], 0
         for g in mixed.tolist():

@@ -72,6 +72,20 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_different_texts_of_one_id(spark):
+    def say(name, lo, hi):
+        return " ".join(f"{name}{i}" for i in range(lo, hi))
+
+    texts = [say("p", 0, 60), say("q", 0, 30), say("p", 2, 62), say("r", 0, 45), say("q", 1, 31), say("r", 1, 46), say("s", 0, 40), say("r", 2, 47), say("q", 2, 32), say("t", 0, 9)]
+    ids = [5, 5, 1, 7, 3, 2, 9, 9, 11, 4]
+    more = [(20, say("x", 0, 50)), (20, say("y", 0, 20)), (21, say("x", 0, 50)), (22, say("y", 0, 20)), (23, ""), (23, say("z", 0, 8)), (10, say("z", 0, 8))]
+    for turn in (1, -1):
+        rows = [*zip(ids, texts, strict=True), *more][::turn]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect())
+        assert got == Counter(plain(rows))
+
+
 def test_every_link_between_classes(spark):
     texts = made_texts() + [" ".join(f"v{i}" for i in range(a, a + 60)) for a in (0, 1, 2, 4, 7, 12, 19)]
     df = table(spark, texts)
