@@ -7,12 +7,14 @@ once; the ranges found are the edges of the lattice, which are put in the order
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 SPACE = "▁"
-CELLS = 1 << 20
+#: Code points of the words that are searched together.
+CELLS = 1 << 18
 
 
 @dataclass
@@ -25,6 +27,13 @@ class Vocabulary:
     byte: np.ndarray  # id of each byte
     longest: int
 
+    def __post_init__(self):
+        text = [self.pieces[i] for i in self.ids.tolist()]
+        self.length = np.fromiter(map(len, text), np.int64, len(text))
+        self.letters = np.zeros((len(text), self.longest), np.int32)  # code points of each ordinary piece
+        row = np.repeat(np.arange(len(text)), self.length)
+        self.letters[row, ranges(np.zeros(len(text), np.int64), self.length)] = np.fromiter(map(ord, "".join(text)), np.int32)
+
     @property
     def size(self) -> int:
         return len(self.pieces)
@@ -55,61 +64,103 @@ def _read(path: str) -> Vocabulary:
     return Vocabulary(pieces, ids, rank.astype(np.int64), byte, max(len(pieces[i]) for i in ids.tolist()))
 
 
+@dataclass
+class Runs:
+    """Words, or parts of words, as code points end to end."""
+
+    code: np.ndarray
+    length: np.ndarray
+
+    def __post_init__(self):
+        self.start = np.cumsum(self.length) - self.length
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+    def one(self, i: int) -> np.ndarray:
+        return self.code[self.start[i] : self.start[i] + self.length[i]]
+
+    def some(self, which: np.ndarray) -> Runs:
+        size = self.length[which]
+        return Runs(self.code[ranges(self.start[which], size)], size)
+
+    def in_cells(self, cells: int = CELLS) -> Iterator[tuple[int, Runs]]:
+        """Parts of about so many code points, so a lattice stays small; with the number of each part's first word."""
+        part = (np.cumsum(self.length + 1) - 1) // cells
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(self))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield a, Runs(self.code[self.start[a] : self.start[b - 1] + self.length[b - 1]], self.length[a:b])
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, size of them, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def joined(words: list[np.ndarray]) -> Runs:
+    return Runs(np.concatenate([np.zeros(0, np.int64), *words]), np.fromiter(map(len, words), np.int64, len(words)))
+
+
 class Lattice:
-    """piece[position, length - 1]: id of the piece there, or -1, for words given as code points."""
+    """piece[position, length - 1]: id of the piece there, or -1; a word's positions are start to start + length."""
 
-    def __init__(self, words: list[np.ndarray], vocab: Vocabulary):
-        self.length = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, words: Runs, vocab: Vocabulary):
+        self.length = words.length
         self.start = np.cumsum(self.length + 1) - self.length - 1
         n = int((self.length + 1).sum())
         code = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[self.start + self.length] = False
-        code[inside] = np.concatenate(words) if words else 0
+        code[inside] = words.code
         self.code = code
         longest = vocab.longest
-        letters, own = np.unique(code, return_inverse=True)  # the end mark is 0, and so the least
-        if letters[0] != 0 if len(letters) else False:
-            letters, own = np.append(0, letters), own + 1
+        self.piece = np.full((n, longest), -1, np.int32)
+        if not n:
+            return
+        number = np.zeros(0x110000, np.int32)  # of each letter that occurs; the end mark has 0
+        number[code] = 1
+        letters = np.flatnonzero(number)
+        number[letters] = np.arange(len(letters))
         bits = max(1, int(len(letters)).bit_length())
         per = max(1, 63 // bits)
         blocks = -(-longest // per)
         padded = np.zeros(n + per * blocks + 1, np.int64)
-        padded[:n] = own
+        padded[:n] = number[code]
         key = np.zeros(n + per * blocks + 1 - per, np.int64)
         for i in range(per):
             key = (key << bits) | padded[i : i + len(key)]
         keys = [key[per * b : per * b + n] for b in range(blocks)]
-        array = np.lexsort(keys[::-1]) if blocks > 1 else np.argsort(keys[0], kind="stable")
-        self.piece = np.full((n, longest), -1, np.int32)
-        if not n:
-            return
+        array = np.argsort(keys[0])
+        own = keys[0][array]
+        tie = np.zeros(n, bool)
+        tie[1:] = own[1:] == own[:-1]
+        tie[:-1] |= tie[1:]
+        if blocks > 1:
+            tied = array[tie]
+            array[tie] = tied[np.lexsort([k[tied] for k in keys[::-1]])]
         # pieces whose letters all occur, as keys of the same form: the least and the greatest suffix they start
-        text = [vocab.pieces[i] for i in vocab.ids.tolist()]
-        size = np.fromiter(map(len, text), np.int64, len(text))
-        flat = np.fromiter(map(ord, "".join(text)), np.int64)
-        first = np.cumsum(size) - size
-        at = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
-        known = np.logical_and.reduceat(letters[at] == flat, first)
-        grid = np.zeros((len(text), per * blocks), np.int64)
-        row = np.repeat(np.arange(len(text)), size)
-        column = np.arange(len(flat)) - first[row]
-        grid[row, column] = at
-        grid, size, ids = grid[known], size[known], vocab.ids[known]
-        tail = np.arange(per * blocks)[None, :] >= size[:, None]
+        number[0], inside = 0, vocab.letters > 0
+        grid = number[vocab.letters]
+        known = ((grid > 0) | ~inside).all(1)
+        grid, size, ids = grid[known].astype(np.int64), vocab.length[known], vocab.ids[known]
         sides = []
         for fill in (0, (1 << bits) - 1):
-            full = np.where(tail, fill, grid)
-            own_keys = []
+            full = np.full((len(grid), per * blocks), fill, np.int64)
+            full[:, :longest][inside[known]] = grid[inside[known]]
+            want = []
             for b in range(blocks):
                 k = np.zeros(len(full), np.int64)
                 for i in range(per):
                     k = (k << bits) | full[:, per * b + i]
-                own_keys.append(k)
-            sides.append(_bisect(keys, array, own_keys, fill > 0))
+                want.append(k)
+            at = np.searchsorted(own, want[0], "right" if fill else "left")
+            long = np.flatnonzero(size > per)  # their first letters alone don't tell
+            at[long] = _bisect(keys, array, [k[long] for k in want], fill > 0)
+            sides.append(at)
         low, count = sides[0], sides[1] - sides[0]
         edge = np.repeat(np.arange(len(ids)), count)
-        where = array[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(edge))]
+        where = array[ranges(low, count)]
         self.piece.reshape(-1)[where * longest + size[edge] - 1] = ids[edge]  # scattered into the order of positions
 
 
@@ -130,16 +181,3 @@ def _bisect(keys: list[np.ndarray], array: np.ndarray, want: list[np.ndarray], r
         if right:
             before |= equal
         low, high = np.where(open_ & before, middle + 1, low), np.where(open_ & ~before, middle, high)
-
-
-def in_cells(words: list[np.ndarray], cells: int = CELLS) -> list[list[np.ndarray]]:
-    """Lists of words of about that many code points together, so a lattice stays small."""
-    out: list[list[np.ndarray]] = []
-    size = cells
-    for w in words:
-        if size + len(w) + 1 > cells:
-            out.append([])
-            size = 0
-        out[-1].append(w)
-        size += len(w) + 1
-    return out
