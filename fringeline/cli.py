@@ -1,14 +1,18 @@
-"""Command line: correlate an experiment, look into frame files, compare results.
+"""Command line: correlate an experiment, look into frame files, compare, zoom, export and import.
 
-    python -m fringeline.cli correlate --experiment DIR --media DIR --output DIR
+    python -m fringeline.cli correlate --experiment DIR --media DIR --output DIR [--set FILE.SECTION.KEY=VALUE ...]
     python -m fringeline.cli vdif-info FILE... [--skip N] [--limit N] [--summary]
-    python -m fringeline.cli compare DIR DIR
-    python -m fringeline.cli zoom DIR --channels f:bw,... --zooms f:bw,... --fft N --average N --output DIR
+    python -m fringeline.cli compare DIR DIR [--most X]
+    python -m fringeline.cli zoom DIR --channels f:bw,... --zooms f:bw,... --fft N --average N --output DIR [--periods N,...]
+    python -m fringeline.cli export RESULTS --experiment DIR --output DIR [--conjugate] [--divide X]
+    python -m fringeline.cli text RESULTS --experiment DIR --output DIR
+    python -m fringeline.cli import --input FILE --im FILE --output DIR [--source NAME ...]
 """
 
 from __future__ import annotations
 
 import argparse
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,31 +20,47 @@ from pyspark.sql import functions as F
 
 from fringeline.operators import align, delays, fx, post
 from fringeline.sources import experiment as ex
-from fringeline.sources import vdif
+from fringeline.sources import results, vdif
+from fringeline.sources.folders import local_path, removed, shared_folder
 
 
 def frames_of(spark: SparkSession, e: ex.Experiment, media_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Frames of all media files with station, fs and time, and the media table."""
+    """Frames of all media files with station, fs and time (from the scan's first midnight on), and the media table."""
     media = ex.media_table(spark, e)
     files = media.select("name", "station", "fs").distinct()
     frames = vdif.read_frames(spark, [f"{media_dir}/{n}" for n in e.media])
-    named = frames.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(files), "name")
-    return vdif.with_time(named, F.col("fs")), media
+    named = ex.described(frames.withColumn("name", F.element_at(F.split("file", "/"), -1)), files, "name")
+    return vdif.with_time(named, F.col("fs"), mjd_start=e.mjd_start), media
 
 
-def correlated(spark: SparkSession, e: ex.Experiment, media_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Visibilities, calibration tones and stream statistics of an experiment."""
+def chunks_of(spark: SparkSession, e: ex.Experiment, media_dir: str) -> DataFrame:
     frames, media = frames_of(spark, e, media_dir)
-    blocks = spark.range(e.blocks).select(F.col("id").cast("int").alias("block"), F.lit(e.mjd_start).alias("mjd"), (F.lit(e.start) + F.col("id") * e.period).alias("sec"))
-    polys = delays.relative(delays.block_polynomials(blocks, ex.delay_table(spark, e), ex.clock_table(spark, e)))
-    good = align.aligned(frames, polys, start=e.start, period=e.period, blocks=e.blocks)
-    chunks = align.chunks(good, media)
-    vis = fx.correlate(chunks, fft_size=e.fft_size, period=e.period, hanning=e.window == "hanning")
-    if not e.autos:
-        vis = vis.where("floor(sp0 / 2) <> floor(sp1 / 2)")
-    if not e.cross_polarisation:
-        vis = vis.where("sp0 % 2 = sp1 % 2")
-    return vis, fx.calibration(chunks), fx.stream_statistics(chunks)
+    polys = delays.relative(delays.block_polynomials(ex.block_table(spark, e), ex.delay_table(spark, e), ex.clock_table(spark, e)))
+    return align.chunks(align.aligned(frames, polys, start=e.start, period=e.period, blocks=e.blocks), media)
+
+
+def correlated(chunks: DataFrame, e: ex.Experiment) -> dict[str, DataFrame]:
+    """Visibilities, stream statistics, dismissed streams' blocks and, if asked for, calibration tones of aligned chunks."""
+    streams = len({(e.stations[m["station"]]["id"], p) for m in e.media.values() for p in m["polarizations"]})
+    out = {
+        "visibilities": fx.correlate(chunks, fft_size=e.fft_size, period=e.period, hanning=e.window == "hanning", autos=e.autos, cross_polarisation=e.cross_polarisation),
+        "statistics": fx.stream_statistics(chunks),
+        "dismissed": fx.dismissed(chunks, streams),
+        "metadata": results.metadata(chunks, period=e.period),
+    }
+    return out | {"calibration": fx.calibration(chunks)} if e.calibration else out
+
+
+def exported(spark: SparkSession, e: ex.Experiment, folder: str, output: str, *, conjugate: bool = False, divide: float = 1.0) -> None:
+    vis = spark.read.parquet(f"{folder}/visibilities")
+    media = ex.media_table(spark, e)
+    bands = media.groupBy("channel").agg(F.max("freq_hz").alias("f"), (F.max("fs") / 2).alias("bw"), F.max("f_pcal").alias("f_pcal"))  # of real samples
+    tones = spark.read.parquet(f"{folder}/calibration") if e.calibration else None
+    if tones is not None:
+        size = tones.groupBy("channel").agg((F.max("k") + 1).alias("n"))
+        bands = bands.where("f_pcal > 0").join(F.broadcast(size), "channel")
+    first = bands.first()
+    results.export(vis, tones if first else None, bands, ex.clock_table(spark, e).select("station", "name"), output, mjd=e.mjd_start, start=e.start, period=e.period, n_bands=media.select("channel", "pol").distinct().count(), n_tones=int(-(-first["bw"] // first["f_pcal"])) if first and tones is not None else 0, conjugate=conjugate, divide=divide)
 
 
 def bands(text: str, name: str, spark: SparkSession) -> DataFrame:
@@ -48,7 +68,7 @@ def bands(text: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"{name} int, f double, bw double")
 
 
-def main(args: list[str] | None = None) -> None:
+def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="what", required=True)
     c = sub.add_parser("correlate")
@@ -63,27 +83,74 @@ def main(args: list[str] | None = None) -> None:
     d = sub.add_parser("compare")
     d.add_argument("a")
     d.add_argument("b")
+    d.add_argument("--most", type=float)
     z = sub.add_parser("zoom")
     z.add_argument("results")
     z.add_argument("--channels", required=True)
     z.add_argument("--zooms", required=True)
     z.add_argument("--fft", type=int, required=True)
     z.add_argument("--average", type=int, default=1)
+    z.add_argument("--periods")
     z.add_argument("--output", required=True)
-    a = parser.parse_args(args)
+    e = sub.add_parser("export")
+    t = sub.add_parser("text")
+    for p in (e, t):
+        p.add_argument("results")
+        p.add_argument("--experiment", required=True)
+        p.add_argument("--output", required=True)
+    e.add_argument("--conjugate", action="store_true")
+    e.add_argument("--divide", type=float, default=1.0)
+    for p in (c, e, t):
+        p.add_argument("--set", action="append", default=[], metavar="FILE.SECTION.KEY=VALUE")
+    m = sub.add_parser("import")
+    m.add_argument("--input", required=True)
+    m.add_argument("--im", required=True)
+    m.add_argument("--source", action="append")
+    m.add_argument("--output", required=True)
+    return parser
+
+
+def main(args: list[str] | None = None) -> None:
+    a = arguments().parse_args(args)
     spark = SparkSession.builder.getOrCreate()
+    e = ex.load(spark, a.experiment, dict(x.split("=", 1) for x in a.set)) if "experiment" in a else None
     if a.what == "correlate":
-        for name, df in zip(("visibilities", "calibration", "statistics"), correlated(spark, ex.load(spark, a.experiment), a.media), strict=True):
-            df.write.mode("overwrite").parquet(str(Path(a.output) / name))
+        own = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"  # read by all results, so frames are read once
+        try:
+            chunks_of(spark, e, a.media).write.parquet(own)
+            for name, df in correlated(spark.read.parquet(own), e).items():
+                df.write.mode("overwrite").parquet(str(Path(a.output) / name))
+        finally:
+            removed(spark, own)
     elif a.what == "vdif-info":
         frames = vdif.read_frames(spark, a.files, payload="false")
-        shown = vdif.file_summary(frames) if a.summary else frames.drop("payload").orderBy("file", "offset").offset(a.skip).limit(a.limit)
+        shown = vdif.file_summary(frames) if a.summary else vdif.listing(frames.drop("payload"), ("file", "offset"), skip=a.skip, limit=a.limit)
         shown.show(a.limit, truncate=False)
     elif a.what == "compare":
-        post.difference(spark.read.parquet(a.a), spark.read.parquet(a.b)).show()
+        found = post.difference(spark.read.parquet(a.a), spark.read.parquet(a.b))
+        found.show()
+        r = found.first()
+        if a.most is not None and (r["unmatched"] or r["difference"] > a.most):
+            raise SystemExit(f"{r['unmatched']} coefficients are in one result only, and the difference is {r['difference']}")
+    elif a.what == "zoom":
+        periods = [int(x) for x in a.periods.split(",")] if a.periods else None
+        found = post.zoom(spark.read.parquet(a.results), bands(a.channels, "channel", spark), bands(a.zooms, "zoom", spark), a.fft, periods=periods)
+        post.averaged(found, a.average, ("acc", "zoom", "band", "sp0", "sp1")).write.mode("overwrite").parquet(a.output)
+    elif a.what == "export":
+        exported(spark, e, a.results, a.output, conjugate=a.conjugate, divide=a.divide)
+    elif a.what == "text":
+        meta = spark.read.parquet(f"{a.results}/metadata")
+        channels = ex.media_table(spark, e).agg(F.max("channel")).first()[0] + 1
+        lines = results.text_lines(results.spectra_rows(spark.read.parquet(f"{a.results}/visibilities")), channels, meta)
+        if e.calibration:
+            lines = lines.unionByName(results.tone_lines(spark.read.parquet(f"{a.results}/calibration"), channels, meta))
+        lines.write.mode("overwrite").text(a.output)
     else:
-        found = post.zoom(spark.read.parquet(a.results), bands(a.channels, "channel", spark), bands(a.zooms, "zoom", spark), a.fft)
-        post.averaged(found, a.average, ("acc", "zoom", "sp0", "sp1")).write.mode("overwrite").parquet(a.output)
+        read = lambda p: spark.read.text(p, wholetext=True).first()[0]
+        out = Path(local_path(a.output))
+        out.mkdir(parents=True, exist_ok=True)
+        for name, text in ex.imported(read(a.input), read(a.im), a.source).items():
+            (out / f"{name}.ini").write_text(text)
 
 
 if __name__ == "__main__":

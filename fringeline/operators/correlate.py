@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeline.operators import kernels
@@ -21,11 +21,30 @@ BLOCK = 256
 PARTIAL = "acc int, channel int, sp0 int, sp1 int, n_windows long, re array<double>, im array<double>"
 
 
-def accumulated(streams: DataFrame, *, transform: Callable[[np.ndarray, int, np.ndarray], np.ndarray] | None = None, hanning: bool = False, block: int = BLOCK) -> DataFrame:
+def kept(sp0: np.ndarray, sp1: np.ndarray, autos: bool = True, cross_polarisation: bool = True) -> np.ndarray:
+    """Pairs to form: without those of one station, or those of different polarisations, on demand."""
+    return (autos | (sp0 // 2 != sp1 // 2)) & (cross_polarisation | (sp0 % 2 == sp1 % 2))
+
+
+def pairs(spark: SparkSession, streams: int) -> DataFrame:
+    """Every pair s0 <= s1 of streams, whether it is of one station, and whether of one polarisation."""
+    a = spark.range(streams).select(F.col("id").cast("int").alias("s0"))
+    rows = a.select("s0", F.explode(F.sequence("s0", F.lit(streams - 1))).alias("s1"))
+    kind = F.when(F.floor(F.col("s0") / 2) == F.floor(F.col("s1") / 2), "auto").otherwise("cross")
+    return rows.select("s0", "s1", kind.alias("kind"), F.when(F.col("s0") % 2 == F.col("s1") % 2, "same").otherwise("mixed").alias("pols"))
+
+
+def task_of(s0: Column, s1: Column) -> Column:
+    """The stream whose task forms a pair, so that all tasks have nearly as many and every pair has one."""
+    return F.when((s0 + s1) % 2 == 0, s0).otherwise(s1)
+
+
+def accumulated(streams: DataFrame, *, transform: Callable[[np.ndarray, int, np.ndarray], np.ndarray] | None = None, hanning: bool = False, block: int = BLOCK, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Sums over windows of F_i conj(F_k): acc, channel, sp0 <= sp1, k, re, im, n_windows.
 
     transform(samples (window, n), sp, window numbers) gives the spectra; by default a Fourier transform.  Windows that
-    one of a block's streams lacks are left out for all of its streams, so streams stay aligned.
+    one of a block's streams lacks are left out for all of its streams, so streams stay aligned.  keep(sp0, sp1) tells
+    which pairs are formed; by default all.
     """
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
@@ -44,9 +63,11 @@ def accumulated(streams: DataFrame, *, transform: Callable[[np.ndarray, int, np.
             rows = order[sp[order] == s]
             x = samples[rows]
             out.append(transform(x, s, w[rows]) if transform else kernels.spectra(x.ravel(), x.shape[1], hanning=hanning))
-        acc = kernels.accumulate(np.stack(out))
         i, k = np.triu_indices(len(ids))
-        sums = acc[i, k]
+        if keep is not None:
+            some = keep(ids[i], ids[k])
+            i, k = i[some], k[some]
+        sums = kernels.products(np.stack(out), i, k)
         n = len(i)
         return pa.table({
             "acc": pa.array([key[0].as_py()] * n, pa.int32()), "channel": pa.array([key[1].as_py()] * n, pa.int32()),
@@ -59,12 +80,12 @@ def accumulated(streams: DataFrame, *, transform: Callable[[np.ndarray, int, np.
     return rows.groupBy("acc", "channel", "sp0", "sp1", "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"), F.sum("n_windows").alias("n_windows"))
 
 
-def normalised(acc: DataFrame) -> DataFrame:
+def normalised(acc: DataFrame, keys: tuple[str, ...] = ("acc", "channel")) -> DataFrame:
     """re and im divided by the geometric mean of the streams' total powers; null where a stream has none."""
-    power = acc.where("sp0 = sp1").groupBy("acc", "channel", F.col("sp0").alias("sp")).agg(F.sum(F.hypot("re", "im")).alias("p"))
+    power = acc.where("sp0 = sp1").groupBy(*keys, F.col("sp0").alias("sp")).agg(F.sum(F.hypot("re", "im")).alias("p"))
     a, b = power.withColumnRenamed("sp", "sp0").withColumnRenamed("p", "p0"), power.withColumnRenamed("sp", "sp1").withColumnRenamed("p", "p1")
     scale = F.sqrt(F.nullif(F.col("p0") * F.col("p1"), F.lit(0.0)))
-    return acc.join(a, ["acc", "channel", "sp0"]).join(b, ["acc", "channel", "sp1"]).withColumn("re", F.col("re") / scale).withColumn("im", F.col("im") / scale).drop("p0", "p1")
+    return acc.join(a, [*keys, "sp0"]).join(b, [*keys, "sp1"]).withColumn("re", F.col("re") / scale).withColumn("im", F.col("im") / scale).drop("p0", "p1")
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:

@@ -21,14 +21,43 @@ def moved(coeffs: Column, d: Column, order: int) -> Column:
     return out
 
 
+def in_sections(rows: DataFrame, sections: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (mjd, sec, and station if they have one) with the delay section that holds them, and `into`, the seconds since its start.
+
+    Sections are half-open [start_s, end_s) in seconds from their mjd's midnight on, and may go on over the next one.  They
+    are a dimension: a row for each section, source and station of one experiment.
+    """
+    s = sections.select(F.col("mjd").alias("s_mjd"), F.col("station").alias("s_station"), *(c for c in sections.columns if c not in ("mjd", "station")))
+    at = (F.col("mjd") - F.col("s_mjd")) * 86400 + F.col("sec")
+    held = (at >= F.col("start_s")) & (at < F.col("end_s"))
+    if "station" in rows.columns:
+        held &= F.col("station") == F.col("s_station")
+    out = rows.join(F.broadcast(s), held, how)
+    if how == "left_anti":
+        return out
+    out = out.withColumn("into", at - F.col("start_s")).drop("s_mjd")
+    return out.drop("s_station") if "station" in rows.columns else out.withColumnRenamed("s_station", "station")
+
+
+def without_section(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """The rows that no section of their station holds."""
+    return in_sections(rows, sections, "left_anti")
+
+
+def asof(rows: DataFrame, states: DataFrame, keys: tuple[str, ...], at: str, since: str) -> DataFrame:
+    """rows with the last state of their keys that began at or before them, if any; states are a dimension."""
+    until = F.lead(since).over(Window.partitionBy(*keys).orderBy(since))
+    s = states.withColumn("__until", until).select(*(F.col(k).alias(f"__{k}") for k in keys), "__until", *(c for c in states.columns if c not in keys))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(since) <= F.col(at), F.col("__until").isNull() | (F.col(at) < F.col("__until"))]
+    return rows.join(F.broadcast(s), same, "left").drop("__until", *(f"__{k}" for k in keys))
+
+
 def block_polynomials(blocks: DataFrame, sections: DataFrame, clocks: DataFrame) -> DataFrame:
-    """For each block (block, mjd, sec) and station: q0, q1, q2 of the delay and k0, k1 of the clock, in seconds.
+    """For each block (block, mjd, sec), source and station: q0, q1, q2 of the delay and k0, k1 of the clock, in seconds.
 
-    A block without a section for a station has no row for it; sections are half-open [start_s, end_s).
+    A block without a section for a station has no row for it.
     """
-    b = blocks.join(F.broadcast(sections), (blocks.mjd == sections.mjd) & (blocks.sec >= sections.start_s) & (blocks.sec < sections.end_s)).drop(sections.mjd)
-    d = F.col("sec") - F.col("start_s")
-    polys = b.select("block", "mjd", "sec", "source_id", "station", *(moved(F.col("coeffs"), d, i).alias(f"q{i}") for i in range(3)))
+    polys = in_sections(blocks, sections).select("block", "mjd", "sec", "source_id", "station", *(moved(F.col("coeffs"), F.col("into"), i).alias(f"q{i}") for i in range(3)))
     age = (F.col("mjd") + F.col("sec") / 86400 - F.col("clock_ref")) * 86400
     return polys.join(F.broadcast(clocks.select("station", "clock_ref", "c0", "c1")), "station").select("block", "mjd", "sec", "source_id", "station", "q0", "q1", "q2", (F.col("c0") + F.col("c1") * age).alias("k0"), F.col("c1").alias("k1"))
 

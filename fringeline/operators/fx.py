@@ -8,55 +8,73 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringeline.operators import kernels
-from fringeline.operators.correlate import normalised
+from fringeline.operators.correlate import kept, normalised
 
-# The levels of two-bit samples.
-LEVELS = np.array([-3.336, -1.0, 1.0, 3.336])
-MARGIN = 64
-VIS = "acc int, channel int, sp0 int, sp1 int, n_windows long, re array<double>, im array<double>"
-TONES = "acc int, channel int, sp int, n_windows long, re array<double>, im array<double>"
+VIS = "acc int, source_id int, channel int, sp0 int, sp1 int, n_windows long, re array<double>, im array<double>"
+FOLDED = "acc int, source_id int, channel int, sp int, bins int, shift long, n_samples long, re array<double>, im array<double>"
+TONES = "acc int, source_id int, channel int, sp int, n_windows long, re array<double>, im array<double>"
+#: Samples of a run of the calibration fold.
+SPAN = 1 << 20
 
 
-def dequantised(raw: bytes, bits: int, is_complex: bool) -> np.ndarray:
-    """Samples of stored components: the level table for two bits, -1 and 1 for one, else even levels from -1 to 1."""
-    q = np.frombuffer(raw, np.uint8 if bits <= 8 else "<u4")
-    if bits == 2:
-        x = LEVELS[q]
-    else:
-        x = q.astype(float) * 2 / ((1 << bits) - 1) - 1
-    return x[0::2] + 1j * x[1::2] if is_complex else x
+def arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(c, kinds[t]) for c, t in (f.split() for f in schema.split(", "))])
+
+
+def dequantised(raw: bytes, bits: int, is_complex: bool, skip: int = 0, count: int | None = None) -> np.ndarray:
+    """Samples of stored components, without the first `skip`, and at most `count`."""
+    q = kernels.components(raw, bits)
+    per = 2 if is_complex else 1
+    x = kernels.levels(q[skip * per : None if count is None else (skip + count) * per], bits)
+    return kernels.pairs(x[: len(x) // per * per]) if is_complex else x
+
+
+def samples_of(r: dict) -> np.ndarray:
+    return dequantised(r["samples"], r["bits"], r["is_complex"], r.get("skip") or 0, r["n_samples"])
 
 
 class Stream:
-    """Samples of one station and polarisation from number low on; gaps are 0."""
+    """Samples of one station and polarisation for some windows, with a margin for its delay's drift; gaps are 0."""
 
-    def __init__(self, rows: list[dict], low: int, high: int):
+    def __init__(self, rows: list[dict], first: int, end: int, period: float):
         head = rows[0]
-        self.low, self.fs, self.freq, self.side = low, head["fs"], head["freq_hz"], head["sideband"]
+        self.fs, self.freq, self.side = head["fs"], head["freq_hz"], head["sideband"]
         self.is_complex, self.shift = head["is_complex"], head["shift"]
         self.coeffs = np.array([head["d0"], head["d1"], head["d2"]])
-        self.x = np.zeros(high - low, complex if self.is_complex else float)
-        self.have = np.zeros(high - low, bool)
+        margin = kernels.drift(self.coeffs, self.fs, period, self.shift)
+        self.low, high = first - margin, end + margin
+        self.x = np.zeros(high - self.low, complex if self.is_complex else float)
+        self.have = np.zeros(high - self.low, bool)
         for r in rows:
-            x = dequantised(r["samples"], r["bits"], self.is_complex)
-            a, b = max(r["first_sample"], low), min(r["first_sample"] + len(x), high)
+            x = samples_of(r)
+            a, b = max(r["first_sample"], self.low), min(r["first_sample"] + len(x), high)
             if a < b:
-                self.x[a - low : b - low] = x[a - r["first_sample"] : b - r["first_sample"]]
-                self.have[a - low : b - low] = True
+                self.x[a - self.low : b - self.low] = x[a - r["first_sample"] : b - r["first_sample"]]
+                self.have[a - self.low : b - self.low] = True
+
+    def place(self, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Delay at each window's start, and where the whole samples of that delay put its first sample (a slip against the block's)."""
+        d = kernels.delay(self.coeffs, windows * size / self.fs)
+        slip = np.round(d * self.fs).astype(np.int64) - self.shift if np.abs(self.coeffs).max() > 0 else 0
+        return d, windows * size + slip - self.low
+
+    def filled(self, windows: np.ndarray, size: int) -> np.ndarray:
+        """The windows that have a sample."""
+        count = np.concatenate([[0], np.cumsum(self.have)])
+        _, index = self.place(windows, size)
+        return count[index + size] > count[index]
 
     def spectra(self, windows: np.ndarray, size: int, hanning: bool) -> np.ndarray:
-        """Rotated spectra; a window starts where the whole samples of its own delay put it (a slip against the block's)."""
+        """Rotated spectra."""
         lower_complex = self.side == "L" and self.is_complex
-        at = windows * size
-        d = kernels.delay(self.coeffs, at / self.fs)
-        slip = np.where(np.abs(self.coeffs).max() > 0, np.round(d * self.fs) - self.shift, 0).astype(np.int64)
-        index = np.clip(at + slip - self.low, 0, max(len(self.x) - size, 0))
+        d, index = self.place(windows, size)
         x = self.x[index[:, None] + np.arange(size)]
-        turns = (self.freq - self.fs if lower_complex else self.freq) * kernels.delay(self.coeffs, (at[:, None] + np.arange(size)) / self.fs)
+        turns = (self.freq - self.fs if lower_complex else self.freq) * kernels.delay(self.coeffs, (windows[:, None] * size + np.arange(size)) / self.fs)
         x = x * kernels.rotator(turns - np.trunc(turns))
         if hanning:
             x = x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1)))
@@ -67,81 +85,129 @@ class Stream:
         return kernels.fraction_rotate(f, kernels.fraction(d, self.fs), kind, size)
 
 
-def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_task: int = 4096, hanning: bool = False, normalise: bool = True) -> DataFrame:
-    """Visibilities acc, channel, sp0 <= sp1 (station * 2 + pol), k, re, im, n_windows of aligned chunks.
+def off_shift(period: float) -> Column:
+    """kernels.drift() of a chunk's block, as a column."""
+    at = lambda t: F.abs((F.col("d0") + t * (F.col("d1") + t * F.col("d2"))) * F.col("fs") - F.col("shift"))
+    turn = F.least(F.greatest(F.coalesce(F.try_divide(-F.col("d1"), 2 * F.col("d2")), F.lit(0.0)), F.lit(0.0)), F.lit(period))
+    most = F.ceil(F.greatest(at(F.lit(0.0)), at(F.lit(period)), at(turn))) + 2
+    return F.when((F.col("d0") == 0) & (F.col("d1") == 0) & (F.col("d2") == 0), 1).otherwise(most)
+
+
+def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_task: int = 1024, hanning: bool = False, normalise: bool = True, autos: bool = True, cross_polarisation: bool = True) -> DataFrame:
+    """Visibilities acc, source_id, channel, sp0 <= sp1 (station * 2 + pol), k, re, im, n_windows of aligned chunks.
 
     Real streams use 2 fft_size samples a window and keep their half of the band, complex ones fft_size.  Windows that
-    a stream has no sample of are left out for all pairs of that run; partly filled ones count with zeros.
+    a stream has no sample of are left out for all pairs of that run; partly filled ones count with zeros.  A run holds
+    so many samples beside its windows as the delay drifts in its block, so a drift of any size is followed.  Pairs that
+    are not wanted are not multiplied, but for the autos that the normaliser needs.
     """
     size = F.when(F.col("is_complex"), fft_size).otherwise(2 * fft_size)
     span = size * windows_per_task
     last = F.col("first_sample") + F.col("n_samples") - 1
-    # a chunk goes to every run that its samples, with the margin for slips, touch
-    run = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("first_sample") - MARGIN) / span)), F.greatest(F.lit(0), F.floor((last + MARGIN) / span))))
+    # a chunk goes to every run whose windows, wherever the drift puts them, touch its samples
+    run = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("first_sample") - F.col("drift")) / span)), F.greatest(F.lit(0), F.floor((last + F.col("drift")) / span))))
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         head = rows[0]
         size = fft_size * (1 if head["is_complex"] else 2)
-        run = key[2].as_py()
+        run = key[3].as_py()
         total = int(round(period * head["fs"])) // size
         w = np.arange(run * windows_per_task, min((run + 1) * windows_per_task, total))
         if not len(w):
-            return pa.table({n: pa.array([], t) for n, t in (("acc", pa.int32()), ("channel", pa.int32()), ("sp0", pa.int32()), ("sp1", pa.int32()), ("n_windows", pa.int64()), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64())))})
-        low, high = int(w[0]) * size - MARGIN, (int(w[-1]) + 1) * size + MARGIN
+            return arrow(VIS).empty_table()
         by: dict[int, list[dict]] = {}
         for r in rows:
             by.setdefault(r["station"] * 2 + r["pol"], []).append(r)
         ids = sorted(by)
-        streams = [Stream(by[i], low, high) for i in ids]
-        full = np.ones(len(w), bool)
-        for s in streams:
-            full &= s.have[MARGIN : MARGIN + len(w) * size].reshape(len(w), size).any(1)
+        streams = [Stream(by[i], int(w[0]) * size, (int(w[-1]) + 1) * size, period) for i in ids]
+        full = np.logical_and.reduce([s.filled(w, size) for s in streams])
         f = np.stack([s.spectra(w[full], size, hanning) for s in streams])
-        acc = kernels.accumulate(f)
         i, k = np.triu_indices(len(ids))
         ids = np.array(ids)
-        return pa.table({
-            "acc": pa.array([key[0].as_py()] * len(i), pa.int32()), "channel": pa.array([key[1].as_py()] * len(i), pa.int32()), "sp0": pa.array(ids[i], pa.int32()), "sp1": pa.array(ids[k], pa.int32()),
-            "n_windows": pa.array([int(full.sum())] * len(i), pa.int64()), "re": pa.array(list(acc[i, k].real), pa.list_(pa.float64())), "im": pa.array(list(acc[i, k].imag), pa.list_(pa.float64())),
-        })
+        some = (i == k) | kept(ids[i], ids[k], autos, cross_polarisation)
+        i, k = i[some], k[some]
+        acc = kernels.products(f, i, k)
+        values = [[x.as_py()] * len(i) for x in key[:3]] + [ids[i], ids[k], [int(full.sum())] * len(i), list(acc.real), list(acc.imag)]
+        return pa.table([pa.array(v, t.type) for v, t in zip(values, arrow(VIS), strict=True)], schema=arrow(VIS))
 
-    parts = chunks.withColumn("run", run).groupBy("acc_block", "channel", "run").applyInArrow(work, VIS)
-    rows = parts.select("acc", "channel", "sp0", "sp1", "n_windows", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
-    acc = rows.groupBy("acc", "channel", "sp0", "sp1", "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"), F.sum("n_windows").alias("n_windows"))
-    return normalised(acc) if normalise else acc
+    parts = chunks.withColumn("drift", off_shift(period)).withColumn("run", run).groupBy("acc_block", "source_id", "channel", "run").applyInArrow(work, VIS)
+    rows = parts.select("acc", "source_id", "channel", "sp0", "sp1", "n_windows", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
+    acc = rows.groupBy("acc", "source_id", "channel", "sp0", "sp1", "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"), F.sum("n_windows").alias("n_windows"))
+    out = normalised(acc, ("acc", "source_id", "channel")) if normalise else acc
+    wanted = F.lit(True) if autos else F.floor(F.col("sp0") / 2) != F.floor(F.col("sp1") / 2)
+    return out.where(wanted & (F.lit(True) if cross_polarisation else F.col("sp0") % 2 == F.col("sp1") % 2))
 
 
 def calibration(chunks: DataFrame, *, per_bin: bool = False) -> DataFrame:
-    """Calibration tones acc, channel, sp, k, re, im, n_windows: unrotated samples folded to one tone period, then transformed.
+    """Calibration tones acc, source_id, channel, sp, k, re, im, n_windows: unrotated samples folded to one tone period, then transformed.
 
-    Divided by the number of streams of the (block, channel) times the periods; per_bin: by bins times periods.
+    Divided by the number of streams of the (block, channel) times the periods; per_bin: by bins times periods.  Runs of
+    samples are folded apart and the folded periods added, so a task holds one run of one stream; streams without
+    tones have no rows.
     """
 
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("acc", "channel", "sp", "n_windows", "re", "im")}
-        by: dict[int, list[dict]] = {}
-        for r in table.to_pylist():
-            by.setdefault(r["station"] * 2 + r["pol"], []).append(r)
-        for sp, rows in sorted(by.items()):
-            head = rows[0]
-            if not head["f_pcal"]:
-                continue
-            bins = kernels.calibration_bins(head["fs"], head["freq_hz"], head["f_pcal"])
-            folded, count = np.zeros(bins, complex), 0
-            for r in rows:
-                x = dequantised(r["samples"], r["bits"], r["is_complex"])
-                np.add.at(folded, (r["first_sample"] + np.arange(len(x))) % bins, x)
-                count += len(x)
-            n = max(count // bins, 1)
-            f = np.fft.fft(np.roll(folded, head["shift"] % bins)) / (n * (bins if per_bin else len(by)))
-            for c, v in zip(out, (key[0].as_py(), key[1].as_py(), sp, n, f.real.tolist(), f.imag.tolist()), strict=True):
-                out[c].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
-
-    parts = chunks.groupBy("acc_block", "channel").applyInArrow(work, TONES)
-    return parts.select("acc", "channel", "sp", "n_windows", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v")).select("acc", "channel", "sp", "k", "v.re", "v.im", "n_windows")
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        head = rows[0]
+        bins = kernels.calibration_bins(head["fs"], head["freq_hz"], head["f_pcal"])
+        total = np.zeros(bins, complex)
+        for r in rows:
+            total += kernels.fold(samples_of(r), r["first_sample"], bins)[0]
+        values = [*(x.as_py() for x in key[:3]), key[3].as_py() * 2 + key[4].as_py(), bins, head["shift"], sum(r["n_samples"] for r in rows), total.real, total.imag]
+        return pa.table([pa.array([v], t.type) for v, t in zip(values, arrow(FOLDED), strict=True)], schema=arrow(FOLDED))
+
+    def transform(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["sp"])
+        out = []
+        for r in rows:
+            n = max(r["n_samples"] // r["bins"], 1)
+            v = sorted(r["v"], key=lambda x: x["k"])
+            f = kernels.tones(np.array([complex(x["re"], x["im"]) for x in v]), r["shift"]) / (n * (r["bins"] if per_bin else len(rows)))
+            out.append([*(x.as_py() for x in key), r["sp"], n, f.real, f.imag])
+        return pa.table([pa.array(list(v), t.type) for v, t in zip(zip(*out, strict=True), arrow(TONES), strict=True)], schema=arrow(TONES))
+
+    run = F.floor(F.col("first_sample") / SPAN)
+    parts = chunks.where("f_pcal > 0").withColumn("run", run).groupBy("acc_block", "source_id", "channel", "station", "pol", "run").applyInArrow(fold, FOLDED)
+    keys = ("acc", "source_id", "channel", "sp", "bins", "shift")
+    sizes = parts.groupBy("acc", "source_id", "channel", "sp").agg(F.sum("n_samples").alias("n_samples"))
+    bins = parts.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
+    whole = bins.groupBy(*keys).agg(F.collect_list(F.struct("k", "re", "im")).alias("v")).join(sizes, ["acc", "source_id", "channel", "sp"])
+    tones = whole.groupBy("acc", "source_id", "channel").applyInArrow(transform, TONES)
+    return tones.select("acc", "source_id", "channel", "sp", "n_windows", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v")).select("acc", "source_id", "channel", "sp", "k", "v.re", "v.im", "n_windows")
+
+
+def folded(rows: DataFrame, bins: int, keys: tuple[str, ...], *, shift: str = "0") -> DataFrame:
+    """Sums and counts by bin of runs of samples (keys, first_sample, samples array<double>), rolled by the whole samples `shift`."""
+    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keys) + ", bin int, s double, n long"
+
+    def work(batches):
+        for b in batches:
+            lists, first, roll = b.column("samples"), b.column("first_sample").to_pylist(), b.column("roll").to_pylist()
+            sums = [kernels.fold(x.values.to_numpy(zero_copy_only=False), f, bins) for x, f in zip(lists, first, strict=True)]
+            s = [np.roll(x, r % bins) for (x, _), r in zip(sums, roll, strict=True)]
+            n = [np.roll(x, r % bins) for (_, x), r in zip(sums, roll, strict=True)]
+            out = [b.column(c).take(pa.array(np.repeat(np.arange(b.num_rows), bins))) for c in keys]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.tile(np.arange(bins), b.num_rows), pa.int32()), pa.array(np.concatenate(s), pa.float64()), pa.array(np.concatenate(n), pa.int64())], names=[*keys, "bin", "s", "n"])
+
+    found = rows.select(*keys, "first_sample", "samples", F.expr(shift).cast("long").alias("roll")).mapInArrow(work, schema)
+    return found.groupBy(*keys, "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def toned(bins: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Spectrum of folded periods (keys, bin, s, n) divided by the number of their samples: keys, k, re, im."""
+    kinds = dict(bins.dtypes)
+    whole = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "s"))).alias("v"), F.sum("n").alias("n")).select(*keys, F.col("v.s").alias("v"), "n")
+
+    def work(batches):
+        for b in batches:
+            f = [kernels.tones(x.values.to_numpy(zero_copy_only=False)) / n for x, n in zip(b.column("v"), b.column("n").to_pylist(), strict=True)]
+            size = [len(x) for x in f]
+            out = [b.column(c).take(pa.array(np.repeat(np.arange(b.num_rows), size))) for c in keys]
+            f = np.concatenate([*f, np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*out, pa.array([k for n in size for k in range(n)], pa.int32()), pa.array(f.real), pa.array(f.imag.astype(float))], names=[*keys, "k", "re", "im"])
+
+    return whole.mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, re double, im double")
 
 
 def stream_statistics(chunks: DataFrame) -> DataFrame:
@@ -149,3 +215,22 @@ def stream_statistics(chunks: DataFrame) -> DataFrame:
     g = chunks.groupBy("acc_block", "channel", "station", "pol")
     out = g.agg(F.count("*").alias("n_chunks"), F.sum("n_samples").alias("n_total"), F.max(F.col("first_sample") + F.col("n_samples")).alias("last_sample"), F.min("first_sample").alias("first"))
     return out.withColumn("n_missing", F.col("last_sample") - F.col("first") - F.col("n_total")).drop("first")
+
+
+def dismissed(chunks: DataFrame, streams: int) -> DataFrame:
+    """Blocks and channels that have fewer than so many streams: no pair of theirs with the others is formed."""
+    found = chunks.groupBy("acc_block", "channel").agg(F.countDistinct("station", "pol").alias("streams"))
+    return found.where(F.col("streams") < streams)
+
+
+def gaps(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Missing stretches of each stream: where the samples before end, where the next ones begin, and the samples between."""
+    end = F.max(F.col("first_sample") + F.col("n_samples")).over(Window.partitionBy(*keys).orderBy("first_sample").rowsBetween(Window.unboundedPreceding, -1))
+    rows = chunks.withColumn("before_end", end).where("first_sample > before_end")
+    return rows.select(*keys, F.col("first_sample").alias("first"), "before_end", (F.col("first_sample") - F.col("before_end")).alias("gap"))
+
+
+def usable(lengths: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
+    """Shortest and longest of the streams' lengths n, and the samples of whole windows that all of them have."""
+    out = lengths.groupBy(*keys).agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    return out.withColumn("used", F.floor(F.col("shortest") / size) * size)

@@ -4,6 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 
+# The levels of two-bit samples.
+LEVELS = np.array([-3.336, -1.0, 1.0, 3.336])
+
+
+def levels(q: np.ndarray, bits: int, *, even: bool = False) -> np.ndarray:
+    """Values of stored components: the level table for two bits, else (or on demand) even levels from -1 to 1."""
+    return LEVELS[q] if bits == 2 and not even else -1 + q.astype(float) * 2 / ((1 << bits) - 1)
+
+
+def pairs(components: np.ndarray) -> np.ndarray:
+    """Complex samples of interleaved components."""
+    return components[..., 0::2] + 1j * components[..., 1::2]
+
+
+def stored(components: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of the components of the last axis, the first one in the lowest bits; filled up with zeros."""
+    if bits > 8:
+        return np.ascontiguousarray(components.astype("<u2" if bits <= 16 else "<u4")).view(np.uint8)
+    per = 8 // bits
+    lead, n = components.shape[:-1], components.shape[-1]
+    out = np.zeros((*lead, -(-n // per) * per), np.uint8)
+    out[..., :n] = components
+    out = out.reshape(*lead, -1, per)
+    total = out[..., 0].copy()
+    for i in range(1, per):
+        total |= out[..., i] << np.uint8(bits * i)
+    return total
+
+
+def components(raw: bytes, bits: int) -> np.ndarray:
+    """The inverse of stored(), with the filling."""
+    if bits > 8:
+        return np.frombuffer(raw, "<u2" if bits <= 16 else "<u4")
+    shifts = np.arange(0, 8 // bits * bits, bits, dtype=np.uint8)
+    return (np.frombuffer(raw, np.uint8)[:, None] >> shifts & np.uint8((1 << bits) - 1)).ravel()
+
 
 def delay(coeffs: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Quadratic delay at offsets t within a block."""
@@ -73,8 +109,17 @@ def fraction_rotate(spectrum: np.ndarray, fr: np.ndarray, kind: str, size: int)
 
 def accumulate(streams: np.ndarray) -> np.ndarray:
     """acc[i, k, :] = sum over windows of F_i conj(F_k) for i <= k; streams is (stream, window, coefficient)."""
-    out = np.einsum("iwf,kwf->ikf", streams, streams.conj())
-    out[np.tril_indices(len(streams), -1)] = 0
+    i, k = np.triu_indices(len(streams))
+    out = np.zeros((len(streams), len(streams), streams.shape[2]), complex)
+    out[i, k] = products(streams, i, k)
+    return out
+
+
+def products(streams: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The sums over windows of F_i conj(F_k) of each pair (i, k)."""
+    out = np.empty((len(i), streams.shape[2]), complex)
+    for row, (a, b) in enumerate(zip(i.tolist(), k.tolist(), strict=True)):
+        out[row] = np.einsum("wf,wf->f", streams[a], streams[b].conj())
     return out
 
 
@@ -111,7 +156,29 @@ def calibration_bins(fs: float, f: float, step: float) -> int:
     return int(fs) // gcd(int(fs), a)
 
 
+def fold(samples: np.ndarray, first: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of samples, numbered from first, by their number modulo bins."""
+    at = (first + np.arange(len(samples))) % bins
+    sums = np.bincount(at, samples.real, bins) + (1j * np.bincount(at, samples.imag, bins) if np.iscomplexobj(samples) else 0)
+    return sums, np.bincount(at, minlength=bins)
+
+
+def tones(folded: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Spectrum of one folded period, rolled by the whole samples of the delay."""
+    return np.fft.fft(np.roll(folded, shift % len(folded)))
+
+
 def calibration(samples: np.ndarray, bins: int, shift: int = 0) -> tuple[np.ndarray, int]:
-    """Folds to one period, rolls by the integer delay, and transforms; also the number of periods."""
-    folded = windows(samples, bins)
-    return np.fft.fft(np.roll(folded.sum(0), shift % bins)), len(folded)
+    """Folds whole periods and transforms; also the number of periods."""
+    n = len(samples) // bins
+    return tones(fold(samples[: n * bins], 0, bins)[0], shift), n
+
+
+def drift(coeffs: np.ndarray, fs: float, period: float, shift: int) -> int:
+    """Samples by which windows of a block may lie off its whole shift, either way: from the delay at the ends and the turn."""
+    if not np.abs(coeffs).max() > 0:
+        return 1
+    t = [0.0, period]
+    if coeffs[2]:
+        t.append(min(max(-coeffs[1] / (2 * coeffs[2]), 0.0), period))
+    return int(np.ceil(np.abs(delay(coeffs, np.array(t)) * fs - shift).max())) + 2

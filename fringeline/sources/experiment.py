@@ -6,7 +6,10 @@ import configparser
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Formats of media files that there is a reader for, whatever their version.
+FORMATS = ("VDIF",)
 SECTIONS = "file string, section string, name string, value string"
 
 
@@ -72,6 +75,8 @@ def experiment(correlation: dict, stations: dict, sources: dict, media: dict, de
     of = lambda kind, text: [labels[kind].get(x, x) for x in text.split(":")]
     for name in [f.strip() for f in media["files"]["list"].split(",")]:
         m = media[name]
+        if m.get("format", "VDIF").upper() not in FORMATS:
+            raise ValueError(f"{name}: format {m['format']} is not read; known are {', '.join(FORMATS)}")
         out.media[name] = m | {"channels": [int(x) for x in of("channels", m["channels"])], "polarizations": [int(x) for x in of("polarizations", m["polarizations"])], "frequencies": [float(x) for x in of("frequencies", m["frequencies"])], "sidebands": of("sidebands", m["sidebands"])}
     for name, d in delay_model.items():
         mjd, start, end, source, station = name.split("-")
@@ -79,8 +84,29 @@ def experiment(correlation: dict, stations: dict, sources: dict, media: dict, de
     return out
 
 
-def load(spark: SparkSession, folder: str) -> Experiment:
-    return experiment(*(read_ini(spark, f"{folder}/{n}.ini") for n in ("correlation", "stations", "sources", "media", "delay_model")))
+NAMES = ("correlation", "stations", "sources", "media", "delay_model")
+
+
+def load(spark: SparkSession, folder: str, changes: dict[str, str] | None = None) -> Experiment:
+    """The experiment of a folder's five files; changes are values by file.section.key, which replace or add to theirs."""
+    files = {n: read_ini(spark, f"{folder}/{n}.ini") for n in NAMES}
+    for place, value in (changes or {}).items():
+        name, section, key = place.split(".", 2) if place.count(".") == 2 else (place.split(".")[0], *place.split(".", 1)[1].rsplit(".", 1))
+        if name not in files:
+            raise ValueError(f"{place}: no file {name}.ini")
+        files[name].setdefault(section, {})[key] = value
+    return experiment(*(files[n] for n in NAMES))
+
+
+def block_table(spark: SparkSession, e: Experiment) -> DataFrame:
+    """block, mjd and sec of the day at its start; days go on after midnight."""
+    at = F.lit(e.start) + F.col("id") * e.period
+    return spark.range(e.blocks).select(F.col("id").cast("int").alias("block"), (F.lit(e.mjd_start) + F.floor(at / 86400)).cast("int").alias("mjd"), F.pmod(at, F.lit(86400.0)).alias("sec"))
+
+
+def described(rows: DataFrame, table: DataFrame, on: str | list[str]) -> DataFrame:
+    """rows with the columns of a dimension table of the experiment; rows that it does not know are left out."""
+    return rows.join(F.broadcast(table), on)
 
 
 def delay_table(spark: SparkSession, e: Experiment) -> DataFrame:
@@ -168,3 +194,117 @@ def bands_from_input(text: str) -> list[tuple[int, float, float, str]]:
             if k.startswith(label) and k.split()[-1].isdigit():
                 found.setdefault(int(k.split()[-1]), {})[name] = v
     return [(i, float(b["f"]) * 1e6, float(b["bw"]) * 1e6, b.get("side", "U")) for i, b in sorted(found.items())]
+
+
+def streams_from_input(text: str) -> list[dict]:
+    """Of each data stream: telescope number, its recorded bands as (polarisation, frequency number), sampling, tone distance in MHz and files."""
+    out: list[dict] = []
+    freqs: dict[int, int] = {}
+    files: list[str] = []
+    for k, v in key_values(text):
+        words = k.split()
+        if k.startswith("TELESCOPE INDEX"):
+            out.append({"telescope": int(v), "bands": [], "complex": False, "f_pcal": 0.0, "files": []})
+            freqs = {}
+        elif k.startswith("FILE ") and len(words) == 2 and "/" in words[1]:
+            files.append(v)
+            i = int(words[1].split("/")[0])
+            if i < len(out):
+                out[i]["files"].append(v)
+        elif not out:
+            continue
+        elif k.startswith("DATA SAMPLING"):
+            out[-1]["complex"] = v.upper() == "COMPLEX"
+        elif k.startswith("PHASE CAL INT"):
+            out[-1]["f_pcal"] = float(v)
+        elif k.startswith("REC FREQ INDEX"):
+            freqs[int(words[-1])] = int(v)
+        elif k.startswith("REC BAND") and "POL" in words:
+            out[-1]["bands"].append([v, None])
+        elif k.startswith("REC BAND") and "INDEX" in words:
+            out[-1]["bands"][-1][1] = freqs[int(v)]
+    return out
+
+
+def ini_text(sections: dict[str, dict[str, object]]) -> str:
+    """The text of an INI file; parse_ini() gives the sections again."""
+    return "\n\n".join("\n".join([f"[{name}]", *(f"{k} = {v}" for k, v in values.items())]) for name, values in sections.items()) + "\n"
+
+
+def correlation_ini(text: str) -> dict[str, dict[str, object]]:
+    """correlation.ini of a correlator's input file."""
+    c = correlation_from_input(text)
+    n = len(stations_from_input(text))
+    return {
+        "elements": {"stations": n, "autocorr_station": "yes", "cross_polarization": "yes"},
+        "computation": {"FFT": int(c.get("fft_size", 0)), "accumulation": c["period"], "window": "square", "phase_calibration": "yes" if any(s["f_pcal"] for s in streams_from_input(text)) else "no"},
+        "times": {"mjd_start": int(c["mjd_start"]), "seconds_start": c["start"], "seconds_duration": c["duration"]},
+    }
+
+
+def stations_ini(text: str) -> dict[str, dict[str, object]]:
+    return {name: {"id": s["id"], "clock_ref": s["clock_ref"], "clock_poly_us": ":".join(map(str, s["clock_us"]))} for name, s in stations_from_input(text).items()}
+
+
+def sources_ini(im: str) -> dict[str, dict[str, object]]:
+    return {name: {"id": i} for name, i in sources_from_im(im).items()}
+
+
+def delay_model_ini(im: str, sources: list[str] | None = None) -> dict[str, dict[str, object]]:
+    """delay_model.ini of a delay file: a section for each polynomial."""
+    numbers = sources_from_im(im)
+    return {f"{mjd}-{start:g}-{end:g}-so{numbers.get(source, 0)}-st{antenna}": {"delay_us": ",".join(map(repr, c))} for mjd, start, end, source, antenna, c in delays_from_im(im, sources)}
+
+
+def media_ini(text: str) -> dict[str, dict[str, object]]:
+    """media.ini of a correlator's input file, with zoom bands if there are narrower bands than the first.
+
+    All data are taken for VDIF frames; the length of frames is in their headers.
+    """
+    bands, stations = bands_from_input(text), {s["id"]: name for name, s in stations_from_input(text).items()}
+    full = [b for b in bands if b[2] >= bands[0][2]]
+    narrow = [b for b in bands if b[2] < bands[0][2]]
+    streams = streams_from_input(text)
+    pols = ["L", "R"] if any(p in ("L", "R") for s in streams for p, _ in s["bands"]) else ["X", "Y"]
+    mhz = lambda hz: f"{hz / 1e6:g}e6"
+    out: dict[str, dict[str, object]] = {"channels": {f"CH{i}": i for i, *_ in full}, "frequencies": {f"CH{i}": mhz(f) for i, f, _, _ in full}}
+    if narrow:
+        out["bandwidths"] = {f"CH{i}": mhz(bw) for i, _, bw, _ in full}
+    out["polarizations"] = {p: j for j, p in enumerate(pols)}
+    if narrow:
+        out["zoom_freq"], out["zoom_bw"] = {f"ZF{i}": mhz(f) for i, f, _, _ in narrow}, {f"ZB{i}": mhz(bw) for i, _, bw, _ in narrow}
+        out["zoom_post"] = {"zoom_freq": ":".join(out["zoom_freq"]), "zoom_bw": ":".join(out["zoom_bw"])}
+    files = [(s, f) for s in streams for f in s["files"]]
+    out["files"] = {"list": ",".join(f.rsplit("/", 1)[-1] for _, f in files)}
+    of = {b[0]: b for b in bands}
+    for s, f in files:
+        ch = ":".join(f"CH{n}" for _, n in s["bands"])
+        width = of[s["bands"][0][1]][2]
+        out[f.rsplit("/", 1)[-1]] = {
+            "station": stations[s["telescope"]], "channels": ch, "polarizations": ":".join(p for p, _ in s["bands"]), "framebytes": 0, "f_sample": mhz(width * (1 if s["complex"] else 2)),
+            "format": "VDIF", "version": "custom", "f_pcal": f"{s['f_pcal']:g}e6", "o_pcal": "0e6", "frequencies": ch, "sidebands": ":".join(of[n][3] for _, n in s["bands"]),
+        }
+    return out
+
+
+def imported(input_text: str, im_text: str, sources: list[str] | None = None) -> dict[str, str]:
+    """The five files of an experiment, by name, from a correlator's input and delay files."""
+    made = {"correlation": correlation_ini(input_text), "stations": stations_ini(input_text), "sources": sources_ini(im_text), "media": media_ini(input_text), "delay_model": delay_model_ini(im_text, sources)}
+    return {name: ini_text(sections) for name, sections in made.items()}
+
+
+def zoom_table(spark: SparkSession, media: dict[str, dict[str, str]]) -> DataFrame:
+    """zoom, f and bw of each zoom band of media.ini."""
+    post = media.get("zoom_post", {})
+    value = lambda kind, label: float(media.get(kind, {}).get(label, label))
+    pairs = zip(post.get("zoom_freq", "").split(":"), post.get("zoom_bw", "").split(":"), strict=True)
+    rows = [(i, value("zoom_freq", f), value("zoom_bw", b)) for i, (f, b) in enumerate(pairs) if f]
+    return spark.createDataFrame(rows, "zoom int, f double, bw double")
+
+
+def delays_ini(polys: DataFrame) -> DataFrame:
+    """Rows of the generated delay table (relative() of delays.py): section, key and value, the keys ending in the epoch's second."""
+    at = F.col("sec").cast("long").cast("string")
+    values = {"r.": "rel", "d0.": "d0", "d1.": "d1", "d2.": "d2", "c0.": "k0", "c1.": "k1", "m.": "q0", "f.": "f", "a.": "(q0 + k0)"}
+    pairs = F.explode(F.array(*(F.struct(F.concat(F.lit(k), at).alias("key"), F.expr(v).cast("string").alias("value")) for k, v in values.items())))
+    return polys.select(F.concat(F.lit("st"), F.col("station"), F.lit("-so"), F.col("source_id")).alias("section"), pairs.alias("p")).select("section", "p.key", "p.value")

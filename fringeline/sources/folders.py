@@ -1,19 +1,107 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and a sink of files whose rows are bytes."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset and there is one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="fringeline-"))
     return _own[0]
+
+
+def local_path(path: str) -> str:
+    """The path of a file that this machine sees, without its scheme."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, names: list[tuple[str, str]]):
+        self.names = names
+
+
+class FilesWriter(DataSourceWriter):
+    """Rows (file, body) appended to files of these names in the folder `path`, which all executors see.
+
+    A task writes to files of its own, which get their names once all tasks are done, so tasks can be run again.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.folder = local_path(options["path"])
+        os.makedirs(self.folder, exist_ok=True)
+
+    def write(self, rows: Iterator) -> Written:
+        names: dict[str, str] = {}
+        handle, name = None, None
+        for r in rows:
+            if r[0] != name:
+                if handle:
+                    handle.close()
+                name = r[0]
+                names.setdefault(name, f"{self.folder}/.{uuid.uuid4().hex}")
+                handle = open(names[name], "ab")  # noqa: SIM115
+            handle.write(bytes(r[1]))
+        if handle:
+            handle.close()
+        return Written(list(names.items()))
+
+    def commit(self, messages: list[Written | None]) -> None:
+        done = [x for m in messages if m for x in m.names]
+        if len({name for name, _ in done}) < len(done):
+            raise ValueError("a file's rows must be in one partition")
+        for name, own in done:
+            os.replace(own, f"{self.folder}/{name}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            for _, own in m.names if m else ():
+                if os.path.exists(own):
+                    os.remove(own)
+
+
+class FilesSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "named_files"
+
+    def schema(self) -> str:
+        return "file string, body binary"
+
+    def writer(self, schema, overwrite: bool) -> FilesWriter:
+        return FilesWriter(self.options)
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Writes rows (file, body) into files of the folder; a file's rows must lie in one partition, in order."""
+    rows.sparkSession.dataSource.register(FilesSink)
+    rows.select(F.col("file").cast("string"), F.col("body").cast("binary")).write.format("named_files").mode("append").save(path)
+
+
+def write_parts(rows: DataFrame, order: list, path: str, *, parts: int | None = None) -> None:
+    """Writes bodies in order as files part-00000 and on, whose bytes end to end are the whole."""
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
+    write_files(ordered.select(F.format_string("part-%05d", F.spark_partition_id()).alias("file"), "body"), path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

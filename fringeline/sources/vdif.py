@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -25,24 +26,38 @@ FIELDS = {
 }
 
 
+def decode_headers(words: np.ndarray) -> dict[str, np.ndarray]:
+    """Fields of headers given as rows of four words or more; frame_words counts 8 bytes each, header included."""
+    words = words.astype(np.int64)
+    return {name: words[:, w] >> low & (1 << n) - 1 for name, (w, low, n) in FIELDS.items()}
+
+
 def decode_header(raw: bytes) -> dict[str, int]:
-    """Fields of a header; frame_words counts 8 bytes each, header included."""
-    words = np.frombuffer(raw, "<u4", 4).astype(np.int64)
-    return {name: int(words[w] >> low & (1 << n) - 1) for name, (w, low, n) in FIELDS.items()}
+    return {name: int(v[0]) for name, v in decode_headers(np.frombuffer(raw, "<u4", 4)[None, :]).items()}
 
 
-def encode_header(**fields: int) -> bytes:
-    words = [0] * 8
-    for name, value in fields.items():
+def encode_headers(fields: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows of the eight words of headers; fields that are not given are 0."""
+    out = np.zeros((len(next(iter(fields.values()))), HEADER // 4), np.int64)
+    for name, values in fields.items():
         w, low, n = FIELDS[name]
-        if not 0 <= value < 1 << n:
+        values = np.asarray(values, np.int64)
+        if ((values < 0) | (values >= 1 << n)).any():
             raise ValueError(f"{name} does not fit {n} bits")
-        words[w] |= int(value) << low
-    return np.array(words, "<u4").tobytes()
+        out[:, w] |= values << low
+    return out.astype("<u4")
+
+
+def encode_header(**fields: int) -> bytes:
+    return encode_headers({k: np.array([v]) for k, v in fields.items()}).tobytes()
 
 
-def unpack(payload: bytes, bits: int) -> np.ndarray:
-    """Sample components of a payload."""
+def unpack(payload: bytes, bits: int, *, msb_first: bool = False) -> np.ndarray:
+    """Sample components of a payload: of 32-bit words from the least significant bits up, or of bytes from the most significant ones down."""
+    if msb_first:
+        if 8 % bits:
+            raise ValueError("bits must divide 8")
+        return (np.frombuffer(payload, np.uint8)[:, None] >> np.arange(8 - bits, -1, -bits, dtype=np.uint8) & np.uint8((1 << bits) - 1)).ravel().astype(np.uint32)
     if 32 % bits:
         raise ValueError("bits must divide 32")
     words = np.frombuffer(payload[: len(payload) // 4 * 4], "<u4")
@@ -51,20 +66,22 @@ def unpack(payload: bytes, bits: int) -> np.ndarray:
     return (words[:, None] >> shifts & mask).ravel()
 
 
-def pack(samples: np.ndarray, bits: int) -> bytes:
-    """The inverse of unpack(); the last word is filled with zeros."""
-    per = 32 // bits
-    padded = np.zeros(-(-len(samples) // per) * per, np.uint32)
+def pack(samples: np.ndarray, bits: int, *, msb_first: bool = False) -> bytes:
+    """The inverse of unpack(); the last word (or byte) is filled with zeros."""
+    unit, kind = (8, np.uint8) if msb_first else (32, np.uint32)
+    per = unit // bits
+    padded = np.zeros(-(-len(samples) // per) * per, kind)
     padded[: len(samples)] = samples
-    shifts = np.arange(0, 32, bits, dtype=np.uint32)
-    return np.bitwise_or.reduce(padded.reshape(-1, per) << shifts, axis=1).astype("<u4").tobytes()
+    shifts = np.arange(0, unit, bits, dtype=kind)
+    return np.bitwise_or.reduce(padded.reshape(-1, per) << (shifts[::-1] if msb_first else shifts), axis=1).astype("u1" if msb_first else "<u4").tobytes()
 
 
 def corner_turn(components: np.ndarray, channels: int, is_complex: bool) -> np.ndarray:
-    """A row for each channel; complex components stay interleaved as I, Q."""
+    """A row for each channel, of one payload or of each row of several; complex components stay interleaved as I, Q."""
+    lead = components.shape[:-1]
     if is_complex:
-        return components.reshape(-1, channels, 2).transpose(1, 0, 2).reshape(channels, -1)
-    return components.reshape(-1, channels).T
+        return np.moveaxis(components.reshape(*lead, -1, channels, 2), -2, -3).reshape(*lead, channels, -1)
+    return components.reshape(*lead, -1, channels).swapaxes(-1, -2)
 
 
 def frame(samples: np.ndarray, *, bits: int, channels: int = 1, is_complex: bool = False, **fields: int) -> bytes:
@@ -76,18 +93,23 @@ def frame(samples: np.ndarray, *, bits: int, channels: int = 1, is_complex: bool
 
 
 class FrameRange(InputPartition):
-    def __init__(self, path: str, first: int, end: int):
+    def __init__(self, path: str, first: int, end: int, length: int):
         super().__init__((path, first, end))
-        self.path, self.first, self.end = path, first, end
+        self.path, self.first, self.end, self.length = path, first, end, length
 
 
 class VdifReader(DataSourceReader):
-    """Frames of files whose frames have the length of their first one.
+    """Frames of files whose frames have the length of their first one, read in blocks and decoded together.
 
     Options: path (comma-separated files that all executors see), frames_per_partition, payload (false reads headers
     only), t_start and t_end (seconds since the epoch of the headers; frames outside are left out), skip_bytes.
+    A header that gives another length (of a damaged or zero-filled file), and a frame cut off by the file's end, is a row with
+    complete false; the next frame is looked for one length on.
     """
 
+    #: Bytes read at once.
+    BLOCK = 4 << 20
+
     def __init__(self, options: dict[str, str]):
         self.paths = [p.removeprefix("file:") for p in options["path"].split(",")]
         self.per = int(options.get("frames_per_partition", 10_000))
@@ -110,24 +132,36 @@ class VdifReader(DataSourceReader):
             if length < HEADER:
                 raise ValueError(f"{path}: frame length {length}")
             step = length * self.per
-            out += [FrameRange(path, at, min(at + step, size)) for at in range(self.skip, size, step)]
+            out += [FrameRange(path, at, min(at + step, size), length) for at in range(self.skip, size, step)]
         return out
 
-    def read(self, part: FrameRange) -> Iterator[tuple]:
+    def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
+        block = max(1, self.BLOCK // part.length) * part.length
         with open(part.path, "rb") as f:
-            at = part.first
-            while at < part.end:
+            for at in range(part.first, part.end, block):
                 f.seek(at)
-                head = f.read(HEADER)
-                if len(head) < HEADER:
-                    return
-                h = decode_header(head)
-                size = h["frame_words"] * 8
-                if self.low <= h["seconds"] < self.high:
-                    body = f.read(size - HEADER) if self.payload else b""
-                    complete = len(body) == size - HEADER if self.payload else True
-                    yield (part.path, at, bool(h["invalid"]), bool(h["legacy"]), h["seconds"], h["epoch"], h["frame_num"], h["version"], h["log2_channels"], size, bool(h["is_complex"]), h["bits_less_one"] + 1, h["thread_id"], h["station_code"], complete, body)
-                at += size
+                raw = f.read(min(block, part.end - at))
+                whole = len(raw) // part.length
+                if whole:
+                    yield self.frames(part, np.frombuffer(raw, np.uint8, whole * part.length).reshape(whole, -1), at)
+                rest = raw[whole * part.length :]
+                if len(rest) >= HEADER:
+                    yield self.frames(part, np.frombuffer(rest, np.uint8)[None, :], at + whole * part.length)
+
+    def frames(self, part: FrameRange, rows: np.ndarray, at: int) -> pa.RecordBatch:
+        h = decode_headers(np.ascontiguousarray(rows[:, :16]).view("<u4"))
+        some = np.flatnonzero((h["seconds"] >= self.low) & (h["seconds"] < self.high))
+        h = {k: v[some] for k, v in h.items()}
+        n, size = len(some), rows.shape[1] - HEADER if self.payload else 0
+        body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows[some, HEADER : HEADER + size]))])
+        complete = (h["frame_words"] * 8 == part.length) & (rows.shape[1] == part.length)
+        columns = {"invalid": h["invalid"] > 0, "legacy": h["legacy"] > 0, "frame_bytes": h["frame_words"] * 8, "is_complex": h["is_complex"] > 0, "bits": h["bits_less_one"] + 1, "complete": complete, "payload": body, "file": [part.path] * n, "offset": at + some * part.length}
+        fields = ARROW
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name] if f.name in columns else h[f.name], f.type) if f.name != "payload" else body for f in fields], schema=fields)
+
+
+#: SCHEMA as Arrow's.
+ARROW = pa.schema([(name, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
 
 
 class VdifSource(DataSource):
@@ -147,20 +181,60 @@ def read_frames(spark: SparkSession, paths: list[str], **options: str) -> DataFr
     return spark.read.format("vdif").options(path=",".join(paths), **options).load()
 
 
-def with_time(frames: DataFrame, fs: float) -> DataFrame:
-    """mjd, sec (of the day) and t (sec and the frame's place in it) of each frame; samples are counted by channel."""
-    half = F.col("epoch") / 2
-    day = F.make_date(F.floor(half).cast("int") + 2000, F.when(F.col("epoch") % 2 == 0, 1).otherwise(7), F.lit(1))
-    mjd = F.datediff(day, F.lit("2000-01-01").cast("date")) + 51544 + F.floor(F.col("seconds") / 86400)
+def read_folder(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """Frames of all files of a folder that the driver sees."""
+    import os
+
+    return read_frames(spark, sorted(f"{folder}/{f}" for f in os.listdir(folder) if not f.startswith(".")), **options)
+
+
+def mjd_of(epoch: Column, seconds: Column) -> Column:
+    """Modified Julian day of seconds since a half-year that is counted from 2000 on."""
+    day = F.make_date(F.floor(epoch / 2).cast("int") + 2000, F.when(epoch % 2 == 0, 1).otherwise(7), F.lit(1))
+    return (F.datediff(day, F.lit("2000-01-01").cast("date")) + 51544 + F.floor(seconds / 86400)).cast("int")
+
+
+def half_year(date: Column) -> tuple[Column, Column]:
+    """Half-years from 2000 to a date (the first of July is of the first half), and seconds from 2000-01-01 to its midnight."""
+    late = (F.month(date) > 7) | ((F.month(date) == 7) & (F.dayofmonth(date) > 1))
+    return ((F.year(date) - 2000) * 2 + late.cast("int")).cast("int"), F.datediff(date, F.lit("2000-01-01").cast("date")).cast("long") * 86400
+
+
+def with_time(frames: DataFrame, fs: float | Column, *, mjd_start: int | None = None) -> DataFrame:
+    """mjd, sec (of the day) and t of each frame; samples are counted by channel.
+
+    t is sec and the frame's place in it; with mjd_start it goes on from that day's midnight, so that a scan may last
+    over the next one.
+    """
     parts = F.when(F.col("is_complex"), 2).otherwise(1)
     samples = (F.col("frame_bytes") - HEADER) * 8 / F.col("bits") / F.pow(F.lit(2), F.col("log2_channels")) / parts
-    sec = F.col("seconds") % 86400
-    return frames.withColumn("mjd", mjd.cast("int")).withColumn("sec", sec).withColumn("t", sec + F.col("frame_num") * samples / fs)
+    out = frames.withColumn("mjd", mjd_of(F.col("epoch"), F.col("seconds"))).withColumn("sec", F.col("seconds") % 86400)
+    days = F.lit(0) if mjd_start is None else F.col("mjd") - mjd_start
+    return out.withColumn("t", days * 86400 + F.col("sec") + F.col("frame_num") * samples / fs)
 
 
-def file_summary(frames: DataFrame) -> DataFrame:
+def file_summary(frames: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """Profile of each file: frames, bytes, stations, threads, sizes, seconds."""
-    return frames.groupBy("file").agg(
+    return frames.groupBy(*keys).agg(
         F.count("*").alias("frames"), F.sum("frame_bytes").alias("bytes"), F.countDistinct("station_code").alias("stations"), F.countDistinct("thread_id").alias("threads"),
-        F.countDistinct("frame_bytes").alias("sizes"), F.countDistinct("seconds").alias("seconds"), (F.max("frame_num") + 1).alias("frames_per_second"), F.count_if(~F.col("complete")).alias("truncated"),
+        F.countDistinct("frame_bytes").alias("sizes"), F.countDistinct("bits").alias("bits"), F.countDistinct("seconds").alias("seconds"), (F.max("frame_num") + 1).alias("frames_per_second"),
+        F.count_if(~F.col("complete")).alias("truncated"), F.count_if("invalid").alias("invalid"),
     )
+
+
+def frames_per_second(frames: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Frames of a second, by the greatest frame number."""
+    return frames.groupBy(*keys).agg((F.max("frame_num") + 1).alias("frames"))
+
+
+def runs(rows: DataFrame, number: str, keys: tuple[str, ...]) -> DataFrame:
+    """Runs of successive whole numbers by key: first, last and how many; repeated numbers count once."""
+    n = F.col(number)
+    island = n - F.row_number().over(Window.partitionBy(*keys).orderBy(n))
+    return rows.select(*keys, n).distinct().withColumn("island", island).groupBy(*keys, "island").agg(F.min(n).alias("first"), F.max(n).alias("last"), F.count("*").alias("n")).drop("island")
+
+
+def listing(rows: DataFrame, order: tuple[str, ...], *, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows in order, from one on, and at most so many."""
+    out = rows.orderBy(*order).offset(skip)
+    return out if limit is None else out.limit(limit)

@@ -3,9 +3,11 @@ import pytest
 
 from fringeline.operators import align, delays, fx, post
 from fringeline.operators.correlate import accumulated, normalised
-from fringeline.sources import vdif
+from fringeline.sources import results, vdif
 
 FS, SPF, N = 6400.0, 64, 32
+POLYS = "block int, source_id int, station int, rel double, d0 double, d1 double, d2 double"
+MEDIA = "station int, idx int, channel int, pol int, freq_hz double, sideband string, f_pcal double"
 
 
 def scan(tmp_path, whole_delay=0, missing=(), period=1.0):
@@ -28,9 +30,9 @@ def scan(tmp_path, whole_delay=0, missing=(), period=1.0):
 
 def visibilities(spark, paths, rel, **options):
     frames = vdif.with_time(vdif.read_frames(spark, paths), FS).selectExpr("*", "station_code station", f"CAST({FS} AS DOUBLE) fs")
-    polys = spark.createDataFrame([(b, s, rel * s, rel * s, 0.0, 0.0) for b in range(2) for s in range(2)], "block int, station int, rel double, d0 double, d1 double, d2 double")
+    polys = spark.createDataFrame([(b, 0, s, rel * s, rel * s, 0.0, 0.0) for b in range(2) for s in range(2)], POLYS)
     good = align.aligned(frames, polys, start=0.0, period=1.0, blocks=2)
-    media = spark.createDataFrame([(s, 0, 0, 0, 0.0, "U", 0.0) for s in range(2)], "station int, idx int, channel int, pol int, freq_hz double, sideband string, f_pcal double")
+    media = spark.createDataFrame([(s, 0, 0, 0, 0.0, "U", 0.0) for s in range(2)], MEDIA)
     rows = align.chunks(good, media)
     return rows, fx.correlate(rows, fft_size=N, period=1.0, **options)
 
@@ -70,18 +72,22 @@ def test_missing_frames_stay_aligned(spark, tmp_path):
 def test_straddling_frames_lose_their_head(spark, tmp_path):
     rows, _ = visibilities(spark, scan(tmp_path, 5), 5 / FS)
     late = rows.where("station = 1 AND acc_block = 1").orderBy("first_sample").first()
-    assert (late.first_sample, late.n_samples, late.shift) == (0, SPF - 5, 5) or late.first_sample == 0
+    assert late.first_sample == 0 and late.shift == 5 and late.skip + late.n_samples == SPF
 
 
-def test_calibration_tones(spark):
+def test_calibration_tones(spark, monkeypatch):
     n, bins = 6400, 64
     x = np.cos(2 * np.pi * 8 * np.arange(n) / bins)
     q = np.round((x + 1) / 2 * 255).astype(np.uint8)
-    cols = "acc_block int, channel int, station int, pol int, first_sample long, n_samples int, bits int, is_complex boolean, fs double, freq_hz double, sideband string, shift long, f_pcal double, samples binary"
-    df = spark.createDataFrame([(0, 0, 0, 0, 0, n, 8, False, FS, 3200.0, "U", 0, 100.0, bytearray(q.tobytes()))], cols)
-    tones = fx.calibration(df, per_bin=True).orderBy("k").collect()
-    size = np.abs([complex(t.re, t.im) for t in tones])
+    cols = "acc_block int, source_id int, channel int, station int, pol int, first_sample long, n_samples int, skip int, bits int, is_complex boolean, fs double, freq_hz double, sideband string, shift long, f_pcal double, samples binary"
+    row = lambda first, count, raw, skip=0: (0, 0, 0, 0, 0, first, count, skip, 8, False, FS, 3200.0, "U", 0, 100.0, bytearray(raw))
+    whole = fx.calibration(spark.createDataFrame([row(0, n, q.tobytes())], cols), per_bin=True).orderBy("k").collect()
+    size = np.abs([complex(t.re, t.im) for t in whole])
     assert len(size) == 64 and size.argsort()[-2:].tolist() in ([8, 56], [56, 8])
+    monkeypatch.setattr(fx, "SPAN", 1000)  # folded in runs
+    parts = [row(i + (7 if i else 0), 100 - (7 if i else 0), q[i : i + 100].tobytes(), 7 if i else 0) for i in range(0, n, 100)]
+    again = fx.calibration(spark.createDataFrame([r for r in parts if r[6] == 100] + [row(i, 7, q[i : i + 7].tobytes()) for i in range(100, n, 100)] + [r for r in parts if r[6] == 93], cols), per_bin=True).orderBy("k").collect()
+    assert np.allclose([(t.re, t.im) for t in again], [(t.re, t.im) for t in whole])
 
 
 def test_accumulation_blocks_agree(spark):
@@ -99,7 +105,11 @@ def test_zoom_and_average(spark):
     channels = spark.createDataFrame([(0, 100.0, 32.0)], "channel int, f double, bw double")
     zooms = spark.createDataFrame([(9, 104.0, 8.0), (8, 130.0, 8.0)], "zoom int, f double, bw double")
     z = post.zoom(vis, channels, zooms, 32).orderBy("k").collect()
-    assert [(r.zoom, r.k, r.re) for r in z] == [(9, i, 4.0 + i) for i in range(8)]
+    assert [(r.zoom, r.band, r.k, r.re) for r in z] == [(9, 1, i, 4.0 + i) for i in range(8)]
+    assert post.zoom(vis.where("k < 31"), channels, zooms, 32).count() == 0  # too short
+    assert post.zoom(vis, channels, zooms, 32, periods=[1]).count() == 0
+    lower = spark.createDataFrame([(0, 132.0, 32.0, "L")], "channel int, f double, bw double, sideband string")  # named by its upper edge
+    assert post.zoom(vis, lower, zooms, 32).orderBy("k").collect() == z
     assert [r.re for r in post.averaged(vis, 16).orderBy("k").collect()] == [7.5, 23.5]
 
 
@@ -136,11 +146,106 @@ def test_experiment_from_files_to_results(spark, tmp_path):
     text["correlation"] = text["correlation"].replace("seconds_start = 100", "seconds_start = 0").replace("accumulation = 1/4", "accumulation = 1").replace("seconds_duration = 0.5", "seconds_duration = 2").replace("FFT = 16", f"FFT = {N}")
     text["media"] = text["media"].replace("a.vdif", paths[0].split("/")[-1]).replace("b.vdif", paths[1].split("/")[-1]).replace("1280", str(int(FS)))
     text["stations"] = text["stations"].replace("= 1:0", "= 0:0")
-    text["delay_model"] = text["delay_model"].replace("= 7,", "= 5,")
+    text["delay_model"] = text["delay_model"].replace("= 7,", "= 5,").replace("57350", "57023")
+    text["correlation"] = text["correlation"].replace("57350", "57023")  # the day of the frames
     for name, t in text.items():
         (tmp_path / f"{name}.ini").write_text(t)
     cli.main(["correlate", "--experiment", str(tmp_path), "--media", str(tmp_path), "--output", f"{tmp_path}/out"])
     vis = spark.read.parquet(f"{tmp_path}/out/visibilities")
     assert np.abs(cross(vis).sum()) > 0.95
     assert spark.read.parquet(f"{tmp_path}/out/statistics").count() == 4
+    assert spark.read.parquet(f"{tmp_path}/out/dismissed").count() == 0
     assert post.difference(vis, vis).first().difference == 0
+    args = ["--experiment", str(tmp_path)]
+    cli.main(["export", f"{tmp_path}/out", *args, "--output", f"{tmp_path}/files"])
+    got = results.read_swin(spark, f"{tmp_path}/files/DIFX_57023_0.s0000.b0000", N).orderBy("seconds", "st0", "st1").collect()
+    assert [(r.seconds, r.st0, r.st1) for r in got] == [(t, a, b) for t in (0.5, 1.5) for a, b in ((0, 0), (0, 1), (1, 1))]
+    cli.main(["text", f"{tmp_path}/out", *args, "--output", f"{tmp_path}/text"])
+    lines = spark.read.text(f"{tmp_path}/text")
+    assert lines.count() == 6 and all(len(r.value.split("\t")[1].split(" ")) == 28 + N for r in lines.collect())
+    assert results.read_text_lines(lines).count() == 6
+    cli.main(["correlate", *args, "--media", str(tmp_path), "--output", f"{tmp_path}/out2", "--set", "correlation.elements.autocorr_station=no", "--set", "correlation.computation.phase_calibration=no"])
+    assert {(r.sp0, r.sp1) for r in spark.read.parquet(f"{tmp_path}/out2/visibilities").select("sp0", "sp1").distinct().collect()} == {(0, 2)}
+    assert not (tmp_path / "out2" / "calibration").exists()
+    with pytest.raises(SystemExit):
+        cli.main(["compare", f"{tmp_path}/out/visibilities", f"{tmp_path}/out2/visibilities", "--most", "0"])
+
+
+def frames_of(spark, rows):
+    """Frames (station, t, samples) of two bits."""
+    made = [(s, 0, t, FS, 2, False, 0, True, False, bytearray(vdif.pack(x, 2))) for s, t, x in rows]
+    return spark.createDataFrame(made, "station int, thread_id int, t double, fs double, bits int, is_complex boolean, log2_channels int, complete boolean, invalid boolean, payload binary")
+
+
+@pytest.mark.parametrize("runs", [64, 1024])
+def test_delays_that_drift_are_followed(spark, runs):
+    """A stream that is stretched against the other by 400 samples in a block of 32000."""
+    r = np.random.default_rng(5)
+    rate, n = 400 / 32000, 32000
+    signal = np.digitize(r.normal(size=n + 600), [-1, 0, 1]).astype(np.uint32)
+    late = signal[np.clip(np.round(np.arange(-1, n + 600) / (1 + rate)), 0, None).astype(int)]  # seen at t is what the other saw at t / (1 + rate)
+    x = [(0, i / 100, signal[i * 64 : i * 64 + 64]) for i in range(500)] + [(1, i / 100, late[i * 64 + 1 : i * 64 + 65]) for i in range(500)]
+    polys = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 0.0, 0.0), (0, 0, 1, 0.0, 0.0, rate, 0.0)], POLYS)
+    media = spark.createDataFrame([(s, 0, 0, 0, 0.0, "U", 0.0) for s in range(2)], MEDIA)
+    rows = align.chunks(align.aligned(frames_of(spark, x), polys, start=0.0, period=5.0, blocks=1), media)
+    vis = fx.correlate(rows, fft_size=16, period=5.0, windows_per_task=runs)
+    got = vis.where("sp0 = 0 AND sp1 = 2").collect()
+    assert abs(sum(complex(v.re, v.im) for v in got)) > 0.7
+    assert got[0].n_windows == sum(w * 32 + round(w * 32 * rate) < n for w in range(1000))  # the windows past the block's end have no samples
+
+
+def test_margins_are_the_polynomials_own():
+    from fringeline.operators import kernels
+
+    assert kernels.drift(np.array([0.0, 400 / 6400, 0.0]), 6400.0, 1.0, 0) == 402
+    assert kernels.drift(np.array([0.0, 1.0, -1.0]), 100.0, 1.0, 0) == 27  # at the turn
+
+
+def test_sources_stay_apart(spark):
+    r = np.random.default_rng(3)
+    x = [(s, i / 100, r.integers(0, 4, 64)) for s in range(2) for i in range(100)]
+    rows = [(0, src, s, s * src / FS, s * src / FS, 0.0, 0.0) for src in range(2) for s in range(2)]
+    media = spark.createDataFrame([(s, 0, 0, 0, 0.0, "U", 0.0) for s in range(2)], MEDIA)
+    run = lambda some: align.chunks(align.aligned(frames_of(spark, x), spark.createDataFrame(some, POLYS), start=0.0, period=1.0, blocks=1), media)
+    both = run(rows)
+    assert both.count() == 2 * 2 * 100
+    alone = fx.correlate(run([p for p in rows if p[1] == 1]), fft_size=16, period=1.0)
+    assert post.difference(fx.correlate(both, fft_size=16, period=1.0).where("source_id = 1"), alone).first().difference < 1e-18
+
+
+def test_scans_over_midnight(spark):
+    from fringeline.sources import experiment as ex
+
+    e = ex.Experiment(16, 1.0, 57350, 86398.0, 4.0)
+    blocks = ex.block_table(spark, e)
+    assert [(r.mjd, r.sec) for r in blocks.orderBy("block").collect()] == [(57350, 86398.0), (57350, 86399.0), (57351, 0.0), (57351, 1.0)]
+    sections = spark.createDataFrame([(57350, 86000.0, 86500.0, 0, 0, [1e-3, 1e-6])], "mjd int, start_s double, end_s double, source_id int, station int, coeffs array<double>")
+    clocks = spark.createDataFrame([(0, 57350.0, 0.0, 0.0)], "station int, clock_ref double, c0 double, c1 double")
+    q = [r.q0 for r in delays.block_polynomials(blocks, sections, clocks).orderBy("block").collect()]
+    assert np.allclose(q, 1e-3 + 1e-6 * np.arange(398, 402))
+    heads = spark.createDataFrame([(31, 146 * 86400 + 86399, 0), (31, 147 * 86400, 1)], "epoch int, seconds long, frame_num int").selectExpr("*", "1632L frame_bytes", "2 bits", "false is_complex", "0 log2_channels")
+    assert [(r.mjd, r.t) for r in vdif.with_time(heads, 6400.0, mjd_start=57350).orderBy("seconds").collect()] == [(57350, 86399.0), (57351, 86401.0)]
+
+
+def test_layouts_are_unpacked_together(spark):
+    """Frames of several channels, complex ones and other bits in one batch."""
+    r = np.random.default_rng(4)
+    kinds = [(2, 2, False), (1, 0, False), (4, 1, True), (8, 0, True), (16, 1, False)]
+    made, want = [], {}
+    for st, (bits, log2, is_complex) in enumerate(kinds):
+        for i in range(3):
+            x = r.integers(0, 1 << bits, 64)
+            per = 64 // (1 << log2) // (2 if is_complex else 1)
+            made.append((st, 0, i * per / FS, FS, bits, is_complex, log2, True, False, bytearray(vdif.pack(x, bits))))
+            for c, part in enumerate(vdif.corner_turn(x, 1 << log2, is_complex)):
+                want[st, c, i * per] = part
+    frames = spark.createDataFrame(made, "station int, thread_id int, t double, fs double, bits int, is_complex boolean, log2_channels int, complete boolean, invalid boolean, payload binary").coalesce(1)
+    polys = spark.createDataFrame([(0, 0, s, 0.0, 0.0, 0.0, 0.0) for s in range(5)], POLYS)
+    media = spark.createDataFrame([(s, i, i, 0, 0.0, "U", 0.0) for s in range(5) for i in range(4)], MEDIA)
+    from fringeline.operators import kernels
+
+    got = align.chunks(align.aligned(frames, polys, start=0.0, period=1.0, blocks=1), media).collect()
+    assert len(got) == len(want)
+    for c in got:
+        per = 2 if c.is_complex else 1
+        assert kernels.components(bytes(c.samples), c.bits)[: c.n_samples * per].tolist() == want[c.station, c.channel, c.first_sample].tolist()

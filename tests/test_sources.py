@@ -58,17 +58,72 @@ def test_swin_record_is_74_bytes_and_reads_back(spark, tmp_path):
     assert struct.calcsize(results.SWIN) == 74
     rows = [(1, 0, 0, 0, 1, 1, 5, [1.0, 2.0], [0.5, -0.5]), (0, 3, 0, 1, 0, 0, 5, [3.0, 4.0], [0.0, 1.0])]
     vis = spark.createDataFrame(rows, "acc int, channel int, st0 int, pol0 int, st1 int, pol1 int, n_windows long, re array<double>, im array<double>")
-    assert results.write_swin(vis, f"{tmp_path}/r", mjd=57350, start=10.0, period=2.0) == 2
+    results.write_swin(vis, f"{tmp_path}/r", mjd=57350, start=10.0, period=2.0, parts=3)
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "r").iterdir()))
+    (tmp_path / "one").write_bytes(whole)
+    assert [r.seconds for r in results.read_swin(spark, f"{tmp_path}/one", 2).collect()] == [11.0, 13.0]  # in order
     got = results.read_swin(spark, f"{tmp_path}/r", 2).orderBy("seconds").collect()
     assert [(g.seconds, g.st0, g.st1, g.pols, list(g.re)) for g in got] == [(11.0, 0, 0, "YX", [3.0, 4.0]), (13.0, 0, 1, "XY", [1.0, 2.0])]
     back = results.read_text_lines(results.text_lines(vis, 4)).orderBy("acc").collect()
     assert [(b.acc, b.channel, b.st0, b.pol0, b.st1, b.pol1, b.n_windows, b.re, b.im) for b in back] == sorted(rows)
 
 
-def test_calibration_text(spark):
-    df = spark.createDataFrame([(0, 0, 1, 0, 1.0, 2.0), (0, 0, 0, 1, 3.0, 4.0)], "station int, acc int, channel int, pol int, re double, im double")
-    (r,) = results.calibration_lines(df, day=10.0, period=1.0).collect()
-    assert r.value.startswith("ANT0 10.0000058 0 1 3.0") and r.value.endswith("1 0 1.000000e+00 2.000000e+00")
+def test_calibration_files(spark, tmp_path):
+    """Bands of 20 MHz up to 120 and 140 MHz, tones every 10 MHz: 20 coefficients, places 20 (outside), 10 and 0."""
+    tones = spark.createDataFrame([(acc, c, 2 * st, k, 1.0 + k, -2.0) for acc in range(2) for c in range(2) for st in range(2) for k in range(20)], "acc int, channel int, sp int, k int, re double, im double")
+    bands = spark.createDataFrame([(0, 120e6, 20e6, 10e6, 20), (1, 140e6, 20e6, 10e6, 20)], "channel int, f double, bw double, f_pcal double, n int")
+    stations = spark.createDataFrame([(0, "AA"), (1, "BB")], "station int, name string")
+    lines = results.calibration_lines(results.tone_records(tones, bands), stations, mjd=57350, start=86399.0, period=2.0, n_bands=2, n_tones=2)
+    results.write_calibration(lines, str(tmp_path), mjd=57350, start=86399.0)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["PCAL_57350_086399_AA", "PCAL_57350_086399_BB"]
+    got = (tmp_path / "PCAL_57350_086399_BB").read_text().splitlines()
+    assert got[:5] == ["# cx-derived pulse cal data", "# File version = 1", "# Start MJD = 57350", "# Start seconds = 86399", "# Telescope name = BB"]
+    band = lambda f: f"-1 0 0 0 {f - 10} X  1.10000e+01 -2.00000e+00 {f - 20} X  1.00000e+00 -2.00000e+00"
+    assert got[5:] == [f"BB {day} 0.0000231 1 2 2 {band(120)} {band(140)}" for day in ("57351.0000000", "57351.0000231")]
+
+
+def test_text_lines_of_tones(spark):
+    tones = spark.createDataFrame([(1, 2, 3, k, float(k), -0.5, 7) for k in range(3)], "acc int, channel int, sp int, k int, re double, im double, n_windows long")
+    lines = results.tone_lines(tones, 4)
+    (r,) = lines.collect()
+    assert r.value.startswith("pcal-1.1-1.1-a.6.1.2-sxa7\t0 0 ") and r.value.endswith(" 0.2 (0.0-0.5j) (1.0-0.5j) (2.0-0.5j)")
+    (b,) = results.read_text_lines(lines, "pcal").collect()
+    assert (b.st0, b.pol0, b.re) == (1, 1, [0.0, 1.0, 2.0]) and results.read_text_lines(lines).count() == 0
+
+
+def test_damaged_files(spark, tmp_path):
+    """A frame of zeros in the middle, and a tail of zeros, are rows that are not complete; the rest is read."""
+    write(tmp_path / "a.vdif", truncated=False)
+    raw = bytearray((tmp_path / "a.vdif").read_bytes())
+    size = len(raw) // 25
+    raw[3 * size : 4 * size] = bytes(size)
+    (tmp_path / "b.vdif").write_bytes(bytes(raw) + bytes(2 * size + 40))
+    for payload in ("true", "false"):
+        for per in ("2", "100"):
+            rows = vdif.read_frames(spark, [f"{tmp_path}/b.vdif"], payload=payload, frames_per_partition=per).orderBy("offset").collect()
+            assert [r.complete for r in rows] == [i not in (3, 25, 26, 27) for i in range(28)]
+    (tmp_path / "c.vdif").write_bytes(bytes(1000))
+    with pytest.raises(Exception, match="frame length 0"):
+        vdif.read_frames(spark, [f"{tmp_path}/c.vdif"]).collect()
+
+
+@given(st.sampled_from([1, 2, 4, 8]), st.data())
+@settings(deadline=None, max_examples=20)
+def test_bytes_from_the_top_down(bits, data):
+    x = data.draw(st.lists(st.integers(0, 2**bits - 1), max_size=100))
+    assert vdif.unpack(vdif.pack(np.array(x, np.uint8), bits, msb_first=True), bits, msb_first=True)[: len(x)].tolist() == x
+
+
+def test_named_files(spark, tmp_path):
+    from fringeline.sources.folders import write_files, write_parts
+
+    rows = spark.createDataFrame([(f"f{i % 3}", i, bytearray([i])) for i in range(30)], "file string, i int, body binary").repartition("file").sortWithinPartitions("file", "i")
+    write_files(rows, str(tmp_path / "x"))
+    assert {p.name: list(p.read_bytes()) for p in (tmp_path / "x").iterdir()} == {f"f{k}": list(range(k, 30, 3)) for k in range(3)}
+    from pyspark.sql import functions as F
+
+    write_parts(rows, [F.col("i")], str(tmp_path / "y"), parts=4)
+    assert [b for p in sorted((tmp_path / "y").iterdir()) for b in p.read_bytes()] == list(range(30))
 
 
 INI = {
@@ -98,3 +153,94 @@ def test_importers():
     im = "INTERVAL (SECS): 120\nSCAN 0 POINTING SRC: QSO\nSCAN 0 POLY 0 MJD: 57350\nSCAN 0 POLY 0 SEC: 60\nSRC 0 ANT 0 DELAY (us): 1.0 2.0 3.0\n"
     assert E.sources_from_im(im) == {"QSO": 0}
     assert E.delays_from_im(im) == [(57350, 60.0, 180.0, "QSO", 0, [1.0, 2.0, 3.0])]
+
+
+INPUT = """DELAY FILENAME:     x.im
+START MJD:          57350
+START SECONDS:      68255
+EXECUTE TIME (SEC): 3
+INT TIME (SEC):     1.0
+NUM CHANNELS:       128
+FREQ (MHZ) 0:       3480.4
+BW (MHZ) 0:         32.0
+SIDEBAND 0:         L
+FREQ (MHZ) 1:       3512.4
+BW (MHZ) 1:         32.0
+SIDEBAND 1:         L
+FREQ (MHZ) 2:       3460.0
+BW (MHZ) 2:         8.0
+SIDEBAND 2:         U
+TELESCOPE NAME 0:   AA
+CLOCK REF MJD 0:    57000.5
+CLOCK COEFF 0/0:    1.5
+CLOCK COEFF 0/1:    2e-3
+TELESCOPE NAME 1:   BB
+CLOCK REF MJD 1:    57000.5
+CLOCK COEFF 1/0:    0
+TELESCOPE INDEX:    0
+DATA SAMPLING:      REAL
+PHASE CAL INT (MHZ):5
+REC FREQ INDEX 0:   0
+REC FREQ INDEX 1:   1
+REC BAND 0 POL:     X
+REC BAND 0 INDEX:   0
+REC BAND 1 POL:     Y
+REC BAND 1 INDEX:   1
+TELESCOPE INDEX:    1
+DATA SAMPLING:      REAL
+PHASE CAL INT (MHZ):5
+REC FREQ INDEX 0:   0
+REC FREQ INDEX 1:   1
+REC BAND 0 POL:     X
+REC BAND 0 INDEX:   0
+REC BAND 1 POL:     Y
+REC BAND 1 INDEX:   1
+FILE 0/0:           /data/a.vdif
+FILE 1/0:           /data/b.vdif
+"""
+IM = """INTERVAL (SECS): 120
+SCAN 0 POINTING SRC: QSO
+SCAN 0 POLY 0 MJD: 57350
+SCAN 0 POLY 0 SEC: 68160
+SRC 0 ANT 0 DELAY (us): 1.0 2.0 3.0
+SRC 0 ANT 1 DELAY (us): 4.0 5.0 6.0
+"""
+
+
+def test_imported_experiments_load(spark, tmp_path):
+    from fringeline import cli
+
+    (tmp_path / "x.input").write_text(INPUT)
+    (tmp_path / "x.im").write_text(IM)
+    cli.main(["import", "--input", f"{tmp_path}/x.input", "--im", f"{tmp_path}/x.im", "--output", f"{tmp_path}/e"])
+    e = E.load(spark, f"{tmp_path}/e")
+    assert (e.fft_size, e.period, e.mjd_start, e.start, e.blocks, e.calibration) == (128, 1.0, 57350, 68255.0, 3, True)
+    assert e.stations["AA"] == {"id": 0, "clock_ref": 57000.5, "clock_us": [1.5, 0.002]} and e.sources == {"QSO": 0}
+    assert [(m["name"], m["station"], m["channel"], m["pol"], m["freq_hz"], m["sideband"], m["fs"], m["f_pcal"]) for m in E.media_table(spark, e).orderBy("name", "idx").collect()][:2] == [("a.vdif", 0, 0, 0, 3480.4e6, "L", 64e6, 5e6), ("a.vdif", 0, 1, 1, 3512.4e6, "L", 64e6, 5e6)]
+    assert [r.coeffs for r in E.delay_table(spark, e).orderBy("station").collect()] == [pytest.approx([1e-6, 2e-6, 3e-6]), pytest.approx([4e-6, 5e-6, 6e-6])]
+    media = E.parse_ini((tmp_path / "e" / "media.ini").read_text())
+    assert [tuple(r) for r in E.zoom_table(spark, media).collect()] == [(0, 3460e6, 8e6)]
+
+
+def test_changed_values_and_unknown_formats(spark, tmp_path):
+    for name, text in INI.items():
+        (tmp_path / f"{name}.ini").write_text(text)
+    e = E.load(spark, str(tmp_path), {"correlation.computation.FFT": "32", "media.a.vdif.f_sample": "2560"})
+    assert e.fft_size == 32 and e.media["a.vdif"]["f_sample"] == "2560"
+    with pytest.raises(ValueError, match="MARK5B"):
+        E.load(spark, str(tmp_path), {"media.a.vdif.format": "MARK5B"})
+
+
+def test_delay_rows_as_ini(spark):
+    df = spark.createDataFrame([(0, 1, 5.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0)], "source_id int, station int, sec double, rel double, d0 double, d1 double, d2 double, k0 double, k1 double, q0 double, f double")
+    rows = {(r.section, r.key): r.value for r in E.delays_ini(df).collect()}
+    assert rows["st1-so0", "r.5"] == "1.0" and rows["st1-so0", "a.5"] == "12.0" and len(rows) == 9
+
+
+def test_states_as_of(spark):
+    from fringeline.operators import delays
+
+    states = spark.createDataFrame([(0, 10.0, "a"), (0, 20.0, "b"), (1, 0.0, "c")], "station int, since double, what string")
+    rows = spark.createDataFrame([(0, 9.0), (0, 10.0), (0, 25.0), (1, 5.0), (2, 5.0)], "station int, t double")
+    got = {(r.station, r.t): r.what for r in delays.asof(rows, states, ("station",), "t", "since").collect()}
+    assert got == {(0, 9.0): None, (0, 10.0): "a", (0, 25.0): "b", (1, 5.0): "c", (2, 5.0): None}
