@@ -1,20 +1,25 @@
-"""Queries on spectra and visibilities, over `embeddings` as four streams of windows of 64 samples."""
+"""Queries on spectra and visibilities, over `embeddings` as four streams of windows of 64 samples.
+
+The queries call the library; the SQL says the same in plain terms, by an explicit Fourier sum over exploded samples.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeline.operators import kernels
-from fringeline.operators.correlate import accumulated, normalised, rounded
-from fringeline.plans.templates import duckdb_sql, query
+from fringeline.operators import align, fx, kernels, post, samples
+from fringeline.operators.correlate import accumulated, kept, normalised, rounded
+from fringeline.plans import views
+from fringeline.plans.templates import duckdb_sql
+from fringeline.plans.views import FS, N, delayed, streams
+from fringeline.sources import results
 
-#: Sampling, sky frequency and quadratic delay of the signal view's streams.
-FS = 64.0
 FREQUENCY = "(1000.25 + 10.5 * sp)"
 DELAY = "(0.001 * (sp + 1) + 0.0007 * {t} + 0.00001 * {t} * {t})"
-N = 64
 
 SPECTRUM = """f AS (SELECT acc, w, sp, k, {sums} FROM (SELECT e.*, s.k, 2 * pi() * ((s.k * e.n) % 64) / 64 a FROM e CROSS JOIN {{RANGE 64}} s) GROUP BY acc, w, sp, k)"""
 REAL = SPECTRUM.format(sums="sum(x * cos(a)) re, -sum(x * sin(a)) im")
@@ -61,11 +66,8 @@ SQL = {
     "zoom_bands": f"{RAW} SELECT acc, sp0, sp1, k - 16 k, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im FROM v WHERE k >= floor(64 * (104.0 - 100.0) / 16.0) AND k < floor(64 * (104.0 - 100.0) / 16.0) + 16",
     "zoom_average": f"{RAW} SELECT acc, sp0, sp1, CAST(floor(k / 4) AS INT) k, round(avg(re), 6) + 0.0 re, round(avg(im), 6) + 0.0 im FROM v GROUP BY acc, sp0, sp1, CAST(floor(k / 4) AS INT)",
     "vis_compare": f"{RAW}, b AS (SELECT acc, sp0, sp1, k, re * 1.001 re, im + 0.01 im FROM v WHERE k <> 63) SELECT v.acc, CAST(count(*) AS BIGINT) n, CAST(sum(CASE WHEN b.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) missing, round(sum((v.re - b.re) * (v.re - b.re) + (v.im - b.im) * (v.im - b.im)), 4) + 0.0 difference FROM v FULL OUTER JOIN b ON v.acc = b.acc AND v.sp0 = b.sp0 AND v.sp1 = b.sp1 AND v.k = b.k GROUP BY v.acc",
-    "swin_sort_order": f"{RAW} SELECT acc, sp0, sp1, k, CAST(row_number() OVER (ORDER BY acc, 1000000 - abs(sp0 / 2 - sp1 / 2), sp0, sp1, k) AS BIGINT) row_nr FROM (SELECT DISTINCT acc, sp0, sp1, k FROM v)",
-}
-
-#: SQL of the queries that run on the NumPy kernels.
-KERNEL_SQL = {
+    "swin_sort_order": f"{RAW} SELECT acc, sp0, sp1, CAST(row_number() OVER (ORDER BY acc, 1000000 - abs(floor(sp0 / 2) - floor(sp1 / 2)), floor(sp0 / 2), floor(sp1 / 2), sp0 % 2, sp1 % 2) AS BIGINT) row_nr FROM (SELECT DISTINCT acc, sp0, sp1 FROM v)",
+    "visibility_text_roundtrip": f"{RAW} SELECT acc, sp0, sp1, round(sum(re), 4) + 0.0 re, round(sum(im), 4) + 0.0 im, max(n_windows) n_windows FROM v GROUP BY acc, sp0, sp1",
     "fx_visibilities": f"{RAW}, {POWER}, {NORMAL} SELECT {OUT} FROM u",
     "fx_arrow_backend": f"{RAW} SELECT {OUT} FROM v",
     "fx_hanning": "WITH e AS (SELECT acc, w, sp, n, x * (0.5 - 0.5 * cos(2 * pi() * n / 63)) x FROM {E} q), " + REAL + ", " + CROSS + f" SELECT {OUT} FROM v",
@@ -73,40 +75,149 @@ KERNEL_SQL = {
 }
 
 
-def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as windows: stream vec_id mod 4, window vec_id div 4, accumulation of 25 windows."""
-    v = F.col("vec_id")
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select(F.floor(v / 100).cast("int").alias("acc"), F.lit(0).alias("channel"), (v % 4).cast("int").alias("sp"), F.floor(v / 4).alias("w"), F.col("embedding").cast("array<double>").alias("samples"))
+# The frames of views.py: levels, alignment, and the windows that each stream's delay gives.
+FRAME_SAMPLES = """x AS (SELECT *, n - 3 * st - CAST(floor((CAST(floor(n / 64) AS BIGINT) * 64 - 3 * st + 63) / 1600) AS BIGINT) * 1600 m, CAST(floor((CAST(floor(n / 64) AS BIGINT) * 64 - 3 * st + 63) / 1600) AS INT) acc FROM
+ (SELECT CAST(vec_id % 2 AS INT) st, CAST(floor(vec_id / 2) AS BIGINT) % 2 pol, CAST(floor(vec_id / 4) AS BIGINT) * 64 + i - 1 n, CASE least(3, greatest(0, floor(CAST(embedding[i] AS DOUBLE) * 4 + 2))) WHEN 0 THEN -3.336 WHEN 1 THEN -1.0 WHEN 2 THEN 1.0 ELSE 3.336 END x
+  FROM (SELECT *, unnest(generate_series(1, len(embedding))) i FROM embeddings)))"""
+FRAME_SQL = {
+    "align_chunks": f"WITH {FRAME_SAMPLES} SELECT acc, st, CAST(pol AS INT) pol, CAST(count(DISTINCT floor(n / 64)) AS BIGINT) chunks, CAST(sum(CASE WHEN m >= 0 THEN 1 ELSE 0 END) AS BIGINT) samples, CAST(sum(CASE WHEN m < 0 THEN 1 ELSE 0 END) AS BIGINT) skipped, CAST(min(CASE WHEN m >= 0 THEN m END) AS BIGINT) first, CAST(max(m) AS BIGINT) last FROM x GROUP BY acc, st, pol",
+    "fx_calibration": f"WITH {FRAME_SAMPLES}, b AS (SELECT acc, CAST(2 * st + pol AS INT) sp, (m + 3 * st) % 8 bin, sum(x) s FROM x WHERE m >= 0 GROUP BY acc, st, pol, (m + 3 * st) % 8), t AS (SELECT acc, CAST(2 * st + pol AS INT) sp, CAST(floor(count(*) / 8) AS BIGINT) n_windows FROM x WHERE m >= 0 GROUP BY acc, st, pol) SELECT b.acc, b.sp, k.k, round(sum(s * cos(2 * pi() * ((k.k * bin) % 8) / 8)) / n_windows / 4, 6) + 0.0 re, round(-sum(s * sin(2 * pi() * ((k.k * bin) % 8) / 8)) / n_windows / 4, 6) + 0.0 im, n_windows FROM b JOIN t ON b.acc = t.acc AND b.sp = t.sp CROSS JOIN {{RANGE 8}} k GROUP BY b.acc, b.sp, k.k, n_windows",
+    "fx_correlate": f"""WITH {FRAME_SAMPLES},
+d AS (SELECT s.k st, w.k w, {views.LATE} * s.k + {views.RATE} * s.k * w.k d, CAST(w.k * 64 + CASE WHEN s.k = 0 THEN 0 ELSE floor(({views.LATE} * s.k + {views.RATE} * s.k * w.k) * 64 + 0.5) - 3 * s.k END AS BIGINT) begin_m FROM {{RANGE 2}} s CROSS JOIN {{RANGE 25}} w),
+y AS (SELECT x.acc, CAST(2 * x.st + pol AS INT) sp, x.st, d.w, d.d, m - begin_m i, x FROM x JOIN d ON x.st = d.st AND m >= begin_m AND m < begin_m + 64 WHERE m >= 0),
+ok AS (SELECT acc, w FROM y GROUP BY acc, w HAVING count(DISTINCT sp) = 4),
+r AS (SELECT acc, sp, w, d, i, x * cos(2 * pi() * z) xr, x * sin(2 * pi() * z) xi FROM (SELECT *, z0 - floor(z0) z FROM (SELECT y.*, {views.FREQ} * ({views.LATE} * st + {views.RATE} * st * ((y.w * 64 + i) / 64.0)) z0 FROM y JOIN ok ON y.acc = ok.acc AND y.w = ok.w))),
+g AS (SELECT acc, sp, w, k, d, sum(xr * cos(a) + xi * sin(a)) re, sum(xi * cos(a) - xr * sin(a)) im FROM (SELECT r.*, s.k, 2 * pi() * ((s.k * r.i) % 64) / 64 a FROM r CROSS JOIN {{RANGE 32}} s) GROUP BY acc, sp, w, k, d),
+f AS (SELECT acc, sp, w, k, re * cos(b) - im * sin(b) re, re * sin(b) + im * cos(b) im FROM (SELECT *, 2 * pi() * k / 64.0 * CASE WHEN d * 64 - floor(d * 64) > 0.5 THEN d * 64 - floor(d * 64) - 1 ELSE d * 64 - floor(d * 64) END b FROM g)),
+{CROSS}, {POWER}, {NORMAL} SELECT {OUT} FROM u""",
+}
 
 
 def shown(acc: DataFrame) -> DataFrame:
     return acc.select("acc", "sp0", "sp1", "k", rounded("re").alias("re"), rounded("im").alias("im"), F.col("n_windows").cast("long").alias("n_windows"))
 
 
-def fx_visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(normalised(accumulated(streams(spark, sf_dir))))
+def accumulation(**options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: shown(accumulated(streams(spark, sf_dir), **options))
+
+
+def half(side: str, first: int) -> Callable[[SparkSession, str], DataFrame]:
+    """One half of the band; its coefficients are numbered as in the whole one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        acc = accumulated(streams(spark, sf_dir), transform=lambda x, sp, w: kernels.half_band(np.fft.fft(x, axis=1), side))
+        return shown(acc.withColumn("k", F.col("k") + first))
+
+    return run
+
+
+def fx_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accumulations of five windows."""
+    acc = accumulated(streams(spark, sf_dir).withColumn("acc", F.floor(F.col("w") / 5).cast("int")))
+    return shown(acc).select(F.col("acc").alias("sub"), "sp0", "sp1", "k", "re", "im")
+
+
+def normalize_auto_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = normalised(accumulated(streams(spark, sf_dir))).where("sp0 = sp1")
+    return out.groupBy("acc", "sp0").agg(rounded(F.sum("re")).alias("total"))
+
+
+def by_sample(rows: DataFrame, first: int = 0, name: str = "n") -> DataFrame:
+    """A row for each sample or coefficient of re and im, rounded."""
+    out = rows.select("w", "sp", F.posexplode(F.arrays_zip("re", "im")).alias("i", "v"))
+    return out.select("w", "sp", (F.col("i") + first).alias(name), rounded("v.re", 5).alias("re"), rounded("v.im", 5).alias("im"))
+
+
+def rotation(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: by_sample(samples.rotated(delayed(spark, sf_dir), mode=mode))
+
 
+def frac_delay_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third stream by its whole band, the upper half and the lower half of it."""
+    rows = delayed(spark, sf_dir)
+    parts = [by_sample(samples.fraction_rotated(rows.where(F.col("sp") % 3 == i), kind), first, "k") for i, (kind, first) in enumerate((("complex", 0), ("upper", 0), ("lower", 32)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-def fx_arrow_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(accumulated(streams(spark, sf_dir)))
 
+def zoom_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vis = accumulated(streams(spark, sf_dir))
+    channels = spark.createDataFrame([(0, 100.0, 16.0)], "channel int, f double, bw double")
+    zooms = spark.createDataFrame([(0, 104.0, 4.0), (1, 114.0, 4.0)], "zoom int, f double, bw double")
+    return post.zoom(vis, channels, zooms, N).select("acc", "sp0", "sp1", "k", rounded("re").alias("re"), rounded("im").alias("im"))
 
-def fx_hanning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(accumulated(streams(spark, sf_dir), hanning=True))
+
+def zoom_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = post.averaged(accumulated(streams(spark, sf_dir)), 4)
+    return out.select("acc", "sp0", "sp1", "k", rounded("re").alias("re"), rounded("im").alias("im"))
+
+
+def vis_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result against a changed copy that lacks a coefficient."""
+    vis = accumulated(streams(spark, sf_dir))
+    other = vis.where("k <> 63").withColumn("re", F.col("re") * 1.001).withColumn("im", F.col("im") + 0.01)
+    out = post.difference(vis, other, by=("acc",))
+    return out.select("acc", "n", F.col("unmatched").alias("missing"), rounded("difference", 4).alias("difference"))
+
+
+def swin_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = results.numbered(results.spectra_rows(accumulated(streams(spark, sf_dir))))
+    return out.select("acc", (F.col("st0") * 2 + F.col("pol0")).alias("sp0"), (F.col("st1") * 2 + F.col("pol1")).alias("sp1"), F.col("row_nr").cast("long").alias("row_nr"))
+
+
+def visibility_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visibilities as lines of text, read again."""
+    got = results.read_text_lines(results.text_lines(results.spectra_rows(accumulated(streams(spark, sf_dir))), 1))
+    total = lambda c: rounded(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4).alias(c)
+    return got.select("acc", (F.col("st0") * 2 + F.col("pol0")).alias("sp0"), (F.col("st1") * 2 + F.col("pol1")).alias("sp1"), total("re"), total("im"), "n_windows")
+
+
+def fx_visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(normalised(accumulated(streams(spark, sf_dir))))
 
 
 def fx_full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fringe rotation, Fourier transform, fractional-delay rotation, accumulation and normalisation."""
 
-    def chain(samples: np.ndarray, sp: int, w: np.ndarray) -> np.ndarray:
+    def chain(x: np.ndarray, sp: int, w: np.ndarray) -> np.ndarray:
         f, coeffs = 1000.25 + 10.5 * sp, np.array([0.001 * (sp + 1), 0.0007, 0.00001])
-        x = np.stack([kernels.fringe_rotate(s, int(i) * N, FS, f, coeffs, lower_complex=bool(sp % 2)) for s, i in zip(samples, w, strict=True)])
+        z = np.stack([kernels.fringe_rotate(s, int(i) * N, FS, f, coeffs, lower_complex=bool(sp % 2)) for s, i in zip(x, w, strict=True)])
         fr = kernels.fraction(kernels.delay(coeffs, w * N / FS), FS)
-        return kernels.fraction_rotate(np.fft.fft(x, axis=1), fr, "complex", N)
+        return kernels.fraction_rotate(np.fft.fft(z, axis=1), fr, "complex", N)
 
     return shown(normalised(accumulated(streams(spark, sf_dir), transform=chain)))
 
 
-QUERIES = {name: query(text) for name, text in SQL.items()} | {f.__name__: f for f in (fx_visibilities, fx_arrow_backend, fx_hanning, fx_full_chain)}
-ORACLE_SQL = {name: duckdb_sql(text) for name, text in (SQL | KERNEL_SQL).items()}
+def frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = align.aligned(views.frames(spark, sf_dir), views.frame_model(spark), start=0.0, period=views.PERIOD, blocks=views.BLOCKS)
+    return align.chunks(good, views.frame_media(spark))
+
+
+def align_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the frames: how many of each stream and block, their samples, the first and the last one."""
+    out = frame_chunks(spark, sf_dir).groupBy(F.col("acc_block").alias("acc"), F.col("station").alias("st"), "pol")
+    return out.agg(F.count("*").alias("chunks"), F.sum("n_samples").alias("samples"), F.sum("skip").alias("skipped"), F.min("first_sample").alias("first"), (F.max(F.col("first_sample") + F.col("n_samples")) - 1).alias("last"))
+
+
+def fx_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlator from frames to visibilities, with a delay that drifts by 80 samples in a block."""
+    return shown(fx.correlate(frame_chunks(spark, sf_dir), fft_size=32, period=views.PERIOD))
+
+
+def fx_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tones = fx.calibration(frame_chunks(spark, sf_dir))
+    return tones.select("acc", "sp", "k", rounded("re").alias("re"), rounded("im").alias("im"), "n_windows")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "fx_raw_accumulate": accumulation(block=7),
+    "fx_usb_half": half("U", 0),
+    "fx_lsb_half": half("L", 32),
+    "fx_cross_pol_only": accumulation(keep=lambda a, b: ~kept(a, b, cross_polarisation=False)),
+    "fx_no_autos": accumulation(keep=lambda a, b: a < b),
+    "fringe_rotate": rotation("full"),
+    "fringe_rotate_linear": rotation("linear"),
+    "fringe_rotate_first": rotation("first"),
+    "fx_arrow_backend": accumulation(),
+    "fx_hanning": accumulation(hanning=True),
+} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_calibration)}
+ORACLE_SQL = {name: duckdb_sql(text) for name, text in (SQL | FRAME_SQL).items()}

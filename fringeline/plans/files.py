@@ -1,48 +1,61 @@
-"""Queries that go through binary files: written from a table, read by the data sources, compared."""
+"""Queries that go through binary files: written by the sinks into the shared folder, read by the data sources, compared."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fringeline.operators import samples
 from fringeline.operators.correlate import accumulated
-from fringeline.plans.correlation import streams
+from fringeline.plans.templates import duckdb_sql
+from fringeline.plans.views import streams, table
 from fringeline.sources import results, vdif
+from fringeline.sources.folders import local_path, shared_folder, write_parts
 
 
-def _file(name: str) -> str:
-    """A file of this machine; these sources read files that the driver and all executors see."""
-    return os.path.join(tempfile.mkdtemp(prefix="fringeline-"), name)
+def own_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def vdif_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors quantised to two bits, written as frames, read and unpacked: samples and the sum of levels of each."""
-    path = _file("frames.vdif")
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id")
-    with open(path, "wb") as f:
-        for r in rows.toLocalIterator():
-            q = np.clip(np.floor(np.array(r.embedding) * 4 + 2), 0, 3).astype(np.uint32)
-            f.write(vdif.frame(q, bits=2, seconds=r.vec_id // 1000, frame_num=r.vec_id % 1000, epoch=30, station_code=r.vec_id % 4))
-    levels = F.udf(lambda body: int(vdif.unpack(bytes(body), 2).sum()), "int")
-    got = vdif.read_frames(spark, [path], frames_per_partition="500")
-    return got.select((F.col("seconds") * 1000 + F.col("frame_num")).cast("long").alias("vec_id"), (F.octet_length("payload") * 4).cast("int").alias("n"), levels("payload").alias("total"))
+
+    def framed(c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+        q = np.clip(np.floor(c["embedding"].astype(float) * 4 + 2), 0, 3).astype(np.uint32)
+        return {"body": pa.array([vdif.frame(x, bits=2, seconds=int(v) // 1000, frame_num=int(v) % 1000, epoch=30, station_code=int(v) % 4) for x, v in zip(q, c["vec_id"], strict=True)], pa.binary())}
+
+    folder = own_folder(spark, "frames")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    write_parts(samples.mapped(rows, {"body": T.BinaryType()}, framed, ("vec_id", "embedding")), [F.col("vec_id")], folder)
+    got = vdif.read_folder(spark, local_path(folder), frames_per_partition="500")
+    levels = F.aggregate("q", F.lit(0), lambda a, x: a + x)
+    return samples.unpacked(got, 2).select((F.col("seconds") * 1000 + F.col("frame_num")).cast("long").alias("vec_id"), F.size("q").alias("n"), levels.alias("total"))
 
 
 def swin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visibilities written as binary records and read again: the largest coefficient of each."""
-    acc = accumulated(streams(spark, sf_dir))
-    v = F.array_sort(F.collect_list(F.struct("k", "re", "im")))
-    vis = acc.groupBy("acc", "channel", "sp0", "sp1").agg(v.alias("v")).selectExpr("acc", "channel", "sp0 div 2 st0", "sp0 % 2 pol0", "sp1 div 2 st1", "sp1 % 2 pol1", "v.re re", "v.im im")
-    path = _file("records.swin")
-    results.write_swin(vis, path, mjd=57350, start=0.0, period=1.0)
-    got = results.read_swin(spark, path, 64)
+    folder = own_folder(spark, "records")
+    results.write_swin(results.spectra_rows(accumulated(streams(spark, sf_dir))), folder, mjd=57350, start=0.0, period=1.0)
+    got = results.read_swin(spark, folder, 64)
     size = F.array_max(F.transform(F.arrays_zip("re", "im"), lambda z: F.hypot(z["re"], z["im"])))
     return got.select(F.floor("seconds").cast("int").alias("acc"), "st0", "st1", "pols", F.round(size.cast("double"), 1).alias("peak"))
 
 
 QUERIES = {f.__name__: f for f in (vdif_roundtrip, swin_roundtrip)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _sql() -> dict[str, str]:
+    from fringeline.plans.correlation import RAW
+
+    return {
+        "vdif_roundtrip": "SELECT vec_id, CAST(64 AS INT) n, CAST(list_sum(list_transform(embedding, lambda x: least(3, greatest(0, floor(CAST(x AS DOUBLE) * 4 + 2))))) AS INT) total FROM embeddings",
+        "swin_roundtrip": f"{RAW} SELECT acc, CAST(floor(sp0 / 2) AS INT) st0, CAST(floor(sp1 / 2) AS INT) st1, CASE WHEN sp0 % 2 = 0 THEN 'X' ELSE 'Y' END || CASE WHEN sp1 % 2 = 0 THEN 'X' ELSE 'Y' END pols, round(max(sqrt(re * re + im * im)), 1) peak FROM v GROUP BY acc, sp0, sp1",
+    }
+
+
+ORACLE_SQL = {name: duckdb_sql(text) for name, text in _sql().items()}

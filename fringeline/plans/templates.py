@@ -1,26 +1,21 @@
-"""SQL that both engines read: one template each, with the few dialect differences as named parts."""
+"""SQL for DuckDB, with the signal views as named parts."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
-
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-SPARK = {
-    "E": "(SELECT CAST(floor(vec_id / 100) AS INT) acc, CAST(floor(vec_id / 4) AS BIGINT) w, CAST(vec_id % 4 AS INT) sp, label, CAST(pos AS INT) n, CAST(v AS DOUBLE) x FROM {embeddings} LATERAL VIEW posexplode(embedding) p AS pos, v)",
-    "V": "(SELECT event_id, timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) / 1e6 t, timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) us, CAST(user_id % 4 AS INT) st, user_id, event_type ch, value FROM {events})",
-    "DAYS": "CAST(datediff(CAST(o_orderdate AS DATE), DATE '2000-01-01') AS BIGINT)",
-    "ORDERDAY": "CAST(o_orderdate AS DATE)",
-    "STRING": "STRING",
-}
 DUCKDB = {
     "E": "(SELECT CAST(floor(vec_id / 100) AS INT) acc, CAST(floor(vec_id / 4) AS BIGINT) w, CAST(vec_id % 4 AS INT) sp, label, CAST(i - 1 AS INT) n, CAST(embedding[i] AS DOUBLE) x FROM (SELECT *, unnest(generate_series(1, len(embedding))) i FROM embeddings))",
     "V": "(SELECT event_id, (epoch_us(ts) - 1704067200000000) / 1e6 t, epoch_us(ts) - 1704067200000000 us, CAST(user_id % 4 AS INT) st, user_id, event_type ch, value FROM events)",
     "DAYS": "CAST(date_diff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)",
     "ORDERDAY": "CAST(o_orderdate AS DATE)",
     "STRING": "VARCHAR",
+    "FIXED7": "printf('%.7f', 60310 + (acc + 0.5) / 86400)",
+    "LASTS": "' 0.0000116 '",
+    "TONE0": "CASE WHEN a0 > 0 THEN ' ' ELSE '' END || printf('%.5e', a0) || ' ' || CASE WHEN a1 > 0 THEN ' ' ELSE '' END || printf('%.5e', a1)",
+    "TONE1": "CASE WHEN b0 > 0 THEN ' ' ELSE '' END || printf('%.5e', b0) || ' ' || CASE WHEN b1 > 0 THEN ' ' ELSE '' END || printf('%.5e', b1)",
 }
 
 
@@ -32,19 +27,6 @@ def _filled(text: str, parts: dict[str, str]) -> str:
     return text
 
 
-def spark_sql(text: str, sf_dir: str) -> str:
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return _filled(text, SPARK | tables | {"RANGE": r"(SELECT CAST(id AS INT) k FROM range(\1))"})
-
-
 def duckdb_sql(text: str) -> str:
     return _filled(text, DUCKDB | {t: t for t in TABLES} | {"RANGE": r"(SELECT CAST(range AS INT) k FROM range(\1))"})
 
-
-def query(text: str):
-    """The template as a callable for queries()."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_sql(text, sf_dir))
-
-    return run
