@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeline.llm.shared import written
+from fringeline.llm.shared import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         new = written(small, "edges")
         stars = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
         stars = stars and new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count() == 0
+        discard(edges)
         edges = new
         if stars:
             break

@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fringeline.llm import exchange as X
 from fringeline.llm.sentencepiece_codec import in_batches
+from fringeline.llm.shared import place, safe
 from fringeline.llm.words import U64, Words, mix, words_of
 
 WINDOW = 13
@@ -243,15 +243,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, literals: int = LITERALS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no benchmark item; see contaminated()."""
+    """The rows of docs, all columns whatever their names, whose text holds no benchmark item; see contaminated().
+
+    Null and empty texts stay; rows that repeat stay or go together; an empty table gives an empty one.
+    """
+    out, at = safe(docs), place(docs, "text")
     for index in indices(benchmark, window=window, literals=literals, block_bytes=block_bytes):
 
         def work(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for table in in_batches(batches, "text", BATCH):
+            for table in in_batches(batches, at, BATCH):
                 keep = np.ones(table.num_rows, bool)
-                for doc, *_ in index.alignments(Tokens(table["text"])):
+                for doc, *_ in index.alignments(Tokens(table[at])):
                     keep[doc] = False
                 yield from table.filter(pa.array(keep)).to_batches()
 
-        docs = docs.mapInArrow(work, T.StructType(docs.schema.fields))
-    return docs
+        out = out.mapInArrow(work, out.schema)
+    return out.toDF(*docs.columns)

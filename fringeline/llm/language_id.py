@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from fringeline.llm.lattice import CELLS, Lattice, Runs, Vocabulary, joined, vocabulary
 from fringeline.llm.marked import LONG, Known, code_points, marked_words, segments
 from fringeline.llm.sentencepiece_codec import in_batches, without
+from fringeline.llm.shared import place, safe
 from fringeline.llm.words import plain_strings
 
 #: Bytes of a batch of texts.
@@ -192,15 +193,16 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], *, vocab_file: str,
     named like the two new ones are replaced.
     """
     docs = without(docs, pred_column, score_column)
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred_column, T.StringType()), T.StructField(score_column, T.DoubleType())])
+    own, at = safe(docs), place(docs, "text")
+    schema = T.StructType([*own.schema.fields, T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names = sorted(models)
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_file)
         table = scaled(np.stack([models[k] for k in names], 1), vocab) if names else None
         known = Known(lambda words: (np.ones(len(words), np.int64), word_scores(words, vocab, table)))
-        for part in in_batches(rows, "text", batch):
-            texts = plain_strings(part["text"])
+        for part in in_batches(rows, at, batch):
+            texts = plain_strings(part[at])
             letters = pc.match_substring_regex(texts, LETTER).to_numpy(zero_copy_only=False) & bool(names)
             pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             if letters.any():
@@ -211,9 +213,9 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], *, vocab_file: str,
                 posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 pred = np.where(letters, np.array(names, object)[total.argmax(1)], pred)
                 score = np.where(letters, posterior, score)
-            yield from part.append_column(pred_column, pa.array(pred, pa.string())).append_column(score_column, pa.array(score)).to_batches()
+            yield from part.append_column("pred", pa.array(pred, pa.string())).append_column("score", pa.array(score)).to_batches()
 
-    return docs.mapInArrow(work, schema)
+    return own.mapInArrow(work, schema).toDF(*docs.columns, pred_column, score_column)
 
 
 def fold(column: str, folds: int) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from fringeline.llm.exchange import group_starts
 from fringeline.llm.sentencepiece_codec import in_batches
+from fringeline.llm.shared import named, safe
 from fringeline.llm.words import U64, Words, mix, words_of
 
 BATCH = 8 << 20
@@ -98,17 +99,22 @@ def statistics(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, with the column stats (array<double>)."""
-    keep = [f for f in docs.schema.fields if f.name not in (text, "stats")]
-    schema = T.StructType([*keep, T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    """docs without its text, with the column stats (array<double>); a column of that name is replaced, others pass through.
+
+    Null and empty texts have statistics of 0; very long texts are read whole; repeated rows have equal statistics; an empty
+    table gives an empty one.
+    """
+    keep = [c for c in docs.columns if c not in (text, "stats")]
+    own = safe(docs.select(*map(named, keep), named(text)))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_batches(rows, text, BATCH):
-            x = statistics(table[text])
+        for table in in_batches(rows, f"c{len(keep)}", BATCH):
+            x = statistics(table[-1])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS)), pa.int32()), pa.array(x.ravel()))
-            yield from table.select([f.name for f in keep]).append_column("stats", lists).to_batches()
+            yield from table.select(schema.names[:-1]).append_column("stats", lists).to_batches()
 
-    return docs.select(*(f.name for f in keep), text).mapInArrow(work, schema)
+    return own.mapInArrow(work, schema).toDF(*keep, "stats")
 
 
 @dataclass
@@ -133,8 +139,12 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.edges, self.level), 0, 1)
 
 
+def matrix_of(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
 def stats_of(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("stats").flatten().to_numpy().reshape(batch.num_rows, -1)
+    return matrix_of(batch.column("stats"))
 
 
 def summed(rows: DataFrame, part) -> list[np.ndarray] | None:
@@ -170,7 +180,12 @@ def isotonic(x: np.ndarray, count: np.ndarray, good: np.ndarray) -> tuple[np.nda
 
 
 def fit(rows: DataFrame, *, cosines: int = COSINES, ridge: float = RIDGE, seed: int = 5) -> Model | None:
-    """A model from rows (stats, label 0 or 1, calibrate boolean); None if there is none to learn from."""
+    """A model from rows (stats, label 0 or 1, calibrate boolean); None if there is none to learn from.
+
+    Every row counts once, repeated ones each time; rows that are read are whole, so the order of rows does not matter
+    beyond rounding; without a row to calibrate with, the learning rows calibrate.  Statistics and labels must not be
+    null; other columns are ignored.
+    """
     learn, calibrate = rows.where("NOT calibrate"), rows.where("calibrate")
     got = summed(learn, lambda b: [np.array([b.num_rows], float), (x := stats_of(b)).sum(0), (x**2).sum(0)])
     if got is None:
@@ -203,12 +218,14 @@ def fit(rows: DataFrame, *, cosines: int = COSINES, ridge: float = RIDGE, seed:
 
 
 def score(rows: DataFrame, model: Model | None) -> DataFrame:
-    """rows with stats replaced by score; 0.5 without a model."""
-    keep = [f for f in rows.schema.fields if f.name not in ("stats", "score")]
+    """rows with stats replaced by score (0 to 1); 0.5 without a model.  Other columns pass through, one named score is replaced; an empty table gives an empty one."""
+    keep = [c for c in rows.columns if c not in ("stats", "score")]
+    own = safe(rows.select(*map(named, keep), "stats"))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(stats_of(b)) if model is not None else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(s)], names=[*(f.name for f in keep), "score"])
+            s = model.score(matrix_of(b.column(b.num_columns - 1))) if model is not None else np.full(b.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=schema.names)
 
-    return rows.mapInArrow(work, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
+    return own.mapInArrow(work, schema).toDF(*keep, "score")

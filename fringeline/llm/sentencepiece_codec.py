@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from fringeline.llm.lattice import CELLS, SPACE, Lattice, Runs, Vocabulary, joined, ranges, vocabulary
 from fringeline.llm.marked import LONG, Known, marked_words, segments
+from fringeline.llm.shared import named, place, safe
 from fringeline.llm.words import bytes_of, plain_strings
 
 #: Bytes of a batch of texts.
@@ -220,22 +221,23 @@ def encode(docs: DataFrame, *, model_file: str, text: str = "text", batch: int =
     names, and one named ids is replaced.  The model file must be at model_file on every executor.
     """
     docs = without(docs, "ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    own, at = safe(docs), place(docs, text)
+    schema = T.StructType([*own.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary(model_file))
-        for table in in_batches(rows, text, batch):
-            first, ids = codec.encode(table[text])
-            null = table[text].is_null().to_numpy()
+        for table in in_batches(rows, at, batch):
+            first, ids = codec.encode(table[at])
+            null = table[at].is_null().to_numpy()
             offsets = pa.array(first.astype(np.int32), pa.int32(), mask=np.append(null, False)) if null.any() else pa.array(first.astype(np.int32), pa.int32())
             yield from table.append_column("ids", pa.ListArray.from_arrays(offsets, pa.array(ids))).to_batches()
 
-    return docs.mapInArrow(work, schema)
+    return own.mapInArrow(work, schema).toDF(*docs.columns, "ids")
 
 
 def without(docs: DataFrame, *names: str) -> DataFrame:
     """docs but for the columns of these names; names are taken as they are, dots and all."""
-    return docs.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() not in {n.lower() for n in names}))
+    return docs.select(*(named(c) for c in docs.columns if c.lower() not in {n.lower() for n in names}))
 
 
 def decode(rows: DataFrame, *, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -245,19 +247,20 @@ def decode(rows: DataFrame, *, model_file: str, ids: str = "ids", out: str = "de
     results, an empty table an empty one; other columns pass through whatever their names, and one named `out` is replaced.
     """
     rows = without(rows, out)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
+    own, at = safe(rows), place(rows, ids)
+    schema = T.StructType([*own.schema.fields, T.StructField("decoded", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_file)
         for b in batches:
-            lists = b.column(ids)
+            lists = b.column(at)
             size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             first, data = decode_bytes(np.concatenate([[0], np.cumsum(size)]), lists.flatten().to_numpy(zero_copy_only=False), vocab)
             raw, valid = data.tobytes(), lists.is_valid().to_pylist()
             texts = [raw[i:j].decode("utf-8", "replace") if v else None for i, j, v in zip(first[:-1].tolist(), first[1:].tolist(), valid, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(work, schema)
+    return own.mapInArrow(work, schema).toDF(*rows.columns, out)
 
 
 def encoded_and_checked(docs: DataFrame, *, model_file: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t int, p string, key binary, shingles string, score string, ids string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t int, p string, key binary, shingles string, score string, ids string, `a.b` int, __base int"
 
 
 def words(text):
@@ -35,8 +35,8 @@ ODD = [None, "", " \t\n", "one", "one", "  nbsp stays here", "x" * 20000, "
 def table(spark, texts=None):
     """Rows in no order, with repeated rows, null ids and columns of clashing names."""
     texts = made_texts() + ODD if texts is None else texts
-    rows = [(i, t, "en" if i % 3 else None, None, None, 1, "p", b"k", "s", "x", "y") for i, t in enumerate(texts)]
-    rows += rows[3:5] + [(None, t, None, None, None, 1, "p", b"k", "s", "x", "y") for t in texts[8:10] + [None]]
+    rows = [(i, t, "en" if i % 3 else None, None, None, 1, "p", b"k", "s", "x", "y", 5, 6) for i, t in enumerate(texts)]
+    rows += rows[3:5] + [(None, t, None, None, None, 1, "p", b"k", "s", "x", "y", 5, 6) for t in texts[8:10] + [None]]
     random.Random(2).shuffle(rows)
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from fringeline.llm.decontamination import clean, contaminated, lower
@@ -34,10 +36,46 @@ def test_clean_keeps_rows_and_columns(spark):
     assert sorted(kept.collect(), key=str) == sorted((r for r in df.collect() if ITEM not in (r.text or "")), key=str)
 
 
+def test_exact_copies_as_brute_force_finds_them(spark):
+    """Every item of which a text holds a window of 13 words (a shorter one whole), whatever the words are."""
+    r = random.Random(7)
+    vocab = ["the", "of", "Anna", "7", "12", "km", "hours", "Boston", "bake", "cake", "river", "3", "two", "Bob"]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [say(r.choice([1, 3, 6, 8, 12, 13, 20, 40])) for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        one = list(r.choice(items))
+        cut = sorted(r.sample(range(len(one) + 1), 2)) if len(one) > 13 and r.random() < 0.5 else (0, len(one))
+        one = one[cut[0] : cut[1]]
+        if one and r.random() < 0.3:
+            one[r.randrange(len(one))] = "other"
+        texts.append(" ".join(say(r.randrange(5)) + one + say(r.randrange(5))))
+
+    def holds(text, item):
+        low, n = [w.lower() for w in text.split()], min(13, len(item))
+        own = [w.lower() for w in item]
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
+        return any(tuple(low[i : i + n]) in windows for i in range(len(low) - n + 1))
+
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if holds(t, item)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.kind for x in contaminated(docs, bench(spark, [" ".join(i) for i in items])).collect()}
+    assert {k for k, kind in got.items() if kind == "exact"} <= want <= set(got)
+
+
+def test_short_items_of_numbers_and_single_clashes(spark):
+    short = "What is 12 times 15 plus 7 minus 3 ?"
+    long = " ".join(f"word{i}" for i in range(20)) + " 5 " + " ".join(f"next{i}" for i in range(14)) + " 9"
+    docs = spark.createDataFrame([(0, f"so {short} yes"), (1, long[:-1] + "5"), (2, "What is that ?")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in contaminated(docs, bench(spark, [short, long])).collect()}
+    assert got == {(0, 0): "exact", (1, 1): "exact"}
+    assert [r.doc_id for r in clean(docs, bench(spark, [short, long])).collect()] == [2]
+
+
 def test_empty_tables(spark):
     assert contaminated(empty(spark), bench(spark, [ITEM])).collect() == []
     assert contaminated(table(spark), spark.createDataFrame([], "item_id long, text string")).collect() == []
-    assert clean(empty(spark), bench(spark, [ITEM])).columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert clean(empty(spark), bench(spark, [ITEM])).columns == [c.split()[0].strip("`") for c in SCHEMA.split(", ")]
 
 
 def test_exact_stretches_of_inconsistent_alignments(spark):
