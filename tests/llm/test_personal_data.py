@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from fringeline.llm import personal_data
 from fringeline.llm.personal_data import personal_spans, redacted
 
 from .cases import empty, table
@@ -56,6 +57,39 @@ def test_redaction(spark):
     assert redacted(df).columns == df.columns
 
 
+MANY = "4111111111111111, 411111111111112, a@b.cd;" * 700
+
+
+def test_many_matches_in_one_text(spark, monkeypatch):
+    """Long arrays go through several parts; overlaps are told alike by pairs and by passes."""
+    df = spark.createDataFrame([(0, MANY + "x" * 3000), (1, "1.2.3.4 +49 30 1234567 " * 500)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in personal_spans(df).collect()}
+    text = {r.doc_id: r.text for r in df.collect()}
+    for i, r in rows.items():
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{kind}:{s}:{e}" for s, _, e, kind in base(text[i])).encode()).hexdigest()
+    monkeypatch.setattr(personal_data, "PAIRS", -1)
+    assert {r.doc_id: r for r in personal_spans(df).collect()} == rows
+    mixed = spark.createDataFrame([(0, "+49 4111 111111111111 Karen Brown 4111111111111111"), (1, 'key: aaaa1111bbbb2222cccc3333dddd4444@x.yz token = "aaaa1111bbbb2222cccc3333dddd4444"'), (2, "no")], "doc_id long, text string")
+    linear = personal_spans(mixed).collect()
+    monkeypatch.setattr(personal_data, "PAIRS", 10**6)
+    assert personal_spans(mixed).collect() == linear
+    (r,) = redacted(df.where("doc_id = 0")).collect()
+    assert r.text.count("<EMAIL>") == 700 and r.text.endswith(";" + "x" * 3000) and "4111111111111111" not in r.text
+
+
+def test_votes_of_gazetteers_and_context(spark):
+    texts = ["My name is Maria Lopez and I live here.", "Call me at (212) 555-0199 please", "Mr. John Smith came", "the bank account 123456789012 holds", "Contact: Hans Müller, tel 030 123 4567", "Berlin Wall is old", "rows 123456789012 of it", "phone: 212-555-0188", "Karen Brown wrote"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "doc_id long, text string")
+    got = [r.spans for r in personal_spans(df).orderBy("doc_id").collect()[: len(texts)]]
+    assert got == ["name:11:22", "phone:11:25", "name:0:14", "account:17:29", "name:9:20,phone:26:38", "", "", "phone:7:19", "name:0:11"]
+
+
+def test_column_names_of_any_kind(spark):
+    df = spark.createDataFrame([(1, "to a@b.cd", 3, 4, 5, 6)], "doc_id long, text string, `a.b` int, base int, `row` int, `spans` int")
+    got = redacted(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "to <EMAIL>", 3, 4, 5, 6)]
+
+
 def test_empty_table(spark):
     assert personal_spans(empty(spark)).collect() == []
 
