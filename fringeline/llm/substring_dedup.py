@@ -3,8 +3,9 @@
 Rounds rename runs of equal symbols, then pairs of neighbours that a hash puts on the left and on the right
 side.  A name is a hash of what it stands for, so names are global without a shared table, and whether a pair
 is joined depends on the pair alone.  Hence inside any window all symbols, but for a few at either edge, are
-named alike wherever that window occurs.  A window can repeat only if all of those inner symbols occur in
-several documents; of such windows (few) a 128-bit hash of their words decides, with the smallest doc_id.
+named alike wherever that window occurs, and which ones those are depends on the window alone.  A window can repeat
+only if all of those inner symbols occur in several documents; of such windows (few) the sequence of these symbols
+and of the words beside them decides, as a 128-bit hash, with the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ LAST = np.iinfo(np.int64).max
 
 
 class Parse:
-    """Symbols after all rounds: name and doc of each, and for each word boundary the symbols that are certain."""
+    """Symbols after all rounds: name, doc and first word of each, and for each word boundary the symbols that are certain."""
 
     def __init__(self, w: Words, rounds: str):
         doc = w.doc()
         name = w.hashes()
         n = len(name)
+        word = np.arange(n)
         self.low = np.arange(n + 1)  # first certain symbol of a window that starts at this word
         self.high = np.arange(n + 1)  # symbol after the last certain one of a window that ends before this word
         for k, kind in enumerate(rounds):
@@ -43,7 +45,7 @@ class Parse:
                 at = np.flatnonzero(starts)
                 run = np.diff(at, append=n)
                 long = run > 1
-                name, doc = name[at], doc[at]
+                name, doc, word = name[at], doc[at], word[at]
                 name[long] = mix(name[long] * U64(5) ^ mix(run[long].astype(U64)))
                 low, high = inside + 1, inside
             else:
@@ -57,13 +59,13 @@ class Parse:
                 pair[:-1] = joined[1:]
                 left = np.flatnonzero(pair)
                 name[left] = mix(name[left] * U64(3) ^ mix(name[left + 1] + U64(k + 1)))
-                name, doc = name[at], doc[at]
+                name, doc, word = name[at], doc[at], word[at]
                 low = inside + right
                 high = inside + right
             # a boundary at the end of all symbols stays there
             low, high = np.append(low, len(name)), np.append(0, high)
             self.low, self.high = low[self.low], high[self.high]
-        self.name, self.doc = name, doc
+        self.name, self.doc, self.word = name, doc, np.append(word, len(w))
 
 
 def distinct_names(parse: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,9 +92,10 @@ class Windows:
         doc = w.doc()
         i = i[doc[i] == doc[i + size - 1]]
         low, high = parse.low[i], parse.high[i + size]
-        i = i[alone[np.maximum(high, low)] == alone[low]]
+        some = alone[np.maximum(high, low)] == alone[low]
+        i, low, high = i[some], low[some], high[some]
         self.at, owner = i, ids[doc[i]]
-        k = [rolled(w, s, size, i) for s in (1, 2)]
+        k = [keys_of(w, parse, i, low, high, size, seed) for seed in (1, 2)]
         order = np.lexsort((owner, k[1], k[0]))
         k = [x[order] for x in k]
         new = X.group_starts(*k)
@@ -102,16 +105,31 @@ class Windows:
         self.owner = owner
 
 
-def rolled(w: Words, seed: int, size: int, at: np.ndarray) -> np.ndarray:
-    """64-bit hash of the `size` words from each place."""
+class Ranges:
+    """Hashes of ranges of a sequence, whatever their place."""
+
+    def __init__(self, values: np.ndarray, seed: int):
+        m = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)[seed - 1]
+        n = len(values) + 1
+        up, self.down = np.full(n, m, U64), np.full(n, pow(m, -1, 2**64), U64)
+        up[0] = self.down[0] = 1
+        self.total = np.concatenate([np.zeros(1, U64), np.cumsum(values * np.cumprod(up)[:-1])])
+        self.down = np.cumprod(self.down)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U64))
+
+
+def keys_of(w: Words, parse: Parse, at: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """64-bit hash of each window: the words before its certain symbols, these symbols, and the words after them."""
     if not len(at):
         return np.zeros(0, U64)
-    m = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)[seed - 1]
-    n = len(w)
-    up, down = np.full(n, m, U64), np.full(n, pow(m, -1, 2**64), U64)
-    up[0] = down[0] = 1
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(w.hashes(seed) * np.cumprod(up))])
-    return mix((total[at + size] - total[at]) * np.cumprod(down)[at])
+    words, names = Ranges(w.hashes(seed), seed), Ranges(mix(parse.name + U64(seed)), seed)
+    end = at + size
+    has = high > low
+    first, last = np.where(has, parse.word[low], end), np.where(has, parse.word[np.maximum(high, low)], end)
+    high = np.where(has, high, low)
+    return mix(mix(words.of(at, first) * U64(3) ^ names.of(low, high)) * U64(5) ^ words.of(last, end))
 
 
 def dedup_windows(docs: DataFrame, *, window: int = 50, rounds: str = ROUNDS, bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
