@@ -1,7 +1,9 @@
 """Questions about keys, asked by buckets of texts and answered by ranges of keys.
 
-Texts are dealt into buckets of a few megabytes by a hash of doc_id.  A bucket reduces its keys (64-bit
-hashes) to distinct ones, and sends them packed, one row for each key range.  The worker of a key range sees
+Texts are dealt into buckets of a few megabytes by a hash of doc_id and text, so rows of one doc_id or without one are
+spread too.  A bucket reduces its keys (64-bit hashes) to distinct ones, and sends them packed, one row for each key
+range.  There are as many ranges as buckets; buckets grow with the square root of the corpus (6 MB to 90 GB, 20 MB at
+1 TB, 200 MB at 100 TB), so a message holds tens of keys however large the corpus is.  The worker of a key range sees
 what all buckets say about a key, and sends back one packed answer in the order of the bucket's keys.  So a
 key that a third of all rows hold costs one entry a bucket, no key is joined with rows, the text crosses the
 network once (the later stages reuse that exchange), and what a task holds is a bucket or a key range, whose
@@ -10,6 +12,7 @@ sizes are set here and not by the data's skew.  All of it is a function of the i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -18,19 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 6 << 20
+#: Keys that a message has at least, and bytes of text that a key stands for, about.
+MESSAGE, KEY_BYTES = 64, 6
 ASK = "p int, t int, n long, body binary"
 REPLY = "t int, kind int, p int, body binary"
 
 
 def bucket_count(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets for these texts, from one scan of their sizes."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // bucket_bytes))
+    total = texts.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, -(-total // max(bucket_bytes, math.isqrt(MESSAGE * KEY_BYTES * total))))
 
 
 def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text and the bucket t of each row; other columns go."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(7))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(7))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(key, F.lit(buckets)).cast("int").alias("t"))
 
 
