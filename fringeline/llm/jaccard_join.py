@@ -89,9 +89,13 @@ def sketches(rows: np.ndarray, first: np.ndarray, s: np.ndarray, n: int, d: int)
     return out
 
 
+#: Bits of a sketch at most: it goes to every key range that its document's segments touch.
+MOST_BITS = 4096
+
+
 def bit_sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set, two to four for each shingle; the halves of a sketch XOR to the next smaller one."""
-    size = 64 << max(0, int(2 * len(s) - 1).bit_length() - 6)
+    """Parity bits of a set, two to four for each shingle up to MOST_BITS; the halves of a sketch XOR to the next smaller one."""
+    size = min(MOST_BITS, 64 << max(0, int(2 * len(s) - 1).bit_length() - 6))
     odd = np.bincount((mix(s ^ U64(0x94D049BB133111EB)) & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
