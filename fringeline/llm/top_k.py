@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
-OUT = "query_id long, vec_id long, score long"
+#: Queries that meet a block in one task; the candidates are copied once for each such part.
+QUERY_ROWS = 8192
+#: Blocks whose lists are merged in one round.
+MERGED = 64
+OUT = "block int, query_id long, vec_id long, score long"
 #: Sums of products up to this size are exact as doubles.
 EXACT = 2.0**53
 
@@ -25,10 +28,10 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def packed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def packed(rows: pa.Table, ids: str = "vec_id", v: str = "v") -> tuple[np.ndarray, np.ndarray]:
     """Ids and a dense matrix; missing trailing components are 0."""
-    ids = rows["vec_id"].to_numpy()
-    lists = rows["v"].combine_chunks()
+    ids = rows[ids].to_numpy()
+    lists = rows[v].combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
     size = lists.value_lengths().to_numpy()
     out = np.zeros((len(ids), int(size.max(initial=0))), np.int64)
@@ -65,16 +68,19 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int = 102
     total = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     blocks, parts = max(1, -(-total["n"] // block_rows)), max(1, -(-total["q"] // query_rows))
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    candidates = rows.select("vec_id", "v", deal(blocks, 1).alias("block"))
+    # under other names, so that the two sides share no column
+    candidates = rows.select(F.col("vec_id").alias("own_id"), F.col("v").alias("own_v"), deal(blocks, 1).alias("block"))
     asked = rows.where(is_query).select("vec_id", "v", deal(parts, 2).alias("part"))
     # a task for each query part and candidate block: the stated queries against all rows, in blocks
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def work(queries: pa.Table, block: pa.Table) -> pa.Table:
+        if not queries.num_rows or not block.num_rows:  # a block or part that got no row
+            return pa.table({"block": pa.array([], pa.int32())} | {c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
         qid, q = packed(queries)
-        order = np.argsort(block["vec_id"].to_numpy(), kind="stable")
-        ids, dense = packed(block)
+        order = np.argsort(block["own_id"].to_numpy(), kind="stable")
+        ids, dense = packed(block, "own_id", "own_v")
         ids, postings = ids[order], np.ascontiguousarray(dense[order].T)
         low, high = np.searchsorted(ids, qid, "left"), np.searchsorted(ids, qid, "right")
         bound = float(np.abs(q).max(initial=0)) * float(np.abs(postings).max(initial=0)) * max(1, q.shape[1])
@@ -89,10 +95,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int = 102
             at = best(other, own, k)
             out.append((np.full(len(at), qid[r]), other[at], own[at].astype(np.int64)))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+        return pa.table({"block": pa.array(np.full(len(cols[0]), block["block"][0].as_py()), pa.int32())} | dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
     lists = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(work, OUT)
-    # merging as an aggregate combines the lists of a task before the shuffle
+    # a round merges the lists of up to MERGED blocks of a query, so no list holds more than that many times k entries
     entry = F.struct((-F.col("score")).alias("s"), "vec_id")
-    merged = lists.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("top"))
+    best_of = lambda rows, *keys: rows.groupBy("query_id", *keys).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("top"))
+    while blocks > MERGED:
+        blocks = -(-blocks // MERGED)
+        some = best_of(lists, F.floor(F.col("block") / MERGED).cast("int").alias("block")).select("block", "query_id", F.explode("top").alias("e"))
+        lists = some.select("block", "query_id", F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
+    merged = best_of(lists)
     return merged.select("query_id", F.posexplode("top").alias("pos", "e")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))

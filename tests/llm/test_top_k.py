@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import fringeline.llm.top_k as top_k_module
 from fringeline.llm.top_k import top_k
 
 ROWS = 230
@@ -22,8 +23,9 @@ def vectors():
     return out
 
 
-@pytest.mark.parametrize(("block", "part", "k"), [(8192, 1024, 10), (17, 3, 10), (50, 100, 400)])
-def test_same_as_brute_force(spark, block, part, k):
+@pytest.mark.parametrize(("block", "part", "k", "merged"), [(8192, 1024, 10, 64), (17, 3, 10, 3), (50, 100, 400, 2)])
+def test_same_as_brute_force(spark, monkeypatch, block, part, k, merged):
+    monkeypatch.setattr(top_k_module, "MERGED", merged)
     rows = vectors()
     good = {i: np.array([np.floor(1024 * x) for x in v] + [0] * (8 - len(v)), np.int64) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = set()
