@@ -87,22 +87,28 @@ class Counts:
         return group, (self.pair - deleted) / np.maximum(context, 1) * (context > 0), (self.own - deleted) / max(self.n - deleted, 1)
 
 
-def learned(cells: np.ndarray, count: np.ndarray, even: float) -> np.ndarray:
-    """Weights (bigram, unigram, even) of each class, from counts of binned estimates."""
-    group, rest = np.divmod(cells, BINS * BINS)
+EVEN_SHARE = np.array([0.0, 0.5, 0.5])
+
+
+def learned(cells: np.ndarray, count: np.ndarray, even: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (bigram, unigram, even) of one class, and how often each is used, from counts of binned estimates."""
+    rest = cells % (BINS * BINS)
     level = np.concatenate([2.0 ** (-0.5 * np.arange(BINS - 1)), [0.0]])
     p = np.stack([level[rest // BINS], level[rest % BINS], np.full(len(cells), even)], 1)
-    weights = np.tile([0.4, 0.5, 0.1], (CLASSES, 1))
+    weights, seen = np.array([0.4, 0.5, 0.1]), np.zeros(3)
     for _ in range(STEPS):
-        share = weights[group] * p
-        share *= (count / np.maximum(share.sum(1), 1e-300))[:, None]
-        seen = np.stack([np.bincount(group, share[:, k], CLASSES) for k in range(3)], 1)
-        mean = seen.sum(0) / max(seen.sum(), 1e-300) if seen.sum() else np.array([0.0, 0.0, 1.0])
-        total = seen.sum(1, keepdims=True)
-        weights = np.where(total > 0, seen / np.maximum(total, 1e-300), mean)
-        weights = 0.999 * weights + 0.001 * np.array([0.0, 0.5, 0.5])  # so that every token keeps some probability
-    weights[0] = weights[0] + weights[0, 0] * np.array([-1.0, 0.5, 0.5])  # an unseen context has no bigrams
-    return weights
+        share = weights * p
+        seen = (share * (count / np.maximum(share.sum(1), 1e-300))[:, None]).sum(0)
+        weights = 0.999 * seen / max(seen.sum(), 1e-300) + 0.001 * EVEN_SHARE  # so that every token keeps some probability
+    return weights, seen
+
+
+def all_weights(classes: list[int], weights: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Weights by class; one that was not seen has those of all uses together."""
+    out = np.tile(0.999 * seen.sum(0) / max(seen.sum(), 1e-300) + 0.001 * EVEN_SHARE, (CLASSES, 1))
+    out[classes] = weights
+    out[0] += out[0, 0] * np.array([-1.0, 0.5, 0.5])  # an unseen context has no bigrams
+    return out
 
 
 def scores(docs: DataFrame, *, folds: int = 7, held: int = 2, bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
@@ -173,13 +179,19 @@ def scores(docs: DataFrame, *, folds: int = 7, held: int = 2, bucket_bytes: int
     cells = texts.groupBy("t").cogroup(known.groupBy("t")).applyInArrow(binned, "cell long, n long, types long")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.max("types").alias("types"))
 
-    def weigh(key: tuple, table: pa.Table) -> pa.Table:
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.sort_by("cell")
-        even = 1 / (rows["types"][0].as_py() + 1)
-        return pa.Table.from_batches(to_all(WEIGHTS, learned(rows["cell"].to_numpy(), rows["n"].to_numpy().astype(float), even).tobytes()))
+        weights, seen = learned(rows["cell"].to_numpy(), rows["n"].to_numpy().astype(float), 1 / (rows["types"][0].as_py() + 1))
+        return pa.table({"zero": pa.array([0], pa.int32()), "class": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([weights.tolist()], pa.list_(pa.float64())), "seen": pa.array([seen.tolist()], pa.list_(pa.float64()))})
+
+    def weigh(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by("class")
+        body = all_weights(rows["class"].to_pylist(), np.array(rows["weights"].to_pylist()), np.array(rows["seen"].to_pylist())).tobytes()
+        return pa.Table.from_batches(to_all(WEIGHTS, body))
 
-    # the cells are a bounded number, whatever the corpus, and come together in one task
-    weights = cells.withColumn("zero", F.pmod("cell", F.lit(1))).groupBy("zero").applyInArrow(weigh, X.REPLY)
+    # a class has a bounded number of cells, whatever the corpus; one row a class, at most CLASSES of them, meets the others
+    fits = cells.withColumn("class", F.floor(F.col("cell") / (BINS * BINS)).cast("int")).groupBy("class").applyInArrow(fit, "zero int, class int, weights array<double>, seen array<double>")
+    weights = fits.groupBy("zero").applyInArrow(weigh, X.REPLY)
 
     def scored(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
         t = Tokens(table, folds, held)
