@@ -13,7 +13,7 @@ from fringeline.llm.lm_scoring import scores
 from fringeline.llm.personal_data import personal_spans
 from fringeline.llm.sentencepiece_codec import encoded_and_checked
 from fringeline.llm.sharding import shards
-from fringeline.llm.shared import written
+from fringeline.llm.shared import dealt, discard, written
 from fringeline.llm.substring_dedup import dedup_windows
 from fringeline.llm.top_k import top_k
 
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text and lang of all documents, on all cores."""
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -35,20 +40,25 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_spans(table(spark, sf_dir, "documents"))
+    return personal_spans(documents(spark, sf_dir))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from the labels of folds 1 to 4 of five (fold 4 calibrates); a document with several labels counts once for each."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Learns from the labels of folds 1 to 4 of five (fold 4 calibrates); a document with several labels counts once for each.
+
+    Null and empty texts are scored by their statistics, which are 0; rows without doc_id are in fold 0, with repeated
+    ones all alike; other columns are not read.
+    """
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(quality.with_statistics(docs), "stats").withColumn("fold", F.coalesce(fold("doc_id", 5), F.lit(0)))
     labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label"))
-    learned = rows.where("fold <> 0").join(labels, "doc_id").select("stats", "label", (F.col("fold") == 4).alias("calibrate"))
+    learned = written(rows.where("fold <> 0").join(labels, "doc_id").select("stats", "label", (F.col("fold") == 4).alias("calibrate")), "learned")  # three passes read it
     model = quality.fit(learned)
+    discard(learned)
     scored = quality.score(rows, model)
     return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
@@ -58,7 +68,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_and_checked(table(spark, sf_dir, "documents"), model_file=VOCAB_FILE)
+    return encoded_and_checked(documents(spark, sf_dir), model_file=VOCAB_FILE)
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +80,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     models = learn(docs.where(~F.col("held_out")), vocab_file=VOCAB_FILE)
     return identify(docs.drop("lang"), models, vocab_file=VOCAB_FILE).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -109,4 +119,12 @@ t AS (SELECT vec_id, unnest(q) x, unnest(range(0, len(q))) d FROM v),
 s AS (SELECT a.vec_id query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) score FROM t a JOIN t b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY a.vec_id, b.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10"""
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op8_top_k": OP8_SQL}
+# The crc32 of the bytes by its table; a row belongs to the sixteenth of all bytes that holds its middle one.
+OP6_SQL = """WITH RECURSIVE g AS (SELECT k, CAST(k AS BIGINT) v, 0 n FROM (SELECT range k FROM range(256)) UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM g WHERE n < 8),
+crc AS (SELECT list(v ORDER BY k) t FROM g WHERE n = 8),
+h AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) size, hex(encode(coalesce(text, ''))) h FROM documents),
+s AS (SELECT doc_id, size, CASE WHEN size = 1 THEN 0 ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, 2 * size - 2, 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT))), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295) END text_crc32 FROM h, crc),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before, sum(size) OVER () total, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 nr FROM s),
+p AS (SELECT doc_id, size, text_crc32, nr, CAST(least(15, ((coalesce(before, 0) + size // 2) * 16) // total) AS INT) shard FROM o)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) text_crc32, 'bytes' law, shard, CAST(nr - min(nr) OVER (PARTITION BY shard) AS BIGINT) slot, CAST(NULL AS INT) grown_shard FROM p"""
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op6_sharding": OP6_SQL, "op8_top_k": OP8_SQL}

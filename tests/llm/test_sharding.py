@@ -24,6 +24,20 @@ def test_prefix_sums(spark, range_rows):
         assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
 
 
+def test_as_plain_prefix_sums(spark):
+    rows = [(i if i % 13 else None, ("ab" * (i * 5 % 23)) if i % 7 else None) for i in range(200)] + [(5, "same")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    items = sorted((-1 if i is None else i, zlib.crc32((t or "").encode()), len(t or "") + 1) for i, t in rows)
+    total, before, want, slots = sum(s for *_, s in items), 0, [], {}
+    for i, crc, size in items:
+        shard = min(4, (before + size // 2) * 5 // total)
+        want.append((i, size, crc, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+        before += size
+    got = [(-1 if r.doc_id is None else r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in shards(df, shards=5, range_rows=17).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_more_shards_than_rows_and_equal_rows(spark):
     df = spark.createDataFrame([(1, "a")] * 3 + [(None, None)], "doc_id long, text string")
     rows = shards(df, shards=16).collect()
