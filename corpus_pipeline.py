@@ -15,35 +15,39 @@ from fringeline.llm.language_id import UNDETERMINED, identify, learn
 from fringeline.llm.personal_data import redacted
 from fringeline.llm.queries import VOCAB_FILE
 from fringeline.llm.sentencepiece_codec import encode
-from fringeline.llm.shared import written
+from fringeline.llm.shared import fresh, named, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is determined; null texts and texts without a letter go."""
+    """Rows whose language is determined; null texts and texts without a letter go.
+
+    Repeated rows stay or go together; other columns pass through whatever their names; an empty table gives an empty one.
+    """
     models = learn(docs, vocab_file=VOCAB_FILE)
-    known = identify(docs, models, vocab_file=VOCAB_FILE, pred_column="__lang", score_column="__score")
-    return known.where(F.col("__lang") != UNDETERMINED).select(docs.columns)
+    pred, score = (fresh(docs, c) for c in ("lang_pred", "lang_score"))
+    known = identify(docs, models, vocab_file=VOCAB_FILE, pred_column=pred, score_column=score)
+    return known.where(F.col(pred) != UNDETERMINED).select(*map(named, docs.columns))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of linked ones; rows without doc_id stay."""
+    """The document of smallest doc_id of each group of linked ones; rows without doc_id stay, and rows of one doc_id together."""
     others = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no benchmark item."""
+    """Rows whose text holds no benchmark item; null and empty texts stay."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data in the text replaced by its kind, and n_chars of the new text."""
+    """All rows, repeated ones too, with personal data in the text replaced by its kind, and n_chars of the new text; null texts stay."""
     done = redacted(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
+    """doc_id, n_tokens and ids of every row, repeated ones too; a null text has null ids and no tokens; other columns go."""
     ids = encode(docs.select("doc_id", "text"), model_file=VOCAB_FILE)
     return ids.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids")
 
