@@ -244,3 +244,35 @@ def test_states_as_of(spark):
     rows = spark.createDataFrame([(0, 9.0), (0, 10.0), (0, 25.0), (1, 5.0), (2, 5.0)], "station int, t double")
     got = {(r.station, r.t): r.what for r in delays.asof(rows, states, ("station",), "t", "since").collect()}
     assert got == {(0, 9.0): None, (0, 10.0): "a", (0, 25.0): "b", (1, 5.0): "c", (2, 5.0): None}
+
+
+def test_synthetic_streams(spark, tmp_path):
+    """Two stations see the same sky seven samples apart, in two bands, with tones."""
+    from fringeline.operators import align, fx
+    from fringeline.sources import synthetic
+
+    s = synthetic.Signal(fs=6400.0, spf=64, seconds=2, channels=2, noise=0.3, tone=0.5, f_pcal=400.0)
+    synthetic.write(spark, s, {0: 0, 1: 7}, str(tmp_path))
+    frames = vdif.with_time(vdif.read_folder(spark, str(tmp_path)), 6400.0).selectExpr("*", "station_code station", "CAST(6400 AS DOUBLE) fs")
+    assert frames.count() == 2 * 2 * 100
+    polys = spark.createDataFrame([(b, 0, st, 7 * st / 6400, 7 * st / 6400, 0.0, 0.0) for b in range(2) for st in range(2)], "block int, source_id int, station int, rel double, d0 double, d1 double, d2 double")
+    media = spark.createDataFrame([(st, i, i, 0, 0.0, "U", 400.0) for st in range(2) for i in range(2)], "station int, idx int, channel int, pol int, freq_hz double, sideband string, f_pcal double")
+    chunks = align.chunks(align.aligned(frames, polys, start=0.0, period=1.0, blocks=2), media)
+    vis = fx.correlate(chunks, fft_size=32, period=1.0).where("sp0 = 0 AND sp1 = 2")
+    for c in range(2):
+        assert abs(sum(complex(v.re, v.im) for v in vis.where(f"acc = 0 AND channel = {c}").collect())) > 0.5
+    tones = fx.calibration(chunks).where("acc = 0 AND channel = 0 AND sp = 0").orderBy("k").collect()
+    size = np.abs([complex(t.re, t.im) for t in tones])
+    assert len(size) == 16 and size[1:8].min() > 1
+    quiet = synthetic.noise((3, 1), -10, 9000)
+    assert np.array_equal(quiet[4000:5000], synthetic.noise((3, 1), 3990, 1000))
+
+
+def test_filter_bank():
+    from fringeline.sources.synthetic import filter_bank
+
+    n, channels = 4096, 4
+    rows = filter_bank(np.cos(2 * np.pi * (2 * n // 8 + 37) * np.arange(n) / n), channels)  # in the third band
+    power = (rows**2).sum(1)
+    assert rows.shape == (4, n // 4) and power.argmax() == 2 and power[2] > 100 * np.delete(power, 2).max()
+    assert np.abs(np.fft.rfft(rows[2])).argmax() == 37
