@@ -217,7 +217,8 @@ def indices(benchmark: DataFrame, *, window: int, literals: int, block_bytes: in
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, literals: int = LITERALS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Alignments of texts with items: doc_id, item_id, kind (exact or reparameterised), n_tokens, first_word.
 
-    A pair has one row, for its longest alignment (first by place, exact first).  Null and empty texts on either side
+    A pair has one row, for its longest alignment (first by place, exact first).  kind is that of the windows that match:
+    what lies outside them, such as another name at a sentence's begin, is not judged.  Null and empty texts on either side
     match nothing; an item with a null id is one like others, reported with a null item_id; repeated rows give repeated
     results; columns but doc_id, text and item_id, text are ignored; an
     empty benchmark gives no rows.  Windows with fewer than `literals` plain words

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from fringeline.llm.shared import written
 
-#: Rows that a range has about.
+#: Rows that a range has about, and ranges at most: their totals are summed in one task and broadcast.
 RANGE_ROWS = 100_000
+RANGES = 100_000
 
 
 def shards(docs: DataFrame, *, shards: int = 16, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -27,7 +28,7 @@ def shards(docs: DataFrame, *, shards: int = 16, range_rows: int = RANGE_ROWS) -
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    ranges = max(1, -(-rows.count() // range_rows))
+    ranges = min(RANGES, max(1, -(-rows.count() // range_rows)))
     # written, so that the cuts of the ranges, which Spark samples, are the same in all that follows
     rows = written(rows.repartitionByRange(ranges, "doc_id", "text_crc32", "size").withColumn("range", F.spark_partition_id()), "ranges")
     total = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("count"))

@@ -36,3 +36,15 @@ def test_words_are_those_of_bytes_split(texts):
     flat = [x for t in got for x in t]
     h = w.hashes().tolist()
     assert len(set(flat)) == len(set(h)) == len(set(zip(flat, h, strict=True)))
+
+
+def test_rows_without_or_of_one_id_are_spread(spark):
+    rows = [(None if i % 2 else 7, f"text {i}") for i in range(400)] + [(None, None)]
+    dealt = X.in_buckets(spark.createDataFrame(rows, "doc_id long, text string"), 16).groupBy("t").count().collect()
+    assert len(dealt) == 16 and max(r["count"] for r in dealt) < 80
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    df = spark.createDataFrame([("x" * 60_000,)] * 100, "text string")
+    assert X.bucket_count(df) == 1
+    assert X.bucket_count(df, 1000) == -(-6_000_000 // 48_000)  # the square root of 64 keys of 6 bytes times 6 MB

@@ -37,6 +37,21 @@ def test_texts_of_words_of_several_languages_stay(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()} == {r[0] for r in rows} - {1001}
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, row int"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, 1, 2)] * 3 + [(5, "", None, None, 0, 1, 2)], [(1, "ein Wort", None, "s", 8, 1, 2)] * 2])
+def test_empty_null_and_unlabelled_tables(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns
+        docs = corpus_pipeline.written(after, "stage")
+    assert [tuple(r) for r in docs.collect()] == [r for r in rows if r[1]]
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == docs.count()
+
+
 def test_columns_between_stages():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
