@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fringeline.llm.decontamination import clean
 from fringeline.llm.jaccard_join import near_duplicates
-from fringeline.llm.language_id import UNDETERMINED, identify, learn
+from fringeline.llm.language_id import LETTER, UNDETERMINED, identify, learn
 from fringeline.llm.personal_data import redacted
 from fringeline.llm.queries import VOCAB_FILE
 from fringeline.llm.sentencepiece_codec import encode
@@ -22,8 +22,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is determined; null texts and texts without a letter go.
 
     Repeated rows stay or go together; other columns pass through whatever their names; an empty table gives an empty one.
+    Where no row has a lang to learn from, every text with a letter stays.
     """
     models = learn(docs, vocab_file=VOCAB_FILE)
+    if not models:
+        return docs.where(F.regexp_like(F.col("text").cast("string"), F.lit(LETTER)))
     pred, score = (fresh(docs, c) for c in ("lang_pred", "lang_score"))
     known = identify(docs, models, vocab_file=VOCAB_FILE, pred_column=pred, score_column=score)
     return known.where(F.col(pred) != UNDETERMINED).select(*map(named, docs.columns))
