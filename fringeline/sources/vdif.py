@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+#: The setting by which Spark offers conditions to data sources of Python.
+PUSH = "spark.sql.python.filterPushdown.enabled"
 HEADER = 32
 SCHEMA = (
     "file string, offset long, invalid boolean, legacy boolean, seconds long, epoch int, frame_num int, version int, log2_channels int, "
@@ -116,6 +118,7 @@ class VdifReader(DataSourceReader):
         self.payload = options.get("payload", "true").lower() != "false"
         self.low, self.high = int(options.get("t_start", 0)), int(options.get("t_end", 1 << 30))
         self.skip = int(options.get("skip_bytes", 0))
+        self.stations: set[int] | None = None
 
     def partitions(self) -> Sequence[InputPartition]:
         import os
@@ -150,7 +153,10 @@ class VdifReader(DataSourceReader):
 
     def frames(self, part: FrameRange, rows: np.ndarray, at: int) -> pa.RecordBatch:
         h = decode_headers(np.ascontiguousarray(rows[:, :16]).view("<u4"))
-        some = np.flatnonzero((h["seconds"] >= self.low) & (h["seconds"] < self.high))
+        use = (h["seconds"] >= self.low) & (h["seconds"] < self.high)
+        if self.stations is not None:
+            use &= np.isin(h["station_code"], list(self.stations))
+        some = np.flatnonzero(use)
         h = {k: v[some] for k, v in h.items()}
         n, size = len(some), rows.shape[1] - HEADER if self.payload else 0
         body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows[some, HEADER : HEADER + size]))])
@@ -160,6 +166,23 @@ class VdifReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name] if f.name in columns else h[f.name], f.type) if f.name != "payload" else body for f in fields], schema=fields)
 
 
+class FilteringReader(VdifReader):
+    """Also applies Spark's conditions on seconds and station_code to the headers; the session's setting PUSH must be on."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("seconds",) and isinstance(f, GreaterThanOrEqual | GreaterThan):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+            elif column == ("seconds",) and isinstance(f, LessThan | LessThanOrEqual):
+                self.high = min(self.high, value + isinstance(f, LessThanOrEqual))
+            elif column == ("station_code",) and isinstance(f, EqualTo | In):
+                own = {value} if isinstance(f, EqualTo) else set(value)
+                self.stations = own if self.stations is None else self.stations & own
+            else:
+                yield f
+
+
 #: SCHEMA as Arrow's.
 ARROW = pa.schema([(name, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
 
@@ -173,12 +196,12 @@ class VdifSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> VdifReader:
-        return VdifReader(self.options)
+        return (FilteringReader if self.options.get("push") == "true" else VdifReader)(self.options)
 
 
 def read_frames(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
     spark.dataSource.register(VdifSource)
-    return spark.read.format("vdif").options(path=",".join(paths), **options).load()
+    return spark.read.format("vdif").options(path=",".join(paths), push=spark.conf.get(PUSH, "false"), **options).load()
 
 
 def read_folder(spark: SparkSession, folder: str, **options: str) -> DataFrame:

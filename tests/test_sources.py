@@ -43,6 +43,22 @@ def test_data_source_splits_and_filters(spark, tmp_path):
     assert len(some) == 10 and all(len(r.payload) == 0 for r in some)
 
 
+def test_conditions_reach_the_headers(spark, tmp_path):
+    write(tmp_path / "a.vdif")
+    condition = "seconds >= 101 AND seconds <= 101 AND station_code IN (7, 8) AND frame_num > 3"
+    want = vdif.read_frames(spark, [f"{tmp_path}/a.vdif"]).where(condition).collect()
+    spark.conf.set(vdif.PUSH, "true")
+    try:
+        frames = vdif.read_frames(spark, [f"{tmp_path}/a.vdif"])
+        got, plan = frames.where(condition).collect(), frames.where(condition)._jdf.queryExecution().executedPlan().toString()
+        assert frames.where("station_code = 8").count() == 0 and frames.where("seconds > 101 AND seconds < 103").count() == 5
+    finally:
+        spark.conf.set(vdif.PUSH, "false")
+    assert got == want and len(got) == 6
+    left = plan[plan.index("Filter") : plan.index("BatchScan")]
+    assert "> 3" in left and "101" not in left
+
+
 def test_summary_and_time(spark, tmp_path):
     write(tmp_path / "a.vdif", truncated=False)
     frames = vdif.read_frames(spark, [f"{tmp_path}/a.vdif"])
