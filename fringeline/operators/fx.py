@@ -74,8 +74,7 @@ class Stream:
         lower_complex = self.side == "L" and self.is_complex
         d, index = self.place(windows, size)
         x = self.x[index[:, None] + np.arange(size)]
-        turns = (self.freq - self.fs if lower_complex else self.freq) * kernels.delay(self.coeffs, (windows[:, None] * size + np.arange(size)) / self.fs)
-        x = x * kernels.rotator(turns - np.trunc(turns))
+        x = x * kernels.rotator(kernels.turns(self.freq, self.fs, kernels.delay(self.coeffs, (windows[:, None] * size + np.arange(size)) / self.fs), lower_complex))
         if hanning:
             x = x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1)))
         f = np.fft.fft(x, axis=1)

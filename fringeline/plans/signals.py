@@ -19,7 +19,6 @@ from fringeline.sources import experiment, results, vdif
 from fringeline.streaming.tumbling import tumbling_power
 
 #: Blocks of one day over 30 days; a delay model in sections of three days, per station.
-DAY = 86400.0
 STATIONS = "(VALUES (0, 'AA', 0.10, 0.001), (1, 'BB', 0.25, -0.002), (2, 'CC', 0.05, 0.0005), (3, 'DD', 0.40, 0.0)) AS st(station, name, c0, c1)"
 SECTIONS = "(SELECT CAST(s.k AS BIGINT) section, s.k * 259200.0 start_s, (s.k + 1) * 259200.0 end_s, st.station, 1000.0 + 37.0 * st.station - 3.0 * s.k p0, 0.01 * (st.station + 1) p1, -0.0001 * (s.k + 1) p2, 0.000001 * st.station p3, 0.00000001 p4, -0.0000000001 p5 FROM {RANGE 9} s CROSS JOIN " + STATIONS + ")"
 BLOCKS = "(SELECT CAST(b.k AS BIGINT) block, b.k * 86400.0 t FROM {RANGE 30} b)"

@@ -10,7 +10,6 @@ DUCKDB = {
     "E": "(SELECT CAST(floor(vec_id / 100) AS INT) acc, CAST(floor(vec_id / 4) AS BIGINT) w, CAST(vec_id % 4 AS INT) sp, label, CAST(i - 1 AS INT) n, CAST(embedding[i] AS DOUBLE) x FROM (SELECT *, unnest(generate_series(1, len(embedding))) i FROM embeddings))",
     "V": "(SELECT event_id, (epoch_us(ts) - 1704067200000000) / 1e6 t, epoch_us(ts) - 1704067200000000 us, CAST(user_id % 4 AS INT) st, user_id, event_type ch, value FROM events)",
     "DAYS": "CAST(date_diff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)",
-    "ORDERDAY": "CAST(o_orderdate AS DATE)",
     "STRING": "VARCHAR",
     "FIXED7": "printf('%.7f', 60310 + (acc + 0.5) / 86400)",
     "LASTS": "' 0.0000116 '",

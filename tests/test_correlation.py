@@ -249,3 +249,18 @@ def test_layouts_are_unpacked_together(spark):
     for c in got:
         per = 2 if c.is_complex else 1
         assert kernels.components(bytes(c.samples), c.bits)[: c.n_samples * per].tolist() == want[c.station, c.channel, c.first_sample].tolist()
+
+
+def test_zoom_and_file_listings_on_the_command_line(spark, tmp_path, capfd):
+    from fringeline import cli
+
+    vis = spark.createDataFrame([(a, 0, 0, 1, k, float(k), -float(k)) for a in range(2) for k in range(32)], "acc int, channel int, sp0 int, sp1 int, k int, re double, im double")
+    vis.write.parquet(f"{tmp_path}/vis")
+    cli.main(["zoom", f"{tmp_path}/vis", "--channels", "100:32", "--zooms", "104:8", "--fft", "32", "--average", "4", "--periods", "1", "--output", f"{tmp_path}/zoom"])
+    got = spark.read.parquet(f"{tmp_path}/zoom").orderBy("k").collect()
+    assert [(r.acc, r.band, r.k, r.re) for r in got] == [(1, 1, 0, 5.5), (1, 1, 1, 9.5)]
+    paths = scan(tmp_path)
+    cli.main(["vdif-info", paths[0], "--skip", "2", "--limit", "3"])
+    cli.main(["vdif-info", *paths, "--summary"])
+    out = capfd.readouterr().out
+    assert "frames_per_second" in out and out.count("s0.vdif") == 4
