@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fringeline.operators import kernels
@@ -81,11 +81,15 @@ def accumulated(streams: DataFrame, *, transform: Callable[[np.ndarray, int, np.
 
 
 def normalised(acc: DataFrame, keys: tuple[str, ...] = ("acc", "channel")) -> DataFrame:
-    """re and im divided by the geometric mean of the streams' total powers; null where a stream has none."""
-    power = acc.where("sp0 = sp1").groupBy(*keys, F.col("sp0").alias("sp")).agg(F.sum(F.hypot("re", "im")).alias("p"))
-    a, b = power.withColumnRenamed("sp", "sp0").withColumnRenamed("p", "p0"), power.withColumnRenamed("sp", "sp1").withColumnRenamed("p", "p1")
+    """re and im divided by the geometric mean of the streams' total powers; null where a stream has none.
+
+    A stream's power stands in its rows with itself, which share sp0 with some pairs and sp1 with others: two windows over the
+    sums, so that what made the sums runs once.
+    """
+    own = F.when(F.col("sp0") == F.col("sp1"), F.hypot("re", "im"))
+    rows = acc.withColumn("p0", F.sum(own).over(Window.partitionBy(*keys, "sp0"))).withColumn("p1", F.sum(own).over(Window.partitionBy(*keys, "sp1")))
     scale = F.sqrt(F.nullif(F.col("p0") * F.col("p1"), F.lit(0.0)))
-    return acc.join(a, [*keys, "sp0"]).join(b, [*keys, "sp1"]).withColumn("re", F.col("re") / scale).withColumn("im", F.col("im") / scale).drop("p0", "p1")
+    return rows.withColumn("re", F.col("re") / scale).withColumn("im", F.col("im") / scale).drop("p0", "p1")
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:

@@ -28,9 +28,8 @@ def arrow(schema: str) -> pa.Schema:
 
 def dequantised(raw: bytes, bits: int, is_complex: bool, skip: int = 0, count: int | None = None) -> np.ndarray:
     """Samples of stored components, without the first `skip`, and at most `count`."""
-    q = kernels.components(raw, bits)
     per = 2 if is_complex else 1
-    x = kernels.levels(q[skip * per : None if count is None else (skip + count) * per], bits)
+    x = kernels.stored_levels(raw, bits)[skip * per : None if count is None else (skip + count) * per]
     return kernels.pairs(x[: len(x) // per * per]) if is_complex else x
 
 
@@ -169,9 +168,9 @@ def calibration(chunks: DataFrame, *, per_bin: bool = False) -> DataFrame:
     run = F.floor(F.col("first_sample") / SPAN)
     parts = chunks.where("f_pcal > 0").withColumn("run", run).groupBy("acc_block", "source_id", "channel", "station", "pol", "run").applyInArrow(fold, FOLDED)
     keys = ("acc", "source_id", "channel", "sp", "bins", "shift")
-    sizes = parts.groupBy("acc", "source_id", "channel", "sp").agg(F.sum("n_samples").alias("n_samples"))
-    bins = parts.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
-    whole = bins.groupBy(*keys).agg(F.collect_list(F.struct("k", "re", "im")).alias("v")).join(sizes, ["acc", "source_id", "channel", "sp"])
+    each = parts.select(*keys, "n_samples", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
+    bins = each.groupBy(*keys, "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"), F.sum("n_samples").alias("n_samples"))
+    whole = bins.groupBy(*keys).agg(F.collect_list(F.struct("k", "re", "im")).alias("v"), F.max("n_samples").alias("n_samples"))
     tones = whole.groupBy("acc", "source_id", "channel").applyInArrow(transform, TONES)
     return tones.select("acc", "source_id", "channel", "sp", "n_windows", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v")).select("acc", "source_id", "channel", "sp", "k", "v.re", "v.im", "n_windows")
 

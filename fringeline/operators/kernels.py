@@ -13,6 +13,15 @@ def levels(q: np.ndarray, bits: int, *, even: bool = False) -> np.ndarray:
     return LEVELS[q] if bits == 2 and not even else -1 + q.astype(float) * 2 / ((1 << bits) - 1)
 
 
+#: The four values of each byte of two-bit components.
+BYTE_LEVELS = LEVELS[np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3]
+
+
+def stored_levels(raw: bytes, bits: int) -> np.ndarray:
+    """Values of stored() components, with the filling."""
+    return BYTE_LEVELS[np.frombuffer(raw, np.uint8)].ravel() if bits == 2 else levels(components(raw, bits), bits)
+
+
 def pairs(components: np.ndarray) -> np.ndarray:
     """Complex samples of interleaved components."""
     return components[..., 0::2] + 1j * components[..., 1::2]

@@ -22,7 +22,7 @@ from fringeline.sources.folders import local_path, write_files, write_parts
 SWIN = "<4siiidiii2sid3d"
 SYNC = b"\x00\xff\x00\xff"
 # The header lines of a calibration file.
-CALIBRATION_HEADER = ("# cx-derived pulse cal data", "# File version = 1", "# Start MJD = {mjd}", "# Start seconds = {start}", "# Telescope name = {station}")
+CALIBRATION_HEADER = ("# Pulse cal data", "# File version = 1", "# Start MJD = {mjd}", "# Start seconds = {start}", "# Telescope name = {station}")
 INVALID_TONE = "-1 0 0 0"
 #: Metadata of a text line, in order; the last one is not written.
 METADATA = "st_pol shift frac abs_delay d0 d1 d2 d_ref c0 c1 z0 z1 c_ref model_only clock_only diff_frac num_samples fs bits first_sample data_type n_bins_pcal pcal_freq channel channel_freq acc_time encoding sideband".split()

@@ -74,3 +74,11 @@ def test_slips():
     assert K.slip(0.1 / 64, 0.2 / 64, 1.0, 64.0, 65) == (0, -1)
     x = np.arange(5)
     assert K.apply_slip(x, 1, 2).tolist() == [0, 1, 3, 4] and K.apply_slip(x, -1, 2).tolist() == [0, 1, 0, 2, 3, 4]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 8, 16])
+def test_stored_components(bits):
+    q = np.random.default_rng(bits).integers(0, 1 << bits, (3, 21))
+    for row, raw in zip(q, K.stored(q, bits), strict=True):
+        assert K.components(raw.tobytes(), bits)[:21].tolist() == row.tolist()
+        assert np.array_equal(K.stored_levels(raw.tobytes(), bits)[:21], K.levels(row, bits))

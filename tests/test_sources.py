@@ -93,7 +93,7 @@ def test_calibration_files(spark, tmp_path):
     results.write_calibration(lines, str(tmp_path), mjd=57350, start=86399.0)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["PCAL_57350_086399_AA", "PCAL_57350_086399_BB"]
     got = (tmp_path / "PCAL_57350_086399_BB").read_text().splitlines()
-    assert got[:5] == ["# cx-derived pulse cal data", "# File version = 1", "# Start MJD = 57350", "# Start seconds = 86399", "# Telescope name = BB"]
+    assert got[:5] == ["# Pulse cal data", "# File version = 1", "# Start MJD = 57350", "# Start seconds = 86399", "# Telescope name = BB"]
     band = lambda f: f"-1 0 0 0 {f - 10} X  1.10000e+01 -2.00000e+00 {f - 20} X  1.00000e+00 -2.00000e+00"
     assert got[5:] == [f"BB {day} 0.0000231 1 2 2 {band(120)} {band(140)}" for day in ("57351.0000000", "57351.0000231")]
 
