@@ -1,7 +1,7 @@
 """Questions about keys, asked by buckets of texts and answered by ranges of keys.
 
 Texts are dealt into buckets of a few megabytes by a hash of doc_id and text, so rows of one doc_id or without one are
-spread too.  A bucket reduces its keys (64-bit hashes) to distinct ones, and sends them packed, one row for each key
+spread too (only rows that repeat doc_id and text lie together).  A bucket reduces its keys (64-bit hashes) to distinct ones, and sends them packed, one row for each key
 range.  There are as many ranges as buckets; buckets grow with the square root of the corpus (6 MB to 90 GB, 20 MB at
 1 TB, 200 MB at 100 TB), so a message holds tens of keys however large the corpus is.  The worker of a key range sees
 what all buckets say about a key, and sends back one packed answer in the order of the bucket's keys.  So a
