@@ -66,7 +66,7 @@ SQL = {
     "scan_window": "SELECT ch, st, CAST(count(*) AS BIGINT) n, CAST(sum(CASE WHEN event_id % 50 BETWEEN 10 AND 19 THEN 1 ELSE 0 END) AS BIGINT) in_frames FROM {V} v WHERE t >= 172800.0 AND t < 864000.0 GROUP BY ch, st",
     # delays
     "delay_section_range_join": f"SELECT v.event_id, m.section, round(m.p0, 6) + 0.0 p0 FROM {{V}} v JOIN {SECTIONS} m ON v.t >= m.start_s AND v.t < m.end_s AND v.st = m.station",
-    "delay_taylor_shift": f"SELECT block, station, section, round(q0 * 1e9, 4) + 0.0 q0, round(q1 * 1e9, 6) + 0.0 q1, round(q2 * 1e9, 8) + 0.0 q2 FROM {SHIFTED} s",
+    "delay_taylor_shift": f"SELECT block, station, section, round(q0 * 1e9, 4) + 0.0 q0, round(q1 * 1e9, 5) + 0.0 q1, round(q2 * 1e9, 8) + 0.0 q2 FROM {SHIFTED} s",
     "delay_ref_station": f"SELECT block, station, round((q0 + k0) * 1e9, 4) + 0.0 delay FROM {REFERENCE} r",
     "delay_relative_poly": f"SELECT block, station, ref, round(d0 * 1e9, 4) + 0.0 d0, round(d1 * 1e9, 6) + 0.0 d1, round(d2 * 1e9, 8) + 0.0 d2 FROM {RELATIVE} r",
     "delay_abe_root": f"SELECT DISTINCT block, round(CASE WHEN abs(r2) < 1e-30 THEN r0 / (1 - r1) ELSE 2 * r0 / ((1 - r1) + sqrt((1 - r1) * (1 - r1) - 4 * r2 * r0)) END * 1e9, 4) + 0.0 root FROM (SELECT block, r0, r1 / 86400.0 r1, r2 / 86400.0 / 86400.0 r2 FROM {RELATIVE} r0)",
@@ -285,7 +285,7 @@ def nano(c: str, days: int, digits: int) -> Column:
 @signal("delay_taylor_shift")
 def delay_taylor_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.floor(F.col("block") / 3).alias("section")
-    return polynomials(spark).select("block", "station", section, nano("q0", 0, 4).alias("q0"), nano("q1", 1, 6).alias("q1"), nano("q2", 2, 8).alias("q2"))
+    return polynomials(spark).select("block", "station", section, nano("q0", 0, 4).alias("q0"), nano("q1", 1, 5).alias("q1"), nano("q2", 2, 8).alias("q2"))
 
 
 @signal("delay_ref_station")
