@@ -24,6 +24,8 @@ from fringeline.llm.shared import written
 from fringeline.llm.words import U64, Words, mix, words_of
 
 LAST = np.iinfo(np.int64).max
+#: Bytes of text that a task holds; sets and sketches take some seventy times as much.
+BUCKET_BYTES = 4 << 20
 #: Segments of a band, as a part of its smallest size; finer sketches have more, the last one for each shingle.
 DENSITY = (0.7, 2.8, 0)
 ROWS = "doc_id long, n_shingles long, class_id long, segments array<long>, shingles array<long>, bits binary"
@@ -225,7 +227,7 @@ def set_rows(docs: DataFrame, shingle: int, similarity: tuple[int, int], bucket_
     return written(texts.groupBy("t").cogroup(classes.unionByName(shared).groupBy("t")).applyInArrow(kept, ROWS), "sets")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Documents linked where the Jaccard similarity of their sets of word shingles is at least n/d.
 
     A-Z count as a-z.  Returns for each input row: doc_id, n_shingles, class_id (smallest doc_id with the same set)
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int,
     return rows.select("doc_id", "n_shingles", "class_id").join(root.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 
 
-def links(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
+def links(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Every link (a, b), a > b, between documents that stand for their class (class_id = doc_id) in near_duplicates()."""
     n, d = similarity
     rows = set_rows(docs, shingle, similarity, bucket_bytes)
