@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeline.llm.words import lean
-
 BUCKET_BYTES = 6 << 20
 #: Keys that a message has at least, and bytes of text that a key stands for, about.
 MESSAGE, KEY_BYTES = 64, 6
@@ -87,7 +85,6 @@ def pack(t: int, keys: np.ndarray, parts: list[np.ndarray], ranges: int, *, tigh
 
 def unpack_tight(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """As unpack(), of rows that were packed tight; all columns are 64-bit."""
-    lean()
     t, n = table["t"].to_numpy(), table["n"].to_numpy()
     cols: list[list[np.ndarray]] = [[] for _ in range(columns)]
     for size, body in zip(n.tolist(), table["body"], strict=True):
@@ -100,7 +97,6 @@ def unpack_tight(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray,
 
 def unpack(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """t and n of each row, and the columns that pack() was given (the key first), over all rows in order."""
-    lean()
     t, n = table["t"].to_numpy(), table["n"].to_numpy()
     cols: list[list[np.ndarray]] = [[] for _ in kinds]
     for size, body in zip(n.tolist(), table["body"], strict=True):

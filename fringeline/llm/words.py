@@ -6,8 +6,6 @@ Arrow string array and work on its byte buffer, so the cost per word does not de
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 from dataclasses import dataclass
 
@@ -104,13 +102,6 @@ class Words:
         return place, sample
 
 
-def lean() -> None:
-    """Makes large arrays go back to the system once they are freed, so that a worker that waits for its next task holds little."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # another C library keeps its own rule
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped each by itself, a bound that else grows with use
-
-
 def plain_strings(texts: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """One array without nulls."""
     if isinstance(texts, pa.ChunkedArray):
@@ -120,7 +111,6 @@ def plain_strings(texts: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
 
 def bytes_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, padded by eight, and where each text starts and the last one ends."""
-    lean()
     n = len(texts)
     bounds = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
     size = int(bounds[-1] - bounds[0])
