@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeline.llm import quality
+from fringeline.llm import bpe_codec, quality
 from fringeline.llm.decontamination import contaminated
 from fringeline.llm.jaccard_join import near_duplicates
 from fringeline.llm.language_id import fold, identify, learn
 from fringeline.llm.lm_scoring import scores
 from fringeline.llm.personal_data import personal_spans
+from fringeline.llm.resampling import resampled
 from fringeline.llm.sentencepiece_codec import encoded_and_checked
 from fringeline.llm.sharding import shards
 from fringeline.llm.shared import dealt, discard, written
+from fringeline.llm.spelling import spelling_variants
 from fringeline.llm.substring_dedup import dedup_windows
 from fringeline.llm.top_k import top_k
 
 
-#: Where the public vocabulary is, on the driver and on every executor.
+#: Where the public vocabularies are, on the driver and on every executor.
 VOCAB_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_FILE = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +88,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.drop("lang"), models, vocab_file=VOCAB_FILE).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(documents(spark, sf_dir), model_file=WORD_FILE)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -96,6 +111,9 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op11_bpe": op11_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 #: SQL of the operators that SQL can express whole; the others are tested against brute force in tests/llm.
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -127,4 +145,42 @@ s AS (SELECT doc_id, size, CASE WHEN size = 1 THEN 0 ELSE xor(list_reduce(list_p
 o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before, sum(size) OVER () total, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 nr FROM s),
 p AS (SELECT doc_id, size, text_crc32, nr, CAST(least(15, ((coalesce(before, 0) + size // 2) * 16) // total) AS INT) shard FROM o)
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) text_crc32, 'bytes' law, shard, CAST(nr - min(nr) OVER (PARTITION BY shard) AS BIGINT) slot, CAST(NULL AS INT) grown_shard FROM p"""
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op6_sharding": OP6_SQL, "op8_top_k": OP8_SQL}
+CRC_SQL = """RECURSIVE g AS (SELECT k, CAST(k AS BIGINT) v, 0 n FROM (SELECT range k FROM range(256)) UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM g WHERE n < 8),
+crc AS (SELECT list(v ORDER BY k) t FROM g WHERE n = 8)"""
+
+
+def crc_sql(value: str) -> str:
+    """The crc32 of a column's UTF-8 bytes (it is not empty), by the table of CRC_SQL."""
+    digits = f"hex(encode({value}))"
+    byte = f"CAST(16 * (strpos('0123456789ABCDEF', {digits}[i]) - 1) + strpos('0123456789ABCDEF', {digits}[i + 1]) - 1 AS BIGINT)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, CAST(2 * octet_length(encode({value})) AS BIGINT), 2), lambda i: {byte})), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295)"
+
+
+OP12_SQL = f"""WITH {CRC_SQL},
+w AS (SELECT 0 src, doc_id id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT src, id, unnest(ws) x FROM w UNION ALL SELECT src, id, ws[i] || ' ' || ws[i + 1] FROM (SELECT src, id, ws, unnest(range(1, len(ws))) i FROM w)),
+h AS (SELECT x, {crc_sql("x")} % 10000 b FROM (SELECT DISTINCT x FROM f), crc),
+c AS (SELECT src, id, b FROM f JOIN h USING (x)),
+n AS (SELECT b, CAST(count(*) FILTER (src = 0) AS DOUBLE) s, CAST(count(*) FILTER (src = 1) AS DOUBLE) t FROM c GROUP BY b),
+k AS (SELECT sum(s) s_all, sum(t) t_all FROM n),
+gain AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) g FROM n, k),
+d AS (SELECT id, count(*) n_features, CAST(sum(g) AS BIGINT) total FROM c JOIN gain USING (b) WHERE src = 0 GROUP BY id),
+s AS (SELECT id doc_id, len(ws) n_words, coalesce(n_features, 0) n_features, CASE WHEN n_features > 0 THEN CAST((total - ((total % n_features + n_features) % n_features)) // n_features AS BIGINT) ELSE 0 END weight FROM w LEFT JOIN d USING (id) WHERE src = 0),
+u AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) score FROM s),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) nr, count(*) OVER () n FROM u WHERE n_words >= 20)
+SELECT u.doc_id, CAST(n_features AS BIGINT) n_features, CAST(weight AS BIGINT) weight, score, CASE WHEN nr <= 25 * n // 100 THEN CAST(nr AS BIGINT) END rank FROM u LEFT JOIN r ON u.doc_id = r.doc_id"""
+# Two words are near if dropping a code point of one gives the other, or dropping one at the same place of both gives the same.
+OP13_SQL = f"""WITH {CRC_SQL},
+o AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) x FROM documents),
+l AS (SELECT doc_id || ':' || translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') y, count(*) n FROM o WHERE length(x) >= 6 GROUP BY ALL),
+h AS (SELECT split_part(y, ':', 2) x, n, {crc_sql("y")} h FROM l, crc),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(x, 1, CAST(h % length(x) AS INT)) || substr(x, CAST(h % length(x) AS INT) + 2) ELSE x END word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) n FROM v GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) rest FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INT) i FROM w)),
+near AS (SELECT DISTINCT a.word a, b.word b FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+best AS (SELECT a, count(*) n_near, max(w.n) m, min_by(b, (-w.n, b)) form FROM near JOIN w ON near.b = w.word GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) n_near, CASE WHEN m >= 5 * w.n THEN form END form, CASE WHEN m >= 5 * w.n THEN m END form_n FROM w LEFT JOIN best ON w.word = best.a),
+r AS (SELECT word, form last FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.last = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.last FROM r JOIN f ON r.last = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.last, f.word) root, f.n, CAST(n_near AS BIGINT) n_near, CAST(form_n AS BIGINT) form_n FROM f LEFT JOIN e ON f.word = e.word"""
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op6_sharding": OP6_SQL, "op8_top_k": OP8_SQL, "op12_importance_resampling": OP12_SQL, "op13_spelling_variants": OP13_SQL}
