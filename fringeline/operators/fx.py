@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringeline.operators import kernels
-from fringeline.operators.correlate import kept, normalised
+from fringeline.operators.correlate import STREAMS, added, dealt_in_triangle, groups_of, kept, met, normalised, summed
 
-VIS = "acc int, source_id int, channel int, sp0 int, sp1 int, n_windows long, re array<double>, im array<double>"
+VIS = "acc int, source_id int, channel int, sp0 int, sp1 int, n_windows long, p0 double, p1 double, re array<double>, im array<double>"
 FOLDED = "acc int, source_id int, channel int, sp int, bins int, shift long, n_samples long, re array<double>, im array<double>"
 TONES = "acc int, source_id int, channel int, sp int, n_windows long, re array<double>, im array<double>"
 #: Samples of a run of the calibration fold.
@@ -22,7 +22,7 @@ SPAN = 1 << 20
 
 
 def arrow(schema: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(c, kinds[t]) for c, t in (f.split() for f in schema.split(", "))])
 
 
@@ -91,50 +91,62 @@ def off_shift(period: float) -> Column:
     return F.when((F.col("d0") == 0) & (F.col("d1") == 0) & (F.col("d2") == 0), 1).otherwise(most)
 
 
-def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_task: int = 1024, hanning: bool = False, normalise: bool = True, autos: bool = True, cross_polarisation: bool = True) -> DataFrame:
+def partial_sums(rows: list[dict], lead: list, w: np.ndarray, *, fft_size: int, period: float, hanning: bool, pairs) -> list[list]:
+    """Columns of VIS of the windows w of one (block, source, channel): spectra of all streams that rows hold, multiplied by pairs.
+
+    pairs(ids) gives the places i <= k of the pairs to form.
+    """
+    size = fft_size * (1 if rows[0]["is_complex"] else 2)
+    by: dict[int, list[dict]] = {}
+    for r in rows:
+        by.setdefault(r["station"] * 2 + r["pol"], []).append(r)
+    ids = np.array(sorted(by))
+    streams = [Stream(by[i], int(w[0]) * size, (int(w[-1]) + 1) * size, period) for i in ids.tolist()]
+    have = np.stack([s.filled(w, size) for s in streams])
+    f = np.zeros((len(ids), len(w), fft_size), complex)
+    for n, s in enumerate(streams):
+        if have[n].any():
+            f[n, have[n]] = s.spectra(w[have[n]], size, hanning)
+    return summed(f, have, ids, *pairs(ids), lead)
+
+
+def wanted_pairs(ids: np.ndarray, i: np.ndarray, k: np.ndarray, autos: bool, cross_polarisation: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs at places i and k those that the options keep."""
+    some = kept(ids[i], ids[k], autos, cross_polarisation)
+    return i[some], k[some]
+
+
+def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_task: int = 1024, hanning: bool = False, normalise: bool = True, autos: bool = True, cross_polarisation: bool = True, streams: int | None = None, streams_per_task: int = STREAMS) -> DataFrame:
     """Visibilities acc, source_id, channel, sp0 <= sp1 (station * 2 + pol), k, re, im, n_windows of aligned chunks.
 
-    Real streams use 2 fft_size samples a window and keep their half of the band, complex ones fft_size.  Windows that
-    a stream has no sample of are left out for all pairs of that run; partly filled ones count with zeros.  A run holds
+    Real streams use 2 fft_size samples a window and keep their half of the band, complex ones fft_size.  A pair's sums and
+    its normaliser go over the windows of which both streams have a sample, so they depend neither on the size of a run nor
+    on what other streams lack; partly filled windows count with zeros, and pairs without a window have no rows.  A run holds
     so many samples beside its windows as the delay drifts in its block, so a drift of any size is followed.  Pairs that
-    are not wanted are not multiplied, but for the autos that the normaliser needs.
+    are not wanted are not multiplied.  streams: how many there are at most (sp is below it); if they are more than
+    streams_per_task, they are dealt in a triangle of tasks.
     """
     size = F.when(F.col("is_complex"), fft_size).otherwise(2 * fft_size)
     span = size * windows_per_task
     last = F.col("first_sample") + F.col("n_samples") - 1
     # a chunk goes to every run whose windows, wherever the drift puts them, touch its samples
     run = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("first_sample") - F.col("drift")) / span)), F.greatest(F.lit(0), F.floor((last + F.col("drift")) / span))))
+    width, groups = groups_of(streams, streams_per_task)
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        head = rows[0]
-        size = fft_size * (1 if head["is_complex"] else 2)
-        run = key[3].as_py()
-        total = int(round(period * head["fs"])) // size
+        run, low, high = (x.as_py() for x in key[3:])
+        total = int(round(period * rows[0]["fs"])) // (fft_size * (1 if rows[0]["is_complex"] else 2))
         w = np.arange(run * windows_per_task, min((run + 1) * windows_per_task, total))
         if not len(w):
             return arrow(VIS).empty_table()
-        by: dict[int, list[dict]] = {}
-        for r in rows:
-            by.setdefault(r["station"] * 2 + r["pol"], []).append(r)
-        ids = sorted(by)
-        streams = [Stream(by[i], int(w[0]) * size, (int(w[-1]) + 1) * size, period) for i in ids]
-        full = np.logical_and.reduce([s.filled(w, size) for s in streams])
-        f = np.stack([s.spectra(w[full], size, hanning) for s in streams])
-        i, k = np.triu_indices(len(ids))
-        ids = np.array(ids)
-        some = (i == k) | kept(ids[i], ids[k], autos, cross_polarisation)
-        i, k = i[some], k[some]
-        acc = kernels.products(f, i, k)
-        values = [[x.as_py()] * len(i) for x in key[:3]] + [ids[i], ids[k], [int(full.sum())] * len(i), list(acc.real), list(acc.imag)]
+        pairs = lambda ids: wanted_pairs(ids, *met(ids, low, high, width), autos, cross_polarisation)
+        values = partial_sums(rows, [x.as_py() for x in key[:3]], w, fft_size=fft_size, period=period, hanning=hanning, pairs=pairs)
         return pa.table([pa.array(v, t.type) for v, t in zip(values, arrow(VIS), strict=True)], schema=arrow(VIS))
 
-    parts = chunks.withColumn("drift", off_shift(period)).withColumn("run", run).groupBy("acc_block", "source_id", "channel", "run").applyInArrow(work, VIS)
-    rows = parts.select("acc", "source_id", "channel", "sp0", "sp1", "n_windows", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
-    acc = rows.groupBy("acc", "source_id", "channel", "sp0", "sp1", "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"), F.sum("n_windows").alias("n_windows"))
-    out = normalised(acc, ("acc", "source_id", "channel")) if normalise else acc
-    wanted = F.lit(True) if autos else F.floor(F.col("sp0") / 2) != F.floor(F.col("sp1") / 2)
-    return out.where(wanted & (F.lit(True) if cross_polarisation else F.col("sp0") % 2 == F.col("sp1") % 2))
+    dealt = dealt_in_triangle(chunks.withColumn("drift", off_shift(period)).withColumn("run", run), F.col("station") * 2 + F.col("pol"), width, groups)
+    acc = added(dealt.groupBy("acc_block", "source_id", "channel", "run", "low", "high").applyInArrow(work, VIS), ("acc", "source_id", "channel"))
+    return normalised(acc) if normalise else acc.drop("p0", "p1")
 
 
 def calibration(chunks: DataFrame, *, per_bin: bool = False) -> DataFrame:
@@ -142,11 +154,11 @@ def calibration(chunks: DataFrame, *, per_bin: bool = False) -> DataFrame:
 
     Divided by the number of streams of the (block, channel) times the periods; per_bin: by bins times periods.  Runs of
     samples are folded apart and the folded periods added, so a task holds one run of one stream; streams without
-    tones have no rows.
+    tones have no rows, and of chunks that begin at one sample one counts.
     """
 
     def fold(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = list({r["first_sample"]: r for r in table.to_pylist()}.values())  # a frame that comes twice counts once
         head = rows[0]
         bins = kernels.calibration_bins(head["fs"], head["freq_hz"], head["f_pcal"])
         total = np.zeros(bins, complex)

@@ -132,6 +132,15 @@ def products(streams: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
+def shared(streams: np.ndarray, have: np.ndarray, i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that both streams of each pair have, and the total power of either over these.
+
+    streams is (stream, window, coefficient), zero in the windows that a stream has not; have is (stream, window).
+    """
+    power = np.einsum("swf,swf->sw", streams, streams.conj()).real
+    return np.einsum("pw,pw->p", have[i].astype(np.int64), have[k].astype(np.int64)), np.einsum("pw,pw->p", power[i], have[k].astype(float)), np.einsum("pw,pw->p", power[k], have[i].astype(float))
+
+
 def normalise(acc: np.ndarray) -> np.ndarray:
     """Divides by the geometric mean of the streams' total powers; a stream without power gives NaN."""
     power = np.abs(np.einsum("iif->if", acc)).sum(1)
