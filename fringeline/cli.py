@@ -41,9 +41,10 @@ def chunks_of(spark: SparkSession, e: ex.Experiment, media_dir: str) -> DataFram
 
 def correlated(chunks: DataFrame, e: ex.Experiment) -> dict[str, DataFrame]:
     """Visibilities, stream statistics, dismissed streams' blocks and, if asked for, calibration tones of aligned chunks."""
+    most = 2 * max(x["id"] for x in e.stations.values()) + 2
     streams = len({(e.stations[m["station"]]["id"], p) for m in e.media.values() for p in m["polarizations"]})
     out = {
-        "visibilities": fx.correlate(chunks, fft_size=e.fft_size, period=e.period, hanning=e.window == "hanning", autos=e.autos, cross_polarisation=e.cross_polarisation),
+        "visibilities": fx.correlate(chunks, fft_size=e.fft_size, period=e.period, hanning=e.window == "hanning", autos=e.autos, cross_polarisation=e.cross_polarisation, streams=most),
         "statistics": fx.stream_statistics(chunks),
         "dismissed": fx.dismissed(chunks, streams),
         "metadata": results.metadata(chunks, period=e.period),

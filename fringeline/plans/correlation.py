@@ -27,6 +27,12 @@ COMPLEX = SPECTRUM.format(sums="sum(xr * cos(a) + xi * sin(a)) re, sum(xi * cos(
 CROSS = "v AS (SELECT a.acc, a.sp sp0, b.sp sp1, a.k, sum(a.re * b.re + a.im * b.im) re, sum(a.im * b.re - a.re * b.im) im, CAST(count(*) AS BIGINT) n_windows FROM f a JOIN f b ON a.acc = b.acc AND a.w = b.w AND a.k = b.k AND a.sp <= b.sp GROUP BY a.acc, a.sp, b.sp, a.k)"
 POWER = "p AS (SELECT acc, sp0 sp, sum(sqrt(re * re + im * im)) p FROM v WHERE sp0 = sp1 GROUP BY acc, sp0)"
 NORMAL = "u AS (SELECT v.acc, v.sp0, v.sp1, v.k, v.re / sqrt(nullif(a.p * b.p, 0)) re, v.im / sqrt(nullif(a.p * b.p, 0)) im, n_windows FROM v JOIN p a ON v.acc = a.acc AND v.sp0 = a.sp JOIN p b ON v.acc = b.acc AND v.sp1 = b.sp)"
+# A pair's sums, and the powers that normalise it, go over the windows that both of its streams have.
+SHARED = CROSS.replace("CAST(count(*)", "sum(a.re * a.re + a.im * a.im) pa, sum(b.re * b.re + b.im * b.im) pb, CAST(count(*)") + ", p AS (SELECT acc, sp0, sp1, sum(pa) pa, sum(pb) pb FROM v GROUP BY acc, sp0, sp1), u AS (SELECT v.acc, v.sp0, v.sp1, v.k, v.re / sqrt(nullif(p.pa * p.pb, 0)) re, v.im / sqrt(nullif(p.pa * p.pb, 0)) im, n_windows FROM v JOIN p ON v.acc = p.acc AND v.sp0 = p.sp0 AND v.sp1 = p.sp1)"
+#: Windows that streams lack: one begins late, one loses single windows, one is lost for a whole period.
+LOST = "(sp = 1 AND acc = 1) OR (sp = 2 AND w % 25 < 10) OR (sp = 3 AND w % 7 = 3)"
+#: Frames that stations lack: one begins late, and one loses single frames and a stretch.
+LOST_FRAMES = "(station = 0 AND t % 25 < 6) OR (station = 1 AND (t % 11 = 4 OR (t >= 40 AND t < 60)))"
 STREAMS = "WITH e AS (SELECT * FROM {E} q), "
 OUT = "acc, sp0, sp1, k, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im, n_windows"
 RAW = STREAMS + REAL + ", " + CROSS
@@ -70,6 +76,8 @@ SQL = {
     "visibility_text_roundtrip": f"{RAW} SELECT acc, sp0, sp1, round(sum(re), 4) + 0.0 re, round(sum(im), 4) + 0.0 im, max(n_windows) n_windows FROM v GROUP BY acc, sp0, sp1",
     "fx_visibilities": f"{RAW}, {POWER}, {NORMAL} SELECT {OUT} FROM u",
     "fx_arrow_backend": f"{RAW} SELECT {OUT} FROM v",
+    "fx_gaps": f"WITH e AS (SELECT * FROM {{E}} q WHERE NOT ({LOST})), {REAL}, {SHARED} SELECT {OUT} FROM u",
+    "fx_triangular": f"WITH e AS (SELECT CAST(floor(w / 125) AS INT) acc, CAST((4 * w + sp) % 64 AS INT) sp, CAST(floor((4 * w + sp) / 64) AS BIGINT) w, n, x FROM {{E}} q), {REAL}, {CROSS} SELECT acc, sp0, sp1, round(sum(re), 5) + 0.0 re, round(sum(im), 5) + 0.0 im, max(n_windows) n_windows FROM v GROUP BY acc, sp0, sp1",
     "fx_hanning": "WITH e AS (SELECT acc, w, sp, n, x * (0.5 - 0.5 * cos(2 * pi() * n / 63)) x FROM {E} q), " + REAL + ", " + CROSS + f" SELECT {OUT} FROM v",
     "fx_full_chain": rotated("full") + ", " + COMPLEX + ", " + fraction_rotated("k / 64.0") + ", " + CROSS.replace("FROM f a JOIN f b", "FROM r a JOIN r b") + f", {POWER}, {NORMAL} SELECT {OUT} FROM u",
 }
@@ -85,13 +93,14 @@ FRAME_SQL = {
     "fx_correlate": f"""WITH {FRAME_SAMPLES},
 d AS (SELECT s.k st, w.k w, {views.LATE} * s.k + {views.RATE} * s.k * w.k d, CAST(w.k * 64 + CASE WHEN s.k = 0 THEN 0 ELSE floor(({views.LATE} * s.k + {views.RATE} * s.k * w.k) * 64 + 0.5) - 3 * s.k END AS BIGINT) begin_m FROM {{RANGE 2}} s CROSS JOIN {{RANGE 25}} w),
 y AS (SELECT x.acc, CAST(2 * x.st + pol AS INT) sp, x.st, d.w, d.d, m - begin_m i, x FROM x JOIN d ON x.st = d.st AND m >= begin_m AND m < begin_m + 64 WHERE m >= 0),
-ok AS (SELECT acc, w FROM y GROUP BY acc, w HAVING count(DISTINCT sp) = 4),
-r AS (SELECT acc, sp, w, d, i, x * cos(2 * pi() * z) xr, x * sin(2 * pi() * z) xi FROM (SELECT *, z0 - floor(z0) z FROM (SELECT y.*, {views.FREQ} * ({views.LATE} * st + {views.RATE} * st * ((y.w * 64 + i) / 64.0)) z0 FROM y JOIN ok ON y.acc = ok.acc AND y.w = ok.w))),
+r AS (SELECT acc, sp, w, d, i, x * cos(2 * pi() * z) xr, x * sin(2 * pi() * z) xi FROM (SELECT *, z0 - floor(z0) z FROM (SELECT y.*, {views.FREQ} * ({views.LATE} * st + {views.RATE} * st * ((y.w * 64 + i) / 64.0)) z0 FROM y))),
 g AS (SELECT acc, sp, w, k, d, sum(xr * cos(a) + xi * sin(a)) re, sum(xi * cos(a) - xr * sin(a)) im FROM (SELECT r.*, s.k, 2 * pi() * ((s.k * r.i) % 64) / 64 a FROM r CROSS JOIN {{RANGE 32}} s) GROUP BY acc, sp, w, k, d),
 f AS (SELECT acc, sp, w, k, re * cos(b) - im * sin(b) re, re * sin(b) + im * cos(b) im FROM (SELECT *, 2 * pi() * k / 64.0 * CASE WHEN d * 64 - floor(d * 64) > 0.5 THEN d * 64 - floor(d * 64) - 1 ELSE d * 64 - floor(d * 64) END b FROM g)),
-{CROSS}, {POWER}, {NORMAL} SELECT {OUT} FROM u""",
+{SHARED} SELECT {OUT} FROM u""",
 }
 
+FRAME_SQL["fx_correlate_gaps"] = FRAME_SQL["fx_correlate"].replace("WHERE m >= 0)", "WHERE m >= 0 AND NOT (" + LOST_FRAMES.replace("station", "x.st").replace("t %", "floor(n / 64) %").replace("t >=", "floor(n / 64) >=").replace("t <", "floor(n / 64) <") + "))")
+
 
 def shown(acc: DataFrame) -> DataFrame:
     return acc.select("acc", "sp0", "sp1", "k", rounded("re").alias("re"), rounded("im").alias("im"), F.col("n_windows").cast("long").alias("n_windows"))
@@ -117,6 +126,19 @@ def fx_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(acc).select(F.col("acc").alias("sub"), "sp0", "sp1", "k", "re", "im")
 
 
+def fx_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that begin late, lose windows or are lost for a period; runs of seven windows."""
+    return shown(normalised(accumulated(streams(spark, sf_dir).where(f"NOT ({LOST})"), block=7)))
+
+
+def fx_triangular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 64 streams, of which a task holds two groups of eight."""
+    v = F.col("w") * 4 + F.col("sp")
+    rows = streams(spark, sf_dir).withColumns({"acc": F.floor(F.col("w") / 125).cast("int"), "sp": (v % 64).cast("int"), "w": F.floor(v / 64)})
+    acc = accumulated(rows, count=64, streams_per_task=16)
+    return acc.groupBy("acc", "sp0", "sp1").agg(rounded(F.sum("re"), 5).alias("re"), rounded(F.sum("im"), 5).alias("im"), F.max("n_windows").alias("n_windows"))
+
+
 def normalize_auto_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = normalised(accumulated(streams(spark, sf_dir))).where("sp0 = sp1")
     return out.groupBy("acc", "sp0").agg(rounded(F.sum("re")).alias("total"))
@@ -187,8 +209,8 @@ def fx_full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(normalised(accumulated(streams(spark, sf_dir), transform=chain)))
 
 
-def frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = align.aligned(views.frames(spark, sf_dir), views.frame_model(spark), start=0.0, period=views.PERIOD, blocks=views.BLOCKS)
+def frame_chunks(spark: SparkSession, sf_dir: str, lost: str = "false") -> DataFrame:
+    good = align.aligned(views.frames(spark, sf_dir).where(f"NOT ({lost})"), views.frame_model(spark), start=0.0, period=views.PERIOD, blocks=views.BLOCKS)
     return align.chunks(good, views.frame_media(spark))
 
 
@@ -203,6 +225,11 @@ def fx_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(fx.correlate(frame_chunks(spark, sf_dir), fft_size=32, period=views.PERIOD))
 
 
+def fx_correlate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with frames that never came, in runs of seven windows."""
+    return shown(fx.correlate(frame_chunks(spark, sf_dir, LOST_FRAMES), fft_size=32, period=views.PERIOD, windows_per_task=7))
+
+
 def fx_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     tones = fx.calibration(frame_chunks(spark, sf_dir))
     return tones.select("acc", "sp", "k", rounded("re").alias("re"), rounded("im").alias("im"), "n_windows")
@@ -219,5 +246,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fringe_rotate_first": rotation("first"),
     "fx_arrow_backend": accumulation(),
     "fx_hanning": accumulation(hanning=True),
-} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_calibration)}
+} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_correlate_gaps, fx_gaps, fx_triangular, fx_calibration)}
 ORACLE_SQL = {name: duckdb_sql(text) for name, text in (SQL | FRAME_SQL).items()}
