@@ -5,6 +5,7 @@ The queries call the library; the SQL says the same in plain terms, by an explic
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,8 @@ from fringeline.plans import views
 from fringeline.plans.templates import duckdb_sql
 from fringeline.plans.views import FS, N, delayed, streams
 from fringeline.sources import results
+from fringeline.sources.folders import shared_folder
+from fringeline.streaming import correlator as stream_correlator
 
 FREQUENCY = "(1000.25 + 10.5 * sp)"
 DELAY = "(0.001 * (sp + 1) + 0.0007 * {t} + 0.00001 * {t} * {t})"
@@ -99,6 +102,7 @@ f AS (SELECT acc, sp, w, k, re * cos(b) - im * sin(b) re, re * sin(b) + im * cos
 {SHARED} SELECT {OUT} FROM u""",
 }
 
+FRAME_SQL["stream_correlate"] = FRAME_SQL["fx_correlate"]
 FRAME_SQL["fx_correlate_gaps"] = FRAME_SQL["fx_correlate"].replace("WHERE m >= 0)", "WHERE m >= 0 AND NOT (" + LOST_FRAMES.replace("station", "x.st").replace("t %", "floor(n / 64) %").replace("t >=", "floor(n / 64) >=").replace("t <", "floor(n / 64) <") + "))")
 
 
@@ -230,6 +234,21 @@ def fx_correlate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(fx.correlate(frame_chunks(spark, sf_dir, LOST_FRAMES), fft_size=32, period=views.PERIOD, windows_per_task=7))
 
 
+def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlator of a stream: the frames come in three steps; a last one, far on, closes all blocks."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = views.frames(spark, sf_dir)
+    step = (rows.agg(F.max("t")).first()[0] or 0.0) / 3 + 1
+    for k in range(3):
+        rows.where(F.floor(F.col("t") / step) == k).write.mode("append").parquet(f"{at}/in")
+    rows.limit(1).withColumn("t", F.lit(views.PERIOD * views.BLOCKS - 1)).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "2").parquet(f"{at}/in")
+    good = align.aligned(stream, views.frame_model(spark), start=0.0, period=views.PERIOD, blocks=views.BLOCKS)
+    parts = stream_correlator.correlated_stream(align.chunks(good, views.frame_media(spark)), fft_size=32, period=views.PERIOD, start=1.7e9, streams=4, late="100000 seconds")
+    stream_correlator.written_stream(parts, f"{at}/out", f"{at}/mark")
+    return shown(stream_correlator.visibilities(stream_correlator.read_written(spark, f"{at}/out")))
+
+
 def fx_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     tones = fx.calibration(frame_chunks(spark, sf_dir))
     return tones.select("acc", "sp", "k", rounded("re").alias("re"), rounded("im").alias("im"), "n_windows")
@@ -246,5 +265,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fringe_rotate_first": rotation("first"),
     "fx_arrow_backend": accumulation(),
     "fx_hanning": accumulation(hanning=True),
-} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_correlate_gaps, fx_gaps, fx_triangular, fx_calibration)}
+} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_correlate_gaps, fx_gaps, fx_triangular, stream_correlate, fx_calibration)}
 ORACLE_SQL = {name: duckdb_sql(text) for name, text in (SQL | FRAME_SQL).items()}

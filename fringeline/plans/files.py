@@ -22,19 +22,46 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def vdif_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors quantised to two bits, written as frames, read and unpacked: samples and the sum of levels of each."""
+def written_frames(spark: SparkSession, sf_dir: str, per_second: int = 1000) -> str:
+    """A folder of files of frames: vectors quantised to two bits, so many a second."""
 
     def framed(c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
         q = np.clip(np.floor(c["embedding"].astype(float) * 4 + 2), 0, 3).astype(np.uint32)
-        return {"body": pa.array([vdif.frame(x, bits=2, seconds=int(v) // 1000, frame_num=int(v) % 1000, epoch=30, station_code=int(v) % 4) for x, v in zip(q, c["vec_id"], strict=True)], pa.binary())}
+        return {"body": pa.array([vdif.frame(x, bits=2, seconds=int(v) // per_second, frame_num=int(v) % per_second, epoch=30, station_code=int(v) % 4) for x, v in zip(q, c["vec_id"], strict=True)], pa.binary())}
 
     folder = own_folder(spark, "frames")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     write_parts(samples.mapped(rows, {"body": T.BinaryType()}, framed, ("vec_id", "embedding")), [F.col("vec_id")], folder)
-    got = vdif.read_folder(spark, local_path(folder), frames_per_partition="500")
+    return folder
+
+
+def totals(frames: DataFrame, per_second: int = 1000) -> DataFrame:
     levels = F.aggregate("q", F.lit(0), lambda a, x: a + x)
-    return samples.unpacked(got, 2).select((F.col("seconds") * 1000 + F.col("frame_num")).cast("long").alias("vec_id"), F.size("q").alias("n"), levels.alias("total"))
+    return samples.unpacked(frames, 2).select((F.col("seconds") * per_second + F.col("frame_num")).cast("long").alias("vec_id"), F.size("q").alias("n"), levels.alias("total"))
+
+
+def vdif_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors quantised to two bits, written as frames, read and unpacked: samples and the sum of levels of each."""
+    return totals(vdif.read_folder(spark, local_path(written_frames(spark, sf_dir)), frames_per_partition="500"))
+
+
+def vdif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames, split into records by the JVM from whatever store the shared folder is in."""
+    return totals(vdif.read_records(spark, [f"{written_frames(spark, sf_dir)}/*"]))
+
+
+def vdif_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as a stream of the folder's files, kept as a table."""
+    folder, out = local_path(written_frames(spark, sf_dir)), own_folder(spark, "kept")
+    query = vdif.stream_frames(spark, folder).writeStream.format("parquet").option("path", out).option("checkpointLocation", own_folder(spark, "mark")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return totals(spark.read.schema(vdif.SCHEMA).parquet(out))
+
+
+def vdif_time_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds 20 to 29 of frames that come ten a second: ranges outside are found by their headers and not read."""
+    folder = local_path(written_frames(spark, sf_dir, 10))
+    return totals(vdif.read_folder(spark, folder, ordered="true", slack="10", t_start="20", t_end="30"), 10)
 
 
 def swin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +73,15 @@ def swin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.floor("seconds").cast("int").alias("acc"), "st0", "st1", "pols", F.round(size.cast("double"), 1).alias("peak"))
 
 
-QUERIES = {f.__name__: f for f in (vdif_roundtrip, swin_roundtrip)}
+QUERIES = {f.__name__: f for f in (vdif_roundtrip, vdif_records, vdif_stream, vdif_time_pruned, swin_roundtrip)}
 
 
 def _sql() -> dict[str, str]:
     from fringeline.plans.correlation import RAW
 
-    return {
-        "vdif_roundtrip": "SELECT vec_id, CAST(64 AS INT) n, CAST(list_sum(list_transform(embedding, lambda x: least(3, greatest(0, floor(CAST(x AS DOUBLE) * 4 + 2))))) AS INT) total FROM embeddings",
+    quantised = "SELECT vec_id, CAST(64 AS INT) n, CAST(list_sum(list_transform(embedding, lambda x: least(3, greatest(0, floor(CAST(x AS DOUBLE) * 4 + 2))))) AS INT) total FROM embeddings"
+    return dict.fromkeys(("vdif_roundtrip", "vdif_records", "vdif_stream"), quantised) | {
+        "vdif_time_pruned": f"{quantised} WHERE vec_id >= 200 AND vec_id < 300",
         "swin_roundtrip": f"{RAW} SELECT acc, CAST(floor(sp0 / 2) AS INT) st0, CAST(floor(sp1 / 2) AS INT) st1, CASE WHEN sp0 % 2 = 0 THEN 'X' ELSE 'Y' END || CASE WHEN sp1 % 2 = 0 THEN 'X' ELSE 'Y' END pols, round(max(sqrt(re * re + im * im)), 1) peak FROM v GROUP BY acc, sp0, sp1",
     }
 
