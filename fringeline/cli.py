@@ -1,6 +1,6 @@
 """Command line: correlate an experiment, look into frame files, compare, zoom, export and import.
 
-    python -m fringeline.cli correlate --experiment DIR --media DIR --output DIR [--set FILE.SECTION.KEY=VALUE ...]
+    python -m fringeline.cli correlate --experiment DIR --media DIR --output DIR [--ordered] [--set FILE.SECTION.KEY=VALUE ...]
     python -m fringeline.cli vdif-info FILE... [--skip N] [--limit N] [--summary]
     python -m fringeline.cli compare DIR DIR [--most X]
     python -m fringeline.cli zoom DIR --channels f:bw,... --zooms f:bw,... --fft N --average N --output DIR [--periods N,...]
@@ -15,7 +15,7 @@ import argparse
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fringeline.operators import align, delays, fx, post
@@ -24,17 +24,27 @@ from fringeline.sources import results, vdif
 from fringeline.sources.folders import local_path, removed, shared_folder
 
 
-def frames_of(spark: SparkSession, e: ex.Experiment, media_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Frames of all media files with station, fs and time (from the scan's first midnight on), and the media table."""
+#: Seconds beside the scan within which frames are read; delays are well below.
+MARGIN = 2
+
+
+def frames_of(spark: SparkSession, e: ex.Experiment, media_dir: str, *, ordered: bool = False, counts: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """Frames of all media files with station, fs and time (from the scan's first midnight on), and the media table.
+
+    ordered: the files' frames rise in time, so that only ranges of the scan are opened.  counts takes what frames there were.
+    """
     media = ex.media_table(spark, e)
     files = media.select("name", "station", "fs").distinct()
-    frames = vdif.read_frames(spark, [f"{media_dir}/{n}" for n in e.media])
+    scan = {"ordered": "true", "scan_start": f"{e.mjd_start}:{e.start - MARGIN}", "scan_end": f"{e.mjd_start}:{e.start + e.blocks * e.period + MARGIN}"} if ordered else {}
+    frames = vdif.read_frames(spark, [f"{media_dir}/{n}" for n in e.media], **scan)
+    if counts is not None:
+        frames = fx.counted(frames, counts)
     named = ex.described(frames.withColumn("name", F.element_at(F.split("file", "/"), -1)), files, "name")
     return vdif.with_time(named, F.col("fs"), mjd_start=e.mjd_start), media
 
 
-def chunks_of(spark: SparkSession, e: ex.Experiment, media_dir: str) -> DataFrame:
-    frames, media = frames_of(spark, e, media_dir)
+def chunks_of(spark: SparkSession, e: ex.Experiment, media_dir: str, **options) -> DataFrame:
+    frames, media = frames_of(spark, e, media_dir, **options)
     polys = delays.relative(delays.block_polynomials(ex.block_table(spark, e), ex.delay_table(spark, e), ex.clock_table(spark, e)))
     return align.chunks(align.aligned(frames, polys, start=e.start, period=e.period, blocks=e.blocks), media)
 
@@ -43,11 +53,12 @@ def correlated(chunks: DataFrame, e: ex.Experiment) -> dict[str, DataFrame]:
     """Visibilities, stream statistics, dismissed streams' blocks and, if asked for, calibration tones of aligned chunks."""
     most = 2 * max(x["id"] for x in e.stations.values()) + 2
     streams = len({(e.stations[m["station"]]["id"], p) for m in e.media.values() for p in m["polarizations"]})
+    summary = fx.stream_summary(chunks)
     out = {
         "visibilities": fx.correlate(chunks, fft_size=e.fft_size, period=e.period, hanning=e.window == "hanning", autos=e.autos, cross_polarisation=e.cross_polarisation, streams=most),
-        "statistics": fx.stream_statistics(chunks),
-        "dismissed": fx.dismissed(chunks, streams),
-        "metadata": results.metadata(chunks, period=e.period),
+        "statistics": fx.statistics_of(summary),
+        "dismissed": fx.dismissed(summary, streams),
+        "metadata": results.metadata_of(summary, period=e.period),
     }
     return out | {"calibration": fx.calibration(chunks)} if e.calibration else out
 
@@ -76,6 +87,7 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("--experiment", required=True)
     c.add_argument("--media", required=True)
     c.add_argument("--output", required=True)
+    c.add_argument("--ordered", action="store_true")
     i = sub.add_parser("vdif-info")
     i.add_argument("files", nargs="+")
     i.add_argument("--skip", type=int, default=0)
@@ -118,7 +130,9 @@ def main(args: list[str] | None = None) -> None:
     if a.what == "correlate":
         own = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"  # read by all results, so frames are read once
         try:
-            chunks_of(spark, e, a.media).write.parquet(own)
+            counts = Observation("frames")
+            chunks_of(spark, e, a.media, ordered=a.ordered, counts=counts).write.parquet(own)
+            spark.createDataFrame([tuple(counts.get.values())], ", ".join(f"{c} long" for c in counts.get)).write.mode("overwrite").parquet(str(Path(a.output) / "counts"))
             for name, df in correlated(spark.read.parquet(own), e).items():
                 df.write.mode("overwrite").parquet(str(Path(a.output) / name))
         finally:

@@ -72,6 +72,7 @@ def aligned(frames: DataFrame, polys: DataFrame, *, start: float, period: float,
 
     frames: station, t, fs, bits, is_complex, log2_channels, payload, complete; polys: block, source_id, station, rel, d0,
     d1, d2.  Truncated frames, frames outside the scan and frames without a delay are left out; so are invalid ones on demand.
+    Short scans' polynomials are broadcast by the optimiser; those of many blocks are joined as their size asks for.
     """
     good = frames.where("complete")
     if drop_invalid:
@@ -80,12 +81,12 @@ def aligned(frames: DataFrame, polys: DataFrame, *, start: float, period: float,
     spf = F.floor(F.octet_length("payload") * 8 / F.col("bits") / F.pow(F.lit(2), F.col("log2_channels")) / per)
     rows = good.withColumn("spf", spf.cast("long")).withColumn("guess", block_of(F.col("t"), start, period, blocks)).where("guess IS NOT NULL")
     model = polys.select("station", "source_id", F.col("block").alias("guess"), "rel", "d0", "d1", "d2")
-    one = rows.join(F.broadcast(model.select("station", "source_id", "guess", "rel")), ["station", "guess"])
+    one = rows.join(model.select("station", "source_id", "guess", "rel"), ["station", "guess"])
     per_block = F.round(F.lit(period) * F.col("fs")).cast("long")
     absolute = F.round((F.col("t") - start) * F.col("fs")).cast("long")
     whole, _ = shift_and_fraction(F.col("rel"), F.col("fs"), F.lit(False))
     one = one.withColumn("block", F.floor((absolute - whole + F.col("spf") - 1) / per_block).cast("int")).drop("rel", "guess")
-    two = one.where((F.col("block") >= 0) & (F.col("block") < blocks)).join(F.broadcast(model.withColumnRenamed("guess", "block")), ["station", "source_id", "block"])
+    two = one.where((F.col("block") >= 0) & (F.col("block") < blocks)).join(model.withColumnRenamed("guess", "block"), ["station", "source_id", "block"])
     shift, frac = shift_and_fraction(F.col("rel"), F.col("fs"), F.lit(False))
     first = absolute - F.col("shift") - F.col("block") * per_block
     return two.withColumn("shift", shift).withColumn("frac", frac).withColumn("first", first).withColumn("cut", F.greatest(F.lit(0), -F.col("first"))).where("cut < spf")

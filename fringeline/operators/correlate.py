@@ -37,8 +37,19 @@ def pairs(spark: SparkSession, streams: int) -> DataFrame:
     """Every pair s0 <= s1 of streams, whether it is of one station, and whether of one polarisation."""
     a = spark.range(streams).select(F.col("id").cast("int").alias("s0"))
     rows = a.select("s0", F.explode(F.sequence("s0", F.lit(streams - 1))).alias("s1"))
+    return with_kind(rows)
+
+
+def with_kind(rows: DataFrame) -> DataFrame:
+    """Pairs s0, s1 with kind (auto: of one station, else cross) and pols (same or mixed)."""
     kind = F.when(F.floor(F.col("s0") / 2) == F.floor(F.col("s1") / 2), "auto").otherwise("cross")
-    return rows.select("s0", "s1", kind.alias("kind"), F.when(F.col("s0") % 2 == F.col("s1") % 2, "same").otherwise("mixed").alias("pols"))
+    return rows.withColumn("kind", kind).withColumn("pols", F.when(F.col("s0") % 2 == F.col("s1") % 2, "same").otherwise("mixed"))
+
+
+def pairs_of(streams: DataFrame, keys: tuple[str, ...], stream: str = "sp") -> DataFrame:
+    """keys, s0 and s1: every pair s0 <= s1 of the streams that share their keys; of repeated rows one counts."""
+    rows = streams.select(*keys, stream).distinct()
+    return rows.withColumnRenamed(stream, "s0").join(rows.withColumnRenamed(stream, "s1"), list(keys)).where("s0 <= s1")
 
 
 def task_of(s0: Column, s1: Column) -> Column:

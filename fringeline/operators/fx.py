@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fringeline.operators import kernels
@@ -220,19 +220,38 @@ def toned(bins: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return whole.mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, re double, im double")
 
 
+def stream_summary(chunks: DataFrame) -> DataFrame:
+    """What there is of each stream of a block and channel, in one pass: counts, ends, and head, the fields of its first chunk."""
+    head = F.min_by(F.struct("shift", "frac", "d0", "d1", "d2", "n_samples", "fs", "bits", "first_sample", "is_complex", "freq_hz", "sideband"), "first_sample")
+    g = chunks.groupBy("acc_block", "channel", "station", "pol")
+    return g.agg(F.count("*").alias("n_chunks"), F.sum("n_samples").alias("n_total"), F.max(F.col("first_sample") + F.col("n_samples")).alias("last_sample"), F.min("first_sample").alias("first"), head.alias("head"))
+
+
+def statistics_of(summary: DataFrame) -> DataFrame:
+    return summary.withColumn("n_missing", F.col("last_sample") - F.col("first") - F.col("n_total")).drop("first", "head")
+
+
 def stream_statistics(chunks: DataFrame) -> DataFrame:
     """Samples, chunks, last sample and missing samples of each stream of a block and channel."""
     g = chunks.groupBy("acc_block", "channel", "station", "pol")
     out = g.agg(F.count("*").alias("n_chunks"), F.sum("n_samples").alias("n_total"), F.max(F.col("first_sample") + F.col("n_samples")).alias("last_sample"), F.min("first_sample").alias("first"))
-    return out.withColumn("n_missing", F.col("last_sample") - F.col("first") - F.col("n_total")).drop("first")
+    return statistics_of(out.withColumn("head", F.lit(None)))
 
 
 def dismissed(chunks: DataFrame, streams: int) -> DataFrame:
-    """Blocks and channels that have fewer than so many streams: no pair of theirs with the others is formed."""
+    """Blocks and channels that have fewer than so many streams (rows of chunks or of a summary): no pair of theirs with the others is formed."""
     found = chunks.groupBy("acc_block", "channel").agg(F.countDistinct("station", "pol").alias("streams"))
     return found.where(F.col("streams") < streams)
 
 
+def counted(frames: DataFrame, observation: Observation) -> DataFrame:
+    """frames, counted while something else reads them: frames, bytes, truncated and invalid ones.
+
+    The counts are in observation.get once the pass that reads the frames has ended; they cost no pass of their own.
+    """
+    return frames.observe(observation, F.count("*").alias("frames"), F.coalesce(F.sum("frame_bytes"), F.lit(0)).alias("bytes"), F.count_if(~F.col("complete")).alias("truncated"), F.count_if("invalid").alias("invalid"))
+
+
 def gaps(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Missing stretches of each stream: where the samples before end, where the next ones begin, and the samples between."""
     end = F.max(F.col("first_sample") + F.col("n_samples")).over(Window.partitionBy(*keys).orderBy("first_sample").rowsBetween(Window.unboundedPreceding, -1))

@@ -66,16 +66,16 @@ def rotator(x: np.ndarray) -> np.ndarray:
 
 
 def fringe_rotate(samples: np.ndarray, first: int, fs: float, f: float, coeffs: np.ndarray, *, lower_complex: bool = False, mode: str = "full") -> np.ndarray:
-    """Rotates samples numbered from first.  mode: every sample, a line between the ends, or the first sample's phase."""
-    n = len(samples)
-    at = lambda i: (f - fs if lower_complex else f) * delay(coeffs, (first + np.asarray(i, float)) / fs)
+    """Rotates samples, or rows of them, numbered from first.  mode: every sample, a line between the ends, or the first sample's phase."""
+    n = samples.shape[-1]
+    at = lambda i: np.where(lower_complex, f - fs, f) * delay(coeffs, (first + np.asarray(i, float)) / fs)
     if mode == "full":
         x = at(np.arange(n))
     elif mode == "linear":
         a, b = at(0), at(n - 1)
         x = a + (b - a) * np.arange(n) / max(n - 1, 1)
     else:
-        x = np.full(n, at(0))
+        x = at(0) + np.zeros(n)
     return samples * rotator(x - np.trunc(x))
 
 
@@ -148,16 +148,19 @@ def normalise(acc: np.ndarray) -> np.ndarray:
         return acc / np.sqrt(power[:, None, None] * power[None, :, None])
 
 
-def slip(d_start: float, d_end: float, slope: float, fs: float, n: int) -> tuple[int, int]:
-    """(+1 drop, -1 insert or 0, sample index) where the delay's fraction of a sample crosses one half."""
+def slips(d_start: np.ndarray, d_end: np.ndarray, slope: np.ndarray, fs: np.ndarray, n: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """+1 (drop), -1 (insert) or 0, and the sample where the delay's fraction of a sample crosses one half, of chunks of n samples."""
     a, b = d_start * fs % 1.0, d_end * fs % 1.0
-    if slope > 0 and a < 0.5 <= b:
-        kind = 1
-    elif slope < 0 and b < 0.5 <= a:
-        kind = -1
-    else:
-        return 0, -1
-    return kind, int(np.round((0.5 - a) / (b - a) * (n - 1)))
+    kind = np.where((slope > 0) & (a < 0.5) & (b >= 0.5), 1, np.where((slope < 0) & (b < 0.5) & (a >= 0.5), -1, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = np.round((0.5 - a) / (b - a) * (n - 1))
+    return kind, np.where(kind != 0, at, -1).astype(np.int64)
+
+
+def slip(d_start: float, d_end: float, slope: float, fs: float, n: int) -> tuple[int, int]:
+    """slips() of one chunk."""
+    kind, at = slips(*(np.array([float(x)]) for x in (d_start, d_end, slope, fs)), n)
+    return int(kind[0]), int(at[0])
 
 
 def apply_slip(samples: np.ndarray, kind: int, index: int) -> np.ndarray:

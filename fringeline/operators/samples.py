@@ -71,19 +71,43 @@ def paired(rows: DataFrame) -> DataFrame:
     return mapped(rows, {"re": DOUBLES, "im": DOUBLES}, work)
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an array of binary values."""
+    n, size = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def packed(rows: DataFrame, bits: int, *, q: str = "q", out: str = "packed") -> DataFrame:
-    """rows with the 32-bit words, as binary, that hold an array of components."""
-    return mapped(rows, {out: T.BinaryType()}, lambda c: {out: pa.array([vdif.pack(x.astype(np.uint32), bits) for x in c[q]], pa.binary())}, (q,))
+    """rows with the 32-bit words, as binary, that hold an array of components; a batch is packed as one array."""
+
+    def work(c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+        per = 32 // bits
+        n, count = c[q].shape
+        whole = np.zeros((n, -(-count // per) * per), np.uint32)
+        whole[:, :count] = c[q]
+        return {out: binaries(np.frombuffer(vdif.pack(whole.ravel(), bits), np.uint8).reshape(n, -1))}
+
+    return mapped(rows, {out: T.BinaryType()}, work, (q,))
 
 
 def unpacked(rows: DataFrame, bits: int, *, payload: str = "payload", out: str = "q") -> DataFrame:
-    """rows with the components, array<int>, of binary payloads of 32-bit words."""
+    """rows with the components, array<int>, of binary payloads of 32-bit words; a batch is unpacked as one array."""
+
     def work(c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
-        return {out: pa.array([vdif.unpack(bytes(x), bits).astype(np.int32) for x in c[payload]], pa.list_(pa.int32()))}
+        bodies = [bytes(x) for x in c[payload]]
+        size = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4 * 4
+        flat = vdif.unpack(b"".join(x[:n] for x, n in zip(bodies, size.tolist(), strict=True)), bits).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(size * 8 // bits)]).astype(np.int32)
+        return {out: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
 
     return mapped(rows, {out: T.ArrayType(T.IntegerType())}, work, (payload,))
 
 
+def little_endian(rows: DataFrame, word: str, *, out: str = "payload") -> DataFrame:
+    """rows with the four bytes of a 32-bit word, the lowest first."""
+    return mapped(rows, {out: T.BinaryType()}, lambda c: {out: binaries(c[word].astype("<u4").view(np.uint8).reshape(-1, 4))}, (word,))
+
+
 def turned(rows: DataFrame, channels: int, is_complex: bool) -> DataFrame:
     """rows with `turned`, the samples of each channel, of components that are interleaved by channel."""
     return mapped(rows, {"turned": T.ArrayType(DOUBLES)}, lambda c: {"turned": lists(vdif.corner_turn(c["samples"], channels, is_complex))})
@@ -103,8 +127,8 @@ def rotated(rows: DataFrame, *, mode: str = "full") -> DataFrame:
 
     def work(c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
         n = c["samples"].shape[1]
-        of = zip(c["samples"], c["w"], c["fs"], c["freq"], c["lower_complex"], c["d0"], c["d1"], c["d2"], strict=True)
-        z = np.stack([kernels.fringe_rotate(x, int(w) * n, fs, f, np.array([d0, d1, d2]), lower_complex=bool(low), mode=mode) for x, w, fs, f, low, d0, d1, d2 in of])
+        each = lambda k: c[k].astype(float)[:, None]
+        z = kernels.fringe_rotate(c["samples"], each("w") * n, each("fs"), each("freq"), [each(d) for d in ("d0", "d1", "d2")], lower_complex=c["lower_complex"].astype(bool)[:, None], mode=mode)
         return {"re": lists(z.real), "im": lists(z.imag)}
 
     return mapped(rows, {"re": DOUBLES, "im": DOUBLES}, work, ("samples", "w", "fs", "freq", "lower_complex", "d0", "d1", "d2"))
@@ -132,8 +156,8 @@ def slips(rows: DataFrame, n: int) -> DataFrame:
     """rows with kind (1 drop, -1 insert, 0) and slip_at, of windows of n samples (d_start, d_end, slope, fs)."""
 
     def work(c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
-        found = [kernels.slip(a, b, s, fs, n) for a, b, s, fs in zip(c["d_start"], c["d_end"], c["slope"], c["fs"], strict=True)]
-        return {"kind": pa.array([k for k, _ in found], pa.int32()), "slip_at": pa.array([i if k else None for k, i in found], pa.int32())}
+        kind, at = kernels.slips(c["d_start"], c["d_end"], c["slope"], c["fs"], n)
+        return {"kind": pa.array(kind, pa.int32()), "slip_at": pa.array(at, pa.int32(), mask=kind == 0)}
 
     return mapped(rows, {"kind": T.IntegerType(), "slip_at": T.IntegerType()}, work, ("d_start", "d_end", "slope", "fs"))
 
@@ -142,8 +166,15 @@ def slipped(rows: DataFrame) -> DataFrame:
     """rows whose samples have dropped or got one (kind) at slip_at."""
 
     def work(c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
-        out = [kernels.apply_slip(x, int(k), int(i)) for x, k, i in zip(c["samples"], c["kind"], c["slip_at"], strict=True)]
-        return {"samples": pa.array([x.tolist() for x in out], pa.list_(pa.float64()))}
+        x, kind, at = c["samples"], c["kind"].astype(np.int64), np.nan_to_num(c["slip_at"].astype(float)).astype(np.int64)
+        n, size = x.shape
+        wide = np.zeros((n, size + 1))
+        place = np.arange(size) + ((kind < 0)[:, None] & (np.arange(size) >= at[:, None]))
+        np.put_along_axis(wide, place, x, 1)  # an inserted sample is 0
+        keep = np.arange(size + 1) < (size - np.minimum(kind, 0))[:, None]
+        keep[(kind > 0)[:, None] & (np.arange(size + 1) == at[:, None])] = False
+        offsets = np.concatenate([[0], np.cumsum(size - kind)]).astype(np.int32)
+        return {"samples": pa.ListArray.from_arrays(pa.array(offsets), pa.array(wide[keep]))}
 
     return mapped(rows, {"samples": DOUBLES}, work, ("samples", "kind", "slip_at"))
 

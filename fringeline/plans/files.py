@@ -64,25 +64,37 @@ def vdif_time_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(vdif.read_folder(spark, folder, ordered="true", slack="10", t_start="20", t_end="30"), 10)
 
 
+def peaks(records: DataFrame) -> DataFrame:
+    size = F.array_max(F.transform(F.arrays_zip("re", "im"), lambda z: F.hypot(z["re"], z["im"])))
+    return records.select(F.floor("seconds").cast("int").alias("acc"), "st0", "st1", "pols", F.round(size.cast("double"), 1).alias("peak"))
+
+
 def swin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visibilities written as binary records and read again: the largest coefficient of each."""
     folder = own_folder(spark, "records")
     results.write_swin(results.spectra_rows(accumulated(streams(spark, sf_dir))), folder, mjd=57350, start=0.0, period=1.0)
-    got = results.read_swin(spark, folder, 64)
-    size = F.array_max(F.transform(F.arrays_zip("re", "im"), lambda z: F.hypot(z["re"], z["im"])))
-    return got.select(F.floor("seconds").cast("int").alias("acc"), "st0", "st1", "pols", F.round(size.cast("double"), 1).alias("peak"))
+    return peaks(results.read_swin(spark, folder, 64))
+
+
+def swin_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as one file, of which two periods and two polarisation pairs are read."""
+    file = own_folder(spark, "records")
+    results.write_swin_file(results.spectra_rows(accumulated(streams(spark, sf_dir))), file, mjd=57350, start=0.0, period=1.0, parts=4)
+    return peaks(results.read_swin(spark, file, 64, pols="XX,YX", t_start="57350:1", t_end="57350:3"))
 
 
-QUERIES = {f.__name__: f for f in (vdif_roundtrip, vdif_records, vdif_stream, vdif_time_pruned, swin_roundtrip)}
+QUERIES = {f.__name__: f for f in (vdif_roundtrip, vdif_records, vdif_stream, vdif_time_pruned, swin_roundtrip, swin_merged)}
 
 
 def _sql() -> dict[str, str]:
     from fringeline.plans.correlation import RAW
 
     quantised = "SELECT vec_id, CAST(64 AS INT) n, CAST(list_sum(list_transform(embedding, lambda x: least(3, greatest(0, floor(CAST(x AS DOUBLE) * 4 + 2))))) AS INT) total FROM embeddings"
+    records = f"{RAW} SELECT acc, CAST(floor(sp0 / 2) AS INT) st0, CAST(floor(sp1 / 2) AS INT) st1, CASE WHEN sp0 % 2 = 0 THEN 'X' ELSE 'Y' END || CASE WHEN sp1 % 2 = 0 THEN 'X' ELSE 'Y' END pols, round(max(sqrt(re * re + im * im)), 1) peak FROM v WHERE {{wanted}} GROUP BY acc, sp0, sp1"
     return dict.fromkeys(("vdif_roundtrip", "vdif_records", "vdif_stream"), quantised) | {
         "vdif_time_pruned": f"{quantised} WHERE vec_id >= 200 AND vec_id < 300",
-        "swin_roundtrip": f"{RAW} SELECT acc, CAST(floor(sp0 / 2) AS INT) st0, CAST(floor(sp1 / 2) AS INT) st1, CASE WHEN sp0 % 2 = 0 THEN 'X' ELSE 'Y' END || CASE WHEN sp1 % 2 = 0 THEN 'X' ELSE 'Y' END pols, round(max(sqrt(re * re + im * im)), 1) peak FROM v GROUP BY acc, sp0, sp1",
+        "swin_roundtrip": records.replace("{wanted}", "true"),
+        "swin_merged": records.replace("{wanted}", "acc IN (1, 2) AND sp1 % 2 = 0"),
     }
 
 

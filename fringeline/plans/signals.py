@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fringeline.operators import align, correlate, delays, fx, post, samples
@@ -18,18 +18,19 @@ from fringeline.plans.views import events, streams, table, words
 from fringeline.sources import experiment, results, vdif
 from fringeline.streaming.tumbling import tumbling_power
 
-#: Blocks of one day over 30 days; a delay model in sections of three days, per station.
+#: Blocks over 27 days; a delay model in sections of three days, per station.
 STATIONS = "(VALUES (0, 'AA', 0.10, 0.001), (1, 'BB', 0.25, -0.002), (2, 'CC', 0.05, 0.0005), (3, 'DD', 0.40, 0.0)) AS st(station, name, c0, c1)"
 SECTIONS = "(SELECT CAST(s.k AS BIGINT) section, s.k * 259200.0 start_s, (s.k + 1) * 259200.0 end_s, st.station, 1000.0 + 37.0 * st.station - 3.0 * s.k p0, 0.01 * (st.station + 1) p1, -0.0001 * (s.k + 1) p2, 0.000001 * st.station p3, 0.00000001 p4, -0.0000000001 p5 FROM {RANGE 9} s CROSS JOIN " + STATIONS + ")"
-BLOCKS = "(SELECT CAST(b.k AS BIGINT) block, b.k * 86400.0 t FROM {RANGE 30} b)"
+BLOCKS = "(SELECT CAST(c_custkey AS BIGINT) block, CAST(c_custkey * 97777 % 2332800 AS DOUBLE) t FROM {customer})"
+STATION_OF = "(SELECT s_nationkey band, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) k FROM {supplier})"
 # Degree-5 polynomials moved to an offset d and cut after the square, then in seconds.
 SHIFTED = (
-    "(SELECT block, station, section, t - start_s d, (p0 + (t - start_s) / 86400 * (p1 + (t - start_s) / 86400 * (p2 + (t - start_s) / 86400 * (p3 + (t - start_s) / 86400 * (p4 + (t - start_s) / 86400 * p5))))) / 1e6 q0,"
+    "(SELECT block, t, station, section, t - start_s d, (p0 + (t - start_s) / 86400 * (p1 + (t - start_s) / 86400 * (p2 + (t - start_s) / 86400 * (p3 + (t - start_s) / 86400 * (p4 + (t - start_s) / 86400 * p5))))) / 1e6 q0,"
     " (p1 + (t - start_s) / 86400 * (2 * p2 + (t - start_s) / 86400 * (3 * p3 + (t - start_s) / 86400 * (4 * p4 + (t - start_s) / 86400 * 5 * p5)))) / 1e6 q1,"
     " (p2 + (t - start_s) / 86400 * (3 * p3 + (t - start_s) / 86400 * (6 * p4 + (t - start_s) / 86400 * 10 * p5))) / 1e6 q2"
     f" FROM {BLOCKS} b JOIN {SECTIONS} m ON b.t >= m.start_s AND b.t < m.end_s)"
 )
-TOTAL = f"(SELECT s.*, (st.c0 + st.c1 * (s.block * 1.0)) / 1e6 k0, st.c1 / 1e6 k1 FROM {SHIFTED} s JOIN {STATIONS} ON s.station = st.station)"
+TOTAL = f"(SELECT s.*, (st.c0 + st.c1 * (s.t / 86400.0)) / 1e6 k0, st.c1 / 1e6 k1 FROM {SHIFTED} s JOIN {STATIONS} ON s.station = st.station)"
 # The reference station has the largest delay; the last one of equal ones.
 REFERENCE = f"(SELECT * FROM (SELECT z.*, row_number() OVER (PARTITION BY block ORDER BY q0 + k0 DESC, station DESC) nr FROM {TOTAL} z) WHERE nr = 1)"
 RELATIVE = f"(SELECT a.block, a.station, r.station ref, -(a.q0 - r.q0 + a.k0 - r.k0) d0, -(a.q1 - r.q1 + a.k1 - r.k1) d1, -(a.q2 - r.q2) d2, r.q0 + r.k0 r0, r.q1 + r.k1 r1, r.q2 r2 FROM {TOTAL} a JOIN {REFERENCE} r ON a.block = r.block)"
@@ -68,7 +69,7 @@ SQL = {
     "delay_section_range_join": f"SELECT v.event_id, m.section, round(m.p0, 6) + 0.0 p0 FROM {{V}} v JOIN {SECTIONS} m ON v.t >= m.start_s AND v.t < m.end_s AND v.st = m.station",
     "delay_taylor_shift": f"SELECT block, station, section, round(q0 * 1e9, 4) + 0.0 q0, round(q1 * 1e9, 5) + 0.0 q1, round(q2 * 1e9, 8) + 0.0 q2 FROM {SHIFTED} s",
     "delay_ref_station": f"SELECT block, station, round((q0 + k0) * 1e9, 4) + 0.0 delay FROM {REFERENCE} r",
-    "delay_relative_poly": f"SELECT block, station, ref, round(d0 * 1e9, 4) + 0.0 d0, round(d1 * 1e9, 6) + 0.0 d1, round(d2 * 1e9, 8) + 0.0 d2 FROM {RELATIVE} r",
+    "delay_relative_poly": f"SELECT block, station, ref, round(d0 * 1e9, 4) + 0.0 d0, round(d1 * 1e9, 4) + 0.0 d1, round(d2 * 1e9, 8) + 0.0 d2 FROM {RELATIVE} r",
     "delay_abe_root": f"SELECT DISTINCT block, round(CASE WHEN abs(r2) < 1e-30 THEN r0 / (1 - r1) ELSE 2 * r0 / ((1 - r1) + sqrt((1 - r1) * (1 - r1) - 4 * r2 * r0)) END * 1e9, 4) + 0.0 root FROM (SELECT block, r0, r1 / 86400.0 r1, r2 / 86400.0 / 86400.0 r2 FROM {RELATIVE} r0)",
     "delay_int_frac": f"SELECT block, station, CAST(CASE WHEN x - floor(x) > 0.5 THEN floor(x) + 1 ELSE floor(x) END AS BIGINT) shift, round(CASE WHEN x - floor(x) > 0.5 THEN x - floor(x) - 1 ELSE x - floor(x) END, 4) + 0.0 frac, 2 * CAST(CASE WHEN x - floor(x) > 0.5 THEN floor(x) + 1 ELSE floor(x) END AS BIGINT) shift_complex FROM (SELECT block, station, d0 * 32e6 x FROM {RELATIVE} r)",
     "frac_slip_detect": "SELECT w, sp, kind, CASE WHEN kind <> 0 THEN CAST(floor((0.5 - a) / (b - a) * 63 + 0.5) AS INT) END slip_at FROM (SELECT *, CASE WHEN slope > 0 AND a < 0.5 AND b >= 0.5 THEN 1 WHEN slope < 0 AND b < 0.5 AND a >= 0.5 THEN -1 ELSE 0 END kind FROM (SELECT w, sp, slope, x0 - floor(x0) a, x1 - floor(x1) b FROM (SELECT w, sp, slope, (0.013 * sp + slope * w) * 64 x0, (0.013 * sp + slope * (w + 63 / 64.0)) * 64 x1 FROM (SELECT DISTINCT w, sp, CASE WHEN sp % 2 = 0 THEN 0.00131 ELSE -0.00173 END slope FROM {E} e))))",
@@ -77,16 +78,16 @@ SQL = {
     "pcal_fold": f"SELECT acc, bin, round(s, 2) + 0.0 s, CAST(c AS BIGINT) n FROM {FOLD} f",
     "pcal_roll": f"SELECT acc, CAST((bin + 3 + acc) % 16 AS INT) bin, round(s, 2) + 0.0 s FROM {FOLD} f",
     "pcal_tones": f"SELECT acc, k.k, round(sum(s * cos(2 * pi() * ((k.k * bin) % 16) / 16)) / sum(c), 4) + 0.0 re, round(-sum(s * sin(2 * pi() * ((k.k * bin) % 16) / 16)) / sum(c), 4) + 0.0 im FROM {FOLD} f CROSS JOIN {{RANGE 16}} k GROUP BY acc, k.k",
-    "pcal_tone_positions": "SELECT f.k channel, CAST(floor((base - lo) / (32e6 / 128)) AS INT) + CASE WHEN base < lo THEN CAST(5e6 * 128 / 32e6 AS INT) ELSE 0 END first, CAST(5e6 * 128 / 32e6 AS INT) step FROM (SELECT k, lo, floor(lo / 5e6) * 5e6 base FROM (SELECT k, 3480.4e6 + 32e6 * k - 32e6 lo FROM {RANGE 32} r)) f",
-    "pcal_tone_list": "SELECT k channel, CAST(CASE WHEN n = 0 THEN first ELSE first + n * 20 END AS INT) place FROM (SELECT k, CAST(floor((base - lo) / (32e6 / 128)) AS INT) + CASE WHEN base < lo THEN 20 ELSE 0 END first FROM (SELECT k, lo, floor(lo / 5e6) * 5e6 base FROM (SELECT k, 3480.4e6 + 32e6 * k - 32e6 lo FROM {RANGE 32} r)) f) CROSS JOIN (SELECT k n FROM {RANGE 7} r7) WHERE first + n * 20 < 140 AND first + n * 20 <= 128 UNION ALL SELECT k channel, -12800 place FROM (SELECT k, first FROM (SELECT k, CAST(floor((base - lo) / (32e6 / 128)) AS INT) + CASE WHEN base < lo THEN 20 ELSE 0 END first FROM (SELECT k, lo, floor(lo / 5e6) * 5e6 base FROM (SELECT k, 3480.4e6 + 32e6 * k - 32e6 lo FROM {RANGE 32} r)) f)) WHERE first + 120 > 128 AND first + 120 < 140",
+    "pcal_tone_positions": "SELECT f.k channel, CAST(floor((base - lo) / (32e6 / 128)) AS INT) + CASE WHEN base < lo THEN CAST(5e6 * 128 / 32e6 AS INT) ELSE 0 END first, CAST(5e6 * 128 / 32e6 AS INT) step FROM (SELECT k, lo, floor(lo / 5e6) * 5e6 base FROM (SELECT CAST(s_suppkey AS INT) k, 3480.4e6 + 32e6 * s_suppkey - 32e6 lo FROM {supplier})) f",
+    "pcal_tone_list": "SELECT k channel, CAST(CASE WHEN n = 0 THEN first ELSE first + n * 20 END AS INT) place FROM (SELECT k, CAST(floor((base - lo) / (32e6 / 128)) AS INT) + CASE WHEN base < lo THEN 20 ELSE 0 END first FROM (SELECT k, lo, floor(lo / 5e6) * 5e6 base FROM (SELECT CAST(s_suppkey AS INT) k, 3480.4e6 + 32e6 * s_suppkey - 32e6 lo FROM {supplier})) f) CROSS JOIN (SELECT k n FROM {RANGE 7} r7) WHERE first + n * 20 < 140 AND first + n * 20 <= 128 UNION ALL SELECT k channel, -12800 place FROM (SELECT k, first FROM (SELECT k, CAST(floor((base - lo) / (32e6 / 128)) AS INT) + CASE WHEN base < lo THEN 20 ELSE 0 END first FROM (SELECT k, lo, floor(lo / 5e6) * 5e6 base FROM (SELECT CAST(s_suppkey AS INT) k, 3480.4e6 + 32e6 * s_suppkey - 32e6 lo FROM {supplier})) f)) WHERE first + 120 > 128 AND first + 120 < 140",
     "pcal_report_lines": "SELECT acc, 'PCAL_60310_000000_S' || CAST(sp AS {STRING}) file, 'S' || CAST(sp AS {STRING}) || ' ' || {FIXED7} || {LASTS} || CAST(sp AS {STRING}) || ' 1 2 95 X ' || {TONE1} || ' 90 X ' || {TONE0} line FROM (SELECT acc, sp, sum(CASE WHEN n = 0 THEN x END) a0, sum(CASE WHEN n = 1 THEN x END) a1, sum(CASE WHEN n = 2 THEN x END) b0, sum(CASE WHEN n = 3 THEN x END) b1 FROM {E} e WHERE w % 25 = 0 GROUP BY acc, sp)",
     # baselines, lookups
-    "fx_scaling_partition": "SELECT a.k s0, b.k s1, CASE WHEN (a.k + b.k) % 2 = 0 THEN a.k ELSE b.k END task, CAST(count(*) OVER (PARTITION BY CASE WHEN (a.k + b.k) % 2 = 0 THEN a.k ELSE b.k END) AS BIGINT) task_pairs FROM {RANGE 16} a JOIN {RANGE 16} b ON a.k <= b.k",
-    "corr_pairs": "SELECT a.k s0, b.k s1, CASE WHEN floor(a.k / 2) = floor(b.k / 2) THEN 'auto' ELSE 'cross' END kind, CASE WHEN a.k % 2 = b.k % 2 THEN 'same' ELSE 'mixed' END pols FROM {RANGE 8} a JOIN {RANGE 8} b ON a.k <= b.k",
-    "swin_baseline_ids": "SELECT a.k st0, b.k st1, 256 * (a.k + 1) + b.k + 1 baseline, CAST(floor((256 * (a.k + 1) + b.k + 1) / 256) AS INT) - 1 back0, (256 * (a.k + 1) + b.k + 1) % 256 - 1 back1 FROM {RANGE 32} a JOIN {RANGE 32} b ON a.k <= b.k",
+    "fx_scaling_partition": f"SELECT band, s0, s1, task, CAST(count(*) OVER (PARTITION BY band, task) AS BIGINT) task_pairs FROM (SELECT a.band, a.k s0, b.k s1, CASE WHEN (a.k + b.k) % 2 = 0 THEN a.k ELSE b.k END task FROM {STATION_OF} a JOIN {STATION_OF} b ON a.band = b.band AND a.k <= b.k)",
+    "corr_pairs": f"SELECT a.band, a.k s0, b.k s1, CASE WHEN floor(a.k / 2) = floor(b.k / 2) THEN 'auto' ELSE 'cross' END kind, CASE WHEN a.k % 2 = b.k % 2 THEN 'same' ELSE 'mixed' END pols FROM {STATION_OF} a JOIN {STATION_OF} b ON a.band = b.band AND a.k <= b.k",
+    "swin_baseline_ids": f"SELECT a.band, a.k st0, b.k st1, 256 * (a.k + 1) + b.k + 1 baseline, CAST(floor((256 * (a.k + 1) + b.k + 1) / 256) AS INT) - 1 back0, (256 * (a.k + 1) + b.k + 1) % 256 - 1 back1 FROM {STATION_OF} a JOIN {STATION_OF} b ON a.band = b.band AND a.k <= b.k",
     "media_lookup_join": "SELECT s.s_suppkey, n.n_name, r.r_name FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey",
     "missing_delay_antijoin": f"SELECT v.st, v.ch, CAST(count(*) AS BIGINT) n FROM {{V}} v WHERE NOT EXISTS (SELECT 1 FROM {SECTIONS} m WHERE v.t >= m.start_s AND v.t < m.end_s AND v.st = m.station) GROUP BY v.st, v.ch",
-    "zoom_containment_join": "SELECT z.k zoom, c.k channel FROM (SELECT k, 100e6 + 7e6 * k f, 4e6 bw FROM {RANGE 40} r) z JOIN (SELECT k, 96e6 + 32e6 * k f, 32e6 bw FROM {RANGE 10} r) c ON z.f >= c.f AND z.f + z.bw <= c.f + c.bw",
+    "zoom_containment_join": "SELECT p_partkey zoom, s_suppkey channel FROM (SELECT p_partkey, 96e6 + (p_partkey * 7919 % 4000) * 1e5 f, (p_size % 4 + 1) * 1e6 bw FROM {part}) z JOIN (SELECT s_suppkey, 96e6 + 32e6 * (s_suppkey % 10) f, 32e6 bw FROM {supplier}) c ON z.f >= c.f AND z.f + z.bw <= c.f + c.bw",
     # streams
     "stitch_gap_detect": f"SELECT stream, first, before_end, first - before_end gap FROM (SELECT stream, first, lag(first + 16) OVER (PARTITION BY stream ORDER BY first) before_end FROM (SELECT DISTINCT stream, first FROM {GAPS} g)) WHERE before_end IS NOT NULL AND first > before_end",
     "cut_fft_multiple": f"SELECT block, ch, CAST(min(n) AS BIGINT) shortest, CAST(max(n) AS BIGINT) longest, CAST(floor(min(n) / 8) * 8 AS BIGINT) used FROM (SELECT block, ch, st, count(*) n FROM {STREAM} s GROUP BY block, ch, st) GROUP BY block, ch",
@@ -161,8 +162,7 @@ def from_last(c: str) -> Column:
 
 @signal("unpack_bits")
 def unpack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low_first = F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright("w0", 8 * i).bitwiseAND(255)), 2, "0")) for i in range(4)))
-    rows = samples.unpacked(words(spark, sf_dir).select("id", low_first.alias("payload")), 2)
+    rows = samples.unpacked(samples.little_endian(words(spark, sf_dir).select("id", "w0"), "w0"), 2)
     return rows.select("id", F.posexplode("q").alias("i", "q"))
 
 
@@ -273,8 +273,8 @@ def delay_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "section")
 
 
-def polynomials(spark: SparkSession) -> DataFrame:
-    return delays.block_polynomials(views.blocks(spark), views.sections(spark), views.clocks(spark))
+def polynomials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delays.block_polynomials(views.blocks(spark, sf_dir), views.sections(spark), views.clocks(spark))
 
 
 def nano(c: str, days: int, digits: int) -> Column:
@@ -284,30 +284,30 @@ def nano(c: str, days: int, digits: int) -> Column:
 
 @signal("delay_taylor_shift")
 def delay_taylor_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    section = F.floor(F.col("block") / 3).alias("section")
-    return polynomials(spark).select("block", "station", section, nano("q0", 0, 4).alias("q0"), nano("q1", 1, 5).alias("q1"), nano("q2", 2, 8).alias("q2"))
+    section = F.floor(F.col("block") * 97777 % 2332800 / 259200).alias("section")
+    return polynomials(spark, sf_dir).select("block", "station", section, nano("q0", 0, 4).alias("q0"), nano("q1", 1, 5).alias("q1"), nano("q2", 2, 8).alias("q2"))
 
 
 @signal("delay_ref_station")
 def delay_ref_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delays.relative(polynomials(spark)).where("station = ref").select("block", "station", nano("q0 + k0", 0, 4).alias("delay"))
+    return delays.relative(polynomials(spark, sf_dir)).where("station = ref").select("block", "station", nano("q0 + k0", 0, 4).alias("delay"))
 
 
 @signal("delay_relative_poly")
 def delay_relative_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delays.relative(polynomials(spark)).select("block", "station", "ref", nano("d0", 0, 4).alias("d0"), nano("d1", 1, 6).alias("d1"), nano("d2", 2, 8).alias("d2"))
+    return delays.relative(polynomials(spark, sf_dir)).select("block", "station", "ref", nano("d0", 0, 4).alias("d0"), nano("d1", 1, 4).alias("d1"), nano("d2", 2, 8).alias("d2"))
 
 
 @signal("delay_abe_root")
 def delay_abe_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delays.relative(polynomials(spark)).select("block", nano("f", 0, 4).alias("root")).distinct()
+    return delays.relative(polynomials(spark, sf_dir)).select("block", nano("f", 0, 4).alias("root")).distinct()
 
 
 @signal("delay_int_frac")
 def delay_int_frac(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift, frac = delays.shift_and_fraction(F.col("d0"), F.lit(32e6), F.lit(False))
     twice, _ = delays.shift_and_fraction(F.col("d0"), F.lit(32e6), F.lit(True))
-    return delays.relative(polynomials(spark)).select("block", "station", shift.alias("shift"), rounded(frac, 4).alias("frac"), twice.alias("shift_complex"))
+    return delays.relative(polynomials(spark, sf_dir)).select("block", "station", shift.alias("shift"), rounded(frac, 4).alias("frac"), twice.alias("shift_complex"))
 
 
 @signal("frac_slip_detect")
@@ -347,20 +347,20 @@ def pcal_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.toned(fx.folded(order_runs(spark, sf_dir), 16, ("acc",)), ("acc",)).select("acc", "k", rounded("re", 4).alias("re"), rounded("im", 4).alias("im"))
 
 
-def tone_bands(spark: SparkSession) -> DataFrame:
-    low = F.lit(3480.4e6) + F.col("id") * 32e6 - 32e6
-    return spark.range(32).select(F.col("id").cast("int").alias("channel"), low.alias("low"), F.lit(5e6).alias("f_pcal"), F.lit(32e6).alias("bw"), F.lit(128).alias("n"))
+def tone_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lit(3480.4e6) + F.col("s_suppkey") * 32e6 - 32e6
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("channel"), low.alias("low"), F.lit(5e6).alias("f_pcal"), F.lit(32e6).alias("bw"), F.lit(128).alias("n"))
 
 
 @signal("pcal_tone_positions")
 def pcal_tone_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, step = post.tone_start(F.col("low"), F.col("f_pcal"), F.col("bw"), F.col("n"))
-    return tone_bands(spark).select("channel", first.alias("first"), step.alias("step"))
+    return tone_bands(spark, sf_dir).select("channel", first.alias("first"), step.alias("step"))
 
 
 @signal("pcal_tone_list")
 def pcal_tone_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tone_bands(spark).select("channel", F.explode(post.tone_positions(F.col("low"), F.col("f_pcal"), F.col("bw"), F.col("n"))).alias("place"))
+    return tone_bands(spark, sf_dir).select("channel", F.explode(post.tone_positions(F.col("low"), F.col("f_pcal"), F.col("bw"), F.col("n"))).alias("place"))
 
 
 @signal("pcal_report_lines")
@@ -379,20 +379,22 @@ def pcal_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @signal("fx_scaling_partition")
 def fx_scaling_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = correlate.pairs(spark, 16).withColumn("task", correlate.task_of(F.col("s0"), F.col("s1")))
-    return rows.join(rows.groupBy("task").agg(F.count("*").alias("task_pairs")), "task").select("s0", "s1", "task", "task_pairs")
+    """The stations of each band in pairs, the task that forms each, and how many pairs that task has."""
+    rows = correlate.pairs_of(views.stations(spark, sf_dir), ("band",)).withColumn("task", correlate.task_of(F.col("s0"), F.col("s1")))
+    return rows.withColumn("task_pairs", F.count("*").over(Window.partitionBy("band", "task"))).select("band", "s0", "s1", "task", "task_pairs")
 
 
 @signal("corr_pairs")
 def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.pairs(spark, 8)
+    return correlate.with_kind(correlate.pairs_of(views.stations(spark, sf_dir), ("band",)))
 
 
 @signal("swin_baseline_ids")
 def swin_baseline_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = correlate.pairs(spark, 32).select(F.col("s0").alias("st0"), F.col("s1").alias("st1")).withColumn("baseline", results.baseline_number(F.col("st0"), F.col("st1")))
+    pairs = correlate.pairs_of(views.stations(spark, sf_dir), ("band",))
+    rows = pairs.select("band", F.col("s0").alias("st0"), F.col("s1").alias("st1")).withColumn("baseline", results.baseline_number(F.col("st0"), F.col("st1")))
     a, b = results.stations_of(F.col("baseline"))
-    return rows.select("st0", "st1", "baseline", a.alias("back0"), b.alias("back1"))
+    return rows.select("band", "st0", "st1", "baseline", a.alias("back0"), b.alias("back1"))
 
 
 @signal("media_lookup_join")
@@ -406,8 +408,8 @@ def media_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @signal("zoom_containment_join")
 def zoom_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels of the lower sideband, named by their upper edges."""
-    zooms = spark.range(40).select(F.col("id").cast("int").alias("zoom"), (100e6 + 7e6 * F.col("id")).alias("f"), F.lit(4e6).alias("bw"))
-    channels = spark.range(10).select(F.col("id").cast("int").alias("channel"), (96e6 + 32e6 * (F.col("id") + 1)).alias("f"), F.lit(32e6).alias("bw"), F.lit("L").alias("sideband"))
+    zooms = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("zoom"), (96e6 + F.col("p_partkey") * 7919 % 4000 * 1e5).alias("f"), ((F.col("p_size") % 4 + 1) * 1e6).alias("bw"))
+    channels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("channel"), (96e6 + 32e6 * (F.col("s_suppkey") % 10 + 1)).alias("f"), F.lit(32e6).alias("bw"), F.lit("L").alias("sideband"))
     return post.contained(zooms, channels).select("zoom", "channel")
 
 

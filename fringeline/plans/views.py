@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Sampling of the streams made of vectors, and samples of a window.
@@ -54,9 +54,16 @@ def clocks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(st, name, float(MJD), c0 / 1e6, c1 / 1e6 / 86400) for st, name, c0, c1 in STATIONS], "station int, name string, clock_ref double, c0 double, c1 double")
 
 
-def blocks(spark: SparkSession) -> DataFrame:
-    """Thirty blocks of a day."""
-    return spark.range(30).select(F.col("id").alias("block"), (F.lit(MJD) + F.col("id")).cast("int").alias("mjd"), F.lit(0.0).alias("sec"))
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block for each customer, at times all over the days that the sections cover."""
+    t = F.col("c_custkey") * 97777 % 2332800
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("block"), (F.lit(MJD) + F.floor(t / 86400)).cast("int").alias("mjd"), (t % 86400).cast("double").alias("sec"))
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of a nation as the stations of a band, numbered from 0."""
+    nr = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("band"), nr.alias("sp"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

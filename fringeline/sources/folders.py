@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -101,6 +102,46 @@ def write_parts(rows: DataFrame, order: list, path: str, *, parts: int | None =
     write_files(ordered.select(F.format_string("part-%05d", F.spark_partition_id()).alias("file"), "body"), path)
 
 
+#: Bytes that a task copies at once.
+PIECE = 64 << 20
+
+
+def merged(spark: SparkSession, folder: str, file: str, *, piece: int = PIECE) -> None:
+    """Writes the files of a folder, end to end in the order of their names, as one file that all executors see.
+
+    The sizes of the parts before it are a part's place in the file, so each task writes its own stretch, and again the
+    same bytes if it is run again; the file gets its name once all are there.
+    """
+    source, target = local_path(folder), local_path(file)
+    rows, at = [], 0
+    for name in sorted(f for f in os.listdir(source) if not f.startswith((".", "_"))):
+        size = os.path.getsize(f"{source}/{name}")
+        rows += [(f"{source}/{name}", i, min(piece, size - i), at + i) for i in range(0, size, piece)]
+        at += size
+    own = f"{target}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.truncate(at)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for path, start, size, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with open(path, "rb") as f, open(own, "r+b") as g:
+                    f.seek(start)
+                    g.seek(place)
+                    while size > 0 and (raw := f.read(min(size, 4 << 20))):
+                        g.write(raw)
+                        size -= len(raw)
+                done.append(size)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["left"])
+
+    if rows:
+        pieces = spark.createDataFrame(rows, "path string, start long, size long, place long").repartition(len(rows))
+        if pieces.mapInArrow(copy, "left long").where("left <> 0").count():
+            raise OSError(f"{folder}: a file has become shorter")
+    os.replace(own, target)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any store that Spark writes to."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

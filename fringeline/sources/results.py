@@ -13,14 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from fringeline.operators import post
-from fringeline.sources.folders import local_path, write_files, write_parts
+from fringeline.operators.fx import stream_summary
+from fringeline.sources.folders import local_path, merged, write_files, write_parts
+from fringeline.sources.vdif import PUSH
 
 # The SWIN record header, little-endian.
 SWIN = "<4siiidiii2sid3d"
 SYNC = b"\x00\xff\x00\xff"
+SYNC_WORD = int.from_bytes(SYNC, "little")
 # The header lines of a calibration file.
 CALIBRATION_HEADER = ("# Pulse cal data", "# File version = 1", "# Start MJD = {mjd}", "# Start seconds = {start}", "# Telescope name = {station}")
 INVALID_TONE = "-1 0 0 0"
@@ -92,38 +95,97 @@ def write_swin(vis: DataFrame, path: str, *, mjd: int, start: float, period: flo
     write_parts(rows, swin_order(rows), path, parts=parts)
 
 
+def write_swin_file(vis: DataFrame, file: str, **options) -> None:
+    """write_swin() into one file: the parts are written beside it by their tasks, and copied to their places in it by tasks too."""
+    parts = f"{file}.parts"
+    write_swin(vis, parts, **options)
+    merged(vis.sparkSession, parts, file)
+
+
 class SwinRange(InputPartition):
     def __init__(self, path: str, first: int, count: int):
         super().__init__((path, first, count))
         self.path, self.first, self.count = path, first, count
 
 
+SWIN_SCHEMA = "mjd int, seconds double, st0 int, st1 int, band int, pols string, re array<float>, im array<float>"
+#: Fields of a record's head, as SWIN packs them.
+SWIN_HEAD = [("sync", "<u4"), ("version", "<i4"), ("number", "<i4"), ("mjd", "<i4"), ("seconds", "<f8"), ("config", "<i4"), ("source", "<i4"), ("band", "<i4"), ("pols", "S2"), ("pulsar", "<i4"), ("weight", "<f8"), ("uvw", "<f8", 3)]
+
+
 class SwinReader(DataSourceReader):
-    """Records of equal coefficients of one file, or of the files of a folder; options path, coefficients, records_per_partition."""
+    """Records of equal coefficients of one file, or of the files of a folder, read in blocks and decoded together.
+
+    Options: path, coefficients, records_per_partition, and what to keep: bands (numbers) and pols (pairs as XX), comma-separated,
+    t_start and t_end (mjd:seconds; the middle of a period from the first on and before the second), skip and limit (of the
+    records of each file, before the others; a file's records beyond them are not opened).
+    """
+
+    #: Bytes read at once.
+    BLOCK = 4 << 20
 
     def __init__(self, options: dict[str, str]):
-        path, self.n = local_path(options["path"]), int(options["coefficients"])
+        path, n = local_path(options["path"]), int(options["coefficients"])
         self.paths = sorted(f"{path}/{f}" for f in os.listdir(path) if not f.startswith(".")) if os.path.isdir(path) else [path]
         self.per = int(options.get("records_per_partition", 10_000))
-        self.size = struct.calcsize(SWIN) + 8 * self.n
+        self.kind = np.dtype([*SWIN_HEAD, ("v", "<f4", (n, 2))])
+        self.skip, self.limit = int(options.get("skip", 0)), int(options["limit"]) if "limit" in options else None
+        self.bands = {int(x) for x in options["bands"].split(",")} if "bands" in options else None
+        self.pols = {x.strip().encode() for x in options["pols"].split(",")} if "pols" in options else None
+        time = lambda c: float(options[c].split(":")[0]) * 86400 + float(options[c].split(":")[1]) if c in options else None
+        self.low, self.high = time("t_start"), time("t_end")
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in self.paths:
-            total = os.path.getsize(path) // self.size
-            out += [SwinRange(path, i, min(self.per, total - i)) for i in range(0, total, self.per)]
+            total = os.path.getsize(path) // self.kind.itemsize
+            last = total if self.limit is None else min(total, self.skip + self.limit)
+            out += [SwinRange(path, i, min(self.per, last - i)) for i in range(self.skip, last, self.per)]
         return out
 
-    def read(self, part: SwinRange) -> Iterator[tuple]:
+    def read(self, part: SwinRange) -> Iterator[pa.RecordBatch]:
+        step = max(1, self.BLOCK // self.kind.itemsize)
         with open(part.path, "rb") as f:
-            f.seek(part.first * self.size)
-            for _ in range(part.count):
-                raw = f.read(self.size)
-                sync, version, number, mjd, seconds, config, source, band, pols, *_ = struct.unpack_from(SWIN, raw)
-                if sync != SYNC:
+            f.seek(part.first * self.kind.itemsize)
+            for at in range(0, part.count, step):
+                rows = np.frombuffer(f.read(min(step, part.count - at) * self.kind.itemsize), self.kind)
+                if (rows["sync"] != SYNC_WORD).any():
                     raise ValueError("no record here")
-                v = np.frombuffer(raw, "<f4", 2 * self.n, struct.calcsize(SWIN))
-                yield (mjd, seconds, number // 256 - 1, number % 256 - 1, band, pols.decode(), v[0::2].tolist(), v[1::2].tolist())
+                yield self.decoded(rows[self.wanted(rows)])
+
+    def wanted(self, rows: np.ndarray) -> np.ndarray:
+        use = np.ones(len(rows), bool)
+        if self.bands is not None:
+            use &= np.isin(rows["band"], list(self.bands))
+        if self.pols is not None:
+            use &= np.isin(rows["pols"], list(self.pols))
+        t = rows["mjd"] * 86400.0 + rows["seconds"]
+        if self.low is not None:
+            use &= t >= self.low
+        if self.high is not None:
+            use &= t < self.high
+        return use
+
+    def decoded(self, rows: np.ndarray) -> pa.RecordBatch:
+        part = lambda i: pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * self.kind["v"].shape[0]).astype(np.int32)), pa.array(np.ascontiguousarray(rows["v"][:, :, i]).ravel()))
+        columns = [rows["mjd"], rows["seconds"], rows["number"] // 256 - 1, rows["number"] % 256 - 1, rows["band"]]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(rows["pols"].astype(str).tolist(), pa.string()), part(0), part(1)], names=[c.split()[0] for c in SWIN_SCHEMA.split(", ")])
+
+
+class FilteringSwinReader(SwinReader):
+    """Also applies Spark's conditions on band and pols to the heads; the session's setting PUSH must be on."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            own = {value} if isinstance(f, EqualTo) else set(value) if isinstance(f, In) else None
+            if own is not None and column == ("band",):
+                self.bands = own if self.bands is None else self.bands & own
+            elif own is not None and column == ("pols",):
+                own = {x.encode() for x in own}
+                self.pols = own if self.pols is None else self.pols & own
+            else:
+                yield f
 
 
 class SwinSource(DataSource):
@@ -132,15 +194,16 @@ class SwinSource(DataSource):
         return "swin"
 
     def schema(self) -> str:
-        return "mjd int, seconds double, st0 int, st1 int, band int, pols string, re array<float>, im array<float>"
+        return SWIN_SCHEMA
 
     def reader(self, schema) -> SwinReader:
-        return SwinReader(self.options)
+        return (FilteringSwinReader if self.options.get("push") == "true" else SwinReader)(self.options)
 
 
-def read_swin(spark: SparkSession, path: str, coefficients: int) -> DataFrame:
+def read_swin(spark: SparkSession, path: str, coefficients: int, **options: str) -> DataFrame:
+    """Records of a file or folder; options as of SwinReader."""
     spark.dataSource.register(SwinSource)
-    return spark.read.format("swin").options(path=path, coefficients=str(coefficients)).load()
+    return spark.read.format("swin").options(path=path, coefficients=str(coefficients), push=spark.conf.get(PUSH, "false"), **options).load()
 
 
 def metadata(chunks: DataFrame, *, period: float) -> DataFrame:
@@ -148,7 +211,12 @@ def metadata(chunks: DataFrame, *, period: float) -> DataFrame:
 
     The fields of calibration are 0, as in lines of visibilities; so are those that chunks do not carry.
     """
-    one = chunks.groupBy("acc_block", "channel", "station", "pol").agg(F.min_by(F.struct("shift", "frac", "d0", "d1", "d2", "n_samples", "fs", "bits", "first_sample", "is_complex", "freq_hz", "sideband"), "first_sample").alias("r"))
+    return metadata_of(stream_summary(chunks), period=period)
+
+
+def metadata_of(summary: DataFrame, *, period: float) -> DataFrame:
+    """metadata() of the chunks that fx.stream_summary() was taken of."""
+    one = summary.withColumnRenamed("head", "r")
     known = {
         "st_pol": F.concat_ws(".", F.col("station").cast("string"), F.col("pol").cast("string")), "num_samples": F.col("r.n_samples"), "data_type": F.when(F.col("r.is_complex"), "c").otherwise("r"),
         "channel": F.col("channel"), "channel_freq": F.col("r.freq_hz"), "acc_time": F.lit(period), "encoding": F.lit("U"), "abs_delay": F.col("r.d0"),

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -164,6 +166,10 @@ def test_experiment_from_files_to_results(spark, tmp_path):
     lines = spark.read.text(f"{tmp_path}/text")
     assert lines.count() == 6 and all(len(r.value.split("\t")[1].split(" ")) == 28 + N for r in lines.collect())
     assert results.read_text_lines(lines).count() == 6
+    counts = spark.read.parquet(f"{tmp_path}/out/counts").first()
+    assert (counts.frames, counts.truncated, counts.invalid) == (2 * 2 * int(FS) // SPF, 0, 0) and counts.bytes == sum(os.path.getsize(p) for p in paths)
+    cli.main(["correlate", *args, "--media", str(tmp_path), "--output", f"{tmp_path}/out3", "--ordered"])
+    assert post.difference(vis, spark.read.parquet(f"{tmp_path}/out3/visibilities")).first().difference == 0
     cli.main(["correlate", *args, "--media", str(tmp_path), "--output", f"{tmp_path}/out2", "--set", "correlation.elements.autocorr_station=no", "--set", "correlation.computation.phase_calibration=no"])
     assert {(r.sp0, r.sp1) for r in spark.read.parquet(f"{tmp_path}/out2/visibilities").select("sp0", "sp1").distinct().collect()} == {(0, 2)}
     assert not (tmp_path / "out2" / "calibration").exists()
