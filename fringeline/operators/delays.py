@@ -55,18 +55,20 @@ def asof(rows: DataFrame, states: DataFrame, keys: tuple[str, ...], at: str, sin
 def block_polynomials(blocks: DataFrame, sections: DataFrame, clocks: DataFrame) -> DataFrame:
     """For each block (block, mjd, sec), source and station: q0, q1, q2 of the delay and k0, k1 of the clock, in seconds.
 
-    A block without a section for a station has no row for it.
+    Also age, the seconds since the clock's epoch, and model, the name of the section.  A block without a section for a
+    station has no row for it.
     """
-    polys = in_sections(blocks, sections).select("block", "mjd", "sec", "source_id", "station", *(moved(F.col("coeffs"), F.col("into"), i).alias(f"q{i}") for i in range(3)))
+    found = in_sections(blocks, sections.withColumn("model", F.format_string("%d-%s-%s-so%d-st%d", "mjd", F.col("start_s").cast("string"), F.col("end_s").cast("string"), "source_id", "station")))
+    polys = found.select("block", "mjd", "sec", "source_id", "station", "model", *(moved(F.col("coeffs"), F.col("into"), i).alias(f"q{i}") for i in range(3)))
     age = (F.col("mjd") + F.col("sec") / 86400 - F.col("clock_ref")) * 86400
-    return polys.join(F.broadcast(clocks.select("station", "clock_ref", "c0", "c1")), "station").select("block", "mjd", "sec", "source_id", "station", "q0", "q1", "q2", (F.col("c0") + F.col("c1") * age).alias("k0"), F.col("c1").alias("k1"))
+    return polys.join(F.broadcast(clocks.select("station", "clock_ref", "c0", "c1")), "station").select("block", "mjd", "sec", "source_id", "station", "q0", "q1", "q2", (F.col("c0") + F.col("c1") * age).alias("k0"), F.col("c1").alias("k1"), age.alias("age"), "model")
 
 
 def relative(polys: DataFrame) -> DataFrame:
     """Delays against the station of the largest total delay (the last one of equal ones), signed so they are not negative.
 
-    Adds ref, d0, d1, d2, the reference's root f (the offset at which its total delay equals itself) and rel, the delay
-    there.
+    Adds ref, d0, d1, d2, the reference's root f (the offset at which its total delay equals itself), rel, the delay
+    there, the reference's clock z0, z1, and delta, its root against its delay at the start.
     """
     first = Window.partitionBy("block", "source_id").orderBy((F.col("q0") + F.col("k0")).desc(), F.col("station").desc())
     ref = F.struct("station", "q0", "q1", "q2", "k0", "k1")
@@ -76,7 +78,7 @@ def relative(polys: DataFrame) -> DataFrame:
     out = r.withColumn("f", root)
     for i, total in enumerate(("q0 - r.q0 + k0 - r.k0", "q1 - r.q1 + k1 - r.k1", "q2 - r.q2")):
         out = out.withColumn(f"d{i}", -F.expr(total) + 0.0)
-    return out.withColumn("rel", F.col("d0") + F.col("f") * (F.col("d1") + F.col("f") * F.col("d2"))).withColumn("ref", F.col("r.station")).drop("r")
+    return out.withColumn("rel", F.col("d0") + F.col("f") * (F.col("d1") + F.col("f") * F.col("d2"))).withColumns({"ref": F.col("r.station"), "z0": F.col("r.k0"), "z1": F.col("r.k1"), "delta": F.col("f") - F.col("r.q0") - F.col("r.k0")}).drop("r")
 
 
 def shift_and_fraction(delay: Column, fs: Column, is_complex: Column, *, compat: bool = False) -> tuple[Column, Column]:

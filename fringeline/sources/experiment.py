@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeline.sources.folders import merged, removed, write_parts
+
 #: Formats of media files that there is a reader for, whatever their version.
 FORMATS = ("VDIF",)
 SECTIONS = "file string, section string, name string, value string"
@@ -58,6 +60,8 @@ class Experiment:
     sources: dict[str, int] = field(default_factory=dict)
     media: dict[str, dict] = field(default_factory=dict)
     delays: list[tuple] = field(default_factory=list)
+    #: Dry and wet parts of the delays, as delays but with the part's name in front.
+    atmosphere: list[tuple] = field(default_factory=list)
 
     @property
     def blocks(self) -> int:
@@ -80,10 +84,15 @@ def experiment(correlation: dict, stations: dict, sources: dict, media: dict, de
         out.media[name] = m | {"channels": [int(x) for x in of("channels", m["channels"])], "polarizations": [int(x) for x in of("polarizations", m["polarizations"])], "frequencies": [float(x) for x in of("frequencies", m["frequencies"])], "sidebands": of("sidebands", m["sidebands"])}
     for name, d in delay_model.items():
         mjd, start, end, source, station = name.split("-")
-        out.delays.append((int(mjd), float(start), float(end), int(source.removeprefix("so")), int(station.removeprefix("st")), [float(x) * 1e-6 for x in d["delay_us"].replace(":", ",").split(",")][:6]))
+        at = (int(mjd), float(start), float(end), int(source.removeprefix("so")), int(station.removeprefix("st")))
+        seconds = lambda text: [float(x) * 1e-6 for x in text.replace(":", ",").split(",")][:6]
+        out.delays.append((*at, seconds(d["delay_us"])))
+        out.atmosphere += [(part, *at, seconds(d[f"{part}_us"])) for part in PARTS if f"{part}_us" in d]
     return out
 
 
+#: Parts of a delay that files may give beside the whole.
+PARTS = ("dry", "wet")
 NAMES = ("correlation", "stations", "sources", "media", "delay_model")
 
 
@@ -113,6 +122,11 @@ def delay_table(spark: SparkSession, e: Experiment) -> DataFrame:
     return spark.createDataFrame(e.delays, "mjd int, start_s double, end_s double, source_id int, station int, coeffs array<double>")
 
 
+def atmosphere_table(spark: SparkSession, e: Experiment) -> DataFrame:
+    """The dry and wet parts of the delays, where delay_model.ini has them; they are contained in the delays."""
+    return spark.createDataFrame(e.atmosphere, "part string, mjd int, start_s double, end_s double, source_id int, station int, coeffs array<double>")
+
+
 def clock_table(spark: SparkSession, e: Experiment) -> DataFrame:
     rows = [(name, s["id"], s["clock_ref"], s["clock_us"][0] * 1e-6, s["clock_us"][1] * 1e-6) for name, s in e.stations.items()]
     return spark.createDataFrame(rows, "name string, station int, clock_ref double, c0 double, c1 double")
@@ -134,8 +148,8 @@ def key_values(text: str) -> list[tuple[str, str]]:
     return [(k.strip(), v.strip()) for k, sep, v in pairs if sep]
 
 
-def delays_from_im(text: str, sources: list[str] | None = None) -> list[tuple]:
-    """(mjd, start_s, end_s, source, antenna, coefficients in microseconds) of each polynomial of a delay file."""
+def delays_from_im(text: str, sources: list[str] | None = None, part: str = "DELAY") -> list[tuple]:
+    """(mjd, start_s, end_s, source, antenna, coefficients in microseconds) of each polynomial of a delay file: of the whole, or of its DRY or WET part."""
     values, out, scan, poly, start = key_values(text), [], {}, {}, (0, 0)
     span = next((float(v.split()[0]) for k, v in values if k.startswith("INTERVAL")), 0.0)
     for k, v in values:
@@ -146,7 +160,7 @@ def delays_from_im(text: str, sources: list[str] | None = None) -> list[tuple]:
             start = (int(v), 0)
         elif len(words) == 5 and words[2] == "POLY" and words[4] == "SEC":
             start = (start[0], int(v))
-        elif words[-2:-1] == ["DELAY"] or "DELAY (us)" in k:
+        elif words[-2:-1] == [part] or f"{part} (us)" in k:
             poly = {"source": words[1], "antenna": int(words[-1]) if words[-1].isdigit() else int(words[3])}
             name = scan.get(words[1], words[1])
             if sources is None or name in sources:
@@ -251,9 +265,13 @@ def sources_ini(im: str) -> dict[str, dict[str, object]]:
 
 
 def delay_model_ini(im: str, sources: list[str] | None = None) -> dict[str, dict[str, object]]:
-    """delay_model.ini of a delay file: a section for each polynomial."""
+    """delay_model.ini of a delay file: a section for each polynomial, with its dry and wet parts if the file has them."""
     numbers = sources_from_im(im)
-    return {f"{mjd}-{start:g}-{end:g}-so{numbers.get(source, 0)}-st{antenna}": {"delay_us": ",".join(map(repr, c))} for mjd, start, end, source, antenna, c in delays_from_im(im, sources)}
+    out: dict[str, dict[str, object]] = {}
+    for key, part in (("delay_us", "DELAY"), ("dry_us", "DRY"), ("wet_us", "WET")):
+        for mjd, start, end, source, antenna, c in delays_from_im(im, sources, part):
+            out.setdefault(f"{mjd}-{start:g}-{end:g}-so{numbers.get(source, 0)}-st{antenna}", {})[key] = ",".join(map(repr, c))
+    return out
 
 
 def media_ini(text: str) -> dict[str, dict[str, object]]:
@@ -302,9 +320,30 @@ def zoom_table(spark: SparkSession, media: dict[str, dict[str, str]]) -> DataFra
     return spark.createDataFrame(rows, "zoom int, f double, bw double")
 
 
+#: Keys of the generated delay table, in their order, and the columns of relative() that they hold.
+DELAY_KEYS = {"a.": "q0 + k0", "r.": "rel", "f.": "f", "d0.": "d0", "d1.": "d1", "d2.": "d2", "c0.": "k0", "c1.": "k1", "z0.": "z0", "z1.": "z1", "dr.": "sec", "cr.": "age", "m.": "q0", "c.": "k0", "dd.": "delta", "si.": "model"}
+
+
 def delays_ini(polys: DataFrame) -> DataFrame:
-    """Rows of the generated delay table (relative() of delays.py): section, key and value, the keys ending in the epoch's second."""
+    """Rows of the generated delay table (relative() of delays.py): section, key and value, the keys ending in the epoch's second.
+
+    a: whole delay, r: against the reference, f: the reference's own, d0 to d2: the block's polynomial, dr: its second; c0, c1:
+    clock, cr: seconds since its epoch; m, c: model and clock at the block's start; z0, z1: the reference's clock; dd: how far
+    the reference's delay lies from the one at the start; si: the section of delay_model.ini.
+    """
     at = F.col("sec").cast("long").cast("string")
-    values = {"r.": "rel", "d0.": "d0", "d1.": "d1", "d2.": "d2", "c0.": "k0", "c1.": "k1", "m.": "q0", "f.": "f", "a.": "(q0 + k0)"}
-    pairs = F.explode(F.array(*(F.struct(F.concat(F.lit(k), at).alias("key"), F.expr(v).cast("string").alias("value")) for k, v in values.items())))
-    return polys.select(F.concat(F.lit("st"), F.col("station"), F.lit("-so"), F.col("source_id")).alias("section"), pairs.alias("p")).select("section", "p.key", "p.value")
+    own = polys.withColumns({c: F.lit(None).cast("string") for c in ("age", "z0", "z1", "delta", "model") if c not in polys.columns})
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("nr"), F.concat(F.lit(k), at).alias("key"), F.expr(v).cast("string").alias("value")) for i, (k, v) in enumerate(DELAY_KEYS.items()))))
+    rows = own.select(F.concat(F.lit("st"), F.col("station"), F.lit("-so"), F.col("source_id")).alias("section"), F.col("sec"), pairs.alias("p"))
+    return rows.select("section", "sec", "p.nr", "p.key", "p.value").where("value IS NOT NULL")
+
+
+def write_delays_ini(polys: DataFrame, file: str) -> None:
+    """Writes delays.ini: sections of a station and source, their blocks in order of time; the tasks write stretches of the file."""
+    rows = delays_ini(polys)
+    lines = rows.select("section", "sec", "nr", F.concat("key", F.lit(" = "), "value", F.lit("\n")).alias("line"))
+    heads = rows.select("section").distinct().select("section", F.lit(-1.0).alias("sec"), F.lit(-1).alias("nr"), F.concat(F.lit("["), "section", F.lit("]\n")).alias("line"))
+    parts = f"{file}.parts"
+    write_parts(lines.unionByName(heads).withColumn("body", F.encode("line", "utf-8")), [F.col("section"), F.col("sec"), F.col("nr")], parts)
+    merged(polys.sparkSession, parts, file)
+    removed(polys.sparkSession, parts)

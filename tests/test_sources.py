@@ -171,6 +171,45 @@ def test_importers():
     assert E.delays_from_im(im) == [(57350, 60.0, 180.0, "QSO", 0, [1.0, 2.0, 3.0])]
 
 
+def test_importer_keeps_some_sources():
+    two = IM + "SCAN 1 POINTING SRC: STAR\nSCAN 1 POLY 0 MJD: 57350\nSCAN 1 POLY 0 SEC: 180\nSRC 1 ANT 0 DELAY (us): 7.0\n"
+    assert {d[3] for d in E.delays_from_im(two)} == {"QSO", "STAR"}
+    assert {d[3] for d in E.delays_from_im(two, ["STAR"])} == {"STAR"}
+    assert all("-so1-" in k for k in E.delay_model_ini(two, ["STAR"]))
+
+
+def test_dry_and_wet_parts(spark, tmp_path):
+    im = IM + "SRC 0 ANT 0 DRY (us): 0.5 0.25\nSRC 0 ANT 0 WET (us): 0.125 0.0\n"
+    made = E.delay_model_ini(im)
+    section = next(k for k in made if k.endswith("-st0"))
+    assert made[section]["dry_us"] == "0.5,0.25" and made[section]["wet_us"] == "0.125,0.0" and all("dry_us" not in v for k, v in made.items() if k != section)
+    text = dict(INI)
+    text["delay_model"] = E.ini_text(made)
+    e = E.experiment(*(E.parse_ini(text[n]) for n in E.NAMES))
+    parts = {r.part: r.coeffs for r in E.atmosphere_table(spark, e).collect()}
+    assert parts["dry"] == pytest.approx([5e-7, 2.5e-7]) and parts["wet"] == pytest.approx([1.25e-7, 0.0]) and len(e.delays) == len(made)
+
+
+def test_delay_table_file(spark, tmp_path):
+    from fringeline.operators import delays
+
+    blocks = spark.createDataFrame([(j, 57350, 95.0 + 68160 + j) for j in range(3)], "block int, mjd int, sec double")
+    sections = spark.createDataFrame([(57350, 68160.0, 68280.0, 0, s, [1e-2 - s * 1e-3, 1e-7 * s, 1e-12]) for s in range(2)], "mjd int, start_s double, end_s double, source_id int, station int, coeffs array<double>")
+    clocks = spark.createDataFrame([("A", 0, 57350.0, 1e-6, 0.0), ("B", 1, 57350.0, 2e-6, 1e-12)], "name string, station int, clock_ref double, c0 double, c1 double")
+    polys = delays.relative(delays.block_polynomials(blocks, sections, clocks))
+    E.write_delays_ini(polys, f"{tmp_path}/delays.ini")
+    got = E.parse_ini((tmp_path / "delays.ini").read_text())
+    assert set(got) == {"st0-so0", "st1-so0"} and all(len(v) == 3 * 16 for v in got.values())
+    for r in polys.collect():
+        own = got[f"st{r.station}-so0"]
+        value = lambda key: float(own[f"{key}{int(r.sec)}"])  # noqa: E731, B023
+        assert value("a.") == r.q0 + r.k0 and value("m.") == r.q0 and value("c.") == value("c0.") == r.k0 and value("d1.") == r.d1 and value("r.") == r.rel
+        assert value("dr.") == r.sec and value("cr.") == pytest.approx(r.sec) and value("z0.") == 1e-6 and value("z1.") == 0.0
+        assert value("dd.") == pytest.approx(r.f - (1e-2 + 1e-12 * (95 + r.block) ** 2 + 1e-6), abs=1e-15)
+        assert own[f"si.{int(r.sec)}"] == f"57350-68160.0-68280.0-so0-st{r.station}"
+
+
+
 INPUT = """DELAY FILENAME:     x.im
 START MJD:          57350
 START SECONDS:      68255
@@ -250,7 +289,7 @@ def test_changed_values_and_unknown_formats(spark, tmp_path):
 def test_delay_rows_as_ini(spark):
     df = spark.createDataFrame([(0, 1, 5.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0)], "source_id int, station int, sec double, rel double, d0 double, d1 double, d2 double, k0 double, k1 double, q0 double, f double")
     rows = {(r.section, r.key): r.value for r in E.delays_ini(df).collect()}
-    assert rows["st1-so0", "r.5"] == "1.0" and rows["st1-so0", "a.5"] == "12.0" and len(rows) == 9
+    assert rows["st1-so0", "r.5"] == "1.0" and rows["st1-so0", "a.5"] == "12.0" and rows["st1-so0", "dr.5"] == "5.0" and rows["st1-so0", "c.5"] == "6.0" and len(rows) == 11  # those whose columns are there
 
 
 def test_states_as_of(spark):
