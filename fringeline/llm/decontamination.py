@@ -2,11 +2,14 @@
 
 Words are freed of outer punctuation and lower-cased; numbers, units and names (capitalised inside a sentence)
 become typed placeholders, and what stood there is the slot's value.  A capitalised word that begins a line, or an
-item's window, is read both as a name and as none.  Windows of such template tokens, and of the
+item's window, or a text's sentence, is read both as a name and as none.  Windows of such template tokens, and of the
 words themselves, are hashed and joined with those of the benchmark.  The windows of a text that match an item at the same distance
 form one alignment.  With the same values it is an exact copy; with other values it is re-parameterised if they
 correspond one to one: equal slots of the item are equal in the text and different ones differ.  Where they don't,
 those of its windows that have the same values are still an exact copy.
+
+A template of few plain words says little by itself, so it has to bring more: it is looked up as a whole item only, its units
+must be the item's own, and in the text it must be a sentence (or begin with a capital and end one).
 """
 
 from __future__ import annotations
@@ -26,10 +29,14 @@ from fringeline.llm.words import U64, Words, mix, words_of
 WINDOW = 13
 #: Tokens of a window that must not be placeholders if it is to match with other values.
 LITERALS = 6
+#: Plain words and units that a whole item of fewer plain words must have to match with other values.
+LEAST = 3
 #: Benchmark texts are taken in blocks of at most about so many bytes; each block is one pass over the texts.
 BLOCK_BYTES = 8 << 20
 BATCH = 8 << 20
 NUMBER, UNIT, NAME = 1, 2, 3
+#: No change of a window's first token, and the template code of a name.
+NO, NAMED = U64(0), mix(np.array([NAME + 77], U64))[0]
 #: Base of the window hashes, and its inverse.
 UP = U64(0x9E3779B97F4A7C15)
 DOWN = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -81,11 +88,17 @@ class Tokens:
         stop = np.isin(data[w.end - 1], np.frombuffer(b".!?:;\"')]", np.uint8)) if len(w) else np.zeros(0, bool)
         inner = np.zeros(len(w), bool)  # not at a text's or a sentence's begin
         inner[1:] = (doc[1:] == doc[:-1]) & ~stop[:-1]
+        stops = np.concatenate([[0], np.cumsum(stop)])
         breaks = np.searchsorted(np.flatnonzero((data >= 10) & (data <= 13)), w.start)
         line = np.diff(breaks, prepend=0) > 0
         some = start < end
         start, end, self.doc = start[some], end[some], doc[some]
-        self.word = np.flatnonzero(some) - w.first[self.doc]
+        at = np.flatnonzero(some)
+        self.word = at - w.first[self.doc]
+        # sentences: after a token's word, or a mark by itself, and before the next token
+        self.ends = np.append((stops[at[1:]] > stops[at[:-1]]) | (self.doc[1:] != self.doc[:-1]), np.ones(min(len(at), 1), bool))
+        self.begins = np.append(np.ones(min(len(at), 1), bool), self.ends[:-1]) | line[some]
+        self.ends = self.ends | np.append(self.begins[1:], np.ones(min(len(at), 1), bool))
         a, b = data[start], data[np.minimum(start + 1, len(data) - 1)]
         self.capital = (a >= 65) & (a <= 90) & (b >= 97) & (b <= 122) & (end - start > 1)
         name = inner[some] & self.capital
@@ -147,25 +160,40 @@ class Index:
     def __init__(self, items: list, texts: list[str], window: int, literals: int):
         self.items = items
         t = Tokens(pa.array(texts, pa.string()))
-        self.value = t.value
+        self.value, self.kind = t.value, t.kind
         size = np.diff(t.first)
         words = t.sums(t.value)
         readings = [(code, t.sums(code), np.concatenate([[0], np.cumsum(code == t.value)])) for code in (t.code, t.by_line)]
-        name = mix(np.array([NAME + 77], U64))[0]
+        told = np.concatenate([[0], np.cumsum((t.kind == 0) | (t.kind == UNIT))])
+        # items of a window's length or more without a template window of enough plain words are taken whole
+        plain = np.concatenate([[0], np.cumsum(t.code == t.value)])
+        full = t.windows(window)
+        rich = np.unique(t.doc[full[plain[full + window] - plain[full] >= literals]])
+        poor = np.flatnonzero(size >= window)
+        poor = poor[~np.isin(poor, rich)]
         self.by_size = {}
-        for n in sorted({window, *size[(size > 0) & (size < window)].tolist()}):
+        for n in sorted({window, *size[(size > 0) & (size < window)].tolist(), *size[poor].tolist()}):
             i = t.windows(n)
-            i = i[size[t.doc[i]] == n] if n < window else i
-            at, h = [], []
+            whole = i[size[t.doc[i]] == n]
+            i = whole if n != window else i
+            at, h, few, few_h = [], [], [], []
             for own, (code, sums, plain) in zip((i, t.wrapped(i, n)), readings, strict=True):
-                good = own[plain[own + n] - plain[own] >= min(literals, n)]
-                # What stands before the first word isn't the item's own: it is also taken as a name, or as none.
-                turned = good[t.capital[good] & ((code[good] == name) | (t.kind[good] == 0))]
-                change = np.where(code[turned] == name, t.value[turned], name) - code[turned]
-                at += [good, turned]
-                h += [t.hashes(sums, good, n), t.hashes(sums, turned, n, change)]
-            at, h = np.concatenate(at), np.concatenate(h)
-            self.by_size[n] = Windows(t.hashes(words, i, n), i, t.doc[i]), Windows(h, at, t.doc[at])
+                enough = plain[own + n] - plain[own] >= min(literals, n)
+                thin = ~enough & (size[t.doc[own]] == n) & (told[own + n] - told[own] >= LEAST)
+                for good, places, hashes in ((own[enough], at, h), (own[thin], few, few_h)):
+                    # What stands before the first word isn't the item's own: it is also taken as a name, or as none.
+                    turned = good[t.capital[good] & ((code[good] == NAMED) | (t.kind[good] == 0))]
+                    change = np.where(code[turned] == NAMED, t.value[turned], NAMED) - code[turned]
+                    places += [good, turned]
+                    hashes += [t.hashes(sums, good, n), t.hashes(sums, turned, n, change)]
+            at, h, few, few_h = (np.concatenate(x) for x in (at, h, few, few_h))
+            self.by_size[n] = Windows(t.hashes(words, i, n), i, t.doc[i]), Windows(h, at, t.doc[at]), Windows(few_h, few, t.doc[few])
+
+    def borne_out(self, t: Tokens, i: np.ndarray, there: np.ndarray, n: int) -> np.ndarray:
+        """Which of the texts' windows i are sentences, or begin with a capital and end one, and have the units of the items' windows there."""
+        at = np.arange(n)
+        units = (self.kind[there[:, None] + at] != UNIT) | (self.value[there[:, None] + at] == t.value[i[:, None] + at])
+        return (t.begins[i] | t.capital[i]) & t.ends[i + n - 1] & units.all(1)
 
     def alignments(self, t: Tokens) -> Iterator[tuple[int, int, bool, int, int]]:
         """(text, item, exact, tokens, first token) of each copy and each consistent alignment."""
@@ -173,9 +201,17 @@ class Index:
         words, template, by_line = (t.sums(code) for code in (t.value, t.code, t.by_line))
         for n, own in self.by_size.items():
             every = t.windows(n)
-            for other, sums, at in ((0, words, every), (1, template, every), (1, by_line, t.wrapped(every, n))):
-                i, item, there = own[other].find(at, t.hashes(sums, at, n))
+            # a capitalised word that begins a sentence may be a name too
+            named = every[t.begins[every] & t.capital[every] & (t.kind[every] == 0)]
+            for other, sums, at, change in ((0, words, every, NO), (1, template, every, NO), (1, by_line, t.wrapped(every, n), NO), (1, template, named, NAMED - t.code[named])):
+                h = t.hashes(sums, at, n, change)
+                i, item, there = own[other].find(at, h)
                 found.append((t.doc[i], item, i - there, i, np.full(len(i), other), np.full(len(i), n)))
+                if other and len(own[2].h):
+                    i, item, there = own[2].find(at, h)
+                    good = self.borne_out(t, i, there, n)
+                    i, item, there = i[good], item[good], there[good]
+                    found.append((t.doc[i], item, i - there, i, np.full(len(i), 1), np.full(len(i), n)))
         doc, item, shift, i, other, n = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 6
         order = np.lexsort((other, i, shift, item, doc))
         order = order[X.group_starts(doc[order], item[order], shift[order], i[order])]
@@ -221,8 +257,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     what lies outside them, such as another name at a sentence's begin, is not judged.  Null and empty texts on either side
     match nothing; an item with a null id is one like others, reported with a null item_id; repeated rows give repeated
     results; columns but doc_id, text and item_id, text are ignored; an
-    empty benchmark gives no rows.  Windows with fewer than `literals` plain words
-    match copies only.
+    empty benchmark gives no rows; texts of any length are taken whole.  Windows with fewer than `literals` plain words
+    match with other values as whole items only, if they have LEAST plain words and units, their units are the same, and
+    they are a sentence of the text or begin with a capital and end one; what is left, such as "Compute 12 plus 30", matches copies.
     """
     schema = "doc_id long, item_id long, kind string, n_tokens long, first_word long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

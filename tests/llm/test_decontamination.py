@@ -122,3 +122,61 @@ def test_items_with_a_null_id(spark):
     df = table(spark, ["a " + ITEM, "x seven small words make this whole item", "clean text"] + ["f"] * 8)
     assert {(r.doc_id, r.item_id, r.kind) for r in contaminated(df, items).collect() if r.doc_id is not None} == {(0, None, "exact"), (1, None, "exact")}
     assert {r.doc_id for r in clean(df, items, block_bytes=50).collect()} == {None, *range(2, 11)}
+
+
+NAMES = "Anna Boris Clara David Elena Felix Greta Hugo Irene Jonas Karla Leo Mona Nils Olga Paul".split()
+#: Short items and how their values change: {n} numbers, {a} and {b} names; units stay.
+SHORT = (
+    "What is {0} times {1} plus {2} minus {3} ?", "How many days are there in {0} weeks?", "Convert {0} miles to km", "If {a} has {0} apples and {b} has {1}, how many are there?",
+    "Is {0} divided by {1} larger than {2}?", "{a} is {0} years old; how old is {b}, {1} years younger?", "Add {0} and {1}, then divide by {2}.", "How many minutes are in {0} hours and {1} minutes?",
+)
+
+
+def filled(form, r, taken=()):
+    numbers = r.sample([n for n in range(2, 900) if n not in taken], 4)
+    a, b = r.sample(NAMES, 2)
+    return form.format(*numbers, a=a, b=b), set(numbers)
+
+
+def test_short_items_with_other_values(spark):
+    """Recall and precision on planted copies of short items with other values: all are found, and nothing else."""
+    r = random.Random(11)
+    items, texts, want = [], [], set()
+    for k in range(80):
+        text, taken = filled(SHORT[k % len(SHORT)], r)
+        items.append(text)
+        for n, around in enumerate(("{}", "Some words first. {} And more follow.", "So {} yes", "1)\n{}\nnext")):
+            other, _ = filled(SHORT[k % len(SHORT)], r, taken)
+            if other[-1] in "?." or n in (0, 3):
+                want.add((len(texts), k % len(SHORT)))
+            texts.append(around.format(other if other[-1] in "?." or n != 1 else other + "."))
+            if texts[-1] != around.format(other):
+                want.add((len(texts) - 1, k % len(SHORT)))
+    decoys = ["they say that 5 times 7 plus 9 is a lot", "Convert 5 pounds to kg", "How many weeks are there in 3 days?", "there are 3 weeks", "What is 5 times 5 plus 6 minus 7 ?", "the list of 12 and 30"]
+    texts += decoys
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = contaminated(docs, bench(spark, items)).collect()
+    got = {(x.doc_id, x.item_id % len(SHORT)) for x in found}
+    right = {g for g in got if g[0] < len(texts) - len(decoys)}
+    assert got == right, [(texts[d], items[i]) for d, i in got - right]
+    # numbers that happen to agree make other items' copies exact or clash; the form is right in all that is found
+    assert right <= want | {(d, k) for d in range(len(texts)) for k in range(len(SHORT)) if d // 4 % len(SHORT) == k}
+    assert len(want & right) >= 0.97 * len(want)
+
+
+def test_long_items_of_few_plain_words(spark):
+    item = "Sort 12, 45, 7, 88, 3, 91, 64, 25, 39, 70, 18, 52, 31, 6 and 77 in order"
+    other = "Sort 13, 46, 8, 89, 4, 92, 65, 26, 40, 71, 19, 53, 32, 7 and 78 in order"
+    clash = other.replace("46", "13")
+    docs = spark.createDataFrame(list(enumerate([f"So. {other}. Then", f"So. {clash}. Then", other.removeprefix("Sort "), f"x {item} y"])), "doc_id long, text string")
+    got = {(r.doc_id, r.kind, r.n_tokens) for r in contaminated(docs, bench(spark, [item])).collect()}
+    assert {(d, k) for d, k, _ in got} == {(0, "reparameterised"), (3, "exact")} and (0, "reparameterised", 19) in got
+    assert {r.doc_id for r in clean(docs, bench(spark, [item])).collect()} == {1, 2}
+
+
+def test_texts_of_megabytes(spark):
+    """The item in the midst of a text of four megabytes."""
+    filler = "some words of no interest 12 Anna km " * 55_000
+    docs = spark.createDataFrame([(0, filler + CHANGED + " " + filler), (1, filler)], "doc_id long, text string")
+    got = [tuple(r) for r in contaminated(docs, bench(spark, [ITEM])).select("doc_id", "item_id", "kind").collect()]
+    assert got == [(0, 0, "reparameterised")]
