@@ -33,7 +33,7 @@ LITERALS = 6
 LEAST = 3
 #: Benchmark texts are taken in blocks of at most about so many bytes; each block is one pass over the texts.
 BLOCK_BYTES = 8 << 20
-BATCH = 8 << 20
+BATCH = 2 << 20
 NUMBER, UNIT, NAME = 1, 2, 3
 #: No change of a window's first token, and the template code of a name.
 NO, NAMED = U64(0), mix(np.array([NAME + 77], U64))[0]
