@@ -40,17 +40,24 @@ def samples_of(r: dict) -> np.ndarray:
 class Stream:
     """Samples of one station and polarisation for some windows, with a margin for its delay's drift; gaps are 0."""
 
-    def __init__(self, rows: list[dict], first: int, end: int, period: float):
+    def __init__(self, rows: list[dict], first: int, end: int, period: float, by_sample: bool = False):
         head = rows[0]
         self.fs, self.freq, self.side = head["fs"], head["freq_hz"], head["sideband"]
         self.is_complex, self.shift = head["is_complex"], head["shift"]
         self.coeffs = np.array([head["d0"], head["d1"], head["d2"]])
-        margin = kernels.drift(self.coeffs, self.fs, period, self.shift)
+        self.moving = np.abs(self.coeffs).max() > 0
+        self.by_sample = by_sample and self.moving
+        margin = 0 if self.by_sample else kernels.drift(self.coeffs, self.fs, period, self.shift)
         self.low, high = first - margin, end + margin
         self.x = np.zeros(high - self.low, complex if self.is_complex else float)
         self.have = np.zeros(high - self.low, bool)
         for r in rows:
             x = samples_of(r)
+            if self.by_sample:
+                at, keep = kernels.moved(self.coeffs, self.fs, self.shift, r["first_sample"], len(x))
+                keep &= (at >= self.low) & (at < high)
+                self.x[at[keep] - self.low], self.have[at[keep] - self.low] = x[keep], True
+                continue
             a, b = max(r["first_sample"], self.low), min(r["first_sample"] + len(x), high)
             if a < b:
                 self.x[a - self.low : b - self.low] = x[a - r["first_sample"] : b - r["first_sample"]]
@@ -59,7 +66,7 @@ class Stream:
     def place(self, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Delay at each window's start, and where the whole samples of that delay put its first sample (a slip against the block's)."""
         d = kernels.delay(self.coeffs, windows * size / self.fs)
-        slip = np.round(d * self.fs).astype(np.int64) - self.shift if np.abs(self.coeffs).max() > 0 else 0
+        slip = np.round(d * self.fs).astype(np.int64) - self.shift if self.moving and not self.by_sample else 0
         return d, windows * size + slip - self.low
 
     def filled(self, windows: np.ndarray, size: int) -> np.ndarray:
@@ -91,7 +98,7 @@ def off_shift(period: float) -> Column:
     return F.when((F.col("d0") == 0) & (F.col("d1") == 0) & (F.col("d2") == 0), 1).otherwise(most)
 
 
-def partial_sums(rows: list[dict], lead: list, w: np.ndarray, *, fft_size: int, period: float, hanning: bool, pairs) -> list[list]:
+def partial_sums(rows: list[dict], lead: list, w: np.ndarray, *, fft_size: int, period: float, hanning: bool, pairs, by_sample: bool = False) -> list[list]:
     """Columns of VIS of the windows w of one (block, source, channel): spectra of all streams that rows hold, multiplied by pairs.
 
     pairs(ids) gives the places i <= k of the pairs to form.
@@ -101,7 +108,7 @@ def partial_sums(rows: list[dict], lead: list, w: np.ndarray, *, fft_size: int,
     for r in rows:
         by.setdefault(r["station"] * 2 + r["pol"], []).append(r)
     ids = np.array(sorted(by))
-    streams = [Stream(by[i], int(w[0]) * size, (int(w[-1]) + 1) * size, period) for i in ids.tolist()]
+    streams = [Stream(by[i], int(w[0]) * size, (int(w[-1]) + 1) * size, period, by_sample) for i in ids.tolist()]
     have = np.stack([s.filled(w, size) for s in streams])
     f = np.zeros((len(ids), len(w), fft_size), complex)
     for n, s in enumerate(streams):
@@ -116,7 +123,7 @@ def wanted_pairs(ids: np.ndarray, i: np.ndarray, k: np.ndarray, autos: bool, cro
     return i[some], k[some]
 
 
-def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_task: int = 1024, hanning: bool = False, normalise: bool = True, autos: bool = True, cross_polarisation: bool = True, streams: int | None = None, streams_per_task: int = STREAMS) -> DataFrame:
+def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_task: int = 1024, hanning: bool = False, normalise: bool = True, autos: bool = True, cross_polarisation: bool = True, streams: int | None = None, streams_per_task: int = STREAMS, by_sample: bool = False) -> DataFrame:
     """Visibilities acc, source_id, channel, sp0 <= sp1 (station * 2 + pol), k, re, im, n_windows of aligned chunks.
 
     Real streams use 2 fft_size samples a window and keep their half of the band, complex ones fft_size.  A pair's sums and
@@ -125,6 +132,10 @@ def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_ta
     so many samples beside its windows as the delay drifts in its block, so a drift of any size is followed.  Pairs that
     are not wanted are not multiplied.  streams: how many there are at most (sp is below it); if they are more than
     streams_per_task, they are dealt in a triangle of tasks.
+
+    by_sample: a stream slips at the sample where its delay passes half a sample, not at the next window: that sample is
+    dropped, or a zero comes before it, and all later ones move.  How many have slipped before a sample is the change of
+    the delay's whole samples since the block's shift, so no chunk waits for those before it, and chunks of any size give the same.
     """
     size = F.when(F.col("is_complex"), fft_size).otherwise(2 * fft_size)
     span = size * windows_per_task
@@ -141,7 +152,7 @@ def correlate(chunks: DataFrame, *, fft_size: int, period: float, windows_per_ta
         if not len(w):
             return arrow(VIS).empty_table()
         pairs = lambda ids: wanted_pairs(ids, *met(ids, low, high, width), autos, cross_polarisation)
-        values = partial_sums(rows, [x.as_py() for x in key[:3]], w, fft_size=fft_size, period=period, hanning=hanning, pairs=pairs)
+        values = partial_sums(rows, [x.as_py() for x in key[:3]], w, fft_size=fft_size, period=period, hanning=hanning, pairs=pairs, by_sample=by_sample)
         return pa.table([pa.array(v, t.type) for v, t in zip(values, arrow(VIS), strict=True)], schema=arrow(VIS))
 
     dealt = dealt_in_triangle(chunks.withColumn("drift", off_shift(period)).withColumn("run", run), F.col("station") * 2 + F.col("pol"), width, groups)

@@ -157,6 +157,16 @@ def slips(d_start: np.ndarray, d_end: np.ndarray, slope: np.ndarray, fs: np.ndar
     return kind, np.where(kind != 0, at, -1).astype(np.int64)
 
 
+def moved(coeffs: np.ndarray, fs: float, shift: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """New numbers of samples numbered from first, once all slips before them are made, and which of them stay.
+
+    A sample at which the delay's whole samples go up is dropped; where they go down, a number is left free before it.
+    """
+    n = first + np.arange(-1, count)
+    whole = np.floor(delay(coeffs, n / fs) * fs + 0.5).astype(np.int64)  # a half goes up
+    return n[1:] - (whole[1:] - shift), whole[1:] <= whole[:-1]
+
+
 def slip(d_start: float, d_end: float, slope: float, fs: float, n: int) -> tuple[int, int]:
     """slips() of one chunk."""
     kind, at = slips(*(np.array([float(x)]) for x in (d_start, d_end, slope, fs)), n)

@@ -102,6 +102,12 @@ f AS (SELECT acc, sp, w, k, re * cos(b) - im * sin(b) re, re * sin(b) + im * cos
 {SHARED} SELECT {OUT} FROM u""",
 }
 
+# Every sample at its place after the slips before it; one at which the delay's whole samples go up is dropped.
+SLIP_DELAY = f"({views.LATE} * x.st + {views.RATE} * x.st * {{n}} / 64.0)"
+SLIP_WHOLE = f"CASE WHEN x.st = 0 THEN 0 ELSE floor({SLIP_DELAY} * 64 + 0.5) END"
+FRAME_SQL["fx_slips_by_sample"] = FRAME_SQL["fx_correlate"][: FRAME_SQL["fx_correlate"].index("d AS (SELECT")] + f"""z AS (SELECT acc, st, pol, x, CAST(m - (whole - 3 * st) AS BIGINT) m2 FROM (SELECT x.*, {SLIP_WHOLE.format(n="m")} whole, {SLIP_WHOLE.format(n="(m - 1)")} before FROM x WHERE m >= 0) WHERE whole <= before),
+y AS (SELECT acc, CAST(2 * st + pol AS INT) sp, st, CAST(floor(m2 / 64) AS INT) w, {views.LATE} * st + {views.RATE} * st * CAST(floor(m2 / 64) AS INT) d, m2 % 64 i, x FROM z WHERE m2 >= 0 AND m2 < 1600),
+""" + FRAME_SQL["fx_correlate"][FRAME_SQL["fx_correlate"].index("r AS (SELECT acc, sp, w, d, i"):]
 FRAME_SQL["stream_correlate"] = FRAME_SQL["fx_correlate"]
 FRAME_SQL["fx_correlate_gaps"] = FRAME_SQL["fx_correlate"].replace("WHERE m >= 0)", "WHERE m >= 0 AND NOT (" + LOST_FRAMES.replace("station", "x.st").replace("t %", "floor(n / 64) %").replace("t >=", "floor(n / 64) >=").replace("t <", "floor(n / 64) <") + "))")
 
@@ -234,6 +240,11 @@ def fx_correlate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(fx.correlate(frame_chunks(spark, sf_dir, LOST_FRAMES), fft_size=32, period=views.PERIOD, windows_per_task=7))
 
 
+def fx_slips_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slips at the samples where delays pass half a sample, in runs of seven windows."""
+    return shown(fx.correlate(frame_chunks(spark, sf_dir), fft_size=32, period=views.PERIOD, windows_per_task=7, by_sample=True))
+
+
 def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The correlator of a stream: the frames come in three steps; a last one, far on, closes all blocks."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -265,5 +276,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fringe_rotate_first": rotation("first"),
     "fx_arrow_backend": accumulation(),
     "fx_hanning": accumulation(hanning=True),
-} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_correlate_gaps, fx_gaps, fx_triangular, stream_correlate, fx_calibration)}
+} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_correlate_gaps, fx_gaps, fx_triangular, fx_slips_by_sample, stream_correlate, fx_calibration)}
 ORACLE_SQL = {name: duckdb_sql(text) for name, text in (SQL | FRAME_SQL).items()}

@@ -91,3 +91,45 @@ def test_a_task_holds_two_groups_at_most(spark):
     tasks = rows.groupBy("low", "high").agg(F.count("*").alias("n")).collect()
     assert (width, groups) == (8, 8) and len(tasks) == 36 and max(t.n for t in tasks) <= 16
     assert rows.groupBy("sp").count().where("count <> 8").count() == 0
+
+
+def drifting(spark, size, rate):
+    """One block of two stations in chunks of so many samples; the second one's delay drifts."""
+    r = np.random.default_rng(5)
+    n, fs = 6400, 640.0
+    rows = []
+    for st in range(2):
+        q = r.integers(0, 256, n).astype(np.uint8)
+        for i in range(0, n, size):
+            part = q[i : i + size]
+            rows.append((0, 0, 0, st, 0, i, len(part), 0, 8, False, fs, 100.0, "U", 0, 0.0, 0.0, rate * st, 0.0, 0.0, bytearray(part.tobytes())))
+    from fringeline.operators.align import CHUNKS
+
+    return spark.createDataFrame(rows, CHUNKS)
+
+
+@pytest.mark.parametrize("rate", [0.004, -0.004])
+def test_slips_by_sample_for_chunks_of_any_size(spark, rate):
+    run = lambda size, w: values(fx.correlate(drifting(spark, size, rate), fft_size=32, period=10.0, windows_per_task=w, by_sample=True))
+    first = run(6400, 1024)
+    assert first and alike(first, run(64, 1024)) and alike(first, run(77, 3)) and alike(first, run(1000, 10))
+    by_window = values(fx.correlate(drifting(spark, 6400, rate), fft_size=32, period=10.0))
+    assert not alike(first, by_window)
+
+
+def test_moved_samples_are_those_of_dropping_and_inserting():
+    """Slips one by one, as they come, give the same stream."""
+    from fringeline.operators import kernels
+
+    fs, n = 100.0, 1000
+    for coeffs in (np.array([0.001, 0.005, 0.0]), np.array([0.0, -0.007, 0.0002])):
+        x = np.arange(1.0, n + 1)
+        at, keep = kernels.moved(coeffs, fs, int(np.floor(coeffs[0] * fs + 0.5)), 0, n)
+        out, whole = [], int(np.floor(coeffs[0] * fs + 0.5))
+        for m in range(n):
+            now = int(np.floor(kernels.delay(coeffs, np.array(m / fs)) * fs + 0.5))
+            out += [] if now > whole else [0.0] * (whole - now) + [x[m]]
+            whole = now
+        placed = np.zeros(at[keep].max() + 1)
+        placed[at[keep]] = x[keep]
+        assert placed.tolist() == out
