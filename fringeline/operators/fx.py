@@ -255,6 +255,54 @@ def dismissed(chunks: DataFrame, streams: int) -> DataFrame:
     return found.where(F.col("streams") < streams)
 
 
+HEADS = ("acc_block", "source_id", "channel", "station", "pol", "first_sample", "n_samples")
+SESSIONS = "acc_block int, source_id int, channel int, station int, pol int, first_sample long, n_samples int, session int, streams int"
+
+
+def sessions(chunks: DataFrame) -> DataFrame:
+    """Heads of chunks with session, counted from 1, and the streams of that session.
+
+    Chunks of a block and channel come in order of their first samples, then of their streams; a session ends where a stream
+    comes again.  Only heads are brought together, some forty bytes a chunk of one block and channel; samples stay.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        sp = table["station"].to_numpy() * 2 + table["pol"].to_numpy()
+        order = np.lexsort((sp, table["first_sample"].to_numpy()))
+        session, number, now = np.zeros(len(sp), np.int32), 0, set(sp.tolist())
+        for i, s in zip(order.tolist(), sp[order].tolist(), strict=True):
+            if s in now:
+                number, now = number + 1, set()
+            now.add(s)
+            session[i] = number
+        count = np.bincount(session).astype(np.int32)
+        return table.append_column("session", pa.array(session)).append_column("streams", pa.array(count[session]))
+
+    return chunks.select(*HEADS).groupBy("acc_block", "source_id", "channel").applyInArrow(work, SESSIONS)
+
+
+STREAM = ("acc_block", "source_id", "channel", "station", "pol")
+
+
+def places(chunks: DataFrame, streams: int) -> DataFrame:
+    """Chunks of sessions with so many streams: the stream's columns, first_sample, session, and place, the stream's samples before in such chunks.
+
+    A chunk that comes in several sessions counts once, in the first that is whole.  Places are running sums over heads.
+    """
+    whole = sessions(chunks).where(F.col("streams") >= streams).groupBy(*STREAM, "first_sample").agg(F.max("n_samples").alias("size"), F.min("session").alias("session"))
+    before = Window.partitionBy(*STREAM).orderBy("first_sample").rowsBetween(Window.unboundedPreceding, -1)
+    return whole.select(*STREAM, "first_sample", "session", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("place"))
+
+
+def compacted(chunks: DataFrame, streams: int) -> DataFrame:
+    """chunks of sessions with so many streams, their samples numbered on from those kept before: gaps close, and streams align by rank.
+
+    Chunks of other sessions are dismissed.  The result can be correlated like chunks without gaps.
+    """
+    found = places(chunks, streams).drop("session")
+    return chunks.join(found, [*STREAM, "first_sample"]).withColumn("first_sample", F.col("place")).select(chunks.columns)
+
+
 def counted(frames: DataFrame, observation: Observation) -> DataFrame:
     """frames, counted while something else reads them: frames, bytes, truncated and invalid ones.
 

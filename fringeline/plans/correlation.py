@@ -102,6 +102,18 @@ f AS (SELECT acc, sp, w, k, re * cos(b) - im * sin(b) re, re * sin(b) + im * cos
 {SHARED} SELECT {OUT} FROM u""",
 }
 
+# Chunks with gaps and repeats: a session ends where a stream comes again; whole sessions' chunks are numbered on.
+FRAME_SQL["sub_periods"] = f"""WITH RECURSIVE {FRAME_SAMPLES},
+c0 AS (SELECT acc, CAST(2 * st + pol AS INT) sp, floor(n / 64) frame, min(m) f, count(*) size FROM x WHERE m >= 0 AND NOT ({LOST_FRAMES.replace("station", "st").replace("t %", "floor(n / 64) %").replace("t >=", "floor(n / 64) >=").replace("t <", "floor(n / 64) <")}) GROUP BY acc, st, pol, floor(n / 64)),
+c AS (SELECT acc, sp, f, size, 0 again FROM c0 UNION ALL SELECT acc, sp, f, size, 1 FROM c0 WHERE frame % 9 = 0 AND sp < 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY acc ORDER BY f, sp, again) p FROM c),
+v AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY acc, sp ORDER BY p), 0) last FROM r),
+nx AS (SELECT a.acc, a.p, min(b.p) q FROM v a JOIN v b ON a.acc = b.acc AND b.last >= a.p GROUP BY a.acc, a.p),
+b AS (SELECT DISTINCT acc, CAST(1 AS BIGINT) start FROM v UNION ALL SELECT b.acc, nx.q FROM b JOIN nx ON b.acc = nx.acc AND b.start = nx.p),
+s AS (SELECT v.acc, v.sp, v.f, v.size, v.p, count(b.start) session FROM v JOIN b ON v.acc = b.acc AND b.start <= v.p GROUP BY v.acc, v.sp, v.f, v.size, v.p),
+k AS (SELECT acc, session FROM s GROUP BY acc, session HAVING count(*) >= 4),
+w AS (SELECT s.acc, s.sp, s.f, s.size, min(s.session) session FROM s JOIN k ON s.acc = k.acc AND s.session = k.session GROUP BY s.acc, s.sp, s.f, s.size)
+SELECT acc, sp, CAST(f AS BIGINT) first, CAST(coalesce(sum(size) OVER (PARTITION BY acc, sp ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) place FROM w"""
 # Every sample at its place after the slips before it; one at which the delay's whole samples go up is dropped.
 SLIP_DELAY = f"({views.LATE} * x.st + {views.RATE} * x.st * {{n}} / 64.0)"
 SLIP_WHOLE = f"CASE WHEN x.st = 0 THEN 0 ELSE floor({SLIP_DELAY} * 64 + 0.5) END"
@@ -245,6 +257,14 @@ def fx_slips_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(fx.correlate(frame_chunks(spark, sf_dir), fft_size=32, period=views.PERIOD, windows_per_task=7, by_sample=True))
 
 
+def sub_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that whole sessions keep: their first samples, and where the samples come once gaps are closed; some chunks come twice."""
+    chunks = frame_chunks(spark, sf_dir, LOST_FRAMES)
+    frame = F.floor((F.col("first_sample") + F.col("n_samples") - 1 + F.col("shift") + F.col("acc_block") * 1600) / 64)
+    chunks = chunks.unionByName(chunks.where((frame % 9 == 0) & (F.col("station") == 0)))
+    return fx.places(chunks, 4).select(F.col("acc_block").alias("acc"), (F.col("station") * 2 + F.col("pol")).alias("sp"), F.col("first_sample").alias("first"), "place")
+
+
 def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The correlator of a stream: the frames come in three steps; a last one, far on, closes all blocks."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -276,5 +296,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fringe_rotate_first": rotation("first"),
     "fx_arrow_backend": accumulation(),
     "fx_hanning": accumulation(hanning=True),
-} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_correlate_gaps, fx_gaps, fx_triangular, fx_slips_by_sample, stream_correlate, fx_calibration)}
+} | {f.__name__: f for f in (fx_per_block, normalize_auto_sum, frac_delay_rotate, zoom_bands, zoom_average, vis_compare, swin_sort_order, visibility_text_roundtrip, fx_visibilities, fx_full_chain, align_chunks, fx_correlate, fx_correlate_gaps, fx_gaps, fx_triangular, fx_slips_by_sample, sub_periods, stream_correlate, fx_calibration)}
 ORACLE_SQL = {name: duckdb_sql(text) for name, text in (SQL | FRAME_SQL).items()}

@@ -133,3 +133,40 @@ def test_moved_samples_are_those_of_dropping_and_inserting():
         placed = np.zeros(at[keep].max() + 1)
         placed[at[keep]] = x[keep]
         assert placed.tolist() == out
+
+
+def heads(spark, rows):
+    """Chunks (stream, first sample, samples) of one block of two-polarisation stations."""
+    from fringeline.operators.align import CHUNKS
+
+    r = np.random.default_rng(6)
+    return spark.createDataFrame([(0, 0, 0, sp // 2, sp % 2, first, n, 0, 8, False, 640.0, 100.0, "U", 0, 0.0, 0.0, 0.0, 0.0, 0.0, bytearray(r.integers(0, 256, n).astype(np.uint8).tobytes())) for sp, first, n in rows], CHUNKS)
+
+
+def test_sessions_end_where_a_stream_comes_again(spark):
+    df = heads(spark, [(0, 0, 64), (1, 0, 64), (0, 64, 64), (0, 128, 64), (1, 128, 64), (1, 192, 64), (1, 192, 64)])
+    got = [(r.pol, r.first_sample, r.session, r.streams) for r in fx.sessions(df).orderBy("first_sample", "session", "pol").collect()]
+    assert got == [(0, 0, 1, 2), (1, 0, 1, 2), (0, 64, 2, 1), (0, 128, 3, 2), (1, 128, 3, 2), (1, 192, 4, 1), (1, 192, 5, 1)]
+
+
+def test_compacted_streams_align_by_rank(spark):
+    """What is left after dismissal is correlated like streams without gaps."""
+    rows = [(sp, 64 * i, 64) for sp in range(2) for i in range(20) if (sp, i) not in {(0, 3), (1, 7), (1, 8)}]
+    df = heads(spark, rows + [(0, 0, 64)])
+    kept, now = [], {}
+    for sp, first, _ in sorted(rows, key=lambda r: (r[1], r[0])):  # one session after another
+        if sp in now:
+            kept += list(now.items()) if len(now) == 2 else []
+            now = {}
+        now[sp] = first
+    kept += list(now.items()) if len(now) == 2 else []
+    places = {(r.pol, r.first_sample): r.place for r in fx.places(heads(spark, rows), 2).collect()}
+    want = {(sp, f): 64 * i for sp in range(2) for i, f in enumerate(sorted(f for s, f in kept if s == sp))}
+    assert places == want and len(want) == 36
+    whole = fx.compacted(heads(spark, rows), 2)
+    assert [r.first_sample for r in whole.where("pol = 0").orderBy("first_sample").collect()] == [64 * i for i in range(18)]
+    again = fx.compacted(df, 2)
+    assert again.select("pol", "first_sample").distinct().count() == whole.count()
+    vis = fx.correlate(whole, fft_size=32, period=10.0)
+    assert {r.n_windows for r in vis.collect()} == {18}
+    assert fx.compacted(df, 3).count() == 0
