@@ -90,6 +90,31 @@ def summed(f: np.ndarray, have: np.ndarray, ids: np.ndarray, i: np.ndarray, k: n
     return [[x] * len(i) for x in lead] + [ids[i], ids[k], n[some], p0[some], p1[some], list(acc.real), list(acc.imag)]
 
 
+def window_sums(table: pa.Table, pairs: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], *, transform: Callable | None = None, hanning: bool = False, keep: Callable | None = None) -> pa.Table:
+    """PARTIAL of the windows (acc, channel, sp, w, samples) of one accumulation and channel; pairs(ids) gives the places of the pairs to form."""
+    sp, w = table["sp"].to_numpy(), table["w"].to_numpy()
+    samples = table["samples"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    order = np.lexsort((w, sp))
+    order = order[np.append((np.diff(sp[order]) != 0) | (np.diff(w[order]) != 0), True)]
+    ids, all_w = np.unique(sp), np.unique(w)
+    f, have = None, np.zeros((len(ids), len(all_w)), bool)
+    for n, s in enumerate(ids.tolist()):
+        rows = order[sp[order] == s]
+        x = samples[rows]
+        own = transform(x, s, w[rows]) if transform else kernels.spectra(x.ravel(), x.shape[1], hanning=hanning)
+        if f is None:
+            f = np.zeros((len(ids), len(all_w), own.shape[1]), complex)
+        at = np.searchsorted(all_w, w[rows])
+        have[n, at], f[n, at] = True, own
+    i, k = pairs(ids)
+    if keep is not None:
+        some = keep(ids[i], ids[k])
+        i, k = i[some], k[some]
+    columns = summed(f, have, ids, i, k, [table["acc"][0].as_py(), table["channel"][0].as_py()])
+    kinds = [pa.int32()] * 4 + [pa.int64(), pa.float64(), pa.float64()] + [pa.list_(pa.float64())] * 2
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PARTIAL.split(", ")])
+
+
 def accumulated(streams: DataFrame, *, transform: Callable[[np.ndarray, int, np.ndarray], np.ndarray] | None = None, hanning: bool = False, block: int = BLOCK, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, count: int | None = None, streams_per_task: int = STREAMS) -> DataFrame:
     """Sums over windows of F_i conj(F_k): acc, channel, sp0 <= sp1, k, re, im, n_windows, and p0, p1, the streams' powers.
 
@@ -101,27 +126,7 @@ def accumulated(streams: DataFrame, *, transform: Callable[[np.ndarray, int, np.
     width, groups = groups_of(count, streams_per_task)
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        sp, w = table["sp"].to_numpy(), table["w"].to_numpy()
-        samples = table["samples"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        order = np.lexsort((w, sp))
-        order = order[np.append((np.diff(sp[order]) != 0) | (np.diff(w[order]) != 0), True)]
-        ids, all_w = np.unique(sp), np.unique(w)
-        f, have = None, np.zeros((len(ids), len(all_w)), bool)
-        for n, s in enumerate(ids.tolist()):
-            rows = order[sp[order] == s]
-            x = samples[rows]
-            own = transform(x, s, w[rows]) if transform else kernels.spectra(x.ravel(), x.shape[1], hanning=hanning)
-            if f is None:
-                f = np.zeros((len(ids), len(all_w), own.shape[1]), complex)
-            at = np.searchsorted(all_w, w[rows])
-            have[n, at], f[n, at] = True, own
-        i, k = met(ids, key[3].as_py(), key[4].as_py(), width)
-        if keep is not None:
-            some = keep(ids[i], ids[k])
-            i, k = i[some], k[some]
-        columns = summed(f, have, ids, i, k, [key[0].as_py(), key[1].as_py()])
-        kinds = [pa.int32()] * 4 + [pa.int64(), pa.float64(), pa.float64()] + [pa.list_(pa.float64())] * 2
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PARTIAL.split(", ")])
+        return window_sums(table, lambda ids: met(ids, key[3].as_py(), key[4].as_py(), width), transform=transform, hanning=hanning, keep=keep)
 
     dealt = dealt_in_triangle(streams.withColumn("block", F.floor(F.col("w") / block)), F.col("sp"), width, groups)
     return added(dealt.groupBy("acc", "channel", "block", "low", "high").applyInArrow(work, PARTIAL), ("acc", "channel"))
