@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from fringeline.sources.folders import shared_folder
 
 
-def tumbling_power(rows: DataFrame, *, period: str = "1 day", late: str = "1 hour") -> DataFrame:
+def tumbling_power(rows: DataFrame, *, period: str = "1 day") -> DataFrame:
     """Samples and power of each station and period of a stream (ts, st, value); reads what there is, then ends.
 
-    Rows later than `late` behind the watermark are dropped, as a closed period takes no more samples.
+    Rows count however late they come: the state keeps every period, a row each for a station.  Each micro-batch writes the
+    whole result as a table of the shared folder, by its tasks; the last one is returned.
     """
-    found = rows.withWatermark("ts", late).groupBy(F.window("ts", period), "st").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("power"))
-    name = f"tumbling_{uuid.uuid4().hex}"
-    spark = rows.sparkSession
-    query = found.select(F.col("window.start").alias("start"), "st", "n", "power").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    found = rows.groupBy(F.window("ts", period), "st").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("power"))
+    at = f"{shared_folder(rows.sparkSession)}/tumbling-{uuid.uuid4().hex}"
+    written: list[int] = []
+
+    def keep(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{at}/{batch}")
+        written.append(batch)
+
+    out = found.select(F.col("window.start").alias("start"), "st", "n", "power")
+    query = out.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{at}/mark").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return rows.sparkSession.read.schema(out.schema).parquet(f"{at}/{written[-1]}") if written else rows.sparkSession.createDataFrame([], out.schema)

@@ -37,6 +37,5 @@ def test_same_as_duckdb(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(other.columns, other.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_without_sql(spark, name):
-    assert catalogue.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_its_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
