@@ -283,7 +283,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, literals: int = LITERALS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns whatever their names, whose text holds no benchmark item; see contaminated().
 
-    Null and empty texts stay; rows that repeat stay or go together; an empty table gives an empty one.
+    Null and empty texts stay; rows that repeat stay or go together; texts of any length are taken whole; an empty table gives an empty one.
     """
     out, at = safe(docs), place(docs, "text")
     for index in indices(benchmark, window=window, literals=literals, block_bytes=block_bytes):

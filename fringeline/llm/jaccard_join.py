@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int,
     and component_id (smallest doc_id reachable by links, itself included).  A text of fewer words than a shingle
     has one shingle of all of them; null and empty texts have none and link with nothing.  Rows of one doc_id are
     one document, which has the links of each of its texts; rows with a null doc_id link with nothing, and their
-    class_id and component_id are null.  Extra columns are ignored.  An empty table gives an empty one.
+    class_id and component_id are null.  Texts of any length are taken whole.  Extra columns are ignored.  An empty table gives an empty one.
     """
     n, d = similarity
     rows = set_rows(docs, shingle, similarity, bucket_bytes)
@@ -249,7 +249,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int,
 
 
 def links(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (3, 4), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Every link (a, b), a > b, between documents that stand for their class (class_id = doc_id) in near_duplicates()."""
+    """Every link (a, b), a > b, between documents that stand for their class (class_id = doc_id) in near_duplicates().
+
+    Null and empty texts and rows without doc_id link with nothing; repeated rows are of one class and give one link;
+    texts of any length are taken whole; other columns are ignored; an empty table gives no links.
+    """
     n, d = similarity
     rows = set_rows(docs, shingle, similarity, bucket_bytes)
     some = rows.where(F.size("segments") > 0)

@@ -116,8 +116,8 @@ def scores(docs: DataFrame, *, folds: int = 7, held: int = 2, bucket_bytes: int
 
     Learns from the rows whose crc32 of doc_id (as text) modulo folds is not held; a row without doc_id is learned
     from.  A-Z count as a-z; a text's tokens are its words and one end, so a null or empty text has one token.
-    base_score is add-one unigram, score the model's log10 probability.  Repeated rows count each; other columns are
-    ignored; an empty table gives no rows; without training rows every token has the even share.
+    base_score is add-one unigram, score the model's log10 probability.  Repeated rows count each; texts of any length are taken whole;
+    other columns are ignored; an empty table gives no rows; without training rows every token has the even share.
     """
     buckets = X.bucket_count(docs, bucket_bytes)
     texts = X.in_buckets(docs, buckets)

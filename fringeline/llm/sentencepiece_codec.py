@@ -243,7 +243,7 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
 def decode(rows: DataFrame, *, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the column `out`: the text of the ids.
 
-    Null ids give null, empty lists an empty text; bytes that are no UTF-8 become U+FFFD.  Repeated rows give repeated
+    Null ids give null, empty lists an empty text; lists of any length are decoded whole; bytes that are no UTF-8 become U+FFFD.  Repeated rows give repeated
     results, an empty table an empty one; other columns pass through whatever their names, and one named `out` is replaced.
     """
     rows = without(rows, out)

@@ -24,7 +24,7 @@ def shards(docs: DataFrame, *, shards: int = 16, range_rows: int = RANGE_ROWS) -
     size is the text's UTF-8 bytes plus 1 (a null text has none, and the crc32 of an empty one).  The law is `bytes`:
     shards are contiguous in (doc_id, crc32, size) with sizes near equal; a row belongs to the target that holds its
     middle byte.  slot counts from 0 in that order within a shard.  grown_shard is null: another count moves the cuts.
-    Null doc_ids come first; equal rows are interchangeable; other columns are ignored; an empty table gives no rows.
+    Null doc_ids come first; equal rows are interchangeable; of long texts only sizes and sums are kept; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))

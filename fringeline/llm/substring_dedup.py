@@ -138,7 +138,7 @@ def dedup_windows(docs: DataFrame, *, window: int = 50, rounds: str = ROUNDS, bu
     Windows are judged on the input.  Returns a row for each input row: doc_id, n_words, n_removed, kept_sha256
     (of the kept words joined by one space) and kept_text.  Null and empty texts have no words; texts shorter than
     a window keep all.  Rows of the same doc_id do not remove each other's words; a null doc_id counts as larger
-    than any.  Extra columns are ignored.  An empty table gives an empty one.
+    than any.  Texts of any length are taken whole, each in one bucket's task.  Extra columns are ignored.  An empty table gives an empty one.
     """
     buckets = X.bucket_count(docs, bucket_bytes)
     texts = X.in_buckets(docs, buckets)
