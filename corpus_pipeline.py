@@ -33,18 +33,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of linked ones; rows without doc_id stay, and rows of one doc_id together."""
+    """The document of smallest doc_id of each group of linked ones; rows without doc_id stay, and rows of one doc_id together.
+
+    Null and empty texts link with nothing and stay; other columns pass through; an empty table gives an empty one.
+    """
     others = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no benchmark item; null and empty texts stay."""
+    """Rows whose text holds no benchmark item; null and empty texts stay.
+
+    Repeated rows stay or go together; other columns pass through whatever their names; an empty table gives an empty one.
+    """
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, repeated ones too, with personal data in the text replaced by its kind, and n_chars of the new text; null texts stay."""
+    """All rows, repeated ones too, with personal data in the text replaced by its kind, and n_chars of the new text; null texts stay.
+
+    Other columns pass through whatever their names; an empty table gives an empty one.
+    """
     done = redacted(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
