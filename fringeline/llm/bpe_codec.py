@@ -33,8 +33,8 @@ from fringeline.llm.shared import place, safe
 
 #: Symbols of a leaf, and tokens on each side of a join's first window.
 LEAF, SIDE = 64, 2
-#: Words that are remembered, and characters of a text (and tokens of a list) that are worked on together.
-HELD, SLICE = 200_000, 1 << 20
+#: Stretches that are remembered and their characters, and characters of a text (and tokens of a list) that are worked on together.
+HELD, HELD_CHARS, SLICE = 500_000, 1 << 23, 1 << 20
 #: Bytes of text in a batch.
 BATCH = 4 << 20
 NONE = np.iinfo(np.int32).max
@@ -76,6 +76,7 @@ class Model:
         self.words = regex.compile(words)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     # -- merging
 
@@ -205,9 +206,11 @@ class Model:
     def learn(self, stretches: set[str]) -> None:
         """Works out the ids of stretches; after it at least these are known."""
         new = stretches.difference(self.known)
-        if len(self.known) + len(new) > HELD:
+        self.chars += sum(map(len, new))
+        if len(self.known) + len(new) > HELD or self.chars > HELD_CHARS:
             self.known.clear()
             new = stretches
+            self.chars = sum(map(len, new))
         new = sorted(new)
         for at in range(0, len(new), 1 << 14):
             some = new[at : at + (1 << 14)]
