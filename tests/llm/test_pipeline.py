@@ -58,4 +58,4 @@ def test_columns_between_stages():
 
 def test_every_operator_has_a_query():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert names == [f"op{i}" for i in range(1, 11)]
+    assert names == [f"op{i}" for i in range(1, 14)]
