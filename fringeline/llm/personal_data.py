@@ -1,7 +1,8 @@
 """Personal data in whole texts, with built-in functions only: patterns, and spans added by weak supervision.
 
-Fixed patterns give the base spans, which all stay.  Looser patterns and a gazetteer of given names give further
-candidates.  Labelers vote on each (yes, no or none): one by the match's form, one by gazetteers of names, one by
+Fixed patterns give the base spans, which all stay.  Looser patterns (names by title, given name, words that announce
+them or what follows; account numbers by form or announced; local telephone numbers; long tokens and announced
+passwords) give further candidates, so what is found need not be in any list.  Labelers vote on each (yes, no or none): one by the match's form, one by gazetteers of names, one by
 word lists on what stands before it, one by the words further off, one by the marks before it, and one by the base
 spans of the same text.  The counts of vote patterns are few whatever the corpus; expectation-maximisation on them
 estimates how reliable each labeler is and how likely each pattern is personal.  A logistic regression on votes, kind,
@@ -27,15 +28,26 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 DIGITS = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LOCAL_PHONE = r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-SECRET = r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{24,}+"
+#: Ten digits in the usual three parts; other groupings (a leading 0, or three by three) count only where announced.
+TEN_DIGITS = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+LOCAL_PHONE = rf"(?<![0-9+(])(?:{TEN_DIGITS}|(?:\(0[0-9]{{1,4}}\) ?|0[0-9]{{1,4}}[ /.-])[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,3}}|[6-9][0-9]{{2}} [0-9]{{3}} [0-9]{{3}})(?![0-9])"
+SECRET = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,}+={0,2}+"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IN_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}(?:[0-9]{2}(?: ?[A-Z0-9]{1,4})* ?)?$"
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Señor|Señora|Herr|Frau|Monsieur|Madame|Mme)\.?"
+# Phrases that announce a password, an account number or a name, words after a name, capitalised words that begin none.
+PASSWORD_IS = r"(?:password|passwd|passphrase|passcode|pwd|pin|secret|token|api[_ -]?key|contraseña|clave|passwort|kennwort|mot de passe)"
+ACCOUNT_IS = r"(?iu)(?:account|acct|a/c|iban|routing|konto|kontonummer|kontonr|cuenta|compte)(?: ?(?:number|no|nr|nummer|número|numéro|num|is|ist|es|est|de)\.?){0,3}[\x20:#=.]{0,3}$"
+PHONE_IS = r"(?iu)(?<!\p{L})(?:phone|tel|telephone|call|ring|text|fax|mobile|cell|teléfono|telefono|móvil|llame|llámame|telefon|mobil|handy|rufen|téléphone|portable|appelez)(?!\p{L})[^0-9]{0,20}$"
+NAME_IS = r"(?:names? is|named|called|signed|signed by|contact|attn|attention|dear|i am|i'm|regards|sincerely|cheers|name|customer|patient|employee|caller|tenant|holder|llamo|nombre es|soy|nombre|firmado|querid[oa]|estimad[oa]|atentamente|heiße|name ist|liebe|lieber|gez\.|ansprechpartner|grüßen|m'appelle|suis|nom est|nom|chère?|signé|cordialement)"
+NAME_DOES = r"(?:said|says|wrote|writes|lives|called|emailed|asked|replied|was born|sagte|schrieb|wohnt|dijo|escribió|vive|habite|écrit)"
+NO_NAME = "The This That These Those Then When While But And If As So In On At Our Your My His Her Their Customer Support Sales Service Team Human Technical General New Der Die Das Ein Eine Wenn Und Aber El La Los Las Un Una Pero Cuando Le Les Une Mais Quand"
 # Words that announce a kind, words that stand near one, and common given names and surnames.
 CUES = {
-    "phone": "phone tel telephone call fax mobile cell handy teléfono telefono móvil llame telefon mobil téléphone portable appelez",
+    "phone": "phone tel telephone call ring text fax mobile cell handy teléfono telefono móvil llame llámame telefon mobil rufen téléphone portable appelez",
     "account": "account card iban bic swift acct credit debit visa mastercard cuenta tarjeta konto kontonummer karte compte carte",
-    "secret": "token key secret password passwd pwd apikey api credential bearer auth contraseña clave passwort schlüssel clé",
-    "name": "name named dear hi hello contact attn signed from by nombre soy querido querida contacto heiße name lieber liebe grüße nom cher chère signé",
+    "secret": "token key secret password passwd passphrase passcode pin pwd apikey api credential bearer auth contraseña clave passwort kennwort passe schlüssel clé",
+    "name": "name named dear hi hello contact attn signed from by nombre soy querido querida contacto heiße name lieber liebe grüße nom cher chère signé am called regards sincerely cheers attention llamo firmado estimado estimada atentamente gez ansprechpartner grüßen appelle suis cordialement customer patient employee caller tenant holder",
 }
 NEAR = {
     "phone": "phone contact reach dial office home hotline number extension",
@@ -54,7 +66,14 @@ SURNAMES = (
     "Romero Alonso Gutiérrez Martin Bernard Dubois Thomas Robert Richard Petit Durand Leroy Moreau Simon Laurent Lefebvre Michel Garcia David Bertrand Roux Vincent Fournier Morel Girard"
 )
 WORD = r"\p{Lu}\p{Ll}++"
-NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{TITLE}|{'|'.join(GIVEN_NAMES.split())}) {WORD}(?: {WORD})?+"
+#: A word of a name: O'Brien, McDonald, Anne-Marie.
+PART_OF_NAME = r"\p{Lu}(?:\p{Ll}++|['’]\p{Lu}\p{Ll}++)(?:\p{Lu}\p{Ll}++)?+(?:-\p{Lu}\p{Ll}++)?+"
+FURTHER = rf"(?: (?:(?:de|da|di|del|della|van|von|der|den|la|le|el|al|bin|\p{{Lu}}\.) ){{0,2}}{PART_OF_NAME})"
+LISTED_NAME = rf"(?:{TITLE}|{'|'.join(GIVEN_NAMES.split())}) {WORD}(?: {WORD})?+"
+ANNOUNCED = rf"(?<=(?<!\p{{L}})(?iu:{NAME_IS})\x20?[:,]?[\x20\n])"
+ARTICLE = r"(?:(?iu:the|der|die|das|el|la|los|las|le|les)\x20)"
+NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{LISTED_NAME}|(?!(?:{'|'.join(NO_NAME.split())})(?!\p{{L}}))(?:{ANNOUNCED}{PART_OF_NAME}{FURTHER}{{1,3}}+|(?<!{ARTICLE}){PART_OF_NAME}{FURTHER}{{1,3}}+(?=,? (?:{NAME_DOES}(?!\p{{L}})|[<(][A-Za-z0-9._%+-]+@))))"
+PASSWORD = rf"(?<=[\x20:=\"'])(?<=(?iu:{PASSWORD_IS})\x20{{0,2}}(?:[:=]|is|was|ist|es|est)\x20{{0,2}}[\"']?)[^\s\"'<>,;=:]{{5,63}}[^\s\"'<>,;.:!?()\[\]=]"
 LABELERS = ("form", "listed", "cue", "near", "mark", "company")
 #: Characters before a match that the labelers see.
 LEFT = 48
@@ -116,13 +135,21 @@ def low_parts(match: Column) -> Column:
     return F.forall(F.split(match, r"\."), lambda p: F.when(F.length(bare(p)) <= 3, F.concat(F.lit("0"), bare(p)).cast("int") <= 255).otherwise(False))
 
 
+def iban_holds(match: Column) -> Column:
+    """Whether the number's check digits hold: letters count from 10 on, the first four characters come last, 1 is left of 97."""
+    bare = F.replace(match, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))
+    value = F.transform(F.split(moved, "(?!^)(?!$)"), lambda c: F.when(F.ascii(c) >= 65, F.ascii(c) - 55).otherwise(F.ascii(c) - 48))
+    return F.aggregate(value, F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97) == 1
+
+
 def long_digits(match: Column, low: int, high: int) -> Column:
     return F.length(digits_of(match)).between(low, high)
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """row (the whole row of docs), base and extra: arrays of (start, rank, end), of extra ones also the votes and features."""
-    names = {"email": (EMAIL, "@"), "ip": (IP, r"[0-9]\.[0-9]"), "digits": (DIGITS, "[0-9][\\x20-]?[0-9]"), "phone": (PHONE, "+"), "local": (LOCAL_PHONE, "[0-9]{3}[ .-][0-9]{4}"), "secret": (SECRET, SECRET), "name": (NAME, NAME)}
+    names = {"email": (EMAIL, "@"), "ip": (IP, r"[0-9]\.[0-9]"), "digits": (DIGITS, "[0-9][\\x20-]?[0-9]"), "phone": (PHONE, "+"), "local": (LOCAL_PHONE, "[0-9][ ./)-]{1,2}[0-9]{2}"), "secret": (SECRET, SECRET), "iban": (IBAN, IBAN), "password": (PASSWORD, f"(?iu){PASSWORD_IS}"), "name": (NAME, NAME)}
     text = F.coalesce(named("text").cast("string"), F.lit(""))
     cols = [c.alias(f"{k}_{side}") for k, (pattern, guard) in names.items() for side, c in zip("pm", found(text, pattern, guard), strict=True)]
     raw = docs.select(whole(docs).alias("row"), *cols).select("row", *(pieced(f"{k}_p", f"{k}_m").alias(k) for k in names)).select("row", *(placed(k).alias(k) for k in names))
@@ -135,15 +162,21 @@ def spans_of(docs: DataFrame) -> DataFrame:
         "phone": F.filter("phone", lambda x: long_digits(x["match"], 10, 15)),
     }
     base = F.array_sort(F.concat(*(F.transform(c, span(k)) for k, c in kept.items())))
-    more = {
-        "phone": F.col("local"),
-        "account": F.filter("digits", lambda x: long_digits(x["match"], 12, 19) & ~is_card(x)),
-        "secret": F.filter("secret", lambda x: F.regexp_like(x["match"], F.lit("[0-9]"))),  # a long word is none
-        "name": F.col("name"),
-    }
+    bare = lambda x: F.regexp_like(x["match"], F.lit("^[0-9]{6,11}$")) & F.regexp_like(x["left"], F.lit(ACCOUNT_IS))
+    own = lambda x: F.when(long_digits(x["match"], 12, 19), ~is_card(x)).otherwise(bare(x)) & ~F.regexp_like(x["left"], F.lit(IN_IBAN))
+    coded = lambda x: F.regexp_like(x["match"], F.lit("[0-9]")) & ~F.regexp_like(x["match"], F.lit(f"^{IBAN}$"))  # noqa: E731 a long word is none
+    mixed = lambda x: F.regexp_like(x["match"], F.lit(r"[0-9]|\p{L}[^\p{L}.'-]")) & ~F.regexp_like(x["match"], F.lit(SECRET))
+    more = [
+        ("phone", F.filter("local", lambda x: long_digits(x["match"], 9, 12) & (F.regexp_like(x["match"], F.lit(f"^{TEN_DIGITS}$")) | F.regexp_like(x["left"], F.lit(PHONE_IS)))), None),
+        ("account", F.filter("digits", own), None),
+        ("account", F.col("iban"), "iban"),
+        ("secret", F.filter("secret", coded), None),
+        ("secret", F.filter("password", mixed), "password"),
+        ("name", F.col("name"), None),
+    ]
     based = raw.withColumn("base", base)
     company = F.when(F.size("base") > 0, 1).otherwise(0)
-    some = based.select("row", "base", F.concat(*(F.transform(c, candidate(k, company)) for k, c in more.items())).alias("extra"))
+    some = based.select("row", "base", F.concat(*(F.transform(c, candidate(k, company, source)) for k, c, source in more)).alias("extra"))
     return apart(some).select("row", "base", "extra")
 
 
@@ -173,23 +206,32 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.withColumn("extra", F.when(many, some).otherwise(each)).drop("both", "back", "marks")
 
 
-def candidate(kind: str, company: Column):
-    """Span, votes (1, -1, or 0 for none) and features of a match."""
+def candidate(kind: str, company: Column, source: str | None = None):
+    """Span, votes (1, -1, or 0 for none) and features of a match; source: the pattern, where a kind has several."""
 
     def of(x: Column) -> Column:
         digits, size = F.length(digits_of(x["match"])), F.length(x["match"])
-        if kind == "secret":
+        if source == "iban":
+            form = F.when(iban_holds(x["match"]), 1).otherwise(0)
+        elif source == "password":
+            form = F.lit(1)
+        elif kind == "secret":
             form = F.when((size >= 32) & (digits < size), 1).otherwise(0)
+        elif kind == "account":
+            form = F.when(size < 12, 1).otherwise(0)  # shorter ones are candidates only where announced
         else:
-            form = F.lit(0 if kind == "account" else 1)
+            form = F.lit(1)
         if kind == "name":
             parts = F.split(F.regexp_replace(x["match"], f"^{TITLE} ", ""), " ")
             listed = F.when(F.get(parts, F.lit(0)).isin(GIVEN_NAMES.split()) | F.element_at(parts, -1).isin(SURNAMES.split()), 1).otherwise(0)
         else:
             listed = F.lit(0)
         before = F.filter(F.split(F.lower(x["left"]), r"[^\p{L}]+"), lambda w: w != "")
-        cue = F.when(F.exists(F.slice(before, F.greatest(F.lit(1), F.size(before) - 2), 3), lambda w: w.isin(CUES[kind].split())), 1).otherwise(-1 if kind == "account" else 0)  # a bare number may be anything
+        cue = F.when(F.exists(F.slice(before, F.greatest(F.lit(1), F.size(before) - 2), 3), lambda w: w.isin(CUES[kind].split())), 1).otherwise(-1 if kind == "account" and source is None else 0)  # a bare number may be anything
         near = F.when(F.exists(before, lambda w: w.isin(NEAR[kind].split())), 1).otherwise(0)
+        if kind == "name":  # neither listed nor announced: what follows has brought it
+            known = F.regexp_like(x["match"], F.lit(f"^{LISTED_NAME}"))
+            near = F.when(~known & (cue == 0), 1).otherwise(near)
         mark = F.when(F.regexp_like(x["left"], F.lit(r"[:=#(][\x20]?[\"']?$")), 1).otherwise(-1 if kind == "secret" else 0)
         votes = {"form": form, "listed": listed, "cue": cue, "near": near, "mark": mark, "company": company}
         return F.struct(
