@@ -72,7 +72,7 @@ FURTHER = rf"(?: (?:(?:de|da|di|del|della|van|von|der|den|la|le|el|al|bin|\p{{Lu
 LISTED_NAME = rf"(?:{TITLE}|{'|'.join(GIVEN_NAMES.split())}) {WORD}(?: {WORD})?+"
 ANNOUNCED = rf"(?<=(?<!\p{{L}})(?iu:{NAME_IS})\x20?[:,]?[\x20\n])"
 ARTICLE = r"(?:(?iu:the|der|die|das|el|la|los|las|le|les)\x20)"
-NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{LISTED_NAME}|(?!(?:{'|'.join(NO_NAME.split())})(?!\p{{L}}))(?:{ANNOUNCED}{PART_OF_NAME}{FURTHER}{{1,3}}+|(?<!{ARTICLE}){PART_OF_NAME}{FURTHER}{{1,3}}+(?=,? (?:{NAME_DOES}(?!\p{{L}})|[<(][A-Za-z0-9._%+-]+@))))"
+NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{LISTED_NAME}|(?!(?:{'|'.join(NO_NAME.split())})(?!\p{{L}}))(?:{ANNOUNCED}{PART_OF_NAME}{FURTHER}{{1,3}}+|(?<!{ARTICLE})(?<!\p{{Lu}}\p{{Ll}}{{1,15}} ){PART_OF_NAME}{FURTHER}{{1,3}}+(?=,? (?:{NAME_DOES}(?!\p{{L}})|[<(][A-Za-z0-9._%+-]+@))))"
 PASSWORD = rf"(?<=[\x20:=\"'])(?<=(?iu:{PASSWORD_IS})\x20{{0,2}}(?:[:=]|is|was|ist|es|est)\x20{{0,2}}[\"']?)[^\s\"'<>,;=:]{{5,63}}[^\s\"'<>,;.:!?()\[\]=]"
 LABELERS = ("form", "listed", "cue", "near", "mark", "company")
 #: Characters before a match that the labelers see.
