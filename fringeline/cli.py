@@ -70,7 +70,7 @@ def exported(spark: SparkSession, e: ex.Experiment, folder: str, output: str, *,
     tones = spark.read.parquet(f"{folder}/calibration") if e.calibration else None
     if tones is not None:
         size = tones.groupBy("channel").agg((F.max("k") + 1).alias("n"))
-        bands = bands.where("f_pcal > 0").join(F.broadcast(size), "channel")
+        bands = bands.where("f_pcal > 0").join(size, "channel")
     first = bands.first()
     results.export(vis, tones if first else None, bands, ex.clock_table(spark, e).select("station", "name"), output, mjd=e.mjd_start, start=e.start, period=e.period, n_bands=media.select("channel", "pol").distinct().count(), n_tones=int(-(-first["bw"] // first["f_pcal"])) if first and tones is not None else 0, conjugate=conjugate, divide=divide)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fringeline.operators import kernels
 from fringeline.operators.delays import shift_and_fraction
+from fringeline.operators.joins import dimension
 from fringeline.sources.vdif import corner_turn, unpack
 
 CHUNKS = (
@@ -132,5 +133,5 @@ def chunks(frames: DataFrame, media: DataFrame) -> DataFrame:
                     yield turned(b.take(pa.array(rows[i : i + step])))
 
     use = ["station", "block", "source_id", "thread_id", "bits", "is_complex", "log2_channels", "spf", "first", "cut", "fs", "shift", "frac", "d0", "d1", "d2", "payload"]
-    described = F.broadcast(media.select("station", "idx", "channel", "pol", "freq_hz", "sideband", "f_pcal"))
+    described = dimension(media.select("station", "idx", "channel", "pol", "freq_hz", "sideband", "f_pcal"))
     return frames.select(*use).mapInArrow(work, MIDDLE).join(described, ["station", "idx"]).select(columns)

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringeline.operators.joins import between, dimension, last_before
+
+#: Seconds of the stretches by which times look for their section.
+STRETCH = 3600.0
+
 
 def moved(coeffs: Column, d: Column, order: int) -> Column:
     """Coefficient `order` of the polynomial about d: sum over n of C(n, order) c_n d^(n - order)."""
@@ -24,15 +29,16 @@ def moved(coeffs: Column, d: Column, order: int) -> Column:
 def in_sections(rows: DataFrame, sections: DataFrame, how: str = "inner") -> DataFrame:
     """rows (mjd, sec, and station if they have one) with the delay section that holds them, and `into`, the seconds since its start.
 
-    Sections are half-open [start_s, end_s) in seconds from their mjd's midnight on, and may go on over the next one.  They
-    are a dimension: a row for each section, source and station of one experiment.
+    Sections are half-open [start_s, end_s) in seconds from their mjd's midnight on, and may go on over the next one.  Rows
+    and sections meet by hours, so neither has to be small.
     """
     s = sections.select(F.col("mjd").alias("s_mjd"), F.col("station").alias("s_station"), *(c for c in sections.columns if c not in ("mjd", "station")))
     at = (F.col("mjd") - F.col("s_mjd")) * 86400 + F.col("sec")
     held = (at >= F.col("start_s")) & (at < F.col("end_s"))
     if "station" in rows.columns:
         held &= F.col("station") == F.col("s_station")
-    out = rows.join(F.broadcast(s), held, how)
+    day = F.col("s_mjd") * 86400.0
+    out = between(rows, s, F.col("mjd") * 86400.0 + F.col("sec"), day + F.col("start_s"), day + F.col("end_s"), held, width=STRETCH, how=how)
     if how == "left_anti":
         return out
     out = out.withColumn("into", at - F.col("start_s")).drop("s_mjd")
@@ -45,11 +51,8 @@ def without_section(rows: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def asof(rows: DataFrame, states: DataFrame, keys: tuple[str, ...], at: str, since: str) -> DataFrame:
-    """rows with the last state of their keys that began at or before them, if any; states are a dimension."""
-    until = F.lead(since).over(Window.partitionBy(*keys).orderBy(since))
-    s = states.withColumn("__until", until).select(*(F.col(k).alias(f"__{k}") for k in keys), "__until", *(c for c in states.columns if c not in keys))
-    same = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(since) <= F.col(at), F.col("__until").isNull() | (F.col(at) < F.col("__until"))]
-    return rows.join(F.broadcast(s), same, "left").drop("__until", *(f"__{k}" for k in keys))
+    """rows with the last state of their keys that began at or before them, if any; neither side has to be small."""
+    return last_before(rows, states, keys, at, since)
 
 
 def block_polynomials(blocks: DataFrame, sections: DataFrame, clocks: DataFrame) -> DataFrame:
@@ -61,7 +64,7 @@ def block_polynomials(blocks: DataFrame, sections: DataFrame, clocks: DataFrame)
     found = in_sections(blocks, sections.withColumn("model", F.format_string("%d-%s-%s-so%d-st%d", "mjd", F.col("start_s").cast("string"), F.col("end_s").cast("string"), "source_id", "station")))
     polys = found.select("block", "mjd", "sec", "source_id", "station", "model", *(moved(F.col("coeffs"), F.col("into"), i).alias(f"q{i}") for i in range(3)))
     age = (F.col("mjd") + F.col("sec") / 86400 - F.col("clock_ref")) * 86400
-    return polys.join(F.broadcast(clocks.select("station", "clock_ref", "c0", "c1")), "station").select("block", "mjd", "sec", "source_id", "station", "q0", "q1", "q2", (F.col("c0") + F.col("c1") * age).alias("k0"), F.col("c1").alias("k1"), age.alias("age"), "model")
+    return polys.join(dimension(clocks.select("station", "clock_ref", "c0", "c1")), "station").select("block", "mjd", "sec", "source_id", "station", "q0", "q1", "q2", (F.col("c0") + F.col("c1") * age).alias("k0"), F.col("c1").alias("k1"), age.alias("age"), "model")
 
 
 def relative(polys: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeline.operators.joins import dimension
 from fringeline.sources.folders import merged, removed, write_parts
 
 #: Formats of media files that there is a reader for, whatever their version.
@@ -115,7 +116,7 @@ def block_table(spark: SparkSession, e: Experiment) -> DataFrame:
 
 def described(rows: DataFrame, table: DataFrame, on: str | list[str]) -> DataFrame:
     """rows with the columns of a dimension table of the experiment; rows that it does not know are left out."""
-    return rows.join(F.broadcast(table), on)
+    return rows.join(dimension(table), on)
 
 
 def delay_table(spark: SparkSession, e: Experiment) -> DataFrame:

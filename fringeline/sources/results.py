@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from fringeline.operators import post
 from fringeline.operators.fx import stream_summary
+from fringeline.operators.joins import dimension
 from fringeline.sources.folders import local_path, merged, write_files, write_parts
 from fringeline.sources.vdif import PUSH
 
@@ -57,7 +58,7 @@ def numbered(vis: DataFrame) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("acc").rowsBetween(Window.unboundedPreceding, -1))  # a row for each period
     offset = vis.groupBy("acc").agg(F.count("*").alias("n")).select("acc", F.coalesce(before, F.lit(0)).alias("offset"))
     own = F.row_number().over(Window.partitionBy("acc").orderBy(*swin_order(vis)[1:]))
-    return vis.withColumn("own", own).join(F.broadcast(offset), "acc").withColumn("row_nr", F.col("own") + F.col("offset")).drop("own", "offset")
+    return vis.withColumn("own", own).join(offset, "acc").withColumn("row_nr", F.col("own") + F.col("offset")).drop("own", "offset")
 
 
 def spectra_rows(vis: DataFrame, keys: tuple[str, ...] = ("acc", "channel")) -> DataFrame:
@@ -279,7 +280,7 @@ def tone_records(tones: DataFrame, bands: DataFrame, *, pols: str = "XY", conjug
     places = bands.select("channel", "f", "f_pcal", F.posexplode(post.tone_positions(F.col("f") - F.col("bw"), F.col("f_pcal"), F.col("bw"), F.col("n"))).alias("nr", "k"))
     step = F.floor(F.col("f_pcal") / 1e6).cast("long")
     freq = F.floor(F.floor(F.col("f") / 1e6) / step).cast("long") * step - F.col("nr") * step
-    own = tones.select("acc", "sp", "channel").distinct().join(F.broadcast(places), "channel").join(tones.select("acc", "sp", "channel", "k", "re", "im"), ["acc", "sp", "channel", "k"], "left")
+    own = tones.select("acc", "sp", "channel").distinct().join(dimension(places), "channel").join(tones.select("acc", "sp", "channel", "k", "re", "im"), ["acc", "sp", "channel", "k"], "left")
     number = lambda x: F.concat(F.when(x > 0, " ").otherwise(""), F.format_string("%.5e", x))
     factor = scale or 1.0
     pol = F.element_at(F.array(*map(F.lit, pols)), (F.col("sp") % 2 + 1).cast("int"))
@@ -291,7 +292,7 @@ def calibration_lines(records: DataFrame, stations: DataFrame, *, mjd: int, star
     """station, name, acc and the line of each accumulation period of a station: its name, the middle of the period, duration,
     stream, bands, tones, and all records in the order of channels, polarisations and tones.  A station without tones has none."""
     entry = F.struct("channel", (F.col("sp") % 2).alias("pol"), "nr", "text")
-    rows = records.groupBy(F.floor(F.col("sp") / 2).cast("int").alias("station"), "acc").agg(F.array_sort(F.collect_list(entry)).alias("all")).join(F.broadcast(stations.select("station", "name")), "station")
+    rows = records.groupBy(F.floor(F.col("sp") / 2).cast("int").alias("station"), "acc").agg(F.array_sort(F.collect_list(entry)).alias("all")).join(dimension(stations.select("station", "name")), "station")
     day = F.lit(mjd) + (start + (F.col("acc") + 0.5) * period) / 86400
     head = F.format_string(f"%s %.7f %.7f %d {n_bands} {n_tones}", "name", day, F.lit(period / 86400), "station")
     return rows.select("station", "name", "acc", F.concat_ws(" ", head, F.array_join(F.transform("all", lambda x: x["text"]), " ")).alias("value"))
