@@ -22,6 +22,8 @@ from fringeline.llm.shared import discard, written
 LETTERS = "[A-Za-zÀ-ÿ]"
 #: One of so many runs has a code point dropped.
 EVERY = 199
+#: The hint of joins between tables that grow with the words.
+SORTED = "merge"
 
 
 def occurrences(docs: DataFrame, *, shortest: int, every: int = EVERY) -> DataFrame:
@@ -72,7 +74,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     two = grams.select(F.col("word").alias("b"), "gram", F.col("pos").alias("pos_b"), F.col("size").alias("own"), sides.alias("side"), F.explode(F.array(F.lit(0), F.lit(1))).alias("more"))
     two = two.withColumn("size", F.col("own") - F.col("more")).withColumn("half", half(F.col("b"), (F.col("size") / 2).cast("int")))
     near = (F.abs(F.col("pos_a") - F.col("pos_b")) <= F.col("more")) & ((F.col("more") == 1) | (F.col("a") < F.col("b")))
-    found = one.join(two.drop("own"), ["gram", "size", "side", "more", "half"]).where(near & (F.levenshtein("a", "b", 1) == 1))
+    found = one.join(two.drop("own").hint(SORTED), ["gram", "size", "side", "more", "half"]).where(near & (F.levenshtein("a", "b", 1) == 1))
     return found.select("a", "b").distinct()
 
 
@@ -84,7 +86,7 @@ def roots(forms: DataFrame) -> DataFrame:
     step = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = step.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = written(step.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = written(step.join(ahead.hint(SORTED), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         discard(step)
         step = after.select("word", "root")
         step._written_path = after._written_path
@@ -103,14 +105,14 @@ def variants(words: DataFrame, *, times: int = 5) -> DataFrame:
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = words.select(F.col("word").alias("b"), F.col("n").alias("n_b"))
     # the larger n and then the smaller word: the least of (-n, word)
-    best = both.join(other, "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("minus"), F.col("b").alias("word"))).alias("best"))
-    rows = words.join(best.withColumnRenamed("a", "word"), "word", "left")
+    best = both.join(other.hint(SORTED), "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("minus"), F.col("b").alias("word"))).alias("best"))
+    rows = words.join(best.withColumnRenamed("a", "word").hint(SORTED), "word", "left")
     has = -F.col("best.minus") >= times * F.col("n")
     rows = written(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.word")).alias("form"), F.when(has, -F.col("best.minus")).alias("form_n")), "forms")
     discard(words)
     discard(pairs)
     ends = roots(rows.where("form IS NOT NULL").select("word", "form"))
-    return rows.join(ends, "word", "left").select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")
+    return rows.join(ends.hint(SORTED), "word", "left").select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, *, shortest: int = 6, least: int = 5, times: int = 5) -> DataFrame:

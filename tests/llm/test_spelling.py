@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from fringeline.llm import spelling
+from fringeline.llm.shared import written
 from fringeline.llm.spelling import near_pairs, spelling_variants, variants, vocabulary
 
 from .cases import LOWER, empty, table
@@ -96,3 +98,20 @@ def test_awkward_tables(spark):
     n = plain_words([(r.doc_id, r.text) for r in df.collect()])
     assert sorted(map(tuple, spelling_variants(df).collect())) == plain(n)
     assert spelling_variants(empty(spark)).count() == 0
+
+
+def test_tables_of_words_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(spelling, "written", kept)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    out = variants(spark.createDataFrame([("planet", 50), ("planets", 9), ("plannet", 5), ("plane", 1)], "word string, n long"))
+    assert {r.word: r.root for r in out.collect()} == {"planet": "planet", "planets": "planet", "plannet": "planet", "plane": "planet"}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    # the counts of bigrams, for each side of the pairs
+    assert [p.count("BroadcastHashJoin") for p in plans if "BroadcastHashJoin" in p] == [2]
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5
