@@ -266,6 +266,16 @@ def read_text_lines(lines: DataFrame, kind: str = "px") -> DataFrame:
     return lines.where(F.col("value").rlike(key)).select(*(part(i).cast("int").alias(n) for n, i in names.items()), part(8).cast("long").alias("n_windows"), take(1).alias("re"), take(2).alias("im"))
 
 
+def printed(spec: str, number: Column) -> Column:
+    """A number by C's format, null if it is null: rounded from the double itself, where Java's rounds its shortest decimals, and ties to even."""
+
+    @F.arrow_udf("string")
+    def work(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else spec % v for v in x.to_pylist()], pa.string())
+
+    return work(number.cast("double"))
+
+
 def listed(rows: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """The rows whose column begins with a prefix."""
     return rows.where(F.startswith(F.col(column), F.lit(prefix)))
@@ -281,11 +291,11 @@ def tone_records(tones: DataFrame, bands: DataFrame, *, pols: str = "XY", conjug
     step = F.floor(F.col("f_pcal") / 1e6).cast("long")
     freq = F.floor(F.floor(F.col("f") / 1e6) / step).cast("long") * step - F.col("nr") * step
     own = tones.select("acc", "sp", "channel").distinct().join(dimension(places), "channel").join(tones.select("acc", "sp", "channel", "k", "re", "im"), ["acc", "sp", "channel", "k"], "left")
-    number = lambda x: F.concat(F.when(x > 0, " ").otherwise(""), F.format_string("%.5e", x))
+    number = lambda x: F.concat(F.when(x > 0, " ").otherwise(""), printed("%.5e", x))
     factor = scale or 1.0
     pol = F.element_at(F.array(*map(F.lit, pols)), (F.col("sp") % 2 + 1).cast("int"))
     text = F.concat_ws(" ", freq.cast("string"), pol, number(F.col("re") * factor), number(F.col("im") * (-factor if conjugate else factor)))
-    return own.select("acc", "sp", "channel", "nr", F.when(F.col("re").isNull(), INVALID_TONE).otherwise(text).alias("text"))
+    return own.select("acc", "sp", "channel", "nr", F.when(F.col("re").isNull() | F.col("im").isNull(), INVALID_TONE).otherwise(text).alias("text"))
 
 
 def calibration_lines(records: DataFrame, stations: DataFrame, *, mjd: int, start: float, period: float, n_bands: int, n_tones: int) -> DataFrame:
@@ -294,7 +304,7 @@ def calibration_lines(records: DataFrame, stations: DataFrame, *, mjd: int, star
     entry = F.struct("channel", (F.col("sp") % 2).alias("pol"), "nr", "text")
     rows = records.groupBy(F.floor(F.col("sp") / 2).cast("int").alias("station"), "acc").agg(F.array_sort(F.collect_list(entry)).alias("all")).join(dimension(stations.select("station", "name")), "station")
     day = F.lit(mjd) + (start + (F.col("acc") + 0.5) * period) / 86400
-    head = F.format_string(f"%s %.7f %.7f %d {n_bands} {n_tones}", "name", day, F.lit(period / 86400), "station")
+    head = F.format_string(f"%s %s {period / 86400:.7f} %d {n_bands} {n_tones}", "name", printed("%.7f", day), "station")
     return rows.select("station", "name", "acc", F.concat_ws(" ", head, F.array_join(F.transform("all", lambda x: x["text"]), " ")).alias("value"))
 
 

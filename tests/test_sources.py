@@ -98,6 +98,21 @@ def test_calibration_files(spark, tmp_path):
     assert got[5:] == [f"BB {day} 0.0000231 1 2 2 {band(120)} {band(140)}" for day in ("57351.0000000", "57351.0000231")]
 
 
+def test_calibration_numbers_are_rounded_as_c_does(spark):
+    """Ties of the shortest decimals, whose doubles are below or above them, and true ties, which go to even."""
+    values = [9.765625e-4, 1.953125e-3, 0.1234565, -2.5, 0.0, 1e-120, float("inf")]
+    tones = spark.createDataFrame([(acc, 0, 0, 0, v, -v) for acc, v in enumerate(values)] + [(acc, 0, 0, 0, 1.0, None if acc == 40 else 1.0) for acc in range(13, 100, 27)], "acc int, channel int, sp int, k int, re double, im double")
+    bands = spark.createDataFrame([(0, 100e6, 10e6, 10e6, 10)], "channel int, f double, bw double, f_pcal double, n int")
+    records = results.tone_records(tones, bands).where("nr = 1")
+    text = {r.acc: r.text for r in records.collect()}
+    number = lambda x: (" " if x > 0 else "") + "%.5e" % x
+    assert [text[i] for i in range(len(values))] == [f"90 X {number(v)} {number(-v)}" for v in values]
+    assert text[0] == "90 X  9.76562e-04 -9.76562e-04" and text[40] == results.INVALID_TONE
+    lines = results.calibration_lines(records, spark.createDataFrame([(0, "AA")], "station int, name string"), mjd=60310, start=0.0, period=1.0, n_bands=1, n_tones=1)
+    days = {r.acc: r.value.split()[1] for r in lines.collect()}
+    assert days == {acc: "%.7f" % (60310 + (acc + 0.5) / 86400) for acc in text} and days[13] == "60310.0001562"
+
+
 def test_text_lines_of_tones(spark):
     tones = spark.createDataFrame([(1, 2, 3, k, float(k), -0.5, 7) for k in range(3)], "acc int, channel int, sp int, k int, re double, im double, n_windows long")
     lines = results.tone_lines(tones, 4)
