@@ -1,10 +1,11 @@
 """Range joins and checked broadcasts against plain loops, on random rows."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from fringeline.operators import delays
+from fringeline.operators import delays, post
 from fringeline.operators.joins import dimension, last_before
 
 
@@ -55,3 +56,25 @@ def test_last_before_in_any_number_of_stretches(spark):
         got = last_before(df, s, ("k",), "t", "since", stretches=n).collect()
         assert len(got) == len(rows) and {x.id: x.what for x in got} == want
     assert [x.what for x in last_before(df.limit(3), s.where(F.lit(False)), ("k",), "t", "since").collect()] == [None] * 3
+
+
+def test_zoom_bands_in_many_channels_of_the_same_edges(spark):
+    """Pairs of one stretch are made by all tasks, not by the one that the stretch falls to; edges, sidebands and nulls as one by one."""
+    channels = [(i, 32e6, 32e6, "L") for i in range(1500)] + [(i, 0.0, 32e6, "U") for i in range(1500, 3000)] + [(3000, 16e6, 32e6, "U"), (3001, None, 32e6, "U"), (3002, 16e6, None, "U")]
+    zooms = [(i, i * 1e6, 1e6 * (i % 3)) for i in range(-2, 70)] + [(100, None, 1e6), (101, 1e6, None)]
+    z = spark.createDataFrame(zooms, "zoom long, f double, bw double")
+    c = spark.createDataFrame(channels, "channel long, f double, bw double, sideband string")
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as tables too large to broadcast are joined
+    before = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        got = post.contained(z, c).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    low = lambda f, bw, side: f - bw if side == "L" else f
+    want = [(i, z) for i, cf, cbw, side in channels for z, f, bw in zooms if None not in (cf, cbw, f, bw) and low(cf, cbw, side) <= f and f + bw <= low(cf, cbw, side) + cbw]
+    assert sorted((r.channel, r.zoom) for r in got) == sorted(want)
+    parts = Counter(r.part for r in got if 0 <= r.f < 32e6)
+    assert len(parts) == 4 and max(parts.values()) < sum(parts.values()) / 2
