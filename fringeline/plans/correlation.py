@@ -273,7 +273,9 @@ def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(3):
         rows.where(F.floor(F.col("t") / step) == k).write.mode("append").parquet(f"{at}/in")
     rows.limit(1).withColumn("t", F.lit(views.PERIOD * views.BLOCKS - 1)).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "2").parquet(f"{at}/in")
+    # three micro-batches or four whatever the size: each one costs every state partition a task
+    files = len(spark.read.schema(rows.schema).parquet(f"{at}/in").inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(max(2, -(-files // 3)))).parquet(f"{at}/in")
     good = align.aligned(stream, views.frame_model(spark), start=0.0, period=views.PERIOD, blocks=views.BLOCKS)
     parts = stream_correlator.correlated_stream(align.chunks(good, views.frame_media(spark)), fft_size=32, period=views.PERIOD, start=1.7e9, streams=4, late="100000 seconds")
     stream_correlator.written_stream(parts, f"{at}/out", f"{at}/mark")

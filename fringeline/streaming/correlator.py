@@ -1,6 +1,7 @@
 """The correlator of a stream of aligned chunks: state by block, source and channel, closed by event time.
 
-The state of a key holds the samples that are still needed, packed as they came, and the partial sums of its pairs.
+The state of a key holds the samples that are still needed, packed as they came, and the partial sums of its pairs.  What
+comes is multiplied with what is held before anything is stored, so samples that wait for nothing never enter the state.
 Windows are multiplied as soon as all expected streams have them, or as the watermark says that nothing more can come for
 them; the samples before are dropped then.  A timer closes the block: what is left is multiplied as it is, gaps counting
 as in the batch correlator, and the sums go out.  So the sums are those of the batch, however the chunks are split into
@@ -25,8 +26,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql
 CHUNK_KEY = "sp int, first_sample long"
 CHUNK = "n_samples int, skip int, bits int, is_complex boolean, fs double, freq_hz double, sideband string, shift long, d0 double, d1 double, d2 double, samples binary"
 NAMES = [c.split()[0] for c in CHUNK.split(", ")]
-PAIR = "sp0 int, sp1 int"
-SUMS = "n_windows long, p0 double, p1 double, re array<double>, im array<double>"
+#: Of all pairs in one value; re and im are a row of doubles for each pair.
+SUMS = "sp0 array<int>, sp1 array<int>, n_windows array<long>, p0 array<double>, p1 array<double>, re binary, im binary"
 
 
 class Correlator(StatefulProcessor):
@@ -37,36 +38,65 @@ class Correlator(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.chunks = handle.getMapState("chunks", CHUNK_KEY, CHUNK)
-        self.sums = handle.getMapState("sums", PAIR, SUMS)
+        self.sums = handle.getValueState("sums", SUMS)
         self.done = handle.getValueState("done", "windows long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.done.exists():
-            self.done.update((0,))
+        begun = self.done.exists()
+        done, chunks = (self.done.get()[0], self.held()) if begun else (0, {})
+        if not begun:
             self.handle.registerTimer(int(np.ceil((self.start + (key[0] + 1) * self.period) * 1000)))
+        stored, come = set(chunks), set()
         for frame in rows:
             for r in frame.to_dict("records"):
-                self.chunks.updateValue((int(r["station"]) * 2 + int(r["pol"]), int(r["first_sample"])), tuple(r[c] for c in NAMES))
+                at = int(r["station"]) * 2 + int(r["pol"]), int(r["first_sample"])
+                chunks[at] = r
+                come.add(at)
         mark = timerValues.getCurrentWatermarkInMs() / 1000 - self.start - key[0] * self.period
-        self.advance(key, self.held(), mark)
+        all_ = [chunks[at] for at in sorted(chunks)]
+        end, left = self.advanced(all_, done, mark), set(chunks)
+        if end > done:
+            self.store(self.multiplied(key, all_, done, end))
+            left = self.needed(chunks, end)
+        if end > done or not begun:
+            self.done.update((end,))
+        for at in come & left:
+            self.chunks.updateValue(at, tuple(chunks[at][c] for c in NAMES))
+        for at in stored - left:
+            self.chunks.removeKey(at)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = self.held()
-        if rows:
-            self.multiply(key, rows, self.total(rows))
-        found = [[*key, *pair, *value] for pair, value in self.sums.iterator()]
+        chunks = self.held()
+        rows = [chunks[at] for at in sorted(chunks)]
+        done = self.done.get()[0]
+        sums = self.multiplied(key, rows, done, self.total(rows)) if rows and self.total(rows) > done else self.summed()
         for state in (self.chunks, self.sums, self.done):
             state.clear()
+        found = [[*key, *pair, int(n), float(p0), float(p1), re.tolist(), im.tolist()] for pair, (n, p0, p1, re, im) in sums.items()]
         if found:
             yield pd.DataFrame(found, columns=[c.split()[0] for c in VIS.split(", ")])
 
     def close(self) -> None:
         pass
 
-    def held(self) -> list[dict]:
-        """Chunks of the state, as the batch correlator gets them."""
-        return [dict(zip(NAMES, value, strict=True)) | {"station": sp // 2, "pol": sp % 2, "first_sample": first} for (sp, first), value in self.chunks.iterator()]
+    def held(self) -> dict[tuple[int, int], dict]:
+        """Chunks of the state by stream and first sample, as the batch correlator gets them."""
+        return {(sp, first): dict(zip(NAMES, value, strict=True)) | {"station": sp // 2, "pol": sp % 2, "first_sample": first} for (sp, first), value in self.chunks.iterator()}
+
+    def summed(self) -> dict[tuple[int, int], tuple]:
+        """n_windows, p0, p1, re and im of each pair so far."""
+        if not self.sums.exists():
+            return {}
+        *columns, re, im = self.sums.get()
+        table = lambda b: np.frombuffer(b, float).reshape(len(columns[0]), -1)
+        return {(sp0, sp1): (n, p0, p1, x, y) for sp0, sp1, n, p0, p1, x, y in zip(*columns, table(re), table(im), strict=True)} if columns[0] else {}
+
+    def store(self, sums: dict[tuple[int, int], tuple]) -> None:
+        rows = [(*pair, *value) for pair, value in sums.items()]
+        kinds = (int, int, int, float, float)
+        packed = lambda i: np.array([r[i] for r in rows], float).tobytes()
+        self.sums.update((*([kind(r[i]) for r in rows] for i, kind in enumerate(kinds)), packed(5), packed(6)))
 
     def size(self, rows: list[dict]) -> int:
         return self.fft_size * (1 if rows[0]["is_complex"] else 2)
@@ -74,15 +104,15 @@ class Correlator(StatefulProcessor):
     def total(self, rows: list[dict]) -> int:
         return int(round(self.period * rows[0]["fs"])) // self.size(rows)
 
-    def advance(self, key: tuple, rows: list[dict], mark: float) -> None:
-        """Multiplies the windows from the first open one on that are whole in all streams, or before the watermark (seconds of the block)."""
-        size, done = self.size(rows), self.done.get()[0]
+    def advanced(self, rows: list[dict], done: int, mark: float) -> int:
+        """Where the windows end that are whole in all streams, or before the watermark (seconds of the block), from the first open one on."""
+        size = self.size(rows)
         w = np.arange(done, min(self.total(rows), max(r["first_sample"] + r["n_samples"] for r in rows) // size + 2))
         by: dict[int, list[dict]] = {}
         for r in rows:
             by.setdefault(r["station"] * 2 + r["pol"], []).append(r)
         if not len(w):
-            return
+            return done
         ready = np.full(len(w), len(by) >= self.streams)
         past = np.ones(len(w), bool)
         for own in by.values():
@@ -95,31 +125,30 @@ class Correlator(StatefulProcessor):
         # a stream that has not begun may come with any delay: only the watermark of the whole block tells
         past &= len(by) >= self.streams
         open_ = np.flatnonzero(~(ready | past))
-        end = int(w[open_[0]]) if len(open_) else int(w[-1]) + 1
-        if end > done:
-            self.multiply(key, rows, end)
+        return int(w[open_[0]]) if len(open_) else int(w[-1]) + 1
 
-    def multiply(self, key: tuple, rows: list[dict], end: int) -> None:
-        """Adds the windows from the first open one to `end`, and drops the samples that no later window needs."""
-        done, size = self.done.get()[0], self.size(rows)
-        if end <= done:
-            return
+    def multiplied(self, key: tuple, rows: list[dict], done: int, end: int) -> dict[tuple[int, int], tuple]:
+        """The sums with the windows from the first open one to `end`."""
         pairs = lambda ids: wanted_pairs(ids, *np.triu_indices(len(ids)), *self.options)
         columns = partial_sums(rows, list(key), np.arange(done, end), fft_size=self.fft_size, period=self.period, hanning=self.hanning, pairs=pairs)
-        for _, _, _, sp0, sp1, n, p0, p1, re, im in zip(*columns, strict=True):
-            pair = (int(sp0), int(sp1))
-            if self.sums.containsKey(pair):
-                old = self.sums.getValue(pair)
-                n, p0, p1, re, im = n + old[0], p0 + old[1], p1 + old[2], re + np.array(old[3]), im + np.array(old[4])
-            self.sums.updateValue(pair, (int(n), float(p0), float(p1), [float(x) for x in re], [float(x) for x in im]))
-        self.done.update((end,))
+        sums = self.summed()
+        for _, _, _, sp0, sp1, *value in zip(*columns, strict=True):
+            value = (*value[:3], np.asarray(value[3], float), np.asarray(value[4], float))
+            old = sums.get((int(sp0), int(sp1)))
+            sums[int(sp0), int(sp1)] = tuple(x + y for x, y in zip(value, old, strict=True)) if old else value
+        return sums
+
+    def needed(self, chunks: dict[tuple[int, int], dict], end: int) -> set[tuple[int, int]]:
+        """The chunks with samples that windows from `end` on need."""
         lows: dict[int, int] = {}
-        for r in rows:
-            sp = r["station"] * 2 + r["pol"]
+        left = set()
+        for (sp, first), r in sorted(chunks.items(), key=lambda x: x[0]):
             if sp not in lows:
-                lows[sp] = Stream([r | {"n_samples": 0, "samples": b""}], end * size, end * size, self.period).low
-            if r["first_sample"] + r["n_samples"] <= lows[sp]:
-                self.chunks.removeKey((sp, r["first_sample"]))
+                at = end * self.size([r])
+                lows[sp] = Stream([r | {"n_samples": 0, "samples": b""}], at, at, self.period).low
+            if first + r["n_samples"] > lows[sp]:
+                left.add((sp, first))
+        return left
 
 
 def correlated_stream(chunks: DataFrame, *, fft_size: int, period: float, start: float, streams: int, late: str = "10 seconds", hanning: bool = False, autos: bool = True, cross_polarisation: bool = True) -> DataFrame:

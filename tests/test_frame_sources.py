@@ -137,3 +137,15 @@ def test_stream_correlator_is_the_batch(spark, tmp_path, cuts, lost):
     want = values(fx.correlate(correlation.frame_chunks(spark, SF, lost), fft_size=32, period=views.PERIOD))
     assert late == 1 and got.keys() == want.keys() and len(got) > 500
     assert all(got[k][0] == want[k][0] and np.allclose(got[k][1:], want[k][1:], atol=1e-12) for k in got)
+
+
+def test_samples_that_wait_for_nothing_never_enter_the_state(spark, tmp_path):
+    """Blocks that come whole leave their sums, the number of windows, a timer and the chunks at their ends; storing each chunk takes more puts than there are frames."""
+    frames, folder = views.frames(spark, SF), f"{tmp_path}/in"
+    frames.where("t < 300").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(frames.schema).parquet(folder)
+    chunks = align.chunks(align.aligned(stream, views.frame_model(spark), start=0.0, period=views.PERIOD, blocks=views.BLOCKS), views.frame_media(spark))
+    out = correlator.correlated_stream(chunks, fft_size=32, period=views.PERIOD, start=1.7e9, streams=4, late="100000 seconds")
+    (p,) = [p for p in correlator.written_stream(out, f"{tmp_path}/out", f"{tmp_path}/mark") if p["batchId"] == 0]
+    (state,) = p["stateOperators"]
+    assert state["numRowsTotal"] > 0 and state["customMetrics"]["rocksdbPutCount"] < 250 < frames.count() / 2 + 1
