@@ -78,3 +78,30 @@ def test_zoom_bands_in_many_channels_of_the_same_edges(spark):
     assert sorted((r.channel, r.zoom) for r in got) == sorted(want)
     parts = Counter(r.part for r in got if 0 <= r.f < 32e6)
     assert len(parts) == 4 and max(parts.values()) < sum(parts.values()) / 2
+
+
+def test_pairs_of_many_channels_take_little_of_a_file(spark, tmp_path):
+    """Each list of channels meets all zoom bands of its task before the next, so a file holds the same few numbers again and again."""
+    c = spark.range(40_000).select(F.col("id").alias("channel"), F.lit(0.0).alias("f"), F.lit(32e6).alias("bw"))
+    z = spark.range(1500).select(F.col("id").alias("zoom"), (F.col("id") % 31 * 1e6).alias("f"), F.lit(1e6).alias("bw")).where(F.pmod(F.xxhash64("zoom"), F.lit(post.DEALT)) == 0)
+    n = z.count()
+    assert 10 < n < 40
+    post.contained(z, c).select("zoom", "channel").write.parquet(out := str(tmp_path / "out"))
+    got = spark.read.parquet(out)
+    assert got.count() == 40_000 * n == got.distinct().count()
+    own = got.where("zoom IS NOT NULL").groupBy("zoom").agg(F.count_distinct("channel").alias("n"))
+    assert {r.n for r in own.collect()} == {40_000}
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1.5 * 40_000 * n
+
+
+def test_zoom_bands_of_one_channel_are_held_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(post, "HELD", 10)
+    z = spark.createDataFrame([(i, i * 1e5, 1e6) for i in range(200)], "zoom long, f double, bw double")
+    c = spark.createDataFrame([(1, 0.0, 16e6), (2, 8e6, 8e6), (None, 8e6, 8e6)], "channel long, f double, bw double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = post.contained(z, c).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert Counter((r.channel, r.zoom) for r in got) == Counter([(1, i) for i in range(151)] + [(x, i) for x in (2, None) for i in range(80, 151)])
+    assert len({r.part for r in got if r.channel == 1}) == 4
